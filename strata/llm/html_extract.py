@@ -46,6 +46,13 @@ TABLE = [
     (30, 0.0, 1, 0, 0, 40, 0.0, 12, 1.0, 1),
     (4, 0.0, 1, 0, 0, 5, 1.0, 3, 1.0, 1),
     (9, 0.0, 1, 0, 1, 1, 1.0, 20, 0.0, 1),
+    (5, 0.0, 1, 0, 0, 70, 0.0, -1, 0.0, 1),
+    (2, 0.0, 1, 0, 0, 9, 0.0, -1, 0.0, 1),
+    (1, 1.0, 1, 0, 0, 3, 0.0, -1, 0.0, 1),
+    (3, 0.5, 1, 0, 0, 2, 1.0, 2, 1.0, 1),
+    (1, 0.0, 1, 0, 1, -1, 0.0, 3, 0.0, 1),
+    (6, 0.0, 1, 0, 0, 3, 1.0, 2, 1.0, 1),
+    (20, 0.9, 1, 0, 0, 4, 0.0, -1, 0.0, 1),
     # boilerplate, inside and outside of articles
     (1, 1.0, 0, 1, 0, -1, 0.0, 1, 1.0, 0),
     (1, 1.0, 0, 1, 0, 1, 1.0, 1, 1.0, 0),
