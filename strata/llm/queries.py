@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from strata.llm import decontaminate, html_extract, packing, pii, substring_dedup, suffix_dedup
+from strata.llm import decontaminate, html_extract, packing, pii, simhash, substring_dedup, suffix_dedup
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -34,6 +35,11 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_read(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.components(_read(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(_read(spark, sf_dir, "pages"))
 
@@ -42,5 +48,5 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.deduplicate(_read(spark, sf_dir, "documents")).drop("kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op3_decontaminate, op4_substring_dedup, op7_packing, op9_html_extraction, op10_suffix_dedup)}
+QUERIES = {f.__name__: f for f in (op1_pii, op3_decontaminate, op4_substring_dedup, op7_packing, op8_simhash, op9_html_extraction, op10_suffix_dedup)}
 ORACLE: dict[str, str] = {}
