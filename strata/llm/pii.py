@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from strata.llm._stage import cut
 
-CONTEXT, SUPPORT, GENERALISE, REMOVE = 60, 3, 0.7, 0.9
+CONTEXT, SUPPORT, GENERALISE, REMOVE, TABLE_LOG2 = 60, 3, 0.7, 0.9, 20
 KINDS = ("email", "ip", "card", "phone")
 TERM = r"(?<=\P{L})\p{L}{4,}+(?=\P{L})"
 #: The contract's patterns, made linear: possessive repeats, and starts inside a run excluded where an earlier start would match.
@@ -113,7 +113,7 @@ def _bits(df: DataFrame, column: str, log2: int) -> Column:
     table = [0] * (1 << (log2 - 6))
     for r in words.collect():  # at most 2**(log2 - 6) rows
         table[r.w] = r.b
-    return F.lit(table).cast("array<bigint>")
+    return F.from_json(F.lit(str(table)), "array<bigint>")
 
 
 def disclosing_terms(docs: DataFrame, found: DataFrame | None = None, support: int = SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
@@ -121,19 +121,21 @@ def disclosing_terms(docs: DataFrame, found: DataFrame | None = None, support: i
     mentions = _mentions(_found(docs) if found is None else found)
     per_value = mentions.groupBy("value").agg(F.count_distinct("doc_id").alias("df_value"))
     pairs = mentions.groupBy("value", "term").agg(F.count_distinct("context").alias("contexts"), F.count_distinct("doc_id").alias("n")).where(F.col("contexts") >= support)
-    pairs = cut(pairs.join(per_value, "value"))
-    log2 = 16
+    # documents that hold the term in any context are a lower bound of its frequency: a pair that fails by it fails anyway
+    per_term = mentions.groupBy("term").agg(F.count_distinct("doc_id").alias("seen"))
+    total = docs.agg(F.count(F.lit(1)).alias("total"))
+    pairs = pairs.join(per_value, "value").join(per_term, "term").join(F.broadcast(total))  # total is one row
+    ic = F.log2(F.col("total").cast("double") / F.col("df_value"))
+    gain = lambda df: F.log2(F.col("n").cast("double") * F.col("total") / (F.col("df_value").cast("double") * F.col(df)))
+    pairs = cut(pairs.where((ic >= 1) & (gain("seen") >= generalise * ic)))
+    log2 = TABLE_LOG2
     bits = _bits(pairs, "term", log2)
     counted = docs.select(F.coalesce("text", F.lit("")).alias("t"))
     bucket = lambda w: F.pmod(F.xxhash64(w), F.lit(1 << log2))
     near = lambda w: F.getbit(F.element_at(bits, (F.shiftright(bucket(w), 6) + 1).cast("int")), F.pmod(F.xxhash64(w), F.lit(64)).cast("int")) == 1
     terms = F.array_distinct(F.filter(F.regexp_extract_all(F.lower(F.concat(F.lit(" "), "t", F.lit(" "))), F.lit(TERM), F.lit(0)), near))
     df_term = counted.select(F.explode(terms).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df_term"))
-    total = docs.agg(F.count(F.lit(1)).alias("total"))
-    joined = pairs.join(df_term, "term").join(F.broadcast(total))  # total is one row
-    pmi = F.log2(F.col("n").cast("double") * F.col("total") / (F.col("df_value").cast("double") * F.col("df_term")))
-    ic = F.log2(F.col("total").cast("double") / F.col("df_value"))
-    scored = joined.select("value", "term", pmi.alias("bits"), ic.alias("content")).where((F.col("content") >= 1) & (F.col("bits") >= generalise * F.col("content")))
+    scored = pairs.join(df_term, "term").select("value", "term", gain("df_term").alias("bits"), ic.alias("content")).where(F.col("bits") >= generalise * F.col("content"))
     return scored.withColumn("action", F.when(F.col("bits") >= remove * F.col("content"), "remove").otherwise("generalise"))
 
 
