@@ -725,3 +725,63 @@ def log_repeat_expand(spark, d):
 @query(f"WITH {TL} SELECT doc, sha256('[' || string_agg('{{\"cents\":' || cents || ',\"idx\":' || idx || '}}', ',' ORDER BY idx) || ']') AS sha256 FROM tl GROUP BY doc")
 def fingerprint(spark, d):
     return machine.fingerprint(_events(spark, d), ["cents", "idx"], ["idx"])
+
+
+# --- renderings and sources
+
+
+@query(f"""WITH {TL}, n AS (SELECT doc, count(*) AS n FROM tl GROUP BY doc), x AS (
+  SELECT DISTINCT doc, 0 AS a, 0 AS b, 'digraph strata {{' AS line FROM tl UNION ALL SELECT doc, 1, idx, '  n0_' || idx || ' [shape=box, label="' || event_id || '"];' FROM tl
+  UNION ALL SELECT doc, 2, idx, '  n0_' || (idx - 1) || ' -> n0_' || idx || ' [color=gray];' FROM tl WHERE idx > 0
+  UNION ALL SELECT doc, 3, idx - 1, '  n0_' || (idx - 1) || ' -> n0_' || idx || ' [label=next];' FROM tl WHERE idx > 0 UNION ALL SELECT DISTINCT doc, 4, 0, '}}' FROM tl)
+  SELECT doc, row_number() OVER (PARTITION BY doc ORDER BY a, b) - 1 AS place, line FROM x""")
+def dot_lines(spark, d):
+    from strata.sources import render
+
+    return render.dot_lines(C.timeline(spark, d))
+
+
+@query(f"WITH {LN} SELECT doc, CAST(line AS INTEGER) AS span, repeat(' ', CAST(min(e - length(surface)) AS BIGINT)) || CASE WHEN max(e) - min(e - length(surface)) <= 1 THEN '^' ELSE '[' || repeat('-', CAST(max(e) - min(e - length(surface)) - 2 AS BIGINT)) || ']' END AS line FROM of GROUP BY doc, line")
+def span_ruler(spark, d):
+    from strata.sources import render
+
+    base = C.words(spark, d)
+    return render.ruler(profiles.span_view(base.select("doc", F.col("line").alias("span"), "idx"), base))
+
+
+@query("SELECT date_trunc('hour', ts) AS tick, user_id AS doc, count(*) AS n FROM events GROUP BY 1, 2")
+def clock_ticks(spark, d):
+    from strata.streaming import edits
+
+    got = edits.ticks(C.table(spark, d, "events").select(F.col("user_id").alias("doc"), F.col("ts").cast("timestamp").alias("ts")))
+    return got.select(F.col("window.start").cast("timestamp_ntz").alias("tick"), "doc", "n")
+
+
+@query("""WITH x AS (SELECT user_id AS doc, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 12 HOUR THEN 0 ELSE 1 END AS fresh FROM events),
+  y AS (SELECT doc, ts, sum(fresh) OVER (PARTITION BY doc ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM x) SELECT doc, min(ts) AS start, count(*) AS n FROM y GROUP BY doc, s""")
+def session_spans(spark, d):
+    from strata.streaming import edits
+
+    got = edits.sessions(C.table(spark, d, "events").select(F.col("user_id").alias("doc"), F.col("ts").cast("timestamp").alias("ts")), gap="12 hours")
+    return got.select("doc", F.col("session_window.start").cast("timestamp_ntz").alias("start"), "n")
+
+
+@query(f"WITH {TL} SELECT doc, op, count(*) AS n FROM (SELECT doc, unnest(CASE WHEN idx % 3 = 0 THEN ['add_item', 'attach_value', 'promote_item'] ELSE ['add_item', 'attach_value'] END) AS op FROM tl) GROUP BY doc, op UNION ALL SELECT doc, 'relate', count(*) FROM tl WHERE idx > 0 GROUP BY doc")
+def log_opcodes(spark, d):
+    return C.edit_log(spark, d).groupBy("doc", "op").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {TL}, m AS (SELECT doc, idx, max(cents) OVER (PARTITION BY doc ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS best, CAST(sum(cents) OVER (PARTITION BY doc ORDER BY idx DESC) AS BIGINT) AS below FROM tl) SELECT doc, idx, best, below FROM m")
+def fold_chain(spark, d):
+    """A chain is folded by windows: the suffix sum is the fold of a sum-like product along the chain, the running maximum that of a maximum."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("doc").orderBy("idx")
+    return _events(spark, d).select("doc", "idx", F.max("cents").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("best"), F.sum("cents").over(w.rowsBetween(0, Window.unboundedFollowing)).alias("below"))
+
+
+@query("SELECT l.doc_id, quality, toxic, length(text) AS weight FROM labels l JOIN documents d ON l.doc_id = d.doc_id")
+def alignment_edges(spark, d):
+    """Weighted correspondence: documents to labels, the weight on the edge."""
+    labels, docs = C.table(spark, d, "labels"), C.table(spark, d, "documents").select("doc_id", F.length("text").cast("bigint").alias("weight"))
+    return labels.join(docs, "doc_id").select("doc_id", "quality", "toxic", "weight")
