@@ -1,0 +1,392 @@
+"""Each operator against a plain version, with odd rows, equal rows, extra columns and empty tables."""
+
+import base64
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+import xxhash
+
+from strata.llm import decontaminate, gsaca, html_extract, packing, pii, quality_crf, quality_rules, repeats, simhash, substring_dedup, suffix_dedup, warc
+from strata.llm.queries import ORACLE, QUERIES, tokenizer_path
+
+SF = "/root/testdata/sf0.001"
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def sha(text) -> str:
+    return hashlib.sha256(text if isinstance(text, bytes) else text.encode()).hexdigest()
+
+
+# --- 1
+
+
+def luhn(text):
+    d = [int(c) for c in text if c.isdigit()][::-1]
+    return sum(d[0::2]) + sum(sum(divmod(2 * k, 10)) for k in d[1::2])
+
+
+PII = {
+    "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda m: True),
+    "ip": (r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda m: all(int(p) <= 255 for p in m.split("."))),
+    "card": (r"[0-9]([\x20-]?[0-9])+", lambda m: 16 <= sum(map(str.isdigit, m)) <= 19 and luhn(m) % 10 == 0),
+    "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", lambda m: 8 <= sum(map(str.isdigit, m)) <= 15),
+}
+
+
+def spans_of(text):
+    return [f"{k}:{m.start()}:{m.end()}" for k, (p, ok) in PII.items() for m in re.finditer(p, text) if ok(m[0])]
+
+
+def test_personal_data_spans(spark, docs):
+    odd = ["a@b.c_d@e.f x@y.z", "1.2.3.4.5.6.7.8 256.1.1.1 0001.2.3.4", "4111 1111 1111 1111 4111111111111111-", "1 4111-1111-1111-1111", "+1 (017) 555-7713)..9 ++12345678", "é 4111111111111111\n5105105105105100", "@@a@b.co 9.9.9.9@a.b", "4" * 5000, "a" * 3000, "+1" * 50]
+    more = docs.select("doc_id", "text").unionByName(spark.createDataFrame(list(enumerate(odd, 95000)), "doc_id bigint, text string"))
+    truth = {r.doc_id: spans_of(r.text or "") for r in more.collect()}
+    got = pii.detect(more).collect()
+    assert len(got) == len(truth)
+    for r in got:
+        want = truth[r.doc_id]
+        assert r.base_sha256 == sha(",".join(want))
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(s.startswith(k + ":") for s in want) for k in PII]
+        assert set(want) <= set(r.spans.split(",")) | {""}
+
+
+def test_disclosing_terms(spark):
+    rng = random.Random(1)
+    word = lambda: "".join(rng.choices("abcdefgh", k=5))
+    rows = [(i, " ".join(word() for _ in range(12)) + f" zanzibar {word()} joe@x.org common {word()} " + " ".join(word() for _ in range(8))) for i in range(5)]
+    rows += [(100 + i, f"{word()} common {word()}") for i in range(200)] + [(400, "zanzibar alone, without the address")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    terms = {(r.value, r.term): r.action for r in pii.disclosing_terms(docs).collect()}
+    assert terms == {("email:joe@x.org", "zanzibar"): "remove"}
+    got = {r.doc_id: r for r in pii.detect(docs).collect()}
+    assert all("term:" in got[i].spans for i in range(5)) and got[400].spans == ""
+    clean = {r.doc_id: r.text for r in pii.sanitise(docs).collect()}
+    assert len(clean) == len(rows) and clean[400] == rows[-1][1]
+    assert all("[EMAIL]" in clean[i] and "zanzibar" not in clean[i] and "common" in clean[i] for i in range(5))
+
+
+def test_sanitising_keeps_rows_and_columns(docs, texts):
+    out = pii.sanitise(docs)
+    assert out.columns == docs.columns and out.count() == docs.count()
+    for r in out.collect():
+        assert (r.text or "") == texts[r.doc_id] or spans_of(texts[r.doc_id])
+        assert not re.search(PII["email"][0], r.text or "")
+
+
+# --- 2
+
+
+def test_rules(docs, texts):
+    got = quality_rules.judge(docs).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        t = texts[r.doc_id]
+        w = WORD.findall(t)
+        c, again = Counter(zip(w, w[1:], w[2:])), bytearray(len(w))
+        for i in range(len(w) - 2):
+            if c[tuple(w[i : i + 3])] > 1:
+                again[i : i + 3] = b"\1\1\1"
+        lines = [x for x in t.split("\n") if WORD.search(x)]
+        want = (len(w), sum(map(len, w)), sum(x in "#*$%&|<>" for x in t), len(lines) - len(set(lines)), sum(again))
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == want
+        assert r.base_failed == (len(w) < 50 or 100 * sum(again) > 50 * len(w))
+        assert r.kept == all(not rule(quality_rules.Text(t)) for _, rule in quality_rules.RULES)
+
+
+def test_cascade_order_is_rejections_per_cost(docs):
+    planned = quality_rules.plan(docs)
+    rate = [share / max(seconds, 1e-9) for _, seconds, share in planned]
+    assert rate == sorted(rate, reverse=True) and {n for n, *_ in planned} == {n for n, _ in quality_rules.RULES}
+    assert quality_rules.first_rejection(quality_rules.Text("one two"), [("a", lambda t: True), ("b", lambda t: 1 / 0)]) == "a"
+
+
+# --- 3
+
+UP = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+BENCH_WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+
+def test_contamination(spark, docs, texts):
+    base = spark.read.parquet(f"{SF}/benchmark.parquet")
+    items = base.unionByName(spark.createDataFrame([(9001, "the OF and"), (9002, ""), (9003, None), (9004, "same text twice"), (9005, "a")], base.schema))
+    windows: dict = {}
+    for r in items.collect():
+        w = BENCH_WORD.findall((r.text or "").translate(UP))
+        n = min(13, len(w))
+        for i in range(len(w) - n + 1 if n else 0):
+            windows.setdefault(tuple(w[i : i + n]), set()).add(r.item_id)
+    sizes = {len(k) for k in windows}
+    got = decontaminate.report(docs, items).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        w = BENCH_WORD.findall(texts[r.doc_id].translate(UP))
+        hit, found = bytearray(len(w)), set()
+        for n in sizes:
+            for i in range(len(w) - n + 1):
+                if k := windows.get(tuple(w[i : i + n])):
+                    found |= k
+                    hit[i : i + n] = b"\1" * n
+        h = sum(hit)
+        assert (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) == (len(w), h, len(found), sha(",".join(sorted(map(str, found)))), h > 0 and 20 * h >= len(w))
+    bad = {r.doc_id for r in got if r.contaminated}
+    out = decontaminate.clean(docs, items)
+    assert out.columns == docs.columns and {r.doc_id for r in out.collect()} == set(texts) - bad
+
+
+# --- 4 and 10
+
+
+@pytest.mark.parametrize("group", [2000, 1])
+def test_repeated_passages(docs, texts, group, monkeypatch):
+    monkeypatch.setattr(repeats.settled, "__defaults__", (group,))
+    words = {k: t.encode().split() for k, t in texts.items()}
+    count = Counter(tuple(w[i : i + 35]) for w in words.values() for i in range(len(w) - 34))
+    for r in substring_dedup.deduplicate(docs).collect():
+        w = words.pop(r.doc_id)
+        gone = bytearray(len(w))
+        for i in range(len(w) - 34):
+            if count[tuple(w[i : i + 35])] > 1:
+                gone[i : i + 35] = b"\1" * 35
+        kept = b" ".join(x for x, g in zip(w, gone) if not g)
+        assert (r.n_words, r.n_removed, r.kept_sha256, r.kept) == (len(w), sum(gone), sha(kept), kept.decode())
+    assert not words
+
+
+@pytest.mark.parametrize("group", [2000, 1])
+def test_repeated_bytes(docs, texts, group, monkeypatch):
+    monkeypatch.setattr(repeats.settled, "__defaults__", (group,))
+    seen, want = set(), {}
+    for k in sorted(texts):
+        b = texts[k].encode()
+        gone = bytearray(len(b))
+        for i in range(len(b) - 99):
+            if b[i : i + 100] in seen:
+                gone[i : i + 100] = b"\1" * 100
+            seen.add(b[i : i + 100])
+        want[k] = (len(b), sum(gone), len(re.findall(b"\1+", bytes(gone))), sha(bytes(x for x, g in zip(b, gone) if not g)))
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.deduplicate(docs).collect()}
+    assert got == want
+
+
+def test_equal_rows_are_defined(spark):
+    rows = spark.createDataFrame([(1, "w " * 40), (1, "w " * 40), (2, None), (None, "z " * 40)], "doc_id bigint, text string")
+    assert sorted((r.doc_id or 0, r.n_removed) for r in substring_dedup.deduplicate(rows).collect()) == [(0, 40), (1, 40), (1, 40), (2, 0)]
+    assert {r.n_removed for r in substring_dedup.deduplicate(rows).where("doc_id IS NULL").collect()} == {40}
+    assert suffix_dedup.deduplicate(rows).count() == 4
+
+
+def test_suffix_arrays():
+    rng = random.Random(0)
+    for _ in range(3000):
+        s = [rng.randrange(rng.choice([1, 2, 4])) for _ in range(rng.randint(0, 24))]
+        order = gsaca.suffix_array(s)
+        assert order == sorted(range(len(s)), key=lambda i: s[i:])
+        for r, h in enumerate(gsaca.common_prefixes(s, order, 5)):
+            if r:
+                a, b = s[order[r - 1] :], s[order[r] :]
+                assert h == min(5, next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b))))
+
+
+def test_sketch_never_underestimates(spark):
+    text = " ".join(f"word{i}" for i in range(200))
+    docs = spark.createDataFrame([(1, text), (2, "other start " + text), (3, "nothing here at all")], "doc_id bigint, text string").repartition(3)
+    unit = repeats.Words(35)
+    bits = repeats.sketch(docs, unit, 16)
+    data = np.frombuffer(text.encode(), np.uint8)
+    for found in repeats.runs(unit, np.array([0, len(data)]), data):
+        assert repeats.maybe_repeated(bits, 16, found[4]).all() or found[1][0] == 0  # all but windows at the very start
+
+
+# --- 5
+
+
+def test_archives(spark, tmp_path):
+    rows = [(1, "http://a/", "<p>x"), (2, "http://b/ c\n", "<p>x"), (3, None, None), (4, "u", ""), (5, "u", "é" * 70000), (6, "u", "<p>x")]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(3)
+    got = {r.page_id: r for r in warc.round_trip(pages).collect()}
+    assert len(got) == len(rows)
+    for page_id, _, h in rows:
+        b = (h or "").encode()
+        last = max(p for p, _, x in rows if (x or "") == (h or ""))
+        r = got[page_id]
+        assert (r.payload_bytes, r.payload_digest) == (len(b), base64.b32encode(hashlib.sha1(b).digest()).decode())
+        assert (r.record_type, r.refers_to) == (("response", None) if last == page_id else ("revisit", last))
+        assert r.payload == (b if last == page_id else None)
+    assert "\n" not in got[2].url
+    (tmp_path / "one.warc.gz").write_bytes(b"".join(warc.member(warc.record(i, "u", b"p" * i, None)) for i in range(3)))
+    assert sorted(r.payload_bytes for r in warc.read_files(spark, str(tmp_path)).collect()) == [0, 1, 2]
+
+
+def test_broken_archives_raise():
+    good = warc.record(1, "u", b"payload", None)
+    with pytest.raises(ValueError, match="inside a member"):
+        list(warc.records(warc.member(good)[:-12]))
+    with pytest.raises(ValueError, match="frame"):
+        list(warc.records(warc.member(good + b"x")))
+    with pytest.raises(ValueError, match="digest"):
+        [warc.parsed(*r) for r in warc.records(warc.member(good.replace(b"payload\r\n", b"Payload\r\n")))]
+    assert len(list(warc.records(warc.member(good) * 3, step=7))) == 3
+
+
+# --- 6
+
+
+def test_forward_backward_by_enumeration():
+    rng = np.random.default_rng(0)
+    field = quality_crf.Field(rng.normal(size=quality_crf.SIZE), rng.normal(size=(2, 2)), 0.5)
+    doc, x = np.array([0, 0, 0, 1, 2, 2]), rng.normal(size=(6, quality_crf.SIZE))
+    p, moves, total = field.marginals(doc, x)
+    emit, want, pairs = x @ field.weights, np.zeros(6), np.zeros((2, 2))
+    for d in range(3):
+        at = np.flatnonzero(doc == d)
+        weights = {}
+        for code in range(1 << len(at)):
+            y = [code >> i & 1 for i in range(len(at))]
+            weights[tuple(y)] = np.exp(sum(emit[i] * v for i, v in zip(at, y)) + sum(field.moves[a, b] for a, b in zip(y, y[1:])))
+        z = sum(weights.values())
+        for y, w in weights.items():
+            want[at] += np.array(y) * w / z
+            for a, b in zip(y, y[1:]):
+                pairs[a, b] += w / z
+    assert np.allclose(p, want) and np.allclose(moves, pairs)
+
+
+def test_classifier_on_held_out_labels(spark):
+    d = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    field = quality_crf.train(docs, labels)
+    got = quality_crf.score(docs, field).join(labels, "doc_id").where("held_out").toPandas()
+    assert len(got) > 50 and (got.predicted == got.quality).mean() > 0.93
+    assert all((zlib.crc32(str(i).encode()) % 4 == 2) for i in got.doc_id)
+
+
+def test_scores_of_odd_texts(spark, docs, nothing):
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    field = quality_crf.train(docs, labels)
+    got = {r.doc_id: r for r in quality_crf.score(docs, field).collect()}
+    assert all(0 <= r.score <= 1 for r in got.values()) and got[90001].score == got[90002].score == field.share
+    kept = quality_crf.keep_good(docs, field)
+    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {k for k, r in got.items() if r.predicted}
+    assert quality_crf.train(docs, labels.where("false")).share == 0.5
+    assert quality_crf.score(nothing, field).count() == 0
+
+
+# --- 7
+
+
+def test_packing(docs, texts):
+    from tokenizers import Tokenizer
+
+    codec = Tokenizer.from_file(tokenizer_path())
+    codec.encode_special_tokens = True
+    extra = {97001: "a  b   c \n d \n \n e  ", 97002: "I'm <|endoftext|> x  y \t z", 97003: " 　 a  ", 97004: "\x1c  \x1d x  "}
+    both = docs.select("doc_id", "text").unionByName(docs.sparkSession.createDataFrame(list(extra.items()), "doc_id bigint, text string"))
+    by_doc: dict = {}
+    rows = packing.pack(both, tokenizer_path(), with_ids=True).collect()
+    for r in sorted(rows, key=lambda r: (r.doc_id, r.start)):
+        assert r.offset == 0 and len(r.ids) == r.length and r.length & (r.length - 1) == 0 and r.length <= 1024
+        assert r.ids_crc32 == zlib.crc32(np.array(r.ids, "<u4").tobytes())
+        own = by_doc.setdefault(r.doc_id, [])
+        assert r.start == len(own)
+        own += r.ids
+    assert len({r.sequence_id for r in rows}) == len(rows)
+    everything = texts | extra
+    assert by_doc == {k: codec.encode(t, add_special_tokens=False).ids + [0] for k, t in everything.items()}
+    assert packing.pieces(2500) == [1024, 1024, 256, 128, 64, 4] and sum(packing.pieces(1023)) == 1023
+
+
+# --- 8
+
+
+def plain_fingerprint(text):
+    w = re.findall(rb"[^\x20\x09-\x0D]+", bytes(c + 32 if 65 <= c <= 90 else c for c in text.encode()))
+    h = [xxhash.xxh64_intdigest(b" ".join(w[i : i + 4]), 42) for i in range(max(1, len(w) - 3))] if w else []
+    return sum(1 << k for k in range(64) if 2 * sum(x >> k & 1 for x in h) > len(h))
+
+
+@pytest.mark.parametrize("bucket", [4096, 4])
+def test_near_duplicates(docs, texts, bucket, monkeypatch):
+    monkeypatch.setattr(simhash.links, "__defaults__", (4, bucket))
+    prints = {k: plain_fingerprint(t) for k, t in texts.items()}
+    ids = sorted(prints)
+    least = {i: i for i in ids}
+    changed = True
+    while changed:
+        changed = False
+        for i in ids:
+            for j in ids:
+                if (prints[i] ^ prints[j]).bit_count() <= 4 and least[j] < least[i]:
+                    least[i], changed = least[j], True
+    got = {r.doc_id: r for r in simhash.components(docs).collect()}
+    assert {k: r.fp % 2**64 for k, r in got.items()} == prints
+    assert {k: r.component_id for k, r in got.items()} == least
+    if bucket == 4096:
+        out = simhash.keep_one(docs)
+        assert out.columns == docs.columns and sorted(r.doc_id for r in out.collect()) == sorted(set(least.values()))
+
+
+def test_vantage_trees_find_all_pairs():
+    rng = np.random.default_rng(3)
+    points = rng.integers(0, 1 << 63, 400, dtype=np.uint64)
+    points[200:] = points[:200] ^ (np.uint64(1) << rng.integers(0, 63, 200).astype(np.uint64))
+    found = {(int(a), int(b)) for i, j in simhash.VantageTree(points, leaf=4).within(points, 4) for a, b in zip(i, j)}
+    assert found == {(i, j) for i in range(400) for j in range(400) if int(points[i] ^ points[j]).bit_count() <= 4}
+
+
+# --- 9
+
+
+PAGE = """<!DOCTYPE html><html><head><title>t</title><script>var a="<p>no</p>";</script></head><body><header><h2>Site</h2></header><nav><ul><li><a href=x>Home</a><li><a href=y>News</a></ul></nav>
+<div class="cookie-notice">We use cookies on this site and you should agree to them now.</div><article><h1>A &amp; B</h1><p>First   paragraph,<br>with a line &lt;break&gt; and some more words in it.<p>Ti.</p><aside>Read this too, it is
+a related story.</aside><form><input><label>Your name</label></form><p>Last&nbsp;words</article><div id="comments"><p>I like this a lot and say so in many words.</div><footer>(c)</footer></body></html>"""
+
+
+def test_main_text():
+    assert html_extract.main_text(PAGE) == "A & B First paragraph, with a line <break> and some more words in it. Ti. Last words"
+    for odd in ("", "<", "<p", "<!-- open", "<a href='x>y</a>", "&", "</p></p>", "<script>", "text only with a good number of words in it, as it should be"):
+        assert isinstance(html_extract.main_text(odd), str)
+
+
+def test_pages(spark):
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    import html
+
+    whole = {r.page_id: r.html for r in pages.collect()}
+    got = html_extract.extract(pages.unionByName(spark.createDataFrame([(9001, None, None)], pages.schema))).collect()
+    assert len(got) == len(whole) + 1
+    for r in got:
+        assert r.n_chars == len(r.text)
+        if r.page_id == 9001:
+            assert r.text == ""
+            continue
+        inside = re.search(r"<article>(.*?)</article>", whole[r.page_id], re.S)[1]
+        parts = (re.sub(r"\s+", " ", html.unescape(re.sub(r"</?b>", "", x))).strip() for x in re.split(r"</?(?:p|br|h1)>", inside))
+        assert r.text == " ".join(x for x in parts if x)
+
+
+# --- all
+
+
+def test_empty_tables(spark, nothing):
+    bench = spark.read.parquet(f"{SF}/benchmark.parquet")
+    for df in (pii.detect(nothing), pii.sanitise(nothing), quality_rules.judge(nothing), decontaminate.report(nothing, bench), substring_dedup.deduplicate(nothing), suffix_dedup.deduplicate(nothing), packing.pack(nothing, tokenizer_path()), simhash.components(nothing)):
+        assert df.count() == 0
+    pages = spark.read.parquet(f"{SF}/pages.parquet").where("false")
+    assert warc.round_trip(pages).count() == html_extract.extract(pages).count() == 0
+
+
+def test_empty_benchmark(spark, docs):
+    none = spark.read.parquet(f"{SF}/benchmark.parquet").where("false")
+    assert decontaminate.report(docs, none).where("contaminated OR n_hit > 0").count() == 0
+
+
+def test_queries_are_registered():
+    import __spark_entry__ as entry
+
+    assert {f"op{i}" for i in range(1, 11)} == {n.split("_")[0] for n in QUERIES} and set(ORACLE) <= set(QUERIES)
+    assert set(QUERIES) | {"pipeline"} <= set(entry.queries())
