@@ -10,10 +10,11 @@ from strata.model import Corpus
 
 
 def dot_lines(corpus: Corpus) -> DataFrame:
-    """doc, place, line: a digraph with a row of boxes for each tier, the items chained, and the binary relations' arrows."""
+    """doc, place, line: a digraph with a row of boxes for each tier, the items chained, the binary relations' arrows, and an arc from each source
+    to each target of the polyadic ones."""
     parts = []
     docs = corpus.tier_rows().select("doc").distinct()
-    place = lambda *c: F.struct(*(F.lit(x).cast("bigint") if isinstance(x, int) else x.cast("bigint") for x in c))
+    place = lambda *c: F.struct(*((F.lit(x) if isinstance(x, int) else x).cast("bigint") for x in c))
     name = lambda t, i: F.concat(F.lit("n"), t.cast("string"), F.lit("_"), i.cast("string"))
     parts.append(docs.select("doc", place(0, 0, 0).alias("o"), F.lit("digraph strata {").alias("line")))
     for x in corpus.tiers:
@@ -23,7 +24,12 @@ def dot_lines(corpus: Corpus) -> DataFrame:
         parts.append(rows.where("idx > 0").select("doc", place(2, x.t, F.col("idx")).alias("o"), F.concat(F.lit("  "), name(F.lit(x.t), F.col("idx") - 1), F.lit(" -> "), name(F.lit(x.t), F.col("idx")), F.lit(" [color=gray];")).alias("line")))
     for k, r in enumerate(corpus.relations):
         parts.append(r.edges.select("doc", place(3 + k, 0, F.col("ord")).alias("o"), F.concat(F.lit("  "), name(F.col("l.t"), F.col("l.i")), F.lit(" -> "), name(F.col("r.t"), F.col("r.i")), F.lit(f" [label={r.name}];")).alias("line")))
+    for k, r in enumerate(corpus.polyadic):
+        arcs = r.rows.select("doc", "ord", F.posexplode("sources").alias("a", "l"), "targets").select("doc", "ord", "a", "l", F.posexplode("targets").alias("b", "r"))
+        at = F.struct(F.lit(1000 + k).cast("bigint"), F.col("ord").cast("bigint"), (F.col("a") * 1000000 + F.col("b")).cast("bigint"))
+        parts.append(arcs.select("doc", at.alias("o"), F.concat(F.lit("  "), name(F.col("l.t"), F.col("l.i")), F.lit(" -> "), name(F.col("r.t"), F.col("r.i")), F.lit(f" [style=dashed, label={r.name}];")).alias("line")))
     parts.append(docs.select("doc", place(1000000, 0, 0).alias("o"), F.lit("}").alias("line")))
+    parts = [p.select("doc", F.struct(*(F.col(f"o.{c}").alias(f"k{i}") for i, c in enumerate(p.schema["o"].dataType.names))).alias("o"), "line") for p in parts]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

@@ -258,3 +258,27 @@ def test_command_line(spark, tmp_path, capsys):
     (tmp_path / "a.json").write_text('{"version":"5"}')
     assert cli.main(["validate", str(tmp_path / "a.json")]) == 1
     assert "missing key" in capsys.readouterr().err
+
+
+def test_nested_json_round_trip(spark):
+    import json
+
+    from strata.operators import jsonvalue
+
+    cases = {0: '{"b":[1,{"x":null,"a":"q\\"uote"}],"a":true,"c":{}}', 1: "[]", 2: '"just text"', 3: '{"n":-2.5,"m":[[["deep"]]]}'}
+    df = spark.createDataFrame(list(cases.items()), "doc int, j string")
+    tree = jsonvalue.nodes(df, "j")
+    got = [(r.id, r.parent, r.key, r.kind) for r in tree.where("doc = 0").orderBy("id").collect()]
+    assert got == [(0, None, None, "object"), (1, 0, "a", "boolean"), (2, 0, "b", "array"), (3, 2, None, "integer"), (4, 2, None, "object"), (5, 4, "a", "string"), (6, 4, "x", "null"), (7, 0, "c", "object")]
+    back = {r.doc: r.json for r in jsonvalue.text(tree).collect()}
+    assert back == {k: json.dumps(json.loads(v), sort_keys=True, separators=(",", ":")) for k, v in cases.items()}
+
+
+def test_dot_of_polyadic_relations(spark):
+    from strata.model import Corpus, Tier
+    from strata.sources import render
+
+    items = spark.createDataFrame([(0, 0), (0, 1)], "doc int, idx bigint")
+    rows = spark.createDataFrame([(0, 0, [(0, 0)], [(0, 1), (0, 0)])], f"doc int, ord bigint, sources array<{N}>, targets array<{N}>")
+    text = render.whole(render.dot_lines(Corpus((Tier(0, "x", items),), polyadic=(Polyadic("p", rows),)))).first().text
+    assert text.splitlines() == ["digraph strata {", '  n0_0 [shape=box, label="0"];', '  n0_1 [shape=box, label="1"];', "  n0_0 -> n0_1 [color=gray];", "  n0_0 -> n0_1 [style=dashed, label=p];", "  n0_0 -> n0_0 [style=dashed, label=p];", "}"]
