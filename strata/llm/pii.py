@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from strata.llm._stage import cut
 
-CONTEXT, SUPPORT, GENERALISE, REMOVE, TABLE_LOG2 = 60, 3, 0.7, 0.9, 20
+CONTEXT, SUPPORT, GENERALISE, REMOVE, TABLE_LOG2, PART = 60, 3, 0.7, 0.9, 20, 16
 KINDS = ("email", "ip", "card", "phone")
 TERM = r"(?<=\P{L})\p{L}{4,}+(?=\P{L})"
 #: The contract's patterns, made linear: possessive repeats, and starts inside a run excluded where an earlier start would match.
@@ -116,6 +116,17 @@ def _bits(df: DataFrame, column: str, log2: int) -> Column:
     return F.from_json(F.lit(str(table)), "array<bigint>")
 
 
+def _frequencies(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(term, df_term): in how many documents the wanted terms occur; others with the same hash bucket may come along."""
+    log2 = TABLE_LOG2
+    bits = _bits(wanted, "term", log2)
+    bucket = lambda w: F.pmod(F.xxhash64(w), F.lit(1 << log2))
+    near = lambda w: F.getbit(F.element_at(bits, (F.shiftright(bucket(w), 6) + 1).cast("int")), F.pmod(F.xxhash64(w), F.lit(64)).cast("int")) == 1
+    text = F.lower(F.concat(F.lit(" "), F.coalesce("text", F.lit("")), F.lit(" ")))
+    terms = F.array_distinct(F.filter(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), near))
+    return docs.select(F.explode(terms).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df_term"))
+
+
 def disclosing_terms(docs: DataFrame, found: DataFrame | None = None, support: int = SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
     """(value, term, bits, content, action): the terms that disclose a protected value beyond the thresholds."""
     mentions = _mentions(_found(docs) if found is None else found)
@@ -128,13 +139,10 @@ def disclosing_terms(docs: DataFrame, found: DataFrame | None = None, support: i
     ic = F.log2(F.col("total").cast("double") / F.col("df_value"))
     gain = lambda df: F.log2(F.col("n").cast("double") * F.col("total") / (F.col("df_value").cast("double") * F.col(df)))
     pairs = cut(pairs.where((ic >= 1) & (gain("seen") >= generalise * ic)))
-    log2 = TABLE_LOG2
-    bits = _bits(pairs, "term", log2)
-    counted = docs.select(F.coalesce("text", F.lit("")).alias("t"))
-    bucket = lambda w: F.pmod(F.xxhash64(w), F.lit(1 << log2))
-    near = lambda w: F.getbit(F.element_at(bits, (F.shiftright(bucket(w), 6) + 1).cast("int")), F.pmod(F.xxhash64(w), F.lit(64)).cast("int")) == 1
-    terms = F.array_distinct(F.filter(F.regexp_extract_all(F.lower(F.concat(F.lit(" "), "t", F.lit(" "))), F.lit(TERM), F.lit(0)), near))
-    df_term = counted.select(F.explode(terms).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df_term"))
+    # a part of the documents bounds the frequencies from below as well, and excludes common terms before all documents are counted
+    part = _frequencies(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(PART)) == 0), pairs).withColumnRenamed("df_term", "df_part")
+    pairs = cut(pairs.join(part, "term", "left").where(gain("df_part").isNull() | (gain("df_part") >= generalise * ic)).drop("df_part"))
+    df_term = _frequencies(docs, pairs)
     scored = pairs.join(df_term, "term").select("value", "term", gain("df_term").alias("bits"), ic.alias("content")).where(F.col("bits") >= generalise * F.col("content"))
     return scored.withColumn("action", F.when(F.col("bits") >= remove * F.col("content"), "remove").otherwise("generalise"))
 
