@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,6 +25,19 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """The rows as a compressed table in the shared folder, computed once: for results too wide for a checkpoint, which isn't compressed.
+
+    What led to them can go: collecting the driver's garbage lets Spark drop the shuffle files behind them.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/strata-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def pick(df: DataFrame, *columns: str) -> DataFrame:
     """Only the named columns, so that extra columns of an input can't clash with an operator's own."""
     return df.select(*columns)

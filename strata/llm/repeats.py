@@ -15,7 +15,6 @@ Rows are told apart by doc_id and a hash of the text; equal rows are treated ali
 
 from __future__ import annotations
 
-import gc
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -27,9 +26,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strata.llm._arrow import binary, blocks, utf8
-from strata.llm._stage import cut
+from strata.llm._stage import kept
 
-BLOCK = 1 << 21  # bytes of text that are looked at together
+BLOCK = 1 << 19  # bytes of text that are looked at together
 CELLS_LOG2, LEAST_LOG2, DEPTH, PART = 26, 16, 2, 1 << 16
 GROUP = 2000
 MASK = np.uint64((1 << 23) - 1)
@@ -54,9 +53,9 @@ def least(key: np.ndarray, span: int) -> np.ndarray:
 
 
 class Bytes:
-    """Units are bytes."""
+    """Units are bytes. Grams are multiples of 8 bytes: long enough that few of them repeat where no window does."""
 
-    def __init__(self, window: int, gram: int = 16) -> None:
+    def __init__(self, window: int, gram: int = 32) -> None:
         self.window, self.gram = window, gram
 
     def parse(self, off: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -68,7 +67,11 @@ class Bytes:
         if len(data) < self.gram:
             return np.zeros(0, np.uint64)
         v = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(data, 8)).view(np.uint64).ravel()
-        return mix(v[:-8] * MIX[1] ^ mix(v[8:] * MIX[0]))
+        m = len(data) - self.gram + 1
+        h = v[:m] * MIX[1]
+        for k in range(8, self.gram, 8):
+            h = mix(h) ^ v[k : m + k] * MIX[0]
+        return mix(h)
 
 
 class Words:
@@ -245,7 +248,7 @@ OCCURRENCE = "anchor bigint, run binary, doc_id bigint, tkey bigint, start bigin
 
 
 def occurrences(docs: DataFrame, unit: Bytes | Words, bytes_per_run: int) -> DataFrame:
-    """A narrow row for each run whose anchor may occur again."""
+    """A narrow row for each run whose anchor may occur again; ``docs`` is keyed."""
     log2 = size_for(docs, bytes_per_run)
     shared = docs.sparkSession.sparkContext.broadcast(sketch(docs, unit, log2))  # bounded by CELLS_LOG2
 
@@ -259,34 +262,38 @@ def occurrences(docs: DataFrame, unit: Bytes | Words, bytes_per_run: int) -> Dat
                 d = pa.array(doc[keep])
                 yield pa.RecordBatch.from_arrays([pa.array(anchor[keep].view(np.int64)), binary(digest), ids.take(d), keys.take(d), pa.array(start[keep]), pa.array(count[keep].astype(np.int32)), pa.array(lead[keep].astype(np.int32))], ["anchor", "run", "doc_id", "tkey", "start", "n", "lead"])
 
-    return cut(keyed(docs).mapInArrow(find, OCCURRENCE))
+    return kept(docs.mapInArrow(find, OCCURRENCE))
+
+
+NO_ID = -(1 << 63)
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("tkey"), F.coalesce("text", F.lit("")).alias("text"))
+    """doc_id (``NO_ID`` for null), tkey (a hash of the text) and text (empty for null)."""
+    return docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("tkey"), F.coalesce("text", F.lit("")).alias("text"))
 
 
-FULL = "anchor bigint, run binary, n_occ bigint, doc_id bigint, tkey bigint, start bigint, n int, lead int, content binary"
+FULL = "anchor bigint, run binary, n_occ bigint, doc_id bigint, tkey bigint, start bigint, n int, lead int, contents bigint, content binary"
 
 
 def _contents(docs: DataFrame, unit: Bytes | Words, some: DataFrame) -> DataFrame:
     """The runs' contents, read again from the document of their first occurrence."""
-    ranges = some.groupBy("doc_id", "tkey").agg(F.collect_list(F.struct("anchor", "run", "n_occ", "start", "n", "lead")).alias("ranges"))
+    ranges = some.groupBy("doc_id", "tkey").agg(F.collect_list(F.struct("anchor", "run", "n_occ", "start", "n", "lead", "contents")).alias("ranges"))
     passes = thin(some, "doc_id")
-    texts = keyed(docs.where(passes(F.col("doc_id")))).dropDuplicates(["doc_id", "tkey"])
+    texts = docs.where(passes(F.col("doc_id"))).dropDuplicates(["doc_id", "tkey"])
 
     def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches, "text", BLOCK):
             off, data = utf8(batch.column("text"))
             kept, starts, ends, docs_at = unit.parse(off, data)
-            out: list[list] = [[] for _ in range(9)]
+            out: list[list] = [[] for _ in range(10)]
             for i, (doc_id, tkey, rs) in enumerate(zip(batch.column("doc_id").to_pylist(), batch.column("tkey").to_pylist(), batch.column("ranges").to_pylist())):
                 for r in rs:
                     u = int(docs_at[i]) + r["start"]
                     text = kept[starts[u] : ends[u + r["n"] + unit.window - 2]].tobytes()
-                    for column, value in zip(out, (r["anchor"], r["run"], r["n_occ"], doc_id, tkey, r["start"], r["n"], r["lead"], text)):
+                    for column, value in zip(out, (r["anchor"], r["run"], r["n_occ"], doc_id, tkey, r["start"], r["n"], r["lead"], r["contents"], text)):
                         column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()))], ["anchor", "run", "n_occ", "doc_id", "tkey", "start", "n", "lead", "content"])
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary()))], ["anchor", "run", "n_occ", "doc_id", "tkey", "start", "n", "lead", "contents", "content"])
 
     return texts.join(ranges, ["doc_id", "tkey"]).mapInArrow(cut_out, FULL)
 
@@ -323,11 +330,11 @@ def settled(docs: DataFrame, unit: Bytes | Words, found: DataFrame, settle: Call
     """
     first = F.min(F.struct("doc_id", "tkey", "start", "n", "lead"))
     per_run = found.groupBy("anchor", "run").agg(F.count(F.lit(1)).alias("n_occ"), first.alias("f"))
-    per_run = cut(per_run.select("anchor", "run", "n_occ", "f.*"))
+    per_run = kept(per_run.select("anchor", "run", "n_occ", "f.*"))
     per_anchor = per_run.groupBy("anchor").agg(F.count(F.lit(1)).alias("contents"), F.sum("n_occ").alias("total")).where("total > 1")
-    known = per_run.join(per_anchor, "anchor")
+    known = kept(per_run.join(per_anchor, "anchor").drop("total"))
     alone = known.where("contents = 1").select("anchor", "run", "n_occ", "doc_id", "tkey", "start", F.lit(None).cast("array<int>").alias("ks"))
-    full = cut(_contents(docs, unit, known.where("contents > 1")).join(per_anchor.where("contents > 1").select("anchor", "contents"), "anchor"))
+    full = kept(_contents(docs, unit, known.where("contents > 1")))
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[dict] = []
@@ -362,11 +369,25 @@ def removals(found: DataFrame, verdicts: DataFrame, ordered: bool) -> DataFrame:
     joined = found.join(v, ["anchor", "run"])
     is_first = (F.col("doc_id") == F.col("d1")) & (F.col("tkey") == F.col("t1")) & (F.col("start") == F.col("s1"))
     everything = ~is_first if ordered else F.col("n_occ") > 1
-    kept = joined.where(everything | (F.size(F.coalesce("ks", F.array().cast("array<int>"))) > 0))
-    rows = kept.select("doc_id", "tkey", F.struct("start", "n", F.when(~everything, F.col("ks")).alias("ks")).alias("r"))
+    removed = joined.where(everything | (F.size(F.coalesce("ks", F.array().cast("array<int>"))) > 0))
+    rows = removed.select("doc_id", "tkey", F.struct("start", "n", F.when(~everything, F.col("ks")).alias("ks")).alias("r"))
     return rows.groupBy("doc_id", "tkey").agg(F.collect_set("r").alias("ranges"))
 
 
+def copies(docs: DataFrame, window: int) -> DataFrame:
+    """(doc_id, tkey, n): of the keyed texts of ``window`` bytes or more, those that an equal text stands before."""
+    own = docs.select("doc_id", "tkey", F.octet_length("text").cast("bigint").alias("n"), F.unhex(F.md5("text")).alias("h")).where(F.col("n") >= window)
+    first = own.groupBy("h").agg(F.min(F.struct("doc_id", "tkey")).alias("first"), F.count(F.lit(1)).alias("rows")).where("rows > 1").drop("rows")
+    return kept(own.join(first, "h").where("struct(doc_id, tkey) > first").select("doc_id", "tkey", "n").distinct())
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """The keyed texts that aren't in ``gone`` (doc_id, tkey); texts that surely aren't are not moved."""
+    passes = thin(gone, "doc_id")
+    near = docs.where(passes(F.col("doc_id"))).join(gone.select("doc_id", "tkey"), ["doc_id", "tkey"], "left_anti")
+    return docs.where(~passes(F.col("doc_id"))).unionByName(near.select(docs.columns))
+
+
 def starts_of(ranges: list[dict], total: int, window: int) -> np.ndarray:
     """Which of ``total`` units are covered by a removed window."""
     edge = np.zeros(total + 1, np.int64)
@@ -383,13 +404,13 @@ def starts_of(ranges: list[dict], total: int, window: int) -> np.ndarray:
 
 
 def apply(docs: DataFrame, ranges: DataFrame, run: Callable, schema: str) -> DataFrame:
-    """``run`` over all texts with their ranges; texts of documents without any are not moved."""
-    ranges = cut(ranges)
-    gc.collect()
+    """``run`` over all keyed texts with their ranges; texts of documents without any are not moved."""
+    ranges = kept(ranges)
     passes = thin(ranges, "doc_id")
-    texts = keyed(docs)
+    texts = docs
     kind = "array<struct<start:bigint,n:int,ks:array<int>>>"
     near = texts.where(passes(F.col("doc_id"))).join(ranges, ["doc_id", "tkey"], "left")
-    rest = texts.where(~F.coalesce(passes(F.col("doc_id")), F.lit(False))).withColumn("ranges", F.lit(None).cast(kind))
+    rest = texts.where(~passes(F.col("doc_id"))).withColumn("ranges", F.lit(None).cast(kind))
     columns = ["doc_id", "text", "ranges"]
-    return near.select(columns).mapInArrow(run, schema).unionByName(rest.select(columns).mapInArrow(run, schema))
+    out = near.select(columns).mapInArrow(run, schema).unionByName(rest.select(columns).mapInArrow(run, schema))
+    return out.withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID)))

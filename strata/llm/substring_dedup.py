@@ -38,7 +38,7 @@ def _settle(unit: repeats.Words):
 
 def deduplicate(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256, kept (the remaining words joined by one space) of each row."""
-    unit = repeats.Words(window)
+    unit, docs = repeats.Words(window), repeats.keyed(docs)
     found = repeats.occurrences(docs, unit, 60)
     verdicts = repeats.settled(docs, unit, found, _settle(unit), ordered=False)
 

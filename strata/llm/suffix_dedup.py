@@ -1,6 +1,7 @@
 """Repeated byte strings: every byte covered by a string of ``WINDOW`` bytes that also starts earlier is removed.
 
-Earlier means a smaller doc_id, or the same document and a smaller start. Runs of windows are found and grouped as in ``repeats``. Where
+Earlier means a smaller doc_id, or the same document and a smaller start. A text that equals an earlier one is removed whole, and only the
+first of equal texts is looked at further. Runs of windows are found and grouped as in ``repeats``. Where
 different contents share an anchor, they are cut into blocks of ``CHUNK`` bytes counted from the anchor, and a suffix array of the blocks, by
 linear grouping construction (``gsaca``), groups equal stretches of ``FULL_BLOCKS`` blocks, which every window holds; the bytes of
 a window before and after them are compared exactly.
@@ -17,6 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from strata.llm import repeats
 from strata.llm._arrow import blocks
@@ -65,9 +67,13 @@ def _settle(window: int, chunk: int):
 
 def deduplicate(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (remaining bytes) of each row."""
-    unit = repeats.Bytes(window)
-    found = repeats.occurrences(docs, unit, 43)
-    verdicts = repeats.settled(docs, unit, found, _settle(window, CHUNK), ordered=True)
+    unit, docs = repeats.Bytes(window), repeats.keyed(docs)
+    gone = repeats.copies(docs, window)
+    own = repeats.without(docs, gone)
+    found = repeats.occurrences(own, unit, 35)
+    verdicts = repeats.settled(own, unit, found, _settle(window, CHUNK), ordered=True)
+    whole = gone.select("doc_id", "tkey", F.array(F.struct(F.lit(0).cast("bigint").alias("start"), (F.col("n") - window + 1).cast("int").alias("n"), F.lit(None).cast("array<int>").alias("ks"))).alias("ranges"))
+    ranges = repeats.removals(found, verdicts, ordered=True).unionByName(whole)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches, "text", repeats.BLOCK):
@@ -86,4 +92,4 @@ def deduplicate(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(x, t) for x, t in zip(out, kinds))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    return repeats.apply(docs, repeats.removals(found, verdicts, ordered=True), run, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary")
+    return repeats.apply(docs, ranges, run, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary")
