@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strata.llm import decontaminate, packing, pii, quality_crf, simhash
+from strata.llm import decontaminate, near_copies, packing, pii, quality_crf
 from strata.llm._stage import shared_dir
 from strata.llm.queries import tokenizer_path
 
@@ -17,8 +17,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group of near duplicates."""
-    return simhash.keep_one(docs)
+    """The document with the smallest doc_id of each group of near duplicates: five-word shingles, similarity 0.8 or more."""
+    return near_copies.keep_one(docs)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
