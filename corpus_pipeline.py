@@ -33,7 +33,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token sequences of the documents."""
-    return packing.pack(docs, tokenizer_path(), with_ids=True)
+    return packing.pack(docs, tokenizer_path(), with_ids=True, added=True)
 
 
 STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("decontamination", benchmark_decontamination), ("personal_data", personal_data), ("packing", packed)]

@@ -49,6 +49,9 @@ class _Words(dict):
         back = _byte_of_symbol()
         special = {x["content"] for x in model.get("added_tokens", [])}
         ranks = {bytes(back[c] for c in token): i for token, i in model["model"]["vocab"].items() if token not in special}
+        #: Ids of the added tokens by their text, and where they stand: the longest first, as they are written.
+        self.added = {x["content"]: np.array([x["id"]], "<u4").tobytes() for x in model.get("added_tokens", [])}
+        self.literal = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         self.encoding = tiktoken.Encoding("byte-level", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def ids(self, text: str) -> bytes:
@@ -66,8 +69,10 @@ _PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)
 _RUN = re.compile(r"\s\s(?:\s|\Z)")
 
 
-def token_ids(text: str, words: _Words) -> bytes:
-    """The text's ids as little-endian unsigned 32-bit numbers."""
+def token_ids(text: str, words: _Words, added: bool = False) -> bytes:
+    """The text's ids as little-endian unsigned 32-bit numbers; with ``added``, an added token that the text holds literally is one id."""
+    if added and words.literal and len(parts := words.literal.split(text)) > 1:
+        return b"".join(words.added[p] if k % 2 else token_ids(p, words) for k, p in enumerate(parts) if p)
     if _RUN.search(text):
         return words.ids(text)
     first, *rest = text.encode().split(b" ")
@@ -85,8 +90,11 @@ def words_of(path: str) -> _Words:
     return _BY_PATH[path]
 
 
-def pack(docs: DataFrame, tokenizer: str, max_length: int = MAX_LENGTH, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
-    """A row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and ``ids`` if asked for."""
+def pack(docs: DataFrame, tokenizer: str, max_length: int = MAX_LENGTH, end_id: int = END_ID, with_ids: bool = False, added: bool = False) -> DataFrame:
+    """A row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and ``ids`` if asked for.
+
+    ``added``: the vocabulary's added tokens in a text are single ids, as ``tokenizers`` has it by default; else they are spelled out as other text.
+    """
     if max_length & (max_length - 1) or max_length < 1:
         raise ValueError("max_length must be a power of two")
 
@@ -96,7 +104,7 @@ def pack(docs: DataFrame, tokenizer: str, max_length: int = MAX_LENGTH, end_id:
         for batch in blocks(batches, "text", BLOCK):
             doc, start, length, crc, total, parts = [], [], [], [], [], []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                ids = memoryview(token_ids(text or "", words) + end)
+                ids = memoryview(token_ids(text or "", words, added) + end)
                 n, at = len(ids) // 4, 0
                 for k in pieces(n, max_length):
                     doc.append(doc_id)

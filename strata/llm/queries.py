@@ -45,7 +45,7 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(_read(spark, sf_dir, "documents"), tokenizer_path())
+    return packing.pack(_read(spark, sf_dir, "documents"), tokenizer_path(), added=True)
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

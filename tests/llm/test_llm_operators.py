@@ -300,6 +300,27 @@ def test_packing(docs, texts):
     assert packing.pieces(2500) == [1024, 1024, 256, 128, 64, 4] and sum(packing.pieces(1023)) == 1023
 
 
+def test_packing_knows_added_tokens(spark, tmp_path):
+    """The query and the pipeline's stage against tokenizers with its defaults."""
+    from tokenizers import Tokenizer
+
+    import corpus_pipeline
+    from strata.llm.queries import op7_packing
+
+    texts = ["stop <|endoftext|> go", "<|endoftext|>", "a<|endoftext|><|endoftext|>  b", "<|endoftext|", "x  <|endoftext|>\n y", "plain", ""]
+    codec = Tokenizer.from_file(tokenizer_path())
+    want = {k: codec.encode(t, add_special_tokens=False).ids + [0] for k, t in enumerate(texts)}
+    assert want[0] == [11338, 220, 50256, 467, 0]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got: dict = {}
+    for r in sorted(corpus_pipeline.packed(spark, docs, "").collect(), key=lambda r: (r.doc_id, r.start)):
+        got.setdefault(r.doc_id, []).extend(r.ids)
+    assert got == want
+    crc = {(r.doc_id, r.start): (r.ids_crc32, r.doc_tokens) for r in op7_packing(spark, str(tmp_path)).collect()}
+    assert all(crc[k, a] == (zlib.crc32(np.array(want[k][a : a + n], "<u4").tobytes()), len(want[k])) for k in want for a, n in zip(np.cumsum([0, *packing.pieces(len(want[k]))]).tolist(), packing.pieces(len(want[k]))))
+
+
 # --- 8
 
 
