@@ -80,17 +80,17 @@ def sel_item(spark, d):
 
 
 @query(f"WITH {TL} SELECT doc, 2 AS kind, 0 AS t, idx AS i FROM tl WHERE event_id % 7 = 0")
-def sel_item_durable(spark, d):
+def sel_item_durable(spark, d, which="event_id % 7 = 0"):
     corpus = C.timeline(spark, d)
-    ids = corpus.tier("event").rows.where("event_id % 7 = 0").select("doc", F.col("event_id").cast("string").alias("durable_id"))
+    ids = corpus.tier("event").rows.where(which).select("doc", F.col("event_id").cast("string").alias("durable_id"))
     return _flat(select.durable_item(corpus, ids))
 
 
 @query(f"WITH {TL} SELECT doc, 3 AS kind, 0 AS t, idx + 1 AS i FROM tl WHERE event_id % 7 = 0 UNION SELECT doc, 3, 0, count(*) FROM tl GROUP BY doc")
-def sel_boundary_anchor(spark, d):
+def sel_boundary_anchor(spark, d, which="event_id % 7 = 0"):
     corpus = C.timeline(spark, d)
     rows = corpus.tier("event").rows
-    by_item = rows.where("event_id % 7 = 0").select("doc", F.col("event_id").cast("string").alias("durable_id"), F.lit("event").alias("tier"), F.lit("after").alias("side"))
+    by_item = rows.where(which).select("doc", F.col("event_id").cast("string").alias("durable_id"), F.lit("event").alias("tier"), F.lit("after").alias("side"))
     by_tier = rows.select("doc").distinct().select("doc", F.lit(None).cast("string").alias("durable_id"), F.lit("event").alias("tier"), F.lit("after").alias("side"))
     return _flat(select.anchored_boundary(corpus, by_item.unionByName(by_tier)))
 
@@ -674,7 +674,7 @@ def act_certificate(spark, d):
 # --- paths
 
 
-def _texts(spark, d):
+def _texts(spark, d, which):
     rows = _events(spark, d)
     forms = F.array(
         F.concat(F.lit("/items/structural/event/"), F.col("idx")),
@@ -685,7 +685,7 @@ def _texts(spark, d):
         F.concat(F.lit("/items/structural/none/"), F.col("idx")),
         F.concat(F.lit("/items/structural/event/"), F.col("idx") + 1000000),
     )
-    return rows.where("idx % 10 = 1").select("doc", "idx", F.posexplode(forms).alias("form", "path"))
+    return rows.where(which).select("doc", "idx", F.posexplode(forms).alias("form", "path"))
 
 
 @query(f"""WITH {TL}, b AS (SELECT doc, idx, event_id FROM tl WHERE idx % 10 = 1)
@@ -696,8 +696,8 @@ def _texts(spark, d):
   UNION ALL SELECT doc, '/items/structural/event/0' || idx, NULL, NULL, 'bad index' FROM b
   UNION ALL SELECT doc, '/items/structural/none/' || idx, NULL, NULL, 'unknown tier' FROM b
   UNION ALL SELECT doc, '/items/structural/event/' || (idx + 1000000), NULL, NULL, 'out of range' FROM b""")
-def path_resolve(spark, d):
-    return paths.resolved(_texts(spark, d).select("doc", "path"), C.timeline(spark, d)).select("doc", "path", "kind", "i", "code")
+def path_resolve(spark, d, which="idx % 10 = 1"):
+    return paths.resolved(_texts(spark, d, which).select("doc", "path"), C.timeline(spark, d)).select("doc", "path", "kind", "i", "code")
 
 
 # --- the edit log
@@ -847,3 +847,21 @@ def _whole(name: str) -> Callable[[SparkSession, str], DataFrame]:
 
 for _name, _sql in WHOLE.items():
     QUERIES[f"{_name}_whole"], ORACLE[f"{_name}_whole"] = _whole(_name), _sql
+
+
+# --- every event: the lookups above without their subsets of ids
+
+
+@query(f"WITH {TL} SELECT doc, 2 AS kind, 0 AS t, idx AS i FROM tl")
+def sel_item_durable_whole(spark, d):
+    return sel_item_durable(spark, d, "true")
+
+
+@query(f"WITH {TL} SELECT doc, 3 AS kind, 0 AS t, idx + 1 AS i FROM tl")
+def sel_boundary_anchor_whole(spark, d):
+    return sel_boundary_anchor(spark, d, "true")
+
+
+@query(ORACLE["path_resolve"].replace(" WHERE idx % 10 = 1", ""))
+def path_resolve_whole(spark, d):
+    return path_resolve(spark, d, "true")
