@@ -32,42 +32,63 @@ def suffix_array(symbols: list[int]) -> list[int]:
     previous = [-1] * n
     done = bytearray(n)
     front: list[int] = [0] * len(members)
+    size = [len(m) for m in members]  # of each group, without those that moved on
     end, g = n, len(members) - 1
     while g >= 0:
-        own = sorted(s for s in members[g] if group[s] == g)
+        own = members[g]
+        if size[g] < len(own):
+            own = [s for s in own if group[s] == g]
         members[g] = []
-        end -= len(own)
-        front[g] = end
-        count: dict[int, int] = {}
-        for s in own:
+        if len(own) == 1:
+            s = own[0]
+            end -= 1
+            front[g] = end
             p = s - 1
             while p >= 0 and done[p]:
                 p = previous[p]
-            if p >= 0 and group[p] == g:
-                p = previous[p]
             previous[s] = p
-            if p >= 0:
-                count[p] = count.get(p, 0) + 1
-        for s in own:
             done[s] = 1
-        made: dict[tuple[int, int], int] = {}
-        if len(count) == 1:
-            order = count.items()
+            if p >= 0 and size[group[p]] > 1:  # one that is alone in its group stays there
+                grown = ((p, 1),)
+            else:
+                g = below[g]
+                continue
         else:
-            order = sorted(count.items(), key=lambda x: -x[1])
-        for p, k in order:  # the larger count first: each new group goes right above the old one, below those made before it
+            own.sort()
+            end -= len(own)
+            front[g] = end
+            count: dict[int, int] = {}
+            for s in own:
+                p = s - 1
+                while p >= 0 and done[p]:
+                    p = previous[p]
+                if p >= 0 and group[p] == g:
+                    p = previous[p]
+                previous[s] = p
+                if p >= 0:
+                    count[p] = count.get(p, 0) + 1
+            for s in own:
+                done[s] = 1
+            grown = count.items() if len(count) == 1 else sorted(count.items(), key=lambda x: -x[1])
+        made: dict[tuple[int, int], int] = {}
+        for p, k in grown:  # the larger count first: each new group goes right above the old one, below those made before it
             old = group[p]
             new = made.get((old, k))
             if new is None:
+                if size[old] == 1:
+                    continue
                 new = made[(old, k)] = len(members)
                 members.append([])
                 front.append(0)
+                size.append(0)
                 up = above[old]
                 above.append(up)
                 below.append(old)
                 above[old] = new
                 below[up] = new  # groups that grow lie below g, so there is one above
             group[p] = new
+            size[old] -= 1
+            size[new] += 1
             members[new].append(p)
         g = below[g]
     order_of: list[int] = [-1] * n

@@ -39,8 +39,7 @@ def _settle(unit: repeats.Words):
 def deduplicate(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256, kept (the remaining words joined by one space) of each row."""
     unit, docs = repeats.Words(window), repeats.keyed(docs)
-    found = repeats.occurrences(docs, unit, 60)
-    verdicts = repeats.settled(docs, unit, found, _settle(unit), ordered=False)
+    ranges = repeats.repeated(docs, unit, 60, _settle(unit), ordered=False)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches, "text", repeats.BLOCK):
@@ -55,4 +54,4 @@ def deduplicate(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 kept.append(left)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(sha, pa.string()), pa.array(kept, pa.binary()).cast(pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
 
-    return repeats.apply(docs, repeats.removals(found, verdicts, ordered=False), run, "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string, kept string")
+    return repeats.apply(docs, ranges, run, "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string, kept string")

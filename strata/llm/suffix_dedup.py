@@ -24,43 +24,68 @@ from strata.llm import repeats
 from strata.llm._arrow import blocks
 from strata.llm.gsaca import common_prefixes, suffix_array
 
-WINDOW, CHUNK = 100, 25
+WINDOW, CHUNK, PAIRS = 100, 33, 8
+
+
+def _shared(a: bytes, b: bytes) -> int:
+    """How many bytes two strings begin with in common."""
+    n = min(len(a), len(b))
+    return (8 * n - (int.from_bytes(a[:n]) ^ int.from_bytes(b[:n])).bit_length()) // 8
 
 
 def _settle(window: int, chunk: int):
     full = (window - chunk + 1) // chunk  # whole blocks that any window holds
+    width = full * chunk
 
     def settle(held: list[dict]) -> list[list[int]]:
         symbols: list[int] = []
         names: dict[bytes, int] = {}
-        place = []  # of each content: its blocks' offset in the bytes and first symbol
-        for i, r in enumerate(held):
+        starts, offsets = [], []  # of each content: its first symbol, and where that begins in the bytes
+        for r in held:
             text, o = r["content"], r["lead"] % chunk
-            place.append((o, len(symbols)))
-            symbols.extend(names.setdefault(text[b : b + chunk], len(names)) for b in range(o, len(text) - chunk + 1, chunk))
-            symbols.append(-1 - i)
+            offsets.append(o)
+            starts.append(len(symbols))
+            symbols.extend([names.setdefault(text[b : b + chunk], len(names)) for b in range(o, len(text) - chunk + 1, chunk)])
+            symbols.append(-1)  # a stretch that is asked for never reaches a content's end
         order = suffix_array(symbols)
         shared = common_prefixes(symbols, order, full)
-        group, g = [0] * len(symbols), 0
-        for r, s in enumerate(order):
-            if shared[r] < full:
+        group, g, lone = [0] * len(symbols), 0, [True]
+        for s, h in zip(order, shared):
+            if h < full:
                 g += 1
+                lone.append(True)
+            else:
+                lone[g] = False
             group[s] = g
-        best: dict[tuple, tuple] = {}
-        keys = []
-        for r, (o, first) in zip(held, place):
-            text, own = r["content"], []
-            where = (r["doc_id"], r["tkey"])
-            for k in range(r["n"]):
-                j = 0 if k <= o else -(-(k - o) // chunk)
-                b = o + j * chunk
-                key = (r["anchor"], group[first + j], b - k, text[k:b], text[b + full * chunk : k + window])
-                at = (*where, r["start"] + k)
-                own.append((key, at))
-                if key not in best or at < best[key]:
-                    best[key] = at
-            keys.append(own)
-        return [[k for k, (key, at) in enumerate(own) if at > best[key]] for own in keys]
+        # contents of one anchor that share a stretch at the same distance from it, in the order of their places
+        classes: dict[tuple, list[int]] = {}
+        for i, (r, o, first) in enumerate(zip(held, offsets, starts)):
+            for j in range(-(-(r["n"] - 1 - o) // chunk) + 1 if r["n"] > o else 1):
+                if not lone[group[first + j]]:
+                    classes.setdefault((r["anchor"], group[first + j], o + j * chunk - r["lead"]), []).append(i)
+        found: list[set[int]] = [set() for _ in held]
+        for (_, _, at), members in classes.items():
+            if len(members) < 2:
+                continue
+            members.sort(key=lambda i: (held[i]["doc_id"], held[i]["tkey"], held[i]["start"] + at + held[i]["lead"]))
+            tails: list[tuple[bytes, bytes]] = []  # what stands before the stretch, backwards, and after it
+            least: dict[tuple, tuple] = {}
+            for i in members:
+                r = held[i]
+                text, b = r["content"], at + r["lead"]
+                low, high = max(0, b - chunk + 1), min(b, r["n"] - 1)  # windows whose first whole block this is
+                if len(members) <= PAIRS:
+                    mine = (text[low:b][::-1], text[b + width : high + window])
+                    for before, after in tails:
+                        k0, k1 = b - _shared(mine[0], before), b + width + _shared(mine[1], after) - window
+                        found[i].update(range(max(low, k0), min(high, k1) + 1))
+                    tails.append(mine)
+                    continue
+                for k in range(low, high + 1):
+                    key = (b - k, text[k:b], text[b + width : k + window])
+                    if least.setdefault(key, (r["doc_id"], r["tkey"], r["start"] + k)) < (r["doc_id"], r["tkey"], r["start"] + k):
+                        found[i].add(k)
+        return [sorted(ks) for ks in found]
 
     return settle
 
@@ -70,10 +95,9 @@ def deduplicate(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     unit, docs = repeats.Bytes(window), repeats.keyed(docs)
     gone = repeats.copies(docs, window)
     own = repeats.without(docs, gone)
-    found = repeats.occurrences(own, unit, 35)
-    verdicts = repeats.settled(own, unit, found, _settle(window, CHUNK), ordered=True)
+    found = repeats.repeated(own, unit, 35, _settle(window, CHUNK), ordered=True)
     whole = gone.select("doc_id", "tkey", F.array(F.struct(F.lit(0).cast("bigint").alias("start"), (F.col("n") - window + 1).cast("int").alias("n"), F.lit(None).cast("array<int>").alias("ks"))).alias("ranges"))
-    ranges = repeats.removals(found, verdicts, ordered=True).unionByName(whole)
+    ranges = found.unionByName(whole)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches, "text", repeats.BLOCK):
