@@ -1,11 +1,14 @@
 """Main text of web pages: flat text blocks, their words and link density and their neighbours', and a small decision tree.
 
 A page is cut into blocks at block-level tags; a block has text, words, words inside links, and what encloses it. A CART tree, trained
-here on the labelled table ``TABLE`` below, decides for each block from its own and its two neighbours' numbers whether it is main
-text. Scripts, styles, comments, heads and form controls never become blocks.
+here on the small labelled pages ``PAGES`` below, decides for each block from its own and its two neighbours' numbers whether it is main
+text. Scripts, styles, comments, heads and form controls never become blocks. Names of classes are one number among the others: only whole
+names count (``no-sidebar`` isn't a sidebar), and an element that holds an article, a main element, a first heading or nine tenths of
+the page's words isn't marked by its name.
 
-Defined results: null html is empty; a page without blocks gives empty text; broken or unclosed markup is read to its end;
-repeated rows are treated alike; extra columns are ignored; the time is linear in the length of the page.
+Defined results: null html is an empty page; a page without blocks gives empty text; broken or unclosed markup is read to its end, and a
+quote that is never closed is an ordinary character; very long pages are read whole, in time linear in their length; ties and repeated rows: a
+row's result depends on its html alone, so equal rows give equal rows; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,69 +27,69 @@ BOILERPLATE = frozenset("nav header footer aside form menu dialog".split())
 MAIN = frozenset("article main".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-HINT = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|nav\w*|menu|breadcrumbs?|sidebar|side|footer|header|masthead|cookies?|consent|notice|newsletter|popup|modal|share|social|related|comments?|replies|disqus|login|search|copyright|legal|subscribe|widget|pagination|pager)(?:[\s_-]|$)", re.I)
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(?:[!?][^>]*)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
-NAMED = re.compile(r"(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
+# Words that name what isn't main text, and words that may stand beside them in a class, id or role.
+NAMES = frozenset("ad ads advert adverts advertisement advertising banner sponsor sponsored promo nav navbar navigation menu breadcrumb breadcrumbs sidebar footer header masthead cookie cookies consent notice newsletter popup modal share sharing social related comment comments replies disqus login signup search copyright legal subscribe widget widgets pagination pager".split())
+BESIDE = frozenset("site page main global top bottom left right primary secondary post entry article user reader bar box area list section wrapper wrap container links link inner content block item form policy message text body group thread posts articles".split())
+PART = re.compile(r"[-_]")
+NAMED = re.compile(r"(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
+HEAD = re.compile(r"/?([a-zA-Z][^\s/>]*)")
+ATTRIBUTE = re.compile(r"[\s/]*+([^\s/>=][^\s/>=]*+)?+(?:\s*+(=)\s*+)?+")
+UNQUOTED = re.compile(r"[^\s>]*+")
 SPACE = re.compile(r"\s+")
+RAW = {name: re.compile(rf"</{name}\s*>", re.I) for name in ("script", "style", "textarea", "title")}
 
-# The labelled table: words, link density, enclosed by an article or main element, by boilerplate, heading;
-# then words and link density of the block before and of the one after; label 1 for main text. -1: no such block.
-TABLE = [
-    # articles with markup
-    (8, 0.0, 1, 0, 1, 12, 0.0, 80, 0.0, 1),
-    (80, 0.0, 1, 0, 0, 8, 0.0, 60, 0.0, 1),
-    (2, 0.0, 1, 0, 0, 60, 0.0, 40, 0.0, 1),
-    (1, 0.0, 1, 0, 0, 3, 0.0, 5, 0.0, 1),
-    (40, 0.1, 1, 0, 0, 2, 0.0, 9, 0.0, 1),
-    (12, 1.0, 1, 0, 0, 40, 0.0, 30, 0.0, 1),
-    (9, 0.0, 1, 0, 0, 40, 0.1, -1, 0.0, 1),
-    (30, 0.0, 1, 0, 0, 9, 0.0, 14, 0.0, 1),
-    (6, 0.0, 1, 0, 0, 10, 0.0, 15, 0.0, 1),
-    (200, 0.02, 1, 0, 0, 5, 0.0, 9, 0.0, 1),
-    (30, 0.0, 1, 0, 0, 40, 0.0, 12, 1.0, 1),
-    (4, 0.0, 1, 0, 0, 5, 1.0, 3, 1.0, 1),
-    (9, 0.0, 1, 0, 1, 1, 1.0, 20, 0.0, 1),
-    (5, 0.0, 1, 0, 0, 70, 0.0, -1, 0.0, 1),
-    (2, 0.0, 1, 0, 0, 9, 0.0, -1, 0.0, 1),
-    (1, 1.0, 1, 0, 0, 3, 0.0, -1, 0.0, 1),
-    (3, 0.5, 1, 0, 0, 2, 1.0, 2, 1.0, 1),
-    (1, 0.0, 1, 0, 1, -1, 0.0, 3, 0.0, 1),
-    (6, 0.0, 1, 0, 0, 3, 1.0, 2, 1.0, 1),
-    (20, 0.9, 1, 0, 0, 4, 0.0, -1, 0.0, 1),
-    # boilerplate, inside and outside of articles
-    (1, 1.0, 0, 1, 0, -1, 0.0, 1, 1.0, 0),
-    (1, 1.0, 0, 1, 0, 1, 1.0, 1, 1.0, 0),
-    (12, 0.0, 0, 1, 0, 1, 1.0, 8, 0.0, 0),
-    (25, 0.0, 0, 1, 0, 1, 1.0, 10, 0.0, 0),
-    (14, 0.0, 0, 1, 0, 9, 0.0, -1, 0.0, 0),
-    (60, 0.0, 0, 1, 0, 40, 0.0, -1, 0.0, 0),
-    (40, 0.0, 1, 1, 0, 60, 0.0, 30, 0.0, 0),
-    (5, 0.0, 1, 1, 0, 60, 0.0, 30, 0.0, 0),
-    (4, 1.0, 1, 1, 0, 90, 0.0, 4, 1.0, 0),
-    (7, 0.0, 0, 1, 1, -1, 0.0, 1, 1.0, 0),
+MAIN_ROLE, TAG_ROLE, LINK_ROLE, HEADING_ROLE, SKIP_ROLE = 1, 2, 4, 8, 16
+
+
+def _said(n: int) -> str:
+    return " ".join(["word"] * n)
+
+
+def _p(*words: int) -> str:
+    return "".join(f"<p>{_said(n)}</p>" for n in words)
+
+
+def _links(*words: int) -> str:
+    return "<ul>" + "".join(f"<li><a href=x>{_said(n)}</a></li>" for n in words) + "</ul>"
+
+
+#: The labelled pages: fragments in order, each main text (1) or not (0).
+PAGES: list[list[tuple[int, str]]] = [
+    # an article among structural elements
+    [(0, f"<nav>{_links(1, 1, 1, 1)}</nav>"), (0, f"<div class=ad>{_said(5)}</div>"), (1, f"<article><h1>{_said(9)}</h1>{_p(70, 12, 2, 90)}</article>"), (0, f"<footer>{_said(12)}</footer>")],
+    [
+        (0, f"<header><h2>{_said(2)}</h2></header><nav>{_links(1, 1)}</nav><div class=cookie-notice>{_said(12)}</div>"),
+        (1, f"<article><h1>{_said(3)}</h1>{_p(14, 1)}"),
+        (0, f"<aside>{_said(9)}</aside><form><label>{_said(2)}</label></form>"),
+        (1, f"{_p(2)}</article>"),
+        (0, f"<div id=comments>{_p(30, 11)}</div><footer>{_said(3)}</footer>"),
+    ],
+    # short paragraphs, lists and links belong to an article
+    [(0, f"<nav>{_links(1, 2, 1)}</nav>"), (1, f"<article><h1>{_said(1)}</h1>{_p(1, 3, 1, 5)}{_links(2, 3, 1)}<p><a href=x>{_said(20)}</a></p>{_p(4)}</article>"), (0, f"<footer>{_links(2, 1)}</footer>")],
+    [(1, f"<article><h1>{_said(6)}</h1>{_p(40)}"), (0, f"<div class=share>{_links(1, 1)}</div><div class=newsletter>{_p(20)}</div>"), (1, f"{_p(30, 200)}</article>"), (0, f"<footer>{_p(60)}</footer>")],
+    # notices, adverts and remarks outside of the article, with and without names
+    [(0, f"<div>{_p(40)}</div>"), (1, f"<article><h1>{_said(7)}</h1>{_p(60, 80, 30)}</article>"), (0, f"<div>{_p(25, 6)}</div><div class=comments>{_p(50, 45)}</div>")],
+    [(0, f"<div>{_said(2)}</div>"), (1, f"<main><h1>{_said(7)}</h1>{_p(45, 110)}</main>"), (0, f"<aside>{_p(40)}</aside><section>{_p(8, 30)}</section>")],
     # pages without structural elements
-    (60, 0.0, 0, 0, 0, 70, 0.0, 55, 0.0, 1),
-    (45, 0.05, 0, 0, 0, 8, 0.0, 3, 0.0, 1),
-    (3, 0.0, 0, 0, 0, 45, 0.0, 60, 0.0, 1),
-    (20, 0.0, 0, 0, 0, 50, 0.0, 40, 0.0, 1),
-    (8, 0.0, 0, 0, 1, 2, 0.5, 60, 0.0, 1),
-    (150, 0.1, 0, 0, 0, -1, 0.0, -1, 0.0, 1),
-    (18, 0.0, 0, 0, 0, 8, 0.0, 40, 0.0, 1),
-    (40, 0.0, 0, 0, 0, 50, 0.0, 3, 1.0, 1),
-    (7, 0.0, 0, 0, 1, 1, 1.0, 45, 0.0, 1),
-    (25, 0.0, 0, 0, 0, 1, 1.0, 45, 0.0, 1),
-    (3, 1.0, 0, 0, 0, 2, 1.0, 3, 1.0, 0),
-    (4, 0.8, 0, 0, 0, -1, 0.0, 2, 1.0, 0),
-    (10, 0.7, 0, 0, 0, 12, 0.9, 11, 0.8, 0),
-    (5, 0.0, 0, 0, 0, 2, 1.0, 3, 1.0, 0),
-    (6, 0.0, 0, 0, 0, 3, 1.0, -1, 0.0, 0),
-    (30, 0.6, 0, 0, 0, 20, 0.7, 25, 0.9, 0),
-    (4, 0.0, 0, 0, 1, 3, 1.0, 2, 1.0, 0),
-    (2, 0.0, 0, 0, 0, -1, 0.0, 2, 1.0, 0),
+    [(0, f"<div>{_links(1, 2, 2)}</div>"), (1, f"<h1>{_said(7)}</h1>{_p(60, 45, 3, 55)}"), (0, f"<div>{_links(3, 2, 3)}</div><div>{_said(6)}</div>")],
+    [(0, f"<table><tr><td><a href=x>{_said(2)}</a><td><a href=x>{_said(3)}</a></table>"), (1, f"<div>{_p(110)}</div>"), (0, f"<div><a href=x>{_said(9)}</a> {_said(2)}</div><div>{_links(1)}</div>")],
+    [(0, f"<div>{_links(2, 1)}</div>"), (1, f"{_p(25, 45, 20, 50, 8, 70)}"), (0, f"<div>{_links(4, 3)}</div><div>{_said(5)}</div>")],
+    [(1, f"{_said(50)}<br>{_said(30)}<br>{_said(12)}<br>{_said(40)}")],
+    [(1, _p(150))],
+    [(1, f"<div class='site footer'>{_p(110)}</div>")],
+    # ... but with names
+    [
+        (0, f"<div class=header>{_said(4)}</div><div class=menu>{_links(1, 1, 1)}</div>"),
+        (1, f"<div class=content><h1>{_said(5)}</h1>{_p(45, 25)}<h2>{_said(4)}</h2>{_p(50, 90)}</div>"),
+        (0, f"<div class=sidebar>{_p(20)}{_links(4, 5)}</div><div class=comments><h3>{_said(2)}</h3>{_p(40, 12, 60)}</div><div class=footer>{_p(10)}</div>"),
+    ],
+    [(0, f"<div class=cookie-consent>{_p(30)}</div>"), (1, f"<div>{_p(60, 8, 90)}</div>"), (0, f"<div class=related>{_p(18, 22)}</div><div class=legal>{_p(35)}</div>")],
+    # teasers in articles, the text elsewhere
+    [(0, f"<article><a href=x>{_said(6)}</a></article><article><a href=x>{_said(8)}</a></article><div>{_links(3)}</div>"), (1, f"<div><h1>{_said(8)}</h1>{_p(70, 80, 60)}</div>"), (0, f"<div>{_links(3, 4)}</div>")],
 ]
 
 
-def grow(rows: list[tuple], depth: int = 6):
+def grow(rows: list[tuple], depth: int = 8):
     """A CART tree by Gini impurity: nested (feature, threshold, low, high), leaves 0 or 1."""
     ones = sum(r[-1] for r in rows)
     if not depth or ones in (0, len(rows)):
@@ -106,94 +109,196 @@ def grow(rows: list[tuple], depth: int = 6):
     return (f, cut, grow(low, depth - 1), grow(high, depth - 1))
 
 
+def labelled() -> list[tuple]:
+    """The training table: each block of the labelled pages with its features and its label."""
+    rows = []
+    for page in PAGES:
+        done, labels = 0, []
+        for k, (label, _) in enumerate(page):
+            n = len(blocks_of("".join(x for _, x in page[: k + 1])))
+            labels += [label] * (n - done)
+            done = n
+        rows += [(*x, label) for x, label in zip(features(blocks_of("".join(x for _, x in page))), labels, strict=True)]
+    return rows
+
+
 @lru_cache(maxsize=1)
 def tree():
-    return grow(TABLE)
+    return grow(labelled())
 
 
-def decide(node, features: tuple) -> int:
+def decide(node, numbers: tuple) -> int:
     while not isinstance(node, int):
         f, cut, low, high = node
-        node = low if features[f] <= cut else high
+        node = low if numbers[f] <= cut else high
     return node
 
 
+@lru_cache(maxsize=4096)
+def names_boilerplate(name: str) -> bool:
+    """Whether a whole name of a class, id or role says that its element isn't main text."""
+    parts = PART.split(name.lower())
+    return any(p in NAMES for p in parts) and all(p in NAMES or p in BESIDE for p in parts)
+
+
+class _Tags:
+    """Reads tags one after the other; each character is looked at a bounded number of times."""
+
+    def __init__(self, page: str) -> None:
+        self.page = page
+        self.none: set[str] = set()  # quotes that don't occur any more
+
+    def end(self, at: int) -> int:
+        """Where the tag that has its attributes at ``at`` ends, behind its bracket."""
+        page, n = self.page, len(self.page)
+        while at < n:
+            if page[at] == ">":
+                return at + 1
+            m = ATTRIBUTE.match(page, at)
+            at = m.end()
+            if not m[2]:
+                at += m.end() == m.start()  # a stray character
+                continue
+            quote = page[at : at + 1]
+            if quote in ("'", '"') and quote not in self.none:
+                close = page.find(quote, at + 1)
+                if close >= 0:
+                    at = close + 1
+                    continue
+                self.none.add(quote)
+            at = UNQUOTED.match(page, at).end()
+        return n
+
+
 def blocks_of(page: str) -> list[tuple]:
-    """(text, words, link words, in main, in boilerplate, heading) of each flat text block, in page order."""
+    """(text, words, link words, in main, in boilerplate, named, heading) of each flat text block, in page order.
+
+    ``in main`` is -1 outside of the main elements of a page that has some with at least a quarter of its words.
+    """
     out: list[tuple] = []
     parts: list[str] = []
     linked = 0
-    open_tags: list[tuple[str, int]] = []  # name and what it counts as: 1 main, 2 boilerplate, 4 link, 8 heading, 16 skipped
-    counts = {1: 0, 2: 0, 4: 0, 8: 0, 16: 0}
+    open_tags: list[tuple[str, int, int]] = []  # name, role, and which named element it is or -1
+    counts = dict.fromkeys((MAIN_ROLE, TAG_ROLE, LINK_ROLE, HEADING_ROLE, SKIP_ROLE), 0)
     depth: dict[str, int] = {}
+    named = [-1]  # open elements with a name, the innermost last
+    outer: list[int] = []  # the named element around each named element, or -1
+    main_within: list[bool] = []  # whether it holds an article, a main element or a first heading
 
     def flush() -> None:
         nonlocal linked
         if parts:
             text = SPACE.sub(" ", "".join(parts)).strip()
             if text:
-                out.append((text, text.count(" ") + 1, linked, int(counts[1] > 0), int(counts[2] > 0), int(counts[8] > 0)))
+                words = text.count(" ") + 1
+                out.append((text, words, min(linked, words), counts[MAIN_ROLE] > 0, counts[TAG_ROLE] > 0, named[-1], counts[HEADING_ROLE] > 0))
             parts.clear()
         linked = 0
 
     def said(raw: str) -> None:
         nonlocal linked
-        if raw and not counts[16]:
+        if raw and not counts[SKIP_ROLE]:
             text = html.unescape(raw) if "&" in raw else raw
             parts.append(text)
-            if counts[4]:
+            if counts[LINK_ROLE]:
                 linked += len(text.split())
 
-    at, n = 0, len(page)
-    while at < n:
-        m = TAG.search(page, at)
-        if m is None:
-            said(page[at:])
+    tags, at, begin, n = _Tags(page), 0, 0, len(page)
+    while True:
+        at = page.find("<", at)
+        if at < 0:
+            said(page[begin:])
             break
-        said(page[at : m.start()])
-        at = m.end()
-        closing, name, rest = m.group(1, 2, 3) if m[2] else m.group(4, 5, 6)  # the latter where quotes don't match
-        name = (name or "").lower()
-        if not name:
+        follows = page[at + 1 : at + 2]
+        if follows in ("!", "?"):
+            said(page[begin:at])
+            if page.startswith("<!--", at):
+                end = page.find("-->", at + 4)
+                begin = at = end + 3 if end >= 0 else n
+            else:
+                end = page.find(">", at)
+                begin = at = end + 1 if end >= 0 else n
+            continue
+        head = HEAD.match(page, at + 1)
+        if head is None:
+            at += 1
             continue
+        said(page[begin:at])
+        name, rest = head[1].lower(), head.end()
+        begin = at = tags.end(rest)
         if name not in INLINE:
             flush()
-        if closing:
+        if follows == "/":
             if depth.get(name):
                 while open_tags:
-                    top, role = open_tags.pop()
+                    top, role, mark = open_tags.pop()
                     depth[top] -= 1
                     if role:
                         counts[role] -= 1
+                    if mark >= 0:
+                        named.pop()
                     if top == name:
                         break
             continue
-        if name in VOID or rest.endswith("/"):
+        if name in VOID or page.endswith("/>", rest, at):
             continue
-        if name in ("script", "style", "textarea", "title"):
-            end = re.compile(rf"</{name}\s*>", re.I).search(page, at)
-            at = end.end() if end else n
+        if name in RAW:
+            end = RAW[name].search(page, at)
+            begin = at = end.end() if end else n
             continue
-        role = 16 if name in SKIPPED else 1 if name in MAIN else 2 if name in BOILERPLATE else 4 if name == "a" else 8 if len(name) == 2 and name[0] == "h" and name[1].isdigit() else 0
-        if role in (0, 1) and rest and any(HINT.search(x.strip("\"'")) for x in NAMED.findall(rest)):
-            role = 2
-        open_tags.append((name, role))
+        role = 0
+        if name in SKIPPED:
+            role = SKIP_ROLE
+        elif name in MAIN:
+            role = MAIN_ROLE
+        elif name in BOILERPLATE:
+            role = 0 if name == "header" and counts[MAIN_ROLE] else TAG_ROLE
+        elif name == "a":
+            role = LINK_ROLE
+        elif len(name) == 2 and name[0] == "h" and name[1].isdigit():
+            role = HEADING_ROLE
+        if role == MAIN_ROLE or name == "h1":
+            if named[-1] >= 0:
+                main_within[named[-1]] = True
+        mark = -1
+        if at - rest > 4 and role in (0, HEADING_ROLE) and name not in ("html", "body"):
+            if any(names_boilerplate(x) for _, *values in NAMED.findall(page, rest, at) for value in values for x in value.split()):
+                mark = len(outer)
+                outer.append(named[-1])
+                main_within.append(False)
+                named.append(mark)
+        open_tags.append((name, role, mark))
         depth[name] = depth.get(name, 0) + 1
         if role:
             counts[role] += 1
     flush()
-    return out
+    total = sum(b[1] for b in out)
+    held = [0] * len(outer)  # words of each named element
+    for b in out:
+        if b[5] >= 0:
+            held[b[5]] += b[1]
+    for k in range(len(outer) - 1, -1, -1):  # an element comes after the one around it
+        if outer[k] >= 0:
+            held[outer[k]] += held[k]
+            main_within[outer[k]] |= main_within[k]
+    marked: list[bool] = []
+    for k, around in enumerate(outer):
+        marked.append((not main_within[k] and 10 * held[k] < 9 * total) or (around >= 0 and marked[around]))
+    in_main = sum(b[1] for b in out if b[3])
+    within = in_main > 0 and 4 * in_main >= total
+    return [(text, words, links, 1 if inside else -int(within), int(tag), int(k >= 0 and marked[k]), int(heading)) for text, words, links, inside, tag, k, heading in out]
+
+
+def features(found: list[tuple]) -> list[tuple]:
+    """Each block's numbers: words, link density, in main, in boilerplate, named, heading; words and link density before and after it."""
+    near = [(-1, 0.0), *((b[1], b[2] / b[1]) for b in found), (-1, 0.0)]
+    return [(*near[i + 1], *b[3:], *near[i], *near[i + 2]) for i, b in enumerate(found)]
 
 
 def main_text(page: str) -> str:
     """The blocks that the tree takes for main text, joined by one space."""
-    found, chosen, node = blocks_of(page), [], tree()
-    near = [(b[1], b[2] / b[1]) for b in found]
-    for i, (text, words, _, inside, boilerplate, heading) in enumerate(found):
-        before, after = near[i - 1] if i else (-1, 0.0), near[i + 1] if i + 1 < len(near) else (-1, 0.0)
-        if decide(node, (words, near[i][1], inside, boilerplate, heading, *before, *after)):
-            chosen.append(text)
-    return " ".join(chosen)
+    found, node = blocks_of(page), tree()
+    return " ".join(b[0] for b, x in zip(found, features(found)) if decide(node, x))
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ import base64
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -192,14 +193,56 @@ def test_suffix_arrays():
                 assert h == min(5, next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b))))
 
 
-def test_sketch_never_underestimates(spark):
-    text = " ".join(f"word{i}" for i in range(200))
-    docs = spark.createDataFrame([(1, text), (2, "other start " + text), (3, "nothing here at all")], "doc_id bigint, text string").repartition(3)
-    unit = repeats.Words(35)
-    bits = repeats.sketch(docs, unit, 16)
-    data = np.frombuffer(text.encode(), np.uint8)
-    for found in repeats.runs(unit, np.array([0, len(data)]), data):
-        assert repeats.maybe_repeated(bits, 16, found[4]).all() or found[1][0] == 0  # all but windows at the very start
+@pytest.mark.parametrize("copies, blocks_log2", [(1, 0), (8, 3)])
+def test_sketch_loses_nothing_and_filters_at_any_size(copies, blocks_log2):
+    """The blocks grow with the input: the share of single runs that pass stays low, and none that repeats is lost."""
+    rng, unit, part_log2 = random.Random(5), repeats.Words(35), 10
+    shared = " ".join(f"s{rng.random()}" for _ in range(300))
+    held = []
+    for k in range(20 * copies):
+        text = " ".join(f"w{rng.random()}" for _ in range(200)) + (" " + shared if k % (10 * copies) == 3 else "")
+        data = np.frombuffer(text.encode(), np.uint8)
+        for doc, start, count, lead, anchor, said, s, e, f in repeats.runs(unit, np.array([0, len(data)]), data):
+            out = np.zeros(len(doc), repeats.ENTRY)
+            out["run"] = [xxhash.xxh3_64_intdigest(said[a:b].tobytes()) for a, b in zip(s[f], e[f + count + 33])]
+            for name, value in (("anchor", anchor), ("doc", k), ("start", start), ("n", count), ("lead", lead), ("count", 1)):
+                out[name] = value
+            held.append(out)
+    rows = [r for half in (held[::2], held[1::2]) for r in repeats.part(half, blocks_log2, part_log2, False, 0)]
+    seen = passed = 0
+    gone = []
+    for b in range(1 << blocks_log2):
+        block = repeats.Block(part_log2, False, 1 << 20)
+        for _, kind, data in sorted((r for r in rows if r[0] == b), key=lambda r: r[1]):
+            if kind == repeats.CELLS:
+                block.add_cells(data)
+            elif kind == repeats.RUNS:
+                list(block.add_runs(data))
+            else:
+                gone.append(np.frombuffer(data, repeats.ENTRY)["anchor"].tolist())
+        seen, passed = seen + block.seen, passed + block.passed
+        gone += [x.column("doc_id").to_pylist() for x in block.end() if x.column("kind").to_pylist()[:1] == [repeats.REMOVED]]
+    every = np.concatenate(held)
+    anchors, n = np.unique(every["anchor"], return_counts=True)
+    assert sum(map(len, gone)) >= int((n > 1).sum()) > 10
+    single = int((n == 1).sum())
+    assert passed - int(n[n > 1].sum()) < 0.1 * single
+
+
+@pytest.mark.parametrize("ordered", [False, True])
+def test_blocks_too_large_for_a_task_give_the_same(docs, ordered, monkeypatch):
+    operator = (substring_dedup, suffix_dedup)[ordered]
+    want = sorted(map(str, operator.deduplicate(docs).drop("kept").collect()))
+    monkeypatch.setattr(repeats.occurrences, "__defaults__", (9, 20))  # tiny blocks, and tiny memory for each
+    assert sorted(map(str, operator.deduplicate(docs).drop("kept").collect())) == want
+
+
+@pytest.mark.parametrize("operator", [substring_dedup, suffix_dedup])
+def test_many_small_parts_give_the_same(docs, operator, monkeypatch):
+    want = sorted(map(str, operator.deduplicate(docs).drop("kept").collect()))
+    monkeypatch.setattr(repeats, "PART_BYTES", 1)
+    monkeypatch.setattr(repeats, "BLOCK", 1)
+    assert sorted(map(str, operator.deduplicate(docs).drop("kept").collect())) == want
 
 
 # --- 5
@@ -373,6 +416,35 @@ def test_main_text():
         assert isinstance(html_extract.main_text(odd), str)
 
 
+WRAPPED = ['<body class="no-sidebar">{}</body>', '<div class="main-content with-sidebar">{}</div>', '<article class="post has-comments">{}</article>', '<div class="site footer-widgets-3">{}</div>', '<div class="sidebar">{}</div>']
+
+
+@pytest.mark.parametrize("wrapped", WRAPPED)
+def test_names_of_classes_do_not_drop_an_article(wrapped):
+    text = "Sentence number words go here. " * 22
+    page = f"<html><ul><li><a href=x>Home</a><li><a href=y>News</a></ul>{wrapped.format(f'<p>{text}</p>')}</html>"
+    assert html_extract.main_text(page) == text.strip()
+    if "sidebar\">" not in wrapped or "-" in wrapped:  # a plain sidebar keeps its mark beside other text
+        remarks = page.replace("</html>", f"<div class=comments><p>{text[:93]}</p></div></html>")
+        assert html_extract.main_text(remarks) == text.strip()
+
+
+@pytest.mark.parametrize("unit", ["<a<b '<script>/", "<a href='x\" ", '<p class="a', "< ", "<!x", "<a b='", "<div class=ad><p>x ", "&amp;<b>", "</p>"])
+def test_hostile_pages_take_linear_time(unit):
+    took = []
+    for size in (1 << 16, 1 << 18):
+        began = time.perf_counter()
+        html_extract.main_text(unit * (size // len(unit)))
+        took.append(time.perf_counter() - began)
+    assert took[1] < 10 * took[0] + 0.2  # four times the text
+
+
+def test_tree_fits_its_labelled_pages():
+    rows = html_extract.labelled()
+    assert len(rows) > 100 and all(html_extract.decide(html_extract.tree(), r[:-1]) == r[-1] for r in rows)
+    assert html_extract.tree()[0] in (0, 1, 6, 7, 8, 9)  # the first question is about words or link density
+
+
 def test_pages(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     import html
