@@ -326,8 +326,7 @@ def test_packing(docs, texts):
     from tokenizers import Tokenizer
 
     codec = Tokenizer.from_file(tokenizer_path())
-    codec.encode_special_tokens = True
-    extra = {97001: "a  b   c \n d \n \n e  ", 97002: "I'm <|endoftext|> x  y \t z", 97003: " 　 a  ", 97004: "\x1c  \x1d x  "}
+    extra = {97001: "a  b   c \n d \n \n e  ", 97002: "I'm <|endoftext|> x  y \t z", 97003: " 　 a  ", 97004: "\x1c  \x1d x  ", 97005: "a.  <|endoftext|>   b\n\n\n c\u00a0 d \u3000e é  ü   x", 97006: "word " * 50000 + "x" * 70000}
     both = docs.select("doc_id", "text").unionByName(docs.sparkSession.createDataFrame(list(extra.items()), "doc_id bigint, text string"))
     by_doc: dict = {}
     rows = packing.pack(both, tokenizer_path(), with_ids=True).collect()
@@ -340,9 +339,20 @@ def test_packing(docs, texts):
     assert len({r.sequence_id for r in rows}) == len(rows)
     everything = texts | extra
     assert by_doc == {k: codec.encode(t, add_special_tokens=False).ids + [0] for k, t in everything.items()}
+    assert all(1 << r.bucket == r.length for r in rows)
     assert packing.pieces(2500) == [1024, 1024, 256, 128, 64, 4] and sum(packing.pieces(1023)) == 1023
 
 
+def test_packing_forgets_within_its_bound(docs, tmp_path, monkeypatch):
+    monkeypatch.setattr(packing, "REMEMBERED", 3000)
+    words, spaced = packing._Words(tokenizer_path()), packing._Words(tokenizer_path(), " ")
+    text = " ".join(f"w{k}" for k in range(300)) + " " + "y" * 1000
+    assert packing.token_ids(text, words, spaced) == words.ids(text) and len(spaced) < 20 and not any(len(k) > 200 for k in spaced)
+    packing.write_buckets(packing.pack(docs.limit(50), tokenizer_path()), f"{tmp_path}/buckets")
+    back = docs.sparkSession.read.parquet(f"{tmp_path}/buckets")
+    assert back.where("length != shiftleft(1, bucket)").count() == 0 and back.count() > 50
+
+
 def test_packing_knows_added_tokens(spark, tmp_path):
     """The query and the pipeline's stage against tokenizers with its defaults."""
     from tokenizers import Tokenizer
