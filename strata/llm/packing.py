@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 
 from strata.llm._arrow import blocks
 
-MAX_LENGTH, END_ID, REMEMBERED, LONG, BLOCK = 1024, 0, 1 << 27, 200, 1 << 22
+MAX_LENGTH, END_ID, REMEMBERED, LONG, BLOCK = 1024, 0, 1 << 28, 200, 1 << 22
 SCHEMA = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint, bucket int"
 _BY_PATH: dict[str, tuple["_Words", "_Words"]] = {}
 
