@@ -3,15 +3,19 @@
 Texts are lower-cased (A-Z) and cut into words. The fingerprint of a window of ``WINDOW`` words is the least hash of the
 ``GRAM``-word grams in it, so that equal windows have equal fingerprints: every shared span of ``WINDOW`` words or more is found.
 
-1. Benchmark: each item's windows (an item with fewer words is one window), with fingerprints. A bit table of fixed size of
-   the fingerprints' hash buckets goes into the plan as a literal; it only thins out.
-2. Documents: one pass makes each text's fingerprints; those in the bit table stay, with the words around them, and are joined with
-   the benchmark's distinct fingerprints, which bring no item along (a fingerprint of many items multiplies nothing).
-3. Extension: hits grow to the windows around them, which are compared with the benchmark's windows by a 256-bit digest; equal
+1. Benchmark: each item's windows (an item with fewer words is one window), with fingerprints. A bit table of their hash buckets goes
+   into the plan as a literal; it only thins out.
+2. Documents: one pass makes each text's fingerprints. Neighbouring windows with the same least gram are one *stretch* and give one fingerprint;
+   stretches in the bit table stay, with their words, and are joined with the benchmark's distinct fingerprints, which bring no item
+   along (a fingerprint of many items multiplies nothing).
+3. Extension: a hit grows to all windows around its gram, which are compared with the benchmark's windows by a 256-bit digest; equal
    windows give hit words, and the items by window, once per document and window.
 
-Defined results: null text has no words; words are counted in every row of ``docs``; doc_ids are expected to be unique (rows that
-share one share their hits); empty tables give no hits; extra columns are ignored.
+Rows are told apart by doc_id and a hash of the text, and frequent fingerprints and passages are spread by a salt.
+
+Defined results: null text has no words; rows with a null doc_id, and rows that share one, are judged each by its own text; equal rows (ties)
+have equal results; very long texts are read whole, in time linear in their length; empty tables give no hits; extra columns are
+ignored by ``report`` and kept by ``clean``.
 """
 
 from __future__ import annotations
@@ -19,12 +23,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strata.llm._stage import cut
+from strata.llm._stage import bit_table, cut, row_key, salted
 
 WINDOW, GRAM, MIN_SHARE = 13, 5, 20
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-TABLE_LOG2 = 20
+STRETCH = 16  # windows in a stretch at most
 
 
 def words(column: str) -> Column:
@@ -54,10 +58,6 @@ def _fingerprinted(df: DataFrame, window: int) -> DataFrame:
     return out.withColumn("__f", _fingerprints("__h", window)).drop("__h", "__g")
 
 
-def _digest(array: Column) -> Column:
-    return F.sha2(F.array_join(array, " "), 256)
-
-
 def item_windows(benchmark: DataFrame) -> DataFrame:
     """(item_id, size, f, digest): each distinct window of each item, with its fingerprint."""
     base = benchmark.select("item_id", words("text").alias("__w")).withColumn("__n", F.least(F.size("__w"), F.lit(WINDOW))).where("__n > 0")
@@ -74,44 +74,37 @@ def item_windows(benchmark: DataFrame) -> DataFrame:
     return out.distinct()
 
 
-def _table(windows: DataFrame, size: int) -> Column:
-    """Literal bit table of the fingerprints of one window size: 2**TABLE_LOG2 bits whatever the benchmark's size."""
-    slot = F.pmod(F.col("f"), F.lit(1 << TABLE_LOG2))
-    rows = windows.where(F.col("size") == size).select(F.shiftright(slot, 6).cast("int").alias("w"), F.expr(f"shiftleft(1L, int(pmod(f, {1 << TABLE_LOG2}) & 63))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b"))
-    table = [0] * (1 << (TABLE_LOG2 - 6))
-    for r in rows.collect():  # at most 2**(TABLE_LOG2 - 6) rows
-        table[r.w] = r.b
-    return F.from_json(F.lit(str(table)), "array<bigint>")
-
-
 def hits(docs: DataFrame, windows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, n_words) of every row, and (doc_id, start, size, digest) of every window of the benchmark in a document."""
-    sizes = sorted(r["size"] for r in windows.select("size").distinct().collect())
-    tables = {size: _table(windows, size) for size in sizes}
-    out = docs.select("doc_id", words("text").alias("__w"))
+    """(doc_id, __id, __key, n_words) of every row, and (__id, __key, start, size, digest) of every window of the benchmark in a document."""
+    sizes = sorted(r["size"] for r in windows.select("size").distinct().collect())  # at most WINDOW sizes
+    prints = cut(windows.select("size", "f").distinct())
+    out = docs.select("doc_id", *row_key(), words("text").alias("__w"))
     found = []
     for size in sizes:
-        out = _fingerprinted(out, size).withColumn("__table", tables[size])
-        kept = F.expr(
-            f"""filter(transform(__f, (f, i) -> named_struct('f', f, 'i', i)),
-                x -> getbit(get(__table, int(shiftright(pmod(x.f, {1 << TABLE_LOG2}), 6))), int(pmod(x.f, {1 << TABLE_LOG2}) & 63)) = 1)"""
-        )
-        out = out.withColumn(f"__c{size}", kept).drop("__f", "__table")
-        found.append(F.expr(f"transform(__c{size}, x -> named_struct('size', {size}, 'f', x.f, 'start', x.i, 'window', slice(__w, x.i + 1, {size})))"))
-    none = F.expr("cast(array() AS array<struct<size:int,f:bigint,start:int,window:array<string>>>)")
+        passes = bit_table(prints.where(F.col("size") == size), "f")
+        out = _fingerprinted(out, size)
+        begins = F.filter(F.transform("__f", lambda f, i: F.when((i % STRETCH != 0) & f.eqNullSafe(F.get("__f", i - 1)), -1).otherwise(i)), lambda i: i >= 0)
+        out = out.withColumn("__b", begins)
+        stretch = F.transform("__b", lambda i, k: F.struct(F.get("__f", i).alias("f"), i.alias("a"), F.coalesce(F.get("__b", k + 1), F.size("__f")).alias("z")))
+        out = out.withColumn(f"__c{size}", F.filter(stretch, lambda x: passes(x.f))).drop("__f", "__b")
+        found.append(F.expr(f"transform(__c{size}, x -> named_struct('size', {size}, 'f', x.f, 'start', x.a, 'n', x.z - x.a, 'said', slice(__w, x.a + 1, x.z - x.a + {size - 1})))"))
+    none = F.expr("cast(array() AS array<struct<size:int,f:bigint,start:int,n:int,said:array<string>>>)")
     all_found = F.concat(none, *found) if found else none
-    once = cut(out.select("doc_id", F.size("__w").cast("long").alias("n_words"), all_found.alias("__found")))
-    near = once.select("doc_id", F.inline("__found"))
-    prints = windows.select("size", "f").distinct()
-    hit = near.join(prints, ["size", "f"], "left_semi").withColumn("digest", _digest(F.col("window"))).drop("window", "f")
+    once = cut(out.select("doc_id", "__id", "__key", F.size("__w").cast("long").alias("n_words"), all_found.alias("__found")))
+    near = once.where(F.size("__found") > 0).select("__id", "__key", F.inline("__found"))
+    hit = salted(near, prints, ["size", "f"], "left_semi")
+    around = hit.select("__id", "__key", "start", "size", "said", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("k"))
+    digest = F.sha2(F.array_join(F.slice("said", F.col("k") + 1, F.col("size")), " "), 256)
+    each = around.select("__id", "__key", (F.col("start") + F.col("k")).alias("start"), "size", digest.alias("digest"))
     exact = windows.select("size", "digest").distinct()
-    return once.select("doc_id", "n_words"), cut(hit.join(exact, ["size", "digest"], "left_semi").select("doc_id", "start", "size", "digest").distinct())
+    return once.select("doc_id", "__id", "__key", "n_words"), cut(salted(each, exact, ["size", "digest"], "left_semi").distinct())
 
 
-def report(docs: DataFrame, benchmark: DataFrame, min_share: int = MIN_SHARE) -> DataFrame:
-    """Per row of ``docs``: doc_id, n_words, n_hit, n_items, items_sha256, contaminated (a hit word in ``min_share`` words or fewer)."""
+def _judged(docs: DataFrame, benchmark: DataFrame, min_share: int) -> DataFrame:
+    """The rows of ``report`` with their keys."""
     windows = cut(item_windows(benchmark))
     counted, found = hits(docs, windows)
+    key = ["__id", "__key"]
     spans = F.array_sort(F.collect_set(F.struct("start", (F.col("start") + F.col("size")).alias("end"))))
     covered = F.aggregate(
         "spans",
@@ -119,13 +112,14 @@ def report(docs: DataFrame, benchmark: DataFrame, min_share: int = MIN_SHARE) ->
         lambda a, x: F.struct((a.n + F.greatest(F.lit(0), x.end - F.greatest(a.to, x.start))).alias("n"), F.greatest(a.to, x.end).alias("to")),
         lambda a: a.n,
     )
-    hit = found.groupBy("doc_id").agg(spans.alias("spans")).select("doc_id", covered.cast("long").alias("n_hit"))
-    pairs = found.select("doc_id", "size", "digest").distinct().join(windows.select("size", "digest", "item_id").distinct(), ["size", "digest"]).select("doc_id", "item_id").distinct()
-    items = pairs.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.col("item_id").cast("string"))).alias("items"))
-    out = counted.join(hit, "doc_id", "left").join(items, "doc_id", "left")
+    hit = found.groupBy(*key).agg(spans.alias("spans")).select(*key, covered.cast("long").alias("n_hit"))
+    pairs = salted(found.select(*key, "size", "digest").distinct(), windows.select("size", "digest", "item_id").distinct(), ["size", "digest"]).select(*key, "item_id").distinct()
+    items = pairs.groupBy(*key).agg(F.array_sort(F.collect_list(F.col("item_id").cast("string"))).alias("items"))
+    out = counted.join(hit.join(items, key), key, "left")
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
     return out.select(
         "doc_id",
+        *key,
         "n_words",
         n_hit.alias("n_hit"),
         F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"),
@@ -134,7 +128,12 @@ def report(docs: DataFrame, benchmark: DataFrame, min_share: int = MIN_SHARE) ->
     )
 
 
+def report(docs: DataFrame, benchmark: DataFrame, min_share: int = MIN_SHARE) -> DataFrame:
+    """Per row of ``docs``: doc_id, n_words, n_hit, n_items, items_sha256, contaminated (a hit word in ``min_share`` words or fewer)."""
+    return _judged(docs, benchmark, min_share).drop("__id", "__key")
+
+
 def clean(docs: DataFrame, benchmark: DataFrame, min_share: int = MIN_SHARE) -> DataFrame:
     """The documents that are not contaminated, unchanged."""
-    bad = report(docs, benchmark, min_share).where("contaminated").select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(docs.columns)
+    bad = _judged(docs, benchmark, min_share).where("contaminated").select("__id", "__key").distinct()
+    return docs.select("*", *row_key()).join(bad, ["__id", "__key"], "left_anti").select(docs.columns)

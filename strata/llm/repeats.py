@@ -24,15 +24,15 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strata.llm._arrow import binary, blocks, utf8
-from strata.llm._stage import kept
+from strata.llm._stage import NO_ID, SALT, bit_table, kept
 
 BLOCK = 1 << 19  # bytes of text that are looked at together
 PART_BYTES, PART_LOG2, DEPTH, ROW = 1 << 24, 18, 2, 90  # text of a part, cells of a block's row, rows, entries packed in a row
-HELD, GROUP, SALT, THIN_LOG2 = 1 << 20, 2000, 16, 23
+HELD, GROUP = 1 << 20, 2000
 MASK = np.uint64((1 << 23) - 1)
 MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xBF58476D1CE4E5B9))
 
@@ -156,7 +156,6 @@ ENTRY = np.dtype([("anchor", "<u8"), ("run", "<u8"), ("doc", "<i8"), ("key", "<i
 PLACE = ("doc", "key", "start")
 CELLS, RUNS, GONE = 0, 1, 2
 PACKED = "block bigint, kind int, data binary"
-NO_ID = -(1 << 63)
 
 
 def cells(anchor: np.ndarray, part_log2: int) -> list[np.ndarray]:
@@ -396,7 +395,7 @@ MASK_ROW = "doc_id bigint, tkey bigint, start bigint, n int, ks array<int>"
 def _contents(docs: DataFrame, unit: Bytes | Words, some: DataFrame) -> DataFrame:
     """The runs' contents, read again from the document of their first occurrence."""
     ranges = some.groupBy("doc_id", "tkey").agg(F.collect_list(F.struct("anchor", "run", "n_occ", "start", "n", "lead", "contents")).alias("ranges"))
-    passes = thin(some.select("doc_id").distinct(), "doc_id")
+    passes = bit_table(some.select("doc_id").distinct(), "doc_id")
     texts = docs.where(passes(F.col("doc_id"))).dropDuplicates(["doc_id", "tkey"])
 
     def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -488,22 +487,6 @@ def repeated(docs: DataFrame, unit: Bytes | Words, bytes_per_run: int, settle: C
     return every.groupBy("doc_id", "tkey").agg(F.collect_set(F.struct("start", "n", "ks")).alias("ranges"))
 
 
-def thin(keys: DataFrame, column: str) -> Callable[[Column], Column]:
-    """A filter that every value of ``keys`` passes and few others: a literal bit table of 16 bits a key.
-
-    At most 2**``THIN_LOG2`` bits (1 MB): beyond some million keys more texts pass it and are moved, once, by the join that follows; results stay the same.
-    """
-    log2 = int(min(THIN_LOG2, max(12, np.ceil(np.log2(16 * keys.count() + 1)))))
-    spread = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << log2))
-    slot = spread(F.col(column))
-    rows = keys.select(F.shiftright(slot, 6).cast("int").alias("w"), F.expr(f"shiftleft(1L, int(pmod(xxhash64({column}), {1 << log2}) & 63))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b"))
-    table = [0] * (1 << (log2 - 6))
-    for r in rows.collect():  # at most 2**(log2 - 6) rows
-        table[r.w] = r.b
-    literal = F.from_json(F.lit(str(table)), "array<bigint>")
-    return lambda c: F.getbit(F.get(literal, F.shiftright(spread(c), 6).cast("int")), spread(c).bitwiseAND(F.lit(63)).cast("int")) == 1
-
-
 def copies(docs: DataFrame, window: int) -> DataFrame:
     """(doc_id, tkey, n): of the keyed texts of ``window`` bytes or more, those that an equal text stands before.
 
@@ -519,7 +502,7 @@ def copies(docs: DataFrame, window: int) -> DataFrame:
 
 def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """The keyed texts that aren't in ``gone`` (doc_id, tkey); texts that surely aren't are not moved."""
-    passes = thin(gone, "doc_id")
+    passes = bit_table(gone, "doc_id")
     near = docs.where(passes(F.col("doc_id"))).join(gone.select("doc_id", "tkey"), ["doc_id", "tkey"], "left_anti")
     return docs.where(~passes(F.col("doc_id"))).unionByName(near.select(docs.columns))
 
@@ -542,7 +525,7 @@ def starts_of(ranges: list[dict], total: int, window: int) -> np.ndarray:
 def apply(docs: DataFrame, ranges: DataFrame, run: Callable, schema: str) -> DataFrame:
     """``run`` over all keyed texts with their ranges; texts of documents without any are not moved."""
     ranges = kept(ranges)
-    passes = thin(ranges, "doc_id")
+    passes = bit_table(ranges, "doc_id")
     texts = docs
     kind = "array<struct<start:bigint,n:int,ks:array<int>>>"
     near = texts.where(passes(F.col("doc_id"))).join(ranges, ["doc_id", "tkey"], "left")

@@ -139,6 +139,16 @@ def test_contamination(spark, docs, texts):
     assert out.columns == docs.columns and {r.doc_id for r in out.collect()} == set(texts) - bad
 
 
+def test_contamination_without_or_with_shared_ids(spark):
+    item = " ".join(f"item{k}" for k in range(20))
+    items = spark.createDataFrame([(1, item)], "item_id bigint, text string")
+    rows = [(None, item), (None, "clean text"), (5, item), (5, "also clean"), (5, item), (6, "w " * 30000 + item)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    got = sorted((str(r.doc_id), r.n_words, r.n_hit, r.contaminated) for r in decontaminate.report(docs, items).collect())
+    assert got == [("5", 2, 0, False), ("5", 20, 20, True), ("5", 20, 20, True), ("6", 30020, 20, False), ("None", 2, 0, False), ("None", 20, 20, True)]
+    assert sorted(r.text[:10] for r in decontaminate.clean(docs, items).collect()) == ["also clean", "clean text", "w w w w w "]
+
+
 # --- 4 and 10
 
 
