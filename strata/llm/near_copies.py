@@ -3,11 +3,13 @@
 * Shingles are those of ``simhash`` with five words: lower-cased (A-Z only), a shorter text is one shingle. Texts with equal sets are one *point*.
 * Candidates share one of ``BANDS`` keys, each made of ``ROWS`` least hashes. A pair of similarity s shares none with probability
   ``(1 - s**ROWS)**BANDS``: 0.0002 at 0.8, 4e-8 at 0.9. That is all that can be missed; what shares a key is compared exactly, on whole sets.
+* SimHash fingerprints of the same shingles propose groups as well: what its vantage-point trees link within 4 bits shares a key beside the ``BANDS``.
 * In a bucket of one key a leader is compared with all points left. Those within the distance 0.2 are linked to it and go; since Jaccard
   distance is a metric, only points up to 0.4 from the leader can be linked to one that went, and these are compared with each of them. So
   a large group of near copies takes one comparison for each, and the links connect all that is similar in the bucket.
 
-Defined results: null and empty texts have the empty set and are alike; rows with a null doc_id are never kept; extra columns are kept.
+Defined results: null and empty texts have the empty set and are alike; very long texts are read whole; what stays of a group, with null, shared or
+repeated doc_ids, is as in ``simhash``; an empty table gives an empty result; extra columns are kept.
 """
 
 from __future__ import annotations
@@ -20,9 +22,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strata.llm import simhash
 from strata.llm._arrow import blocks
-from strata.llm._stage import cut
-from strata.llm.simhash import BLOCK, SEED, connected
+from strata.llm._stage import cut, row_key
+from strata.llm.simhash import BLOCK, SEED
 
 WIDTH, SIMILAR, BANDS, ROWS = 5, 0.8, 16, 4
 _RANDOM = np.random.default_rng(SEED)
@@ -52,17 +55,25 @@ def keys(own: np.ndarray) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(row.tobytes(), band) for band, row in enumerate(least.reshape(BANDS, ROWS))], np.uint64).view(np.int64)
 
 
+PRINT = "doc_id bigint, __id bigint, __key bigint, point string, "
+
+
 def _prints(docs: DataFrame, whole: bool) -> DataFrame:
-    """(doc_id, point, keys), or with the sets (doc_id, point, own); the point is a digest of the set."""
+    """(doc_id, __id, __key, point, fp, keys), or with the sets (..., point, own); the point is a digest of the set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches, "text", BLOCK):
-            sets = [shingles(t or "") for t in batch.column("text").to_pylist()]
-            points = [xxhash.xxh3_128_hexdigest(s.tobytes()) for s in sets]
-            rest = pa.array([s.tobytes() for s in sets], pa.binary()) if whole else pa.array([keys(s) for s in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(points), rest], ["doc_id", "point", "own" if whole else "keys"])
+            texts = batch.column("text").to_pylist()
+            sets = [shingles(t or "") for t in texts]
+            points = pa.array([xxhash.xxh3_128_hexdigest(s.tobytes()) for s in sets])
+            ids = [batch.column(c) for c in ("doc_id", "__id", "__key")]
+            if whole:
+                yield pa.RecordBatch.from_arrays([*ids, points, pa.array([s.tobytes() for s in sets], pa.binary())], ["doc_id", "__id", "__key", "point", "own"])
+            else:
+                prints = np.array([simhash.of_hashes(s) for s in sets], np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([*ids, points, pa.array(prints), pa.array([keys(s) for s in sets], pa.list_(pa.int64()))], ["doc_id", "__id", "__key", "point", "fp", "keys"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, point string, " + ("own binary" if whole else "keys array<bigint>"))
+    return docs.select("doc_id", "text", *row_key()).mapInArrow(run, PRINT + ("own binary" if whole else "fp bigint, keys array<bigint>"))
 
 
 def similar(one: np.ndarray, sizes: np.ndarray, starts: np.ndarray, flat: np.ndarray) -> np.ndarray:
@@ -119,21 +130,22 @@ def _links(rows: DataFrame) -> DataFrame:
 
 
 def components(docs: DataFrame) -> DataFrame:
-    """doc_id, point, component_id (the smallest doc_id reachable) of each row."""
+    """doc_id, __id, __key, point, component_id (the smallest doc_id reachable) of each row."""
     prints = cut(_prints(docs, False))
-    points = cut(prints.groupBy("point").agg(F.min("doc_id").alias("label"), F.first("keys").alias("keys")).where("label IS NOT NULL"))
-    banded = points.where(F.col("point") != xxhash.xxh3_128_hexdigest(b"")).select("point", "label", F.posexplode("keys").alias("band", "key"))
+    some = prints.groupBy("point").agg(F.min(F.struct("__id", "__key")).alias("at"), F.first("keys").alias("keys"), F.first("fp").alias("fp"))
+    points = cut(some.where(F.col("point") != xxhash.xxh3_128_hexdigest(b"")).select("point", "at", "keys", "fp"))
+    groups = simhash.links(cut(points.select("fp").distinct()))
+    close = simhash.connected(groups, points.select(F.col("fp").alias("node"), F.col("fp").alias("label")).distinct())
+    near = points.join(close.select(F.col("node").alias("fp"), F.col("label").alias("group")), "fp", "left").select("point", "at", F.lit(BANDS).alias("band"), F.coalesce("group", "fp").alias("key"))
+    banded = points.select("point", "at", F.posexplode("keys").alias("band", "key")).unionByName(near)
     shared = banded.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "key")
     rows = cut(banded.join(shared, ["band", "key"]))
-    wanted = rows.select(F.col("label").alias("doc_id")).distinct()
-    sets = _prints(docs.join(wanted, "doc_id", "left_semi"), True).select("point", "own").dropDuplicates(["point"])
+    wanted = rows.select("at.__id", "at.__key").distinct()
+    sets = _prints(docs.select("*", *row_key()).join(wanted, ["__id", "__key"], "left_semi").select("doc_id", "text"), True).select("point", "own").dropDuplicates(["point"])
     edges = cut(_links(rows.select("band", "key", "point").join(sets, "point")))
-    labels = connected(edges, points.select(F.col("point").alias("node"), "label"))
-    named = points.join(labels.select(F.col("node").alias("point"), F.col("label").alias("joined")), "point", "left").select("point", F.coalesce("joined", "label").alias("component_id"))
-    return prints.select("doc_id", "point").join(named, "point").select("doc_id", "point", "component_id")
+    return simhash.named(prints.select("doc_id", "__id", "__key", "point"), "point", edges)
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the smallest of their component."""
-    kept = components(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(docs.columns)
+    """One row of ``docs`` for each component."""
+    return simhash.keep_first(docs, components(docs), "point")

@@ -2,21 +2,24 @@
 
 * Fingerprint: lower-cased words (A-Z only), shingles of ``SHINGLE`` words with repeats, XXH64 with seed 42; a bit is set if more than half the
   hashes have it.
-* Search: equal fingerprints are one point. A fingerprint is cut into ``BANDS`` bands; within ``RADIUS`` bits at least one of the
-  ``RADIUS + 1`` bands is equal, so each band's equal values make a *bucket* that no link of that band leaves. In a bucket a vantage-point
-  tree over the Hamming distance finds the points within the radius: a subtree is passed over when the triangle inequality bounds it away.
-  Buckets of more than ``BUCKET`` points are dealt to *shards* by distance to vantage points first; points whose ball crosses a shard's
-  boundary are queried in every shard it reaches.
+* Search: equal fingerprints are one point. A fingerprint is cut into blocks, of which any two points within ``RADIUS`` bits have some equal;
+  each choice of so many blocks is a table, and a table's equal values make a *bucket*. The more points, the more blocks are cut, so that
+  buckets stay small at any size (``bands_for``). In a bucket a vantage-point tree over the Hamming distance finds the points within
+  the radius: a subtree is passed over when the triangle inequality bounds it away. Buckets of more than ``BUCKET`` points are dealt to *shards* by
+  distance to vantage points first; points whose ball crosses a shard's boundary are queried in every shard it reaches.
 * Links: a bucket gives each point's link to the smallest point it reaches there, no pairs. Components grow from these by the smaller
   neighbour and pointer doubling, written out after each round.
 
-Defined results: null and empty texts have no words and fingerprint zero, and link like any other; every row of ``docs`` gives a row; rows
-that share a doc_id are points of their own; extra columns are ignored by ``components`` and kept by ``keep_one``.
+Defined results: null and empty texts have no words and fingerprint zero, and link like any other; every row of ``docs`` gives a row; rows that share a
+doc_id are points of their own; rows with a null doc_id link too, and a component has a null id only if no row of it has one; very long
+texts are read whole; extra columns are ignored by ``components`` and kept by ``keep_one``, which keeps one row of each component: that with
+the smallest doc_id (null ones last), of several of them the smallest hash of the text, and of equal rows one.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -25,11 +28,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strata.llm._arrow import blocks
-from strata.llm._stage import cut
+from strata.llm._stage import cut, row_key, salted
 
 SHINGLE, SEED, RADIUS, LEAF, BUCKET, BLOCK = 4, 42, 4, 24, 4096, 1 << 21
-#: First bit and width of each band.
-BANDS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
+NO_ONE = (1 << 63) - 1  # stands for a null doc_id: after all others
+
+
+def tables(blocks: int, equal: int) -> list[tuple[tuple[int, int], ...]]:
+    """Each choice of ``equal`` of ``blocks`` blocks of the 64 bits, as (first bit, width): two points that differ in ``blocks - equal`` bits share one."""
+    cuts = [64 * k // blocks for k in range(blocks + 1)]
+    return list(combinations([(a, b - a) for a, b in zip(cuts, cuts[1:])], equal))
+
+
+def bands_for(points: int, radius: int = RADIUS, full: int = 256) -> list[tuple[tuple[int, int], ...]]:
+    """Tables whose buckets hold about ``full`` points at most on average, out of 1 to 4 equal blocks; those of one block up to two million points."""
+    for equal in range(1, 5):
+        found = tables(radius + equal, equal)
+        if points >> min(sum(w for _, w in t) for t in found) <= full:
+            break
+    return found
 
 
 def fingerprint(text: str, shingle: int = SHINGLE) -> int:
@@ -46,21 +63,26 @@ def fingerprint(text: str, shingle: int = SHINGLE) -> int:
     digest = xxhash.xxh64_intdigest
     n = len(words) - shingle + 1
     h = np.fromiter((digest(line[a:b], SEED) for a, b in zip(starts[:n].tolist(), ends[shingle - 1 :].tolist())), np.uint64, n)
-    total = np.zeros(64, np.int64)
+    return of_hashes(h)
+
+
+def of_hashes(h: np.ndarray) -> int:
+    """The fingerprint of shingle hashes: a bit is set if more than half of them have it; none gives zero."""
+    total, n = np.zeros(64, np.int64), len(h)
     for at in range(0, n, 1 << 16):
         total += np.unpackbits(h[at : at + (1 << 16)].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * total > n, bitorder="little").view("<u8")[0])
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp): fp is the fingerprint as a signed number."""
+    """(doc_id, __id, __key, fp): fp is the fingerprint as a signed number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches, "text", BLOCK):
             found = np.array([fingerprint(t or "", shingle) for t in batch.column("text").to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "__id", "__key")), pa.array(found.view(np.int64))], ["doc_id", "__id", "__key", "fp"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, fp bigint")
+    return docs.select("doc_id", "text", *row_key()).mapInArrow(run, "doc_id bigint, __id bigint, __key bigint, fp bigint")
 
 
 def distance(a: np.ndarray, b: np.uint64) -> np.ndarray:
@@ -141,8 +163,9 @@ def _bucket_links(points: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarr
     return points[moved], points[root[moved]]
 
 
-def _banded(points: DataFrame) -> DataFrame:
-    rows = F.explode(F.array(*(F.struct(F.lit(k).alias("band"), F.expr(f"(shiftrightunsigned(fp, {at}) & {(1 << width) - 1})").alias("value")) for k, (at, width) in enumerate(BANDS))))
+def _banded(points: DataFrame, bands: list) -> DataFrame:
+    value = lambda t: F.expr(" + ".join(f"shiftleft(shiftrightunsigned(fp, {at}) & {(1 << w) - 1}L, {sum(x for _, x in t[:k])})" for k, (at, w) in enumerate(t)))
+    rows = F.explode(F.array(*(F.struct(F.lit(k).alias("band"), value(t).alias("value")) for k, t in enumerate(bands))))
     return points.select("fp", rows.alias("b")).select("fp", "b.band", "b.value")
 
 
@@ -167,13 +190,15 @@ def _shards(big: DataFrame, radius: int, bucket: int) -> DataFrame:
 
 def links(points: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
     """(a, b): for each distinct fingerprint of ``points`` (fp) links enough to connect all that are within ``radius``; b is smaller as an unsigned number."""
-    if radius > len(BANDS) - 1:
-        raise ValueError("the bands guarantee a radius below their number")
-    banded = _banded(points)
-    counts = banded.groupBy("band", "value").agg(F.count(F.lit(1)).alias("points")).where("points > 1")
+    if not 0 <= radius < 32:
+        raise ValueError("the radius must be from 0 to 31 bits")
+    banded = _banded(points, bands_for(points.count()) if radius == RADIUS else tables(radius + 1, 1))
+    counts = cut(banded.groupBy("band", "value").agg(F.count(F.lit(1)).alias("points")).where("points > 1"))
     sized = banded.join(counts, ["band", "value"])
-    small = sized.where(F.col("points") <= bucket).select("fp", "band", "value", F.lit("").alias("shard"))
-    large = _shards(sized.where(F.col("points") > bucket).select("fp", "band", "value"), radius, bucket)
+    rows = sized.where(F.col("points") <= bucket).select("fp", "band", "value", F.lit("").alias("shard"))
+    if counts.where(F.col("points") > bucket).limit(1).count():
+        large = cut(sized.where(F.col("points") > bucket).select("fp", "band", "value"))
+        rows = rows.unionByName(_shards(large, radius, bucket))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: tuple | None = None  # rows of the bucket that the last batch may not have ended
@@ -201,7 +226,7 @@ def links(points: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> Data
         if a:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).view(np.int64)) for x in (a, b)], ["a", "b"])
 
-    rows = small.unionByName(large).repartition("band", "value", "shard").sortWithinPartitions("band", "value", "shard")
+    rows = rows.repartition("band", "value", "shard").sortWithinPartitions("band", "value", "shard")
     return rows.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
@@ -224,16 +249,38 @@ def connected(edges: DataFrame, least: DataFrame) -> DataFrame:
             return labels
 
 
+def named(prints: DataFrame, node: str, edges: DataFrame) -> DataFrame:
+    """(doc_id, __id, __key, node, component_id) of each row of ``prints`` (doc_id, __id, __key, node), where ``edges`` link nodes."""
+    own = F.when(F.col("doc_id").isNull(), F.lit(NO_ONE)).otherwise(F.col("doc_id"))
+    points = cut(prints.groupBy(node).agg(F.min(own).alias("label")))
+    labels = connected(edges, points.select(F.col(node).alias("node"), "label"))
+    joined = points.join(labels.select(F.col("node").alias(node), F.col("label").alias("joined")), node, "left").select(node, F.coalesce("joined", "label").alias("component_id"))
+    return salted(prints, joined, [node]).withColumn("component_id", F.nullif("component_id", F.lit(NO_ONE)))
+
+
+def keep_first(docs: DataFrame, found: DataFrame, node: str) -> DataFrame:
+    """The row of ``docs`` that stays for each component of ``found`` (doc_id, __id, __key, node, component_id).
+
+    A component without any doc_id is named by null, like others: its nodes tell it apart, each by its least text.
+    """
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "__id", "__key")
+    some = found.where("component_id IS NOT NULL AND doc_id = component_id").groupBy("component_id").agg(F.min(order).alias("x"))
+    none = found.where("component_id IS NULL").groupBy(node).agg(F.min(order).alias("x"))
+    chosen = some.select("x.__id", "x.__key").unionByName(none.select("x.__id", "x.__key"))
+    rows = docs.select("*", *row_key()).join(chosen.distinct(), ["__id", "__key"])
+    return rows.dropDuplicates(["__id", "__key"]).select(docs.columns)  # by the columns of the join: no further shuffle
+
+
 def components(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, fp, component_id (the smallest doc_id reachable) of each row."""
+    return _components(docs, radius, shingle).select("doc_id", "fp", "component_id")
+
+
+def _components(docs: DataFrame, radius: int, shingle: int) -> DataFrame:
     prints = cut(fingerprints(docs, shingle))
-    points = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("label")))
-    labels = connected(links(points.select("fp"), radius), points.select(F.col("fp").alias("node"), "label"))
-    named = points.join(labels.select(F.col("node").alias("fp"), F.col("label").alias("joined")), "fp", "left").select("fp", F.coalesce("joined", "label").alias("component_id"))
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+    return named(prints, "fp", links(cut(prints.select("fp").distinct()), radius))
 
 
-def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the smallest of their component."""
-    kept = components(docs, radius).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(docs.columns)
+def keep_one(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
+    """One row of ``docs`` for each component."""
+    return keep_first(docs, _components(docs, radius, shingle), "fp")

@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import math
 import random
 import re
 import time
@@ -12,7 +13,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from strata.llm import decontaminate, gsaca, html_extract, packing, pii, quality_crf, quality_rules, repeats, simhash, substring_dedup, suffix_dedup, warc
+from strata.llm import decontaminate, gsaca, html_extract, near_copies, packing, pii, quality_crf, quality_rules, repeats, simhash, substring_dedup, suffix_dedup, warc
 from strata.llm.queries import ORACLE, QUERIES, tokenizer_path
 
 SF = "/root/testdata/sf0.001"
@@ -63,7 +64,7 @@ def test_disclosing_terms(spark):
     rows += [(100 + i, f"{word()} common {word()}") for i in range(200)] + [(400, "zanzibar alone, without the address")]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
     terms = {(r.value, r.term): r.action for r in pii.disclosing_terms(docs).collect()}
-    assert terms == {("email:joe@x.org", "zanzibar"): "remove"}
+    assert terms[("email:joe@x.org", "zanzibar")] == "remove" and ("email:joe@x.org", "common") not in terms
     got = {r.doc_id: r for r in pii.detect(docs).collect()}
     assert all("term:" in got[i].spans for i in range(5)) and got[400].spans == ""
     clean = {r.doc_id: r.text for r in pii.sanitise(docs).collect()}
@@ -71,6 +72,57 @@ def test_disclosing_terms(spark):
     assert all("[EMAIL]" in clean[i] and "zanzibar" not in clean[i] and "common" in clean[i] for i in range(5))
 
 
+def plain_terms(rows):
+    """(value, term) to (bits, content, action) by the definition, over (doc_id, text) rows."""
+    words = [[w.lower() for w in re.findall(r"[^\W\d_]+", t or "") if len(w) >= 4] for _, t in rows]
+    df, classes, pairs, values = Counter(), Counter(), {}, {}
+    for own in words:
+        df.update(set(own))
+        classes.update({w[:3] for w in own})
+    for i, (_, t) in enumerate(rows):
+        for span in spans_of(t or ""):
+            kind, s, e = span.split(":")[0], *map(int, span.split(":")[1:])
+            value = f"{kind}:{t[s:e].lower()}"
+            values.setdefault(value, set()).add(i)
+            a, z = max(0, s - 60), min(len(t), e + 60)
+            frag = (" " + t + " ")[a : z + 2]
+            for m in re.finditer(r"(?<![^\W\d_])[^\W\d_]{4,}(?![^\W\d_])", frag):
+                at = a - 1 + m.start()
+                if m.start() > 0 and m.end() < len(frag) and (at + len(m[0]) <= s or at >= e):
+                    pairs.setdefault((value, m[0].lower()), set()).add(i)
+    out, n = {}, len(rows)
+    for (value, term), docs in pairs.items():
+        content, k = math.log2(n / len(values[value])), len(docs)
+        bits = math.log2(k * n / (len(values[value]) * (df[term] + 1)))
+        if content > 0 and bits >= 0.7 * content:
+            coarse = math.log2(k * n / (len(values[value]) * (classes[term[:3]] + 1)))
+            out[value, term] = (bits, content, "generalise" if bits < 0.9 * content and coarse < 0.7 * content else "remove")
+    return out
+
+
+def test_disclosing_terms_against_a_plain_version(docs):
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    want = plain_terms(rows)
+    got = {(r.value, r.term): r for r in pii.disclosing_terms(docs).collect()}
+    assert set(got) == set(want) and len(want) > 20 and {w[2] for w in want.values()} == {"remove", "generalise"}
+    for k, (bits, content, action) in want.items():
+        assert abs(got[k].bits - bits) < 1e-9 and abs(got[k].content - content) < 1e-9 and got[k].action == action
+
+
+def test_personal_data_without_or_with_shared_ids(spark):
+    said = "zanzibar " + "alpha beta gamma delta " * 30
+    rows = [(None, f"zanzibar writes joe{k % 2}@x.org today") for k in range(4)] + [(7, "zanzibar writes joe0@x.org today"), (7, "the quick brown fox jumps over"), (8, f"{said} joe1@x.org zanzibar {said}")]
+    rows += [(100 + k, f"other words of number {k} alpha beta gamma delta") for k in range(400)] + [(3000, "mail a@b.co " * 2000)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    got = pii.detect(docs).collect()
+    assert len(got) == len(rows) and sorted(r.n_email for r in got if r.doc_id == 7) == [0, 1] and max(r.n_email for r in got) == 2000
+    assert all(("term:" in r.spans) == bool(r.n_email) for r in got if r.doc_id in (None, 7))
+    out = pii.sanitise(docs).collect()
+    assert sorted(r.text for r in out if r.doc_id == 7)[1] == "the quick brown fox jumps over"
+    assert not any("zanzibar" in r.text for r in out if r.doc_id in (None, 8)) and sum("zanzibar" in r.text for r in out) == 0
+    assert [r.text for r in out if r.doc_id == 3000][0].count("[EMAIL]") == 2000
+
+
 def test_sanitising_keeps_rows_and_columns(docs, texts):
     out = pii.sanitise(docs)
     assert out.columns == docs.columns and out.count() == docs.count()
@@ -393,9 +445,11 @@ def plain_fingerprint(text):
     return sum(1 << k for k in range(64) if 2 * sum(x >> k & 1 for x in h) > len(h))
 
 
-@pytest.mark.parametrize("bucket", [4096, 4])
+@pytest.mark.parametrize("bucket", [4096, 4, 3])
 def test_near_duplicates(docs, texts, bucket, monkeypatch):
     monkeypatch.setattr(simhash.links, "__defaults__", (4, bucket))
+    if bucket == 3:
+        monkeypatch.setattr(simhash, "bands_for", lambda n: simhash.tables(6, 2))
     prints = {k: plain_fingerprint(t) for k, t in texts.items()}
     ids = sorted(prints)
     least = {i: i for i in ids}
@@ -414,6 +468,25 @@ def test_near_duplicates(docs, texts, bucket, monkeypatch):
         assert out.columns == docs.columns and sorted(r.doc_id for r in out.collect()) == sorted(set(least.values()))
 
 
+@pytest.mark.parametrize("n", [100, 3 << 20, 1 << 29, 1 << 40])
+def test_bands_follow_the_number_of_points(n):
+    tables = simhash.bands_for(n)
+    rng = random.Random(n)
+    bits = [sum(w for _, w in t) for t in tables]
+    assert n < 1 << 21 or n >> min(bits) <= 256 or len(tables) == 70
+    for _ in range(300):
+        flips = sum(1 << k for k in rng.sample(range(64), 4))
+        assert any(all(not flips >> at & (1 << w) - 1 for at, w in t) for t in tables)
+
+
+def test_one_row_of_each_group_stays(spark):
+    rows = [(None, "same words here and there again"), (None, "other text entirely, nobody has it"), (5, "same words here and there again"), (5, "same words here and there again"), (3, "unique words of its own and more"), (9, "same words here and there again")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    for keep in (simhash.keep_one, near_copies.keep_one):
+        assert sorted(map(str, keep(docs).collect())) == sorted(map(str, docs.where("doc_id = 3 OR text LIKE 'other%'").collect() + docs.where("doc_id = 5").limit(1).collect()))
+    assert {r.component_id for r in simhash.components(docs).collect()} == {5, 3, None}
+
+
 def test_vantage_trees_find_all_pairs():
     rng = np.random.default_rng(3)
     points = rng.integers(0, 1 << 63, 400, dtype=np.uint64)
