@@ -2,7 +2,8 @@
 
 * Shingles are those of ``simhash`` with five words: lower-cased (A-Z only), a shorter text is one shingle. Texts with equal sets are one *point*.
 * Candidates share one of ``BANDS`` keys, each made of ``ROWS`` least hashes. A pair of similarity s shares none with probability
-  ``(1 - s**ROWS)**BANDS``: 0.0002 at 0.8, 4e-8 at 0.9. That is all that can be missed; what shares a key is compared exactly, on whole sets.
+  ``(1 - s**ROWS)**BANDS``: 0.0002 at 0.8, 4e-8 at 0.9. That is all that can be missed; what shares a key is compared on whole sets,
+  of 40-bit hashes.
 * SimHash fingerprints of the same shingles propose groups as well: what its vantage-point trees link within 4 bits shares a key beside the ``BANDS``.
 * In a bucket of one key a leader is compared with all points left. Those within the distance 0.2 are linked to it and go; since Jaccard
   distance is a metric, only points up to 0.4 from the leader can be linked to one that went, and these are compared with each of them. So
@@ -68,7 +69,7 @@ def _prints(docs: DataFrame, whole: bool) -> DataFrame:
             points = pa.array([xxhash.xxh3_128_hexdigest(s.tobytes()) for s in sets])
             ids = [batch.column(c) for c in ("doc_id", "__id", "__key")]
             if whole:
-                yield pa.RecordBatch.from_arrays([*ids, points, pa.array([s.tobytes() for s in sets], pa.binary())], ["doc_id", "__id", "__key", "point", "own"])
+                yield pa.RecordBatch.from_arrays([*ids, points, pa.array([packed(s) for s in sets], pa.binary())], ["doc_id", "__id", "__key", "point", "own"])
             else:
                 prints = np.array([simhash.of_hashes(s) for s in sets], np.uint64).view(np.int64)
                 yield pa.RecordBatch.from_arrays([*ids, points, pa.array(prints), pa.array([keys(s) for s in sets], pa.list_(pa.int64()))], ["doc_id", "__id", "__key", "point", "fp", "keys"])
@@ -84,9 +85,22 @@ def similar(one: np.ndarray, sizes: np.ndarray, starts: np.ndarray, flat: np.nda
 
 
 def bucket_links(sets: list[np.ndarray], least: float = SIMILAR) -> list[tuple[int, int]]:
-    """Links (places) that connect all sets of similarity ``least`` or more; sets aren't empty and differ."""
+    """Links (places) that connect all sets of similarity ``least`` or more, fewer than sets; sets aren't empty and differ."""
     tenths = round(least * 10)  # whole numbers, so that exactly 0.8 counts
-    left, out = np.arange(len(sets)), []
+    left, out, root = np.arange(len(sets)), [], list(range(len(sets)))
+
+    def top(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    def link(i: int, j: int) -> None:
+        a, b = top(i), top(j)
+        if a != b:
+            root[max(a, b)] = min(a, b)
+            out.append((i, j))
+
     while len(left) > 1:
         rest = [sets[i] for i in left]
         sizes = np.fromiter(map(len, rest), np.int64, len(rest))
@@ -94,25 +108,39 @@ def bucket_links(sets: list[np.ndarray], least: float = SIMILAR) -> list[tuple[i
         shared, both = similar(rest[0], sizes, starts, flat)
         near = 10 * shared >= tenths * both
         ring = ~near & (10 * shared >= (2 * tenths - 10) * both)
-        out += [(int(left[0]), int(i)) for i in left[near][1:]]
-        if ring.any():
-            outer = left[ring]
-            outer_sets = [sets[i] for i in outer]
-            n = np.fromiter(map(len, outer_sets), np.int64, len(outer_sets))
-            at, all_ = np.concatenate([[0], np.cumsum(n)[:-1]]), np.concatenate(outer_sets)
-            for i in left[near][1:]:
-                s, b = similar(sets[i], n, at, all_)
-                out += [(int(i), int(j)) for j in outer[10 * s >= tenths * b]]
+        for i in left[near][1:].tolist():
+            link(int(left[0]), i)
+        apart = [j for j in left[ring].tolist() if top(j) != top(int(left[0]))]  # what is linked already needs no comparison
+        for i in left[near][1:].tolist():
+            if not apart:
+                break
+            outer = [sets[j] for j in apart]
+            n = np.fromiter(map(len, outer), np.int64, len(outer))
+            s, b = similar(sets[i], n, np.concatenate([[0], np.cumsum(n)[:-1]]), np.concatenate(outer))
+            for j in np.array(apart)[10 * s >= tenths * b].tolist():
+                link(i, j)
+            apart = [j for j in apart if top(j) != top(i)]
         left = left[~near]
     return out
 
 
+def packed(own: np.ndarray) -> bytes:
+    """A set of shingle hashes by their leading 40 bits, 5 bytes each: what is shuffled is compared in this form."""
+    return np.unique(own >> np.uint64(24)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // 5, 8), np.uint8)
+    out[:, :5] = np.frombuffer(data, np.uint8).reshape(-1, 5)
+    return out.view("<u8").ravel()
+
+
 def _links(rows: DataFrame) -> DataFrame:
     """(a, b): the links of all buckets. ``rows`` has band, key, point, own."""
 
     def found(group: dict[str, bytes]) -> Iterator[pa.RecordBatch]:
         names = sorted(group)
-        pairs = bucket_links([np.frombuffer(group[p], np.uint64) for p in names])
+        pairs = bucket_links([unpacked(group[p]) for p in names])
         if pairs:
             yield pa.RecordBatch.from_arrays([pa.array([names[p[k]] for p in pairs]) for k in (0, 1)], ["a", "b"])
 
