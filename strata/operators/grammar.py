@@ -70,8 +70,24 @@ def counted(rules: list[Rule]) -> None:
 COST = "array<struct<v:bigint,p:array<int>>>"
 
 
-def chart(tokens: DataFrame, rules: list[Rule], most: int, k: int = 1) -> DataFrame:
-    """doc, nt, s, e, n, best of each recognised span, half open. ``tokens`` has doc, idx, token; ``most`` bounds a document's tokens.
+def longest(tokens: DataFrame, most: int | None = None) -> int:
+    """The tokens of the longest document; more than ``most`` are refused."""
+    found = tokens.groupBy("doc").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("n")).first().n or 0
+    if most is not None and found > most:
+        raise ValueError(f"a document has {found} tokens, more than {most}")
+    return max(1, found)
+
+
+def union_all(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def chart(tokens: DataFrame, rules: list[Rule], most: int | None = None, k: int = 1) -> DataFrame:
+    """doc, nt, s, e, n, best of each recognised span, half open. ``tokens`` has doc, idx, token; the chart is as wide as the longest document, and
+    one of more than ``most`` tokens is refused.
 
     A rule's pattern is matched element by element: partial matches are rows (rule, elements matched, start, end) and the chart joins them on the
     document and the place where the next element begins. ``best`` holds the ``k`` cheapest derivations as (cost, rules used, in order).
@@ -86,21 +102,18 @@ def chart(tokens: DataFrame, rules: list[Rule], most: int, k: int = 1) -> DataFr
     join = lambda a, b: F.flatten(F.transform(a, lambda x: F.transform(b, lambda y: F.struct((x.v + y.v).alias("v"), F.concat(x.p, y.p).alias("p")))))
     one = F.array(F.struct(F.lit(0).cast("bigint").alias("v"), F.array().cast("array<int>").alias("p"))).cast(COST)
     terminals = cut(tokens.select("doc", F.col("idx").cast("int").alias("s"), (F.col("idx") + 1).cast("int").alias("e"), F.lit("t").alias("kind"), F.col("token").alias("symbol"), F.lit(1).cast("decimal(38,0)").alias("n"), one.alias("best")))
-    known = terminals
-    result = None
-    partial = None  # doc, rid, at, s, e, n, best: elements 0..at matched over [s, e)
-    for width in range(1, most + 1):
-        # spans of this width: an element of any width up to it ends the partial match
-        ends = known.where((F.col("e") - F.col("s") <= width))
-        first = ends.where(F.col("e") - F.col("s") == width).join(elements.where("at = 0"), ["kind", "symbol"]).select("doc", "rid", "rule", "nt", "at", "s", "e", "weight", "size", "n", "best")
+    known, partials = [terminals], []  # spans, and matches (doc, rid, at, s, e, n, best) of elements 0..at over [s, e): a part for each width
+    results = []
+    for width in range(1, longest(tokens, most) + 1):
+        # an element that ends at the right place completes a match of this width: the end is part of the join's key
+        first = terminals.where(F.lit(width == 1)).join(elements.where("at = 0"), ["kind", "symbol"]).select("doc", "rid", "rule", "nt", "at", "s", "e", "weight", "size", "n", "best")
         grown = first
-        if partial is not None:
-            right = ends.select("doc", F.col("s").alias("m"), F.col("e").alias("e2"), "kind", "symbol", F.col("n").alias("n2"), F.col("best").alias("best2"))
+        if partials:
+            right = union_all(known).select("doc", F.col("s").alias("m"), F.col("e").alias("e2"), "kind", "symbol", F.col("n").alias("n2"), F.col("best").alias("best2"))
             nexts = elements.select(F.col("rid").alias("rid2"), F.col("at").alias("at2"), F.col("kind").alias("kind2"), F.col("symbol").alias("symbol2"))
-            left = partial.select("doc", "rid", "rule", "nt", "at", "s", F.col("e").alias("e1"), "weight", "size", "n", "best").join(nexts, F.expr("rid = rid2 AND at2 = at + 1"))
+            left = union_all(partials).select("doc", "rid", "rule", "nt", "at", "s", F.col("e").alias("e1"), (F.col("s") + width).alias("e2"), "weight", "size", "n", "best").join(nexts, F.expr("rid = rid2 AND at2 = at + 1"))
             left = left.withColumnsRenamed({"kind2": "kind", "symbol2": "symbol", "e1": "m"})
-            more = left.join(right, ["doc", "kind", "symbol", "m"])
-            more = more.where(F.col("e2") - F.col("s") == width)
+            more = left.join(right, ["doc", "kind", "symbol", "m", "e2"])
             longer = more.select("doc", "rid", "rule", "nt", F.col("at2").alias("at"), "s", F.col("e2").alias("e"), "weight", "size", (F.col("n") * F.col("n2")).cast("decimal(38,0)").alias("n"), prune(join(F.col("best"), F.col("best2"))).alias("best"))
             grown = first.unionByName(longer)
         grown = grown.groupBy("doc", "rid", "rule", "nt", "at", "s", "e", "weight", "size").agg(F.sum("n").cast("decimal(38,0)").alias("n"), prune(F.flatten(F.collect_list("best"))).alias("best"))
@@ -111,14 +124,13 @@ def chart(tokens: DataFrame, rules: list[Rule], most: int, k: int = 1) -> DataFr
         again = spans.select("doc", "s", "e", F.lit("n").alias("kind"), F.col("nt").alias("symbol"), "n", "best")
         # a hole as the first element of a longer rule: a span of this width starts further partial matches
         starts = again.join(elements.where("at = 0"), ["kind", "symbol"]).select("doc", "rid", "rule", "nt", "at", "s", "e", "weight", "size", "n", "best")
-        keep = grown.where("at < size - 1").unionByName(starts.where("size > 1"))
-        partial = cut(keep if partial is None else partial.unionByName(keep))
-        known = cut(known.unionByName(again))
-        result = spans if result is None else result.unionByName(spans)
-    return result
+        partials.append(cut(grown.where("at < size - 1").unionByName(starts.where("size > 1"))))
+        known.append(again)
+        results.append(spans)
+    return union_all(results)
 
 
-def recognised(tokens: DataFrame, rules: list[Rule], start: str, most: int, k: int = 1) -> DataFrame:
+def recognised(tokens: DataFrame, rules: list[Rule], start: str, most: int | None = None, k: int = 1) -> DataFrame:
     """doc, n_tokens, recognised, n, best of each document's whole span."""
     size = tokens.groupBy("doc").agg(F.count(F.lit(1)).cast("int").alias("n_tokens"))
     top = chart(tokens, rules, most, k).where((F.col("nt") == start) & (F.col("s") == 0))
@@ -126,12 +138,12 @@ def recognised(tokens: DataFrame, rules: list[Rule], start: str, most: int, k: i
     return found
 
 
-def count(tokens: DataFrame, rules: list[Rule], start: str, most: int) -> DataFrame:
+def count(tokens: DataFrame, rules: list[Rule], start: str, most: int | None = None) -> DataFrame:
     counted(rules)
     return recognised(tokens, rules, start, most).select("doc", "n_tokens", "n")
 
 
-def cheapest(tokens: DataFrame, rules: list[Rule], start: str, most: int, k: int) -> DataFrame:
+def cheapest(tokens: DataFrame, rules: list[Rule], start: str, most: int | None, k: int) -> DataFrame:
     """doc, rank, cost, rules: the ``k`` cheapest derivations."""
     counted(rules)
     best = recognised(tokens, rules, start, most, k).select("doc", F.posexplode("best").alias("rank", "x"))

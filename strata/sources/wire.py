@@ -1,21 +1,80 @@
-"""Documents on the wire: canonical JSON, strict and versioned, read and written in bulk; and edit programs as JSON lines.
+"""Documents on the wire: canonical JSON, strict and versioned, read, checked and written in bulk.
 
-A document is one JSON object with exactly the keys of ``KEYS``. Reading gives tables keyed by ``doc`` and violation rows; nothing is migrated.
+``SHAPES`` says what each part of a document is made of. Checking walks all documents at once, one nesting level a step: a row is a JSON value with
+its path and the shape it must have; its fields are compared with the shape's, and its children are the next level's rows. Every
+refusal is a row (doc, path, message), so one pass lists all of them. Nothing is migrated.
 """
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strata.model import Corpus, Polyadic, Relation, Tier, node
+from strata.plans.stage import cut
+
 FORMAT_VERSION, MACHINE_VERSION = "5", "1"
-MAX_DOCUMENT_BYTES, MAX_JSON_DEPTH = 16 * 1024 * 1024, 256
-NAME = "struct<namespace:string,local_name:string>"
-VALUE = f"array<struct<name:{NAME},value:struct<lexical:string,type:string>>>"
-SCHEMA = f"""version string, namespaces array<struct<prefix:string,namespace:string>>,
-tiers array<struct<declaration:struct<name:{NAME},long_name:string>,items:array<struct<durable_id:string,attributes:{VALUE}>>,attributes:{VALUE}>>,
-attributes {VALUE}"""
-KEYS = ("attributes", "namespaces", "tiers", "version")
+MAX_DOCUMENT_BYTES, MAX_LINE_BYTES, MAX_JSON_DEPTH = 16 * 1024 * 1024, 1024 * 1024, 256
+
+# The fields of each part and what they hold. [x is an array of x, x? may be null.
+_FIELDS = """
+document: format_version=version graph=graph
+graph: namespaces=[namespace tiers=[tier relation_declarations=[relation_declaration relations=[relation attribute_declarations=[attribute_declaration position_values=[position attributes=[attribute
+namespace: prefix=string namespace=string
+name: namespace=string local_name=string
+tier: declaration=tier_declaration items=[item attributes=[attribute
+tier_declaration: name=name long_name=string
+item: durable_id=string? attributes=[attribute
+attribute: name=name value_type=value_type lexical=string
+attribute_declaration: name=name domain=domain value_type=value_type
+simple: kind=string name=name tier=name item_type=name attributes=[attribute
+bipartite: kind=string name=name left_type=name right_type=name left_endpoint=endpoint_kind right_endpoint=endpoint_kind single_parent=boolean acyclic=boolean attributes=[attribute
+polyadic: kind=string name=name sources=side targets=side unique_sources=boolean distinct_targets=boolean single_parent=boolean acyclic=boolean targets_subset_of=[name attributes=[attribute
+side: endpoint_kinds=[endpoint_kind tiers=[name minimum=integer maximum=integer allow_empty=boolean
+binary_instance: declaration=name left=endpoint right=endpoint durable_id=string? attributes=[attribute
+polyadic_instance: declaration=name sources=[endpoint targets=[endpoint durable_id=string? attributes=[attribute
+item_reference: tier=name index=integer
+durable_item: durable_id=string
+durable_position: anchor=anchor side=boundary_side
+item_anchor: kind=string durable_id=string
+tier_anchor: kind=string tier=name
+position: reference=endpoint attributes=[attribute
+declare_namespace: opcode=string declaration=namespace
+declare_tier: opcode=string declaration=tier_declaration
+declare_relation: opcode=string declaration=relation_declaration
+declare_attribute: opcode=string declaration=attribute_declaration
+add_item: opcode=string tier=name item=item
+promote_item: opcode=string reference=item_reference durable_id=string
+promote_position: opcode=string reference=item_reference durable_id=string
+relate: opcode=string relation=relation
+attach_value: opcode=string domain=domain target=any value=attribute
+repeat: opcode=string count=integer body=[opcode
+"""
+# The spellings that an enumerated string may have.
+_SPELLINGS = {
+    "version": (FORMAT_VERSION,),
+    "value_type": ("string", "boolean", "integer", "decimal", "double"),
+    "domain": ("item", "tier", "relation_declaration", "relation_instance", "position", "document"),
+    "endpoint_kind": ("item", "boundary"),
+    "boundary_side": ("before", "after"),
+}
+SHAPES: dict[str, dict[str, str]] = {name: dict(x.split("=") for x in rest.split()) for name, _, rest in (line.partition(": ") for line in _FIELDS.strip().splitlines())}
+DECLARATIONS = ("simple", "bipartite", "polyadic")
+OPCODES = tuple(name for name, fields in SHAPES.items() if "opcode" in fields)
+
+_NAME = "struct<local_name:string,namespace:string>"
+_ATTRIBUTES = f"array<struct<lexical:string,name:{_NAME},value_type:string>>"
+_REFERENCE = f"struct<anchor:struct<durable_id:string,kind:string,tier:{_NAME}>,durable_id:string,index:bigint,side:string,tier:{_NAME}>"
+_SIDE = f"struct<allow_empty:boolean,endpoint_kinds:array<string>,maximum:bigint,minimum:bigint,tiers:array<{_NAME}>>"
+_DECLARED = f"array<struct<acyclic:boolean,attributes:{_ATTRIBUTES},distinct_targets:boolean,item_type:{_NAME},kind:string,left_endpoint:string,left_type:{_NAME},name:{_NAME},right_endpoint:string,right_type:{_NAME},single_parent:boolean,sources:{_SIDE},targets:{_SIDE},targets_subset_of:array<{_NAME}>,tier:{_NAME},unique_sources:boolean>>"
+_INSTANCES = f"array<struct<attributes:{_ATTRIBUTES},declaration:{_NAME},durable_id:string,left:{_REFERENCE},right:{_REFERENCE},sources:array<{_REFERENCE}>,targets:array<{_REFERENCE}>>>"
+_TIERS = f"array<struct<attributes:{_ATTRIBUTES},declaration:struct<long_name:string,name:{_NAME}>,items:array<struct<attributes:{_ATTRIBUTES},durable_id:string>>>>"
+GRAPH = f"""attribute_declarations array<struct<domain:string,name:{_NAME},value_type:string>>, attributes {_ATTRIBUTES}, namespaces array<struct<namespace:string,prefix:string>>,
+position_values array<struct<attributes:{_ATTRIBUTES},reference:{_REFERENCE}>>, relation_declarations {_DECLARED}, relations {_INSTANCES}, tiers {_TIERS}"""
 
 
 def depth(text: Column) -> Column:
@@ -31,45 +90,201 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("doc"), F.col("value").alias("raw"))
 
 
-def violations(documents: DataFrame) -> DataFrame:
-    """doc, path, message: size, depth, syntax, keys and version, in that order; the first of each document."""
-    parsed = F.from_json("raw", SCHEMA, {"mode": "PERMISSIVE"})
-    keys = F.array_sort(F.json_object_keys("raw"))
-    wanted = F.array(*(F.lit(k) for k in KEYS))
-    message = (
-        F.when(F.octet_length("raw") > MAX_DOCUMENT_BYTES, "document too large")
-        .when(depth(F.col("raw")) > MAX_JSON_DEPTH, "nesting too deep")
-        .when(F.expr("try_parse_json(raw)").isNull(), "not JSON")
-        .when(keys.isNull(), "not an object")
-        .when(F.size(F.array_except(keys, wanted)) > 0, F.concat(F.lit("unknown key "), F.get(F.array_except(keys, wanted), F.lit(0))))
-        .when(F.size(F.array_except(wanted, keys)) > 0, F.concat(F.lit("missing key "), F.get(F.array_except(wanted, keys), F.lit(0))))
-        .when(~F.coalesce(parsed["version"] == FORMAT_VERSION, F.lit(False)), "unsupported version")
+def unreadable(documents: DataFrame, most: int = MAX_DOCUMENT_BYTES) -> DataFrame:
+    """doc, path, message: texts that are too large, too deep or not JSON, in that order."""
+    message = F.when(F.octet_length("raw") > most, "too large").when(depth(F.col("raw")) > MAX_JSON_DEPTH, "nesting too deep").when(F.expr("try_parse_json(raw)").isNull(), "not JSON")
+    return documents.select("doc", F.lit("").alias("path"), message.alias("message")).where("message IS NOT NULL")
+
+
+def _resolved() -> Column:
+    """The shape of a value where its own fields decide between several."""
+    keys = F.json_object_keys("j")
+    kind = F.get_json_object("j", "$.kind")
+    endpoint = F.when(F.array_contains(keys, "anchor"), "durable_position").when((F.col("shape") == "program_endpoint") & F.array_contains(keys, "durable_id"), "durable_item").otherwise("item_reference")
+    return (
+        F.when(F.col("shape") == "relation_declaration", F.when(kind.isin(*DECLARATIONS), kind))
+        .when(F.col("shape") == "relation", F.when(F.array_contains(keys, "sources"), "polyadic_instance").otherwise("binary_instance"))
+        .when(F.col("shape").isin("endpoint", "program_endpoint"), endpoint)
+        .when(F.col("shape") == "anchor", F.when(kind.isin("item", "tier"), F.concat(kind, F.lit("_anchor"))))
+        .when(F.col("shape") == "opcode", F.when(F.get_json_object("j", "$.opcode").isin(*OPCODES), F.get_json_object("j", "$.opcode")))
+        .otherwise(F.col("shape"))
     )
-    return documents.select("doc", F.lit("$").alias("path"), message.alias("message")).where("message IS NOT NULL")
 
 
-def parse(documents: DataFrame) -> DataFrame:
-    """doc and the document's parts as nested columns, of the documents without violations."""
-    good = documents.join(violations(documents).select("doc").distinct(), "doc", "left_anti")
-    return good.select("doc", F.from_json("raw", SCHEMA).alias("g")).select("doc", "g.*")
+def _map(entries: dict[str, Column]) -> Column:
+    return F.create_map(*(x for k, v in entries.items() for x in (F.lit(k), v)))
+
+
+def shape_errors(values: DataFrame) -> DataFrame:
+    """doc, path, message of all that ``values`` (doc, path, shape, j) do otherwise than their shapes; ``j`` is JSON text."""
+    fields = _map({name: _map({k: F.lit(v) for k, v in f.items()}) for name, f in SHAPES.items()})
+    spellings = _map({k: F.array(*map(F.lit, v)) for k, v in _SPELLINGS.items()})
+    schema = "doc string, path string, message string"
+    out = values.sparkSession.createDataFrame([], schema)
+    level = cut(values.select(F.col("doc").cast("string").alias("doc"), "path", "shape", "j"))
+    for _ in range(MAX_JSON_DEPTH + 1):
+        first = F.substring("j", 1, 1)
+        kind = F.when(first == "{", "object").when(first == "[", "array").when(first == '"', "string").when(F.col("j").isin("true", "false"), "boolean").when(F.col("j") == "null", "null").when(F.col("j").rlike(r"\A-?[0-9]+\z"), "integer").otherwise("number")
+        typed = level.withColumn("kind", kind).withColumn("is", F.when(F.col("kind") == "object", _resolved()).otherwise(F.col("shape")))
+        array = F.col("shape").startswith("[")
+        composite = F.col("shape").isin(*SHAPES, "relation_declaration", "relation", "endpoint", "program_endpoint", "anchor", "opcode")
+        wanted = F.map_keys(F.element_at(fields, F.col("is")))
+        keys = F.json_object_keys("j")
+        missing, extra = F.array_min(F.array_except(wanted, keys)), F.array_min(F.array_except(keys, wanted))
+        spelled = F.get_json_object(F.concat(F.lit('{"x":'), "j", F.lit("}")), "$.x")
+        allowed = F.element_at(spellings, F.col("shape"))
+        plain = F.regexp_replace("shape", r"\?\z", "")
+        message = (
+            F.when(array, F.when(F.col("kind") != "array", "must be an array"))
+            .when(F.col("shape") == "any", None)
+            .when(composite, F.when(F.col("kind") != "object", "must be an object").when(F.col("is").isNull(), "has an unknown kind").when(missing.isNotNull(), F.concat(F.lit("is missing field "), missing)).when(extra.isNotNull(), F.concat(F.lit("has unknown field "), extra)))
+            .when(allowed.isNotNull(), F.when(F.col("kind") != "string", "must be a string").when(~F.array_contains(allowed, spelled), F.concat(F.lit("has unsupported value "), "j")))
+            .when((F.col("kind") != plain) & ~(F.col("shape").endswith("?") & (F.col("kind") == "null")), F.concat(F.lit("must be "), F.when(plain == "integer", "an ").otherwise("a "), plain))
+        )
+        judged = cut(typed.withColumn("message", message).withColumn("fields", F.element_at(fields, F.col("is"))))
+        out = out.unionByName(judged.where("message IS NOT NULL").select("doc", "path", "message"))
+        inner = judged.where("kind IN ('object', 'array') AND (message IS NULL OR message LIKE '%field%') AND shape <> 'any'")
+        level = level.sparkSession.sql(
+            """SELECT doc, CASE WHEN e.key IS NULL THEN concat(path, '[', e.pos, ']') WHEN path IN ('', 'graph') THEN e.key ELSE concat(path, '.', e.key) END AS path,
+                CASE WHEN e.key IS NULL THEN substring(shape, 2) ELSE fields[e.key] END AS shape, to_json(e.value) AS j
+               FROM {inner} AS x, LATERAL variant_explode(parse_json(x.j)) AS e WHERE e.key IS NULL OR array_contains(map_keys(x.fields), e.key)""",
+            inner=inner,
+        )
+        level = cut(level)
+        if level.isEmpty():
+            break
+    return out
+
+
+def violations(documents: DataFrame) -> DataFrame:
+    """doc, path, message: what is refused of each document (doc, raw); the path is empty where the whole text is."""
+    bad = cut(unreadable(documents))
+    readable = documents.join(bad.select("doc"), "doc", "left_anti")
+    values = readable.select("doc", F.lit("").alias("path"), F.lit("document").alias("shape"), F.to_json(F.parse_json("raw")).alias("j"))
+    return bad.withColumn("doc", F.col("doc").cast("string")).unionByName(shape_errors(values))
+
+
+def parse(documents: DataFrame, refused: DataFrame | None = None) -> DataFrame:
+    """doc and the graph's parts as nested columns, of the documents without violations."""
+    refused = violations(documents) if refused is None else refused
+    good = documents.join(refused.select("doc").distinct(), "doc", "left_anti")
+    return good.select("doc", F.from_json(F.get_json_object("raw", "$.graph"), GRAPH).alias("g")).select("doc", "g.*")
+
+
+def namespaces(parsed: DataFrame) -> DataFrame:
+    """doc, ord, prefix, namespace."""
+    return parsed.select("doc", F.posexplode("namespaces").alias("ord", "x")).select("doc", "ord", "x.prefix", "x.namespace")
+
+
+def tiers(parsed: DataFrame) -> DataFrame:
+    """doc, t, tier (name), long_name, n."""
+    return parsed.select("doc", F.posexplode("tiers").alias("t", "x")).select("doc", "t", F.col("x.declaration.name").alias("tier"), "x.declaration.long_name", F.size("x.items").alias("n"))
 
 
 def items(parsed: DataFrame) -> DataFrame:
-    """doc, t, tier (struct), idx, durable_id."""
-    tiers = parsed.select("doc", F.posexplode("tiers").alias("t", "tier"))
-    return tiers.select("doc", "t", F.col("tier.declaration.name").alias("tier"), F.posexplode("tier.items").alias("idx", "item")).select("doc", "t", "tier", "idx", "item.durable_id")
+    """doc, t, tier (name), idx, durable_id."""
+    rows = parsed.select("doc", F.posexplode("tiers").alias("t", "tier"))
+    return rows.select("doc", "t", F.col("tier.declaration.name").alias("tier"), F.posexplode("tier.items").alias("idx", "item")).select("doc", "t", "tier", "idx", "item.durable_id")
+
+
+def declarations(parsed: DataFrame) -> DataFrame:
+    """doc, decl, and the columns of a relation declaration: those of other kinds are null."""
+    return parsed.select("doc", F.posexplode("relation_declarations").alias("decl", "x")).select("doc", "decl", "x.*")
+
+
+def relations(parsed: DataFrame) -> DataFrame:
+    """doc, ord, polyadic, and the columns of an instance."""
+    rows = parsed.select("doc", F.posexplode("relations").alias("ord", "x")).select("doc", "ord", "x.*")
+    return rows.withColumn("polyadic", F.col("sources").isNotNull())
+
+
+def attribute_declarations(parsed: DataFrame) -> DataFrame:
+    """doc, ord, name, domain, value_type."""
+    return parsed.select("doc", F.posexplode("attribute_declarations").alias("ord", "x")).select("doc", "ord", "x.name", "x.domain", "x.value_type")
+
+
+def attributes(parsed: DataFrame) -> DataFrame:
+    """doc, domain, t, i, ref, name, value_type, lexical of every value in the six domains: ``i`` is an item's, a declaration's or an instance's place,
+    ``ref`` a position's reference."""
+    nothing = F.lit(None).cast("int")
+    no_ref = F.lit(None).cast(_REFERENCE)
+    rows = parsed.select("doc", F.posexplode("tiers").alias("t", "x"))
+    members = rows.select("doc", "t", F.posexplode("x.items").alias("i", "y"))
+    parts = [
+        parsed.select("doc", F.lit("document").alias("domain"), nothing.alias("t"), nothing.alias("i"), no_ref.alias("ref"), F.explode("attributes").alias("a")),
+        rows.select("doc", F.lit("tier").alias("domain"), "t", nothing.alias("i"), no_ref.alias("ref"), F.explode("x.attributes").alias("a")),
+        members.select("doc", F.lit("item").alias("domain"), "t", "i", no_ref.alias("ref"), F.explode("y.attributes").alias("a")),
+        declarations(parsed).select("doc", F.lit("relation_declaration").alias("domain"), nothing.alias("t"), F.col("decl").alias("i"), no_ref.alias("ref"), F.explode("attributes").alias("a")),
+        relations(parsed).select("doc", F.lit("relation_instance").alias("domain"), nothing.alias("t"), F.col("ord").alias("i"), no_ref.alias("ref"), F.explode("attributes").alias("a")),
+        parsed.select("doc", F.explode("position_values").alias("x")).select("doc", F.lit("position").alias("domain"), nothing.alias("t"), nothing.alias("i"), F.col("x.reference").alias("ref"), F.explode("x.attributes").alias("a")),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.select("doc", "domain", "t", "i", "ref", "a.name", "a.value_type", "a.lexical")
 
 
-def dumps(parsed: DataFrame) -> DataFrame:
-    """doc, text: compact canonical JSON, keys sorted (the columns are taken in sorted order; nested ones are declared so)."""
-    ordered = F.struct(*(F.col(k) for k in sorted(c for c in parsed.columns if c != "doc")))
-    return parsed.select("doc", F.to_json(ordered, {"ignoreNullFields": "false"}).alias("text"))
+def corpus(parsed: DataFrame) -> Corpus:
+    """One document as a corpus: its tiers, and its relations between items and boundaries that are named by place or by durable id."""
+    own = tiers(parsed).orderBy("t").collect()  # the tiers of one document
+    members = items(parsed)
+    made = tuple(Tier(r.t, r.tier.local_name, members.where(F.col("t") == r.t).select("doc", F.col("idx").cast("bigint").alias("idx"), "durable_id"), long_name=r.long_name, durable="durable_id") for r in own)
+    of_name = F.create_map(*(x for r in own for x in (F.lit(f"{{{r.tier.namespace}}}{r.tier.local_name}"), F.lit(r.t)))) if own else F.create_map(F.lit(""), F.lit(0))
+    sizes = F.create_map(*(x for r in own for x in (F.lit(r.t), F.lit(r.n)))) if own else F.create_map(F.lit(0), F.lit(0))
+    known = members.where("durable_id IS NOT NULL").agg(F.map_from_entries(F.collect_list(F.struct("durable_id", node(F.col("t"), F.col("idx")).alias("n")))).alias("ids")).first().ids or {}
+    ids = F.create_map(*(x for k, n in known.items() for x in (F.lit(k), node(n.t, F.lit(n.i))))) if known else F.create_map(F.lit(""), node(0, F.lit(0)))
 
+    def at(c: Column) -> Column:
+        key = lambda n: F.concat(F.lit("{"), n["namespace"], F.lit("}"), n["local_name"])
+        item = F.element_at(ids, F.coalesce(c["anchor"]["durable_id"], c["durable_id"]))
+        tier = F.element_at(of_name, key(c["anchor"]["tier"]))
+        after = F.when(c["side"] == "after", 1).otherwise(0)
+        return (
+            F.when(c["anchor"]["kind"] == "tier", node(tier, F.when(c["side"] == "after", F.element_at(sizes, tier)).otherwise(0)))
+            .when(c["anchor"].isNotNull(), node(item["t"], item["i"] + after))
+            .otherwise(node(F.element_at(of_name, key(c["tier"])), c["index"]))
+        )
 
-def read_program(spark: SparkSession, path: str) -> DataFrame:
-    """doc, seq, op: the opcodes of edit programs; line numbers come from the file's text, the header line is checked and left out."""
-    files = read_documents(spark, path)
-    lines = files.select("doc", F.posexplode(F.split(F.regexp_replace("raw", r"\n\z", ""), "\n")).alias("line", "text"))
-    header = lines.where("line = 0").where(F.get_json_object("text", "$.machine_version") == MACHINE_VERSION).select("doc")
-    body = lines.where("line > 0").join(header, "doc", "left_semi")
-    return body.select("doc", (F.col("line") - 1).alias("seq"), F.get_json_object("text", "$.op").alias("op"), F.col("text"))
+    rows = relations(parsed)
+    names = sorted({(r.name, r.kind) for r in declarations(parsed).select("name.local_name", "kind").withColumnRenamed("local_name", "name").collect() if r.kind != "simple"})
+    binary = tuple(Relation(n, rows.where(~F.col("polyadic") & (F.col("declaration.local_name") == n)).select("doc", F.col("ord").cast("bigint").alias("ord"), at(F.col("left")).alias("l"), at(F.col("right")).alias("r"))) for n, k in names if k == "bipartite")
+    many = tuple(Polyadic(n, rows.where(F.col("polyadic") & (F.col("declaration.local_name") == n)).select("doc", F.col("ord").cast("bigint").alias("ord"), F.transform("sources", at).alias("sources"), F.transform("targets", at).alias("targets"))) for n, k in names if k == "polyadic")
+    return Corpus(made, binary, many)
+
+
+def dumps(documents: DataFrame) -> DataFrame:
+    """doc, text: compact canonical JSON, keys sorted."""
+    return documents.select("doc", F.to_json(F.parse_json("raw")).alias("text"))
+
+
+def pretty(compact: DataFrame) -> DataFrame:
+    """doc, text: the canonical spelling with two spaces a level and a final line feed, from compact texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [json.dumps(json.loads(t), indent=2, sort_keys=True, ensure_ascii=False) + "\n" for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(texts, pa.string())], ["doc", "text"])
+
+    return compact.select("doc", "text").mapInArrow(run, compact.select("doc", "text").schema)
+
+
+def inspect(parsed: DataFrame) -> DataFrame:
+    """doc, ord, line: the counts of a document's parts, then its tiers and its relations."""
+    n = lambda c: F.size(c).cast("string")
+    name = lambda c: F.concat(F.lit("{"), c["namespace"], F.lit("}"), c["local_name"])
+    total = F.aggregate("tiers", F.lit(0), lambda a, t: a + F.size(t["items"])).cast("string")
+    lines = F.array(
+        F.lit(f"format version: {FORMAT_VERSION}"),
+        F.concat(F.lit("namespaces: "), n("namespaces")),
+        F.concat(F.lit("tiers: "), n("tiers")),
+        F.concat(F.lit("items: "), total),
+        F.concat(F.lit("relation declarations: "), n("relation_declarations")),
+        F.concat(F.lit("binary relation instances: "), n(F.filter("relations", lambda r: r["sources"].isNull()))),
+        F.concat(F.lit("polyadic relation instances: "), n(F.filter("relations", lambda r: r["sources"].isNotNull()))),
+        F.concat(F.lit("attribute declarations: "), n("attribute_declarations")),
+        F.concat(F.lit("populated position values: "), n("position_values")),
+        F.concat(F.lit("document attributes: "), n("attributes")),
+    )
+    of_tiers = F.transform("tiers", lambda t: F.concat(F.lit("tier: "), name(t["declaration"]["name"]), F.lit(" | "), t["declaration"]["long_name"], F.lit(" | items="), n(t["items"]), F.lit(" | attributes="), n(t["attributes"])))
+    of_relations = F.transform("relation_declarations", lambda r: F.concat(F.lit("relation: "), name(r["name"]), F.lit(" | kind="), r["kind"]))
+    return parsed.select("doc", F.posexplode(F.concat(lines, of_tiers, of_relations)).alias("ord", "line"))
