@@ -369,11 +369,14 @@ def fold_cost_account(spark, d, most=FIRST):
     return fold.cost_account(*C.skip_dag(spark, d, most))
 
 
-@query(f"WITH {TL} SELECT doc, 0 AS i FROM tl WHERE false")
+@query(f"WITH {SK} SELECT doc, unnest(range(greatest(n - 2, 0), n)) AS i, 'more than one' AS mapping FROM sz")
 def fold_homomorphism(spark, d, most=FIRST):
+    """Where a mapping doesn't carry counts to reachability: nowhere for "any", at the nodes with one path for "more than one"."""
     count, _ = _skip(spark, d, most, S.COUNTING, lambda v, n: S.COUNTING.one())
     reach, _ = _skip(spark, d, most, S.BOOLEAN, lambda v, n: S.BOOLEAN.one())
-    return fold.homomorphic(count, reach, lambda c: c > 0).select("doc", F.col("node.i").alias("i"))
+    tried = {"any": lambda c: c > 0, "more than one": lambda c: c > 1}
+    parts = [fold.homomorphic(count, reach, f).select("doc", F.col("node.i").alias("i"), F.lit(k).alias("mapping")) for k, f in tried.items()]
+    return parts[0].unionByName(parts[1])
 
 
 # --- constraints: seeded bad rows
@@ -664,10 +667,14 @@ def act_one_for_one(spark, d):
     return actions.act_one_by_one(_events(spark, d), "cents", "idx", F.lit(0).cast("bigint"), lambda a, v: a + v)
 
 
-@query(f"WITH {TL} SELECT doc FROM tl WHERE false")
+@query(f"WITH {TL} SELECT DISTINCT doc, 'sum and one' AS action FROM tl")
 def act_certificate(spark, d):
+    """Documents in which an action one by one differs from the action at once: none for the sum, all if each step adds one more."""
     rows = _events(spark, d)
-    return actions.distributes(actions.act(rows, F.sum("cents")), actions.act_one_by_one(rows, "cents", "idx", F.lit(0).cast("bigint"), lambda a, v: a + v))
+    at_once, zero = actions.act(rows, F.sum("cents")), F.lit(0).cast("bigint")
+    tried = {"sum": lambda a, v: a + v, "sum and one": lambda a, v: a + v + 1}
+    parts = [actions.distributes(at_once, actions.act_one_by_one(rows, "cents", "idx", zero, f)).select("doc", F.lit(k).alias("action")) for k, f in tried.items()]
+    return parts[0].unionByName(parts[1])
 
 
 # --- paths
@@ -833,7 +840,7 @@ WHOLE = {
     "fold_axes": f"{DOWN} SELECT doc, CAST(3 * c AS VARCHAR) AS n FROM z",
     "fold_roots": f"WITH {SKW} SELECT DISTINCT doc, 0 AS i FROM nd",
     "fold_cost_account": ORACLE["fold_cost_account"].replace(SK, SKW),
-    "fold_homomorphism": ORACLE["fold_homomorphism"],
+    "fold_homomorphism": ORACLE["fold_homomorphism"].replace(SK, SKW),
     "viol_endpoint_range": ORACLE["viol_endpoint_range"].replace(SK, SKW),
     "viol_single_parent": ORACLE["viol_single_parent"].replace(SK, SKW),
     "acyclic_leftover": ORACLE["acyclic_leftover"].replace(SK, SKW),
