@@ -29,10 +29,9 @@ def timeline(spark: SparkSession, sf_dir: str) -> Corpus:
     return Corpus((t,), (Relation("next", chain, acyclic=True, single_parent=True),), attributes={"cents": ("item", "integer"), "event_type": ("item", "string"), "weight": ("relation_instance", "integer"), "label": ("relation_declaration", "string"), "user": ("document", "string"), "sort": ("tier", "string"), "ts": ("position", "string")})
 
 
-def skip_dag(spark: SparkSession, sf_dir: str, most: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges) of each user's events, with edges to the next and the one after; only the first ``most`` events where that is given."""
+def skip_dag(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of each user's events, with edges to the next and the one after."""
     rows = timeline(spark, sf_dir).tier("event").rows
-    rows = rows if most is None else rows.where(F.col("idx") < most)
     nodes = rows.select("doc", node(0, F.col("idx")).alias("node"), F.col("cents").alias("value"), F.col("idx").alias("label"))
     size = rows.groupBy("doc").agg(F.count(F.lit(1)).alias("n"))
     pairs = rows.join(size, "doc").select("doc", "n", "idx", F.explode(F.array(F.col("idx") + 1, F.col("idx") + 2)).alias("to")).where("to < n")

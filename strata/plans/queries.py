@@ -13,19 +13,19 @@ from strata.operators import actions, fold, grammar, machine, paths, profiles, s
 from strata.operators import semiring as S
 from strata.plans import corpora as C
 
-#: The events of a user that the path-enumerating SQL takes; the queries named ..._whole take all.
-FIRST = 12
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
 # Common table expressions of the oracles.
 TL = """tl AS (SELECT user_id AS doc, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS idx, event_id, event_type, ts, props,
   CAST(round(value * 100) AS BIGINT) AS cents FROM events)"""
-SK = f"""{TL}, nd AS (SELECT doc, idx, cents FROM tl WHERE idx < 12), sz AS (SELECT doc, count(*) AS n FROM nd GROUP BY doc),
+SK = f"""{TL}, nd AS (SELECT doc, idx, cents FROM tl), sz AS (SELECT doc, count(*) AS n FROM nd GROUP BY doc),
   ed AS (SELECT nd.doc, idx AS l, idx + k AS r FROM nd JOIN sz USING (doc), (VALUES (1), (2)) AS s(k) WHERE idx + k < n)"""
-PATHS = f"""WITH RECURSIVE {SK}, p AS (SELECT doc, idx AS here, [idx] AS path, cents AS cost FROM nd WHERE idx = 0
-  UNION ALL SELECT p.doc, ed.r, list_append(p.path, ed.r), p.cost + nd.cents FROM p JOIN ed ON ed.doc = p.doc AND ed.l = p.here JOIN nd ON nd.doc = p.doc AND nd.idx = ed.r),
-  w AS (SELECT p.doc, cost, path FROM p JOIN sz USING (doc) WHERE here = n - 1)"""
+# Folds of the skip graph by recurrence, from the last event up: counts, costs, gains, sums, reachability and ties of a node and of the one after it.
+DOWN = f"""WITH RECURSIVE {SK}, x AS (SELECT doc, idx AS i, n, CAST(1 AS HUGEINT) AS c, CAST(0 AS HUGEINT) AS c2, cents AS lo, CAST(NULL AS BIGINT) AS lo2, cents AS hi, CAST(NULL AS BIGINT) AS hi2,
+    CAST(cents AS HUGEINT) AS s, CAST(0 AS HUGEINT) AS s2, cents > 1000 AS ok, false AS ok2, CAST(1 AS HUGEINT) AS t, CAST(0 AS HUGEINT) AS t2 FROM nd JOIN sz USING (doc) WHERE idx = n - 1
+  UNION ALL SELECT x.doc, x.i - 1, n, c + c2, c, cents + least(lo, lo2), lo, cents + greatest(hi, hi2), hi, cents * (c + c2) + s + s2, s, cents > 1000 AND (ok OR ok2), ok,
+    CASE WHEN lo2 IS NULL OR lo < lo2 THEN t WHEN lo = lo2 THEN t + t2 ELSE t2 END, t FROM x JOIN nd ON nd.doc = x.doc AND nd.idx = x.i - 1), z AS (SELECT * FROM x WHERE i = 0)"""
 OH = """od AS (SELECT o_custkey AS doc, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS i, o_orderkey, CAST(round(o_totalprice * 100) AS BIGINT) AS cents FROM orders),
   ln AS (SELECT o_custkey AS doc, row_number() OVER (PARTITION BY o_custkey ORDER BY l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) - 1 AS i,
     l_orderkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"""
@@ -37,6 +37,17 @@ WD = r"""li AS (SELECT doc_id AS doc, unnest(string_split(text, chr(10))) AS sai
   wd AS (SELECT doc, row_number() OVER (PARTITION BY doc ORDER BY line, nth) - 1 AS idx, surface, line - 1 AS line FROM w0)"""
 
 
+def _ranked(keep: str) -> str:
+    """Oracle of the best paths: w (doc, l) with the list l of (cost, path), of which ``keep`` says which part of the sorted list y goes on."""
+    mine = "list_transform(list_concat(w.l, w.l2), lambda e: {'cost': e.cost + nd.cents, 'path': list_prepend(nd.idx, e.path)})"
+    return f"""WITH RECURSIVE {SK}, v AS (SELECT doc, idx AS i, [{{'cost': cents, 'path': [idx]}}] AS l, list_filter([{{'cost': cents, 'path': [idx]}}], lambda e: false) AS l2 FROM nd JOIN sz USING (doc) WHERE idx = n - 1
+  UNION ALL SELECT doc, i, {keep} AS l, l2 FROM (SELECT w.doc, w.i - 1 AS i, list_sort({mine}) AS y, w.l AS l2 FROM v AS w JOIN nd ON nd.doc = w.doc AND nd.idx = w.i - 1)),
+  w AS (SELECT doc, unnest(l) AS e, generate_subscripts(l, 1) - 1 AS rank FROM v WHERE i = 0)"""
+
+
+TIED = "list_filter(y, lambda e: e.cost = y[1].cost)"
+
+
 def query(sql: str | None = None):
     def keep(f):
         QUERIES[f.__name__] = f
@@ -79,18 +90,18 @@ def sel_item(spark, d):
     return _flat(select.item(C.timeline(spark, d), "event", 3))
 
 
-@query(f"WITH {TL} SELECT doc, 2 AS kind, 0 AS t, idx AS i FROM tl WHERE event_id % 7 = 0")
-def sel_item_durable(spark, d, which="event_id % 7 = 0"):
+@query(f"WITH {TL} SELECT doc, 2 AS kind, 0 AS t, idx AS i FROM tl")
+def sel_item_durable(spark, d):
     corpus = C.timeline(spark, d)
-    ids = corpus.tier("event").rows.where(which).select("doc", F.col("event_id").cast("string").alias("durable_id"))
+    ids = corpus.tier("event").rows.select("doc", F.col("event_id").cast("string").alias("durable_id"))
     return _flat(select.durable_item(corpus, ids))
 
 
-@query(f"WITH {TL} SELECT doc, 3 AS kind, 0 AS t, idx + 1 AS i FROM tl WHERE event_id % 7 = 0 UNION SELECT doc, 3, 0, count(*) FROM tl GROUP BY doc")
-def sel_boundary_anchor(spark, d, which="event_id % 7 = 0"):
+@query(f"WITH {TL} SELECT doc, 3 AS kind, 0 AS t, idx + 1 AS i FROM tl")
+def sel_boundary_anchor(spark, d):
     corpus = C.timeline(spark, d)
     rows = corpus.tier("event").rows
-    by_item = rows.where(which).select("doc", F.col("event_id").cast("string").alias("durable_id"), F.lit("event").alias("tier"), F.lit("after").alias("side"))
+    by_item = rows.select("doc", F.col("event_id").cast("string").alias("durable_id"), F.lit("event").alias("tier"), F.lit("after").alias("side"))
     by_tier = rows.select("doc").distinct().select("doc", F.lit(None).cast("string").alias("durable_id"), F.lit("event").alias("tier"), F.lit("after").alias("side"))
     return _flat(select.anchored_boundary(corpus, by_item.unionByName(by_tier)))
 
@@ -169,27 +180,27 @@ def inspect_counts(spark, d):
 # --- traversal
 
 
-@query(f"WITH RECURSIVE {SK}, w AS (SELECT doc, r AS i FROM ed WHERE l = 2 UNION SELECT ed.doc, ed.r FROM w JOIN ed ON ed.doc = w.doc AND ed.l = w.i) SELECT doc, i FROM w")
-def walk_forward(spark, d, most=FIRST):
-    nodes, edges = C.skip_dag(spark, d, most)
+@query(f"WITH {SK} SELECT doc, idx AS i FROM nd WHERE idx > 2")
+def walk_forward(spark, d):
+    nodes, edges = C.skip_dag(spark, d)
     return traverse.walk(nodes.where("node.i = 2"), Relation("skip", edges, acyclic=True))[0].select("doc", F.col("node.i").alias("i"))
 
 
-@query(f"WITH RECURSIVE {SK}, w AS (SELECT doc, l AS i FROM ed WHERE r = 7 UNION SELECT ed.doc, ed.l FROM w JOIN ed ON ed.doc = w.doc AND ed.r = w.i) SELECT doc, i FROM w")
-def walk_inverse(spark, d, most=FIRST):
-    nodes, edges = C.skip_dag(spark, d, most)
+@query(f"WITH {SK} SELECT doc, idx AS i FROM nd JOIN sz USING (doc) WHERE n > 7 AND idx < 7")
+def walk_inverse(spark, d):
+    nodes, edges = C.skip_dag(spark, d)
     return traverse.walk(nodes.where("node.i = 7"), Relation("skip", edges, acyclic=True), traverse.INVERSE)[0].select("doc", F.col("node.i").alias("i"))
 
 
 @query(f"WITH {SK} SELECT doc, idx AS i FROM nd WHERE idx BETWEEN 1 AND 4")
-def walk_capped(spark, d, most=FIRST):
-    nodes, edges = C.skip_dag(spark, d, most)
+def walk_capped(spark, d):
+    nodes, edges = C.skip_dag(spark, d)
     return traverse.walk(nodes.where("node.i = 0"), Relation("skip", edges), cap=2)[0].select("doc", F.col("node.i").alias("i"))
 
 
 @query(f"WITH {SK} SELECT doc FROM sz WHERE n > 3")
-def walk_truncated(spark, d, most=FIRST):
-    nodes, edges = C.skip_dag(spark, d, most)
+def walk_truncated(spark, d):
+    nodes, edges = C.skip_dag(spark, d)
     return traverse.walk(nodes.where("node.i = 0"), Relation("skip", edges), cap=2)[1]
 
 
@@ -258,122 +269,115 @@ def fold_mincost_trade(spark, d):
     return fold.unrolled(C.trade_levels(spark, d, C.cents("l_extendedprice")), S.TROPICAL, lambda v: v)
 
 
-def _number(column: str, most: int | None):
-    """Counts of short documents fit BIGINT; those of whole timelines don't and are given as exact decimal text."""
-    return F.col(column).cast("string" if most is None else "bigint")
-
-
-def _skip(spark, d, most, semiring, lift, how=fold.OR, strategy=fold.per_document):
-    nodes, edges = C.skip_dag(spark, d, most)
+def _skip(spark, d, semiring, lift, how=fold.OR, strategy=fold.per_document):
+    nodes, edges = C.skip_dag(spark, d)
     return strategy(nodes, edges, semiring, lift, how), fold.roots(nodes, edges)
 
 
-def _at_root(spark, d, most, semiring, lift, how=fold.OR, strategy=fold.per_document):
-    values, root = _skip(spark, d, most, semiring, lift, how, strategy)
+def _at_root(spark, d, semiring, lift, how=fold.OR, strategy=fold.per_document):
+    values, root = _skip(spark, d, semiring, lift, how, strategy)
     return fold.total(values, root, semiring)
 
 
-@query(f"{PATHS} SELECT doc, count(*) AS n FROM w GROUP BY doc")
-def fold_count(spark, d, most=FIRST):
-    return _at_root(spark, d, most, S.COUNTING, lambda v, n: S.COUNTING.one()).select("doc", _number("value", most).alias("n"))
+@query(f"{DOWN} SELECT doc, CAST(c AS VARCHAR) AS n FROM z")
+def fold_count(spark, d):
+    return _at_root(spark, d, S.COUNTING, lambda v, n: S.COUNTING.one()).select("doc", F.col("value").cast("string").alias("n"))
 
 
-@query(f"{PATHS} SELECT doc, count(*) AS n FROM w GROUP BY doc")
-def fold_count_by_level(spark, d, most=FIRST):
-    return _at_root(spark, d, most, S.COUNTING, lambda v, n: S.COUNTING.one(), strategy=fold.by_level).select("doc", _number("value", most).alias("n"))
+@query(f"{DOWN} SELECT doc, CAST(c AS VARCHAR) AS n FROM z")
+def fold_count_by_level(spark, d):
+    return _at_root(spark, d, S.COUNTING, lambda v, n: S.COUNTING.one(), strategy=fold.by_level).select("doc", F.col("value").cast("string").alias("n"))
 
 
-@query(f"{PATHS} SELECT doc, min(cost) AS cost FROM w GROUP BY doc")
-def fold_mincost(spark, d, most=FIRST):
-    return _at_root(spark, d, most, S.TROPICAL, lambda v, n: v).select("doc", F.col("value").alias("cost"))
+@query(f"{DOWN} SELECT doc, lo AS cost FROM z")
+def fold_mincost(spark, d):
+    return _at_root(spark, d, S.TROPICAL, lambda v, n: v).select("doc", F.col("value").alias("cost"))
 
 
-@query(f"{PATHS} SELECT doc, max(cost) AS gain FROM w GROUP BY doc")
-def fold_maxgain(spark, d, most=FIRST):
-    return _at_root(spark, d, most, S.ARCTIC, lambda v, n: v).select("doc", F.col("value").alias("gain"))
+@query(f"{DOWN} SELECT doc, hi AS gain FROM z")
+def fold_maxgain(spark, d):
+    return _at_root(spark, d, S.ARCTIC, lambda v, n: v).select("doc", F.col("value").alias("gain"))
 
 
-@query(f"{PATHS}, ok AS (SELECT w.doc, bool_and(nd.cents > 1000) AS good FROM w, unnest(path) AS u(i) JOIN nd ON nd.doc = w.doc AND nd.idx = u.i GROUP BY w.doc, path) SELECT doc, bool_or(good) AS reachable FROM ok GROUP BY doc")
-def fold_bool(spark, d, most=FIRST):
-    return _at_root(spark, d, most, S.BOOLEAN, lambda v, n: v > 1000).select("doc", F.col("value").alias("reachable"))
+@query(f"{DOWN} SELECT doc, ok AS reachable FROM z")
+def fold_bool(spark, d):
+    return _at_root(spark, d, S.BOOLEAN, lambda v, n: v > 1000).select("doc", F.col("value").alias("reachable"))
 
 
-@query(f"{PATHS} SELECT doc, min(cost) AS cost, count(*) AS n FROM w GROUP BY doc")
-def fold_product(spark, d, most=FIRST):
+@query(f"{DOWN} SELECT doc, lo AS cost, CAST(c AS VARCHAR) AS n FROM z")
+def fold_product(spark, d):
     both = S.product(S.TROPICAL, S.COUNTING)
-    got = _at_root(spark, d, most, both, lambda v, n: F.struct(v.alias("a"), F.lit(1).cast(S.COUNT).alias("b")))
-    return got.select("doc", F.col("value.a").alias("cost"), _number("value.b", most).alias("n"))
+    got = _at_root(spark, d, both, lambda v, n: F.struct(v.alias("a"), F.lit(1).cast(S.COUNT).alias("b")))
+    return got.select("doc", F.col("value.a").alias("cost"), F.col("value.b").cast("string").alias("n"))
 
 
-@query(f"{PATHS}, m AS (SELECT doc, min(cost) AS cost FROM w GROUP BY doc) SELECT m.doc, m.cost, count(*) AS n FROM m JOIN w ON w.doc = m.doc AND w.cost = m.cost GROUP BY m.doc, m.cost")
-def fold_lexicographic(spark, d, most=FIRST):
+@query(f"{DOWN} SELECT doc, lo AS cost, CAST(t AS VARCHAR) AS n FROM z")
+def fold_lexicographic(spark, d):
     both = S.lexicographic(S.TROPICAL, S.COUNTING)
-    got = _at_root(spark, d, most, both, lambda v, n: F.struct(v.alias("a"), F.lit(1).cast(S.COUNT).alias("b")))
-    return got.select("doc", F.col("value.a").alias("cost"), _number("value.b", most).alias("n"))
+    got = _at_root(spark, d, both, lambda v, n: F.struct(v.alias("a"), F.lit(1).cast(S.COUNT).alias("b")))
+    return got.select("doc", F.col("value.a").alias("cost"), F.col("value.b").cast("string").alias("n"))
 
 
-@query(f"{PATHS} SELECT doc, count(*) AS weight, CAST(sum(cost) AS BIGINT) AS total FROM w GROUP BY doc")
-def fold_expectation(spark, d, most=FIRST):
+@query(f"{DOWN} SELECT doc, CAST(c AS VARCHAR) AS weight, CAST(s AS VARCHAR) AS total FROM z")
+def fold_expectation(spark, d):
     ring = S.expectation(S.COUNTING)
-    got = _at_root(spark, d, most, ring, lambda v, n: F.struct(F.lit(1).cast(S.COUNT).alias("w"), v.cast(S.COUNT).alias("s")))
-    return got.select("doc", _number("value.w", most).alias("weight"), _number("value.s", most).alias("total"))
+    got = _at_root(spark, d, ring, lambda v, n: F.struct(F.lit(1).cast(S.COUNT).alias("w"), v.cast(S.COUNT).alias("s")))
+    return got.select("doc", F.col("value.w").cast("string").alias("weight"), F.col("value.s").cast("string").alias("total"))
 
 
-@query(f"{PATHS}, m AS (SELECT doc, min(cost) AS cost FROM w GROUP BY doc) SELECT m.doc, m.cost, array_to_string(path, '-') AS path FROM m JOIN w ON w.doc = m.doc AND w.cost = m.cost")
-def fold_witness_all(spark, d, most=FIRST):
-    values, root = _skip(spark, d, most, S.PATH, lambda v, n: F.struct(v.alias("a"), F.array(F.array(n)).alias("b")))
-    return fold.paths(values, root, 2**31 - 1 if most is None else 1000).select("doc", "cost", F.array_join(F.col("path").cast("array<string>"), "-").alias("path"))
+@query(f"{_ranked(TIED)} SELECT doc, e.cost AS cost, array_to_string(e.path, '-') AS path FROM w")
+def fold_witness_all(spark, d):
+    values, root = _skip(spark, d, S.PATH, lambda v, n: F.struct(v.alias("a"), F.array(F.array(n)).alias("b")))
+    return fold.paths(values, root, 2**31 - 1).select("doc", "cost", F.array_join(F.col("path").cast("array<string>"), "-").alias("path"))
 
 
-@query(f"{PATHS}, r AS (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY cost, path) AS k FROM w) SELECT doc, cost, array_to_string(path, '-') AS path FROM r WHERE k = 1")
-def fold_witness_first(spark, d, most=FIRST):
-    values, root = _skip(spark, d, most, S.PATH, lambda v, n: F.struct(v.alias("a"), F.array(F.array(n)).alias("b")))
+@query(f"{_ranked('y[1:1]')} SELECT doc, e.cost AS cost, array_to_string(e.path, '-') AS path FROM w")
+def fold_witness_first(spark, d):
+    values, root = _skip(spark, d, S.PATH, lambda v, n: F.struct(v.alias("a"), F.array(F.array(n)).alias("b")))
     return fold.paths(values, root, 1).select("doc", "cost", F.array_join(F.col("path").cast("array<string>"), "-").alias("path"))
 
 
-@query(f"{PATHS}, r AS (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY cost, path) - 1 AS rank FROM w) SELECT doc, rank, cost, array_to_string(path, '-') AS path FROM r WHERE rank < 4")
-def fold_kbest(spark, d, most=FIRST):
+@query(f"{_ranked('y[1:4]')} SELECT doc, rank, e.cost AS cost, array_to_string(e.path, '-') AS path FROM w")
+def fold_kbest(spark, d):
     ring = S.best(4)
-    values, root = _skip(spark, d, most, ring, lambda v, n: F.array(F.struct(v.alias("v"), F.array(n).alias("p"))))
+    values, root = _skip(spark, d, ring, lambda v, n: F.array(F.struct(v.alias("v"), F.array(n).alias("p"))))
     at = values.join(root, ["doc", "node"], "left_semi").select("doc", F.posexplode("value").alias("rank", "x"))
     return at.select("doc", F.col("rank").cast("bigint").alias("rank"), F.col("x.v").alias("cost"), F.array_join(F.col("x.p").cast("array<string>"), "-").alias("path"))
 
 
-@query(f"""WITH RECURSIVE {SK}, x AS (SELECT nd.doc, nd.idx AS i, CAST(1 AS HUGEINT) AS v, CAST(1 AS HUGEINT) AS u, n FROM nd JOIN sz USING (doc) WHERE idx = n - 1
-  UNION ALL SELECT doc, i - 1, CASE WHEN i = n - 1 THEN v ELSE v * u END, v, n FROM x WHERE i > 0) SELECT doc, i, CAST(v AS BIGINT) AS value FROM x""")
-def fold_and(spark, d, most=FIRST):
-    return _skip(spark, d, most, S.COUNTING, lambda v, n: S.COUNTING.one(), fold.AND)[0].select("doc", F.col("node.i").alias("i"), _number("value", most).alias("value"))
+@query(f"WITH {SK} SELECT doc, idx AS i, '1' AS value FROM nd")
+def fold_and(spark, d):
+    return _skip(spark, d, S.COUNTING, lambda v, n: S.COUNTING.one(), fold.AND)[0].select("doc", F.col("node.i").alias("i"), F.col("value").cast("string").alias("value"))
 
 
-@query(f"""WITH RECURSIVE {SK}, x AS (SELECT nd.doc, nd.idx AS i, cents AS v, CAST(NULL AS BIGINT) AS u FROM nd JOIN sz USING (doc) WHERE idx = n - 1
-  UNION ALL SELECT x.doc, x.i - 1, nd.cents + least(x.v, x.u), x.v FROM x JOIN nd ON nd.doc = x.doc AND nd.idx = x.i - 1), a AS (SELECT unnest([0, 1, 2]) AS coordinate) SELECT doc, i, coordinate, v AS value FROM x, a""")
-def fold_states(spark, d, most=FIRST):
-    values, _ = _skip(spark, d, most, S.TROPICAL, lambda v, n: v)
+@query(f"{DOWN}, a AS (SELECT unnest([0, 1, 2]) AS coordinate) SELECT doc, i, coordinate, lo AS value FROM x, a")
+def fold_states(spark, d):
+    values, _ = _skip(spark, d, S.TROPICAL, lambda v, n: v)
     axes = spark.range(3).select(F.col("id").cast("int").alias("coordinate"))
     return fold.states(values, axes).select("doc", F.col("node.i").alias("i"), "coordinate", "value")
 
 
-@query(f"{PATHS} SELECT doc, 3 * count(*) AS n FROM w GROUP BY doc")
-def fold_axes(spark, d, most=FIRST):
-    values, root = _skip(spark, d, most, S.COUNTING, lambda v, n: S.COUNTING.one())
-    return fold.total(values, root, S.COUNTING, axes=3).select("doc", _number("value", most).alias("n"))
+@query(f"{DOWN} SELECT doc, CAST(3 * c AS VARCHAR) AS n FROM z")
+def fold_axes(spark, d):
+    values, root = _skip(spark, d, S.COUNTING, lambda v, n: S.COUNTING.one())
+    return fold.total(values, root, S.COUNTING, axes=3).select("doc", F.col("value").cast("string").alias("n"))
 
 
 @query(f"WITH {SK} SELECT DISTINCT doc, 0 AS i FROM nd")
-def fold_roots(spark, d, most=FIRST):
-    return fold.roots(*C.skip_dag(spark, d, most)).select("doc", F.col("node.i").alias("i"))
+def fold_roots(spark, d):
+    return fold.roots(*C.skip_dag(spark, d)).select("doc", F.col("node.i").alias("i"))
 
 
 @query(f"WITH {SK}, e AS (SELECT doc, count(*) AS m, count(DISTINCT l) AS inn FROM ed GROUP BY doc) SELECT doc, n AS size, coalesce(m, 0) AS incidence, coalesce(m - inn, 0) + 1 AS additions, n AS multiplications FROM sz LEFT JOIN e USING (doc)")
-def fold_cost_account(spark, d, most=FIRST):
-    return fold.cost_account(*C.skip_dag(spark, d, most))
+def fold_cost_account(spark, d):
+    return fold.cost_account(*C.skip_dag(spark, d))
 
 
 @query(f"WITH {SK} SELECT doc, unnest(range(greatest(n - 2, 0), n)) AS i, 'more than one' AS mapping FROM sz")
-def fold_homomorphism(spark, d, most=FIRST):
+def fold_homomorphism(spark, d):
     """Where a mapping doesn't carry counts to reachability: nowhere for "any", at the nodes with one path for "more than one"."""
-    count, _ = _skip(spark, d, most, S.COUNTING, lambda v, n: S.COUNTING.one())
-    reach, _ = _skip(spark, d, most, S.BOOLEAN, lambda v, n: S.BOOLEAN.one())
+    count, _ = _skip(spark, d, S.COUNTING, lambda v, n: S.COUNTING.one())
+    reach, _ = _skip(spark, d, S.BOOLEAN, lambda v, n: S.BOOLEAN.one())
     tried = {"any": lambda c: c > 0, "more than one": lambda c: c > 1}
     parts = [fold.homomorphic(count, reach, f).select("doc", F.col("node.i").alias("i"), F.lit(k).alias("mapping")) for k, f in tried.items()]
     return parts[0].unionByName(parts[1])
@@ -383,16 +387,16 @@ def fold_homomorphism(spark, d, most=FIRST):
 
 
 @query(f"WITH {SK} SELECT ed.doc, CAST(l AS VARCHAR) AS subject, CAST(r + 9 AS VARCHAR) AS detail FROM ed JOIN sz USING (doc) WHERE r - l = 1 AND r + 9 >= n")
-def viol_endpoint_range(spark, d, most=FIRST):
-    nodes, edges = C.skip_dag(spark, d, most)
+def viol_endpoint_range(spark, d):
+    nodes, edges = C.skip_dag(spark, d)
     bad = edges.where("r.i - l.i = 1").select("doc", F.col("l.i").alias("ord"), "l", node(0, F.col("r.i") + 9).alias("r"))
     sizes = nodes.groupBy("doc").agg(F.count(F.lit(1)).alias("n")).withColumn("t", F.lit(0))
     return validate.in_range(bad, sizes, "r").select("doc", "subject", "detail")
 
 
 @query(f"WITH {SK} SELECT doc, '0:' || r AS subject, CAST(count(DISTINCT l) AS VARCHAR) AS detail FROM ed GROUP BY doc, r HAVING count(DISTINCT l) > 1")
-def viol_single_parent(spark, d, most=FIRST):
-    return validate.single_parent(C.skip_dag(spark, d, most)[1]).select("doc", "subject", "detail")
+def viol_single_parent(spark, d):
+    return validate.single_parent(C.skip_dag(spark, d)[1]).select("doc", "subject", "detail")
 
 
 def _doubled(spark, d):
@@ -434,8 +438,8 @@ def viol_undeclared(spark, d):
 
 
 @query(f"WITH {SK} SELECT doc, '0:' || l AS subject, '0:' || r AS detail FROM ed WHERE doc % 4 = 0 AND doc IN (SELECT doc FROM sz WHERE n > 2) UNION ALL SELECT doc, '0:' || (n - 1), '0:0' FROM sz WHERE n > 2 AND doc % 4 = 0")
-def acyclic_leftover(spark, d, most=FIRST):
-    nodes, edges = C.skip_dag(spark, d, most)
+def acyclic_leftover(spark, d):
+    nodes, edges = C.skip_dag(spark, d)
     back = nodes.groupBy("doc").agg(F.count(F.lit(1)).alias("n")).where("n > 2 AND doc % 4 = 0").select("doc", node(0, F.col("n") - 1).alias("l"), node(0, F.lit(0)).alias("r"))
     return validate.acyclic(edges.unionByName(back)).select("doc", "subject", "detail")
 
@@ -680,7 +684,7 @@ def act_certificate(spark, d):
 # --- paths
 
 
-def _texts(spark, d, which):
+def _texts(spark, d):
     rows = _events(spark, d)
     forms = F.array(
         F.concat(F.lit("/items/structural/event/"), F.col("idx")),
@@ -691,10 +695,10 @@ def _texts(spark, d, which):
         F.concat(F.lit("/items/structural/none/"), F.col("idx")),
         F.concat(F.lit("/items/structural/event/"), F.col("idx") + 1000000),
     )
-    return rows.where(which).select("doc", "idx", F.posexplode(forms).alias("form", "path"))
+    return rows.select("doc", "idx", F.posexplode(forms).alias("form", "path"))
 
 
-@query(f"""WITH {TL}, b AS (SELECT doc, idx, event_id FROM tl WHERE idx % 10 = 1)
+@query(f"""WITH {TL}, b AS (SELECT doc, idx, event_id FROM tl)
   SELECT doc, '/items/structural/event/' || idx AS path, 'item' AS kind, idx AS i, CAST(NULL AS VARCHAR) AS code FROM b
   UNION ALL SELECT doc, '/items/durable/' || event_id, 'item', idx, NULL FROM b
   UNION ALL SELECT doc, '/positions/structural/event/' || (idx + 1), 'position', idx + 1, NULL FROM b
@@ -702,8 +706,8 @@ def _texts(spark, d, which):
   UNION ALL SELECT doc, '/items/structural/event/0' || idx, NULL, NULL, 'bad index' FROM b
   UNION ALL SELECT doc, '/items/structural/none/' || idx, NULL, NULL, 'unknown tier' FROM b
   UNION ALL SELECT doc, '/items/structural/event/' || (idx + 1000000), NULL, NULL, 'out of range' FROM b""")
-def path_resolve(spark, d, which="idx % 10 = 1"):
-    return paths.resolved(_texts(spark, d, which).select("doc", "path"), C.timeline(spark, d)).select("doc", "path", "kind", "i", "code")
+def path_resolve(spark, d):
+    return paths.resolved(_texts(spark, d).select("doc", "path"), C.timeline(spark, d)).select("doc", "path", "kind", "i", "code")
 
 
 # --- the edit log
@@ -798,76 +802,3 @@ def alignment_edges(spark, d):
     """Weighted correspondence: documents to labels, the weight on the edge."""
     labels, docs = C.table(spark, d, "labels"), C.table(spark, d, "documents").select("doc_id", F.length("text").cast("bigint").alias("weight"))
     return labels.join(docs, "doc_id").select("doc_id", "quality", "toxic", "weight")
-
-
-# --- whole timelines: walks, folds and constraints over every event of every user, the SQL by recurrence from the last event up
-
-
-SKW = SK.replace(" WHERE idx < 12", "")
-DOWN = f"""WITH RECURSIVE {SKW}, x AS (SELECT doc, idx AS i, n, CAST(1 AS HUGEINT) AS c, CAST(0 AS HUGEINT) AS c2, cents AS lo, CAST(NULL AS BIGINT) AS lo2, cents AS hi, CAST(NULL AS BIGINT) AS hi2,
-    CAST(cents AS HUGEINT) AS s, CAST(0 AS HUGEINT) AS s2, cents > 1000 AS ok, false AS ok2, CAST(1 AS HUGEINT) AS t, CAST(0 AS HUGEINT) AS t2 FROM nd JOIN sz USING (doc) WHERE idx = n - 1
-  UNION ALL SELECT x.doc, x.i - 1, n, c + c2, c, cents + least(lo, lo2), lo, cents + greatest(hi, hi2), hi, cents * (c + c2) + s + s2, s, cents > 1000 AND (ok OR ok2), ok,
-    CASE WHEN lo2 IS NULL OR lo < lo2 THEN t WHEN lo = lo2 THEN t + t2 ELSE t2 END, t FROM x JOIN nd ON nd.doc = x.doc AND nd.idx = x.i - 1), z AS (SELECT * FROM x WHERE i = 0)"""
-
-
-def _ranked(keep: str) -> str:
-    """Oracle of the best paths: w (doc, l) with the list l of (cost, path), of which ``keep`` says which part of the sorted list y goes on."""
-    mine = "list_transform(list_concat(w.l, w.l2), lambda e: {'cost': e.cost + nd.cents, 'path': list_prepend(nd.idx, e.path)})"
-    return f"""WITH RECURSIVE {SKW}, v AS (SELECT doc, idx AS i, [{{'cost': cents, 'path': [idx]}}] AS l, list_filter([{{'cost': cents, 'path': [idx]}}], lambda e: false) AS l2 FROM nd JOIN sz USING (doc) WHERE idx = n - 1
-  UNION ALL SELECT doc, i, {keep} AS l, l2 FROM (SELECT w.doc, w.i - 1 AS i, list_sort({mine}) AS y, w.l AS l2 FROM v AS w JOIN nd ON nd.doc = w.doc AND nd.idx = w.i - 1)),
-  w AS (SELECT doc, unnest(l) AS e, generate_subscripts(l, 1) - 1 AS rank FROM v WHERE i = 0)"""
-
-
-TIED = "list_filter(y, lambda e: e.cost = y[1].cost)"
-WHOLE = {
-    "walk_forward": f"WITH {SKW} SELECT doc, idx AS i FROM nd WHERE idx > 2",
-    "walk_inverse": f"WITH {SKW} SELECT doc, idx AS i FROM nd JOIN sz USING (doc) WHERE n > 7 AND idx < 7",
-    "walk_capped": f"WITH {SKW} SELECT doc, idx AS i FROM nd WHERE idx BETWEEN 1 AND 4",
-    "walk_truncated": f"WITH {SKW} SELECT doc FROM sz WHERE n > 3",
-    "fold_count": f"{DOWN} SELECT doc, CAST(c AS VARCHAR) AS n FROM z",
-    "fold_count_by_level": f"{DOWN} SELECT doc, CAST(c AS VARCHAR) AS n FROM z",
-    "fold_mincost": f"{DOWN} SELECT doc, lo AS cost FROM z",
-    "fold_maxgain": f"{DOWN} SELECT doc, hi AS gain FROM z",
-    "fold_bool": f"{DOWN} SELECT doc, ok AS reachable FROM z",
-    "fold_product": f"{DOWN} SELECT doc, lo AS cost, CAST(c AS VARCHAR) AS n FROM z",
-    "fold_lexicographic": f"{DOWN} SELECT doc, lo AS cost, CAST(t AS VARCHAR) AS n FROM z",
-    "fold_expectation": f"{DOWN} SELECT doc, CAST(c AS VARCHAR) AS weight, CAST(s AS VARCHAR) AS total FROM z",
-    "fold_witness_all": f"{_ranked(TIED)} SELECT doc, e.cost AS cost, array_to_string(e.path, '-') AS path FROM w",
-    "fold_witness_first": f"{_ranked('y[1:1]')} SELECT doc, e.cost AS cost, array_to_string(e.path, '-') AS path FROM w",
-    "fold_kbest": f"{_ranked('y[1:4]')} SELECT doc, rank, e.cost AS cost, array_to_string(e.path, '-') AS path FROM w",
-    "fold_and": f"WITH {SKW} SELECT doc, idx AS i, '1' AS value FROM nd",
-    "fold_states": f"{DOWN}, a AS (SELECT unnest([0, 1, 2]) AS coordinate) SELECT doc, i, coordinate, lo AS value FROM x, a",
-    "fold_axes": f"{DOWN} SELECT doc, CAST(3 * c AS VARCHAR) AS n FROM z",
-    "fold_roots": f"WITH {SKW} SELECT DISTINCT doc, 0 AS i FROM nd",
-    "fold_cost_account": ORACLE["fold_cost_account"].replace(SK, SKW),
-    "fold_homomorphism": ORACLE["fold_homomorphism"].replace(SK, SKW),
-    "viol_endpoint_range": ORACLE["viol_endpoint_range"].replace(SK, SKW),
-    "viol_single_parent": ORACLE["viol_single_parent"].replace(SK, SKW),
-    "acyclic_leftover": ORACLE["acyclic_leftover"].replace(SK, SKW),
-}
-
-
-def _whole(name: str) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, d: globals()[name](spark, d, None)
-
-
-for _name, _sql in WHOLE.items():
-    QUERIES[f"{_name}_whole"], ORACLE[f"{_name}_whole"] = _whole(_name), _sql
-
-
-# --- every event: the lookups above without their subsets of ids
-
-
-@query(f"WITH {TL} SELECT doc, 2 AS kind, 0 AS t, idx AS i FROM tl")
-def sel_item_durable_whole(spark, d):
-    return sel_item_durable(spark, d, "true")
-
-
-@query(f"WITH {TL} SELECT doc, 3 AS kind, 0 AS t, idx + 1 AS i FROM tl")
-def sel_boundary_anchor_whole(spark, d):
-    return sel_boundary_anchor(spark, d, "true")
-
-
-@query(ORACLE["path_resolve"].replace(" WHERE idx % 10 = 1", ""))
-def path_resolve_whole(spark, d):
-    return path_resolve(spark, d, "true")
