@@ -64,33 +64,29 @@ def per_document(nodes: DataFrame, edges: DataFrame, semiring: Semiring, lift: C
 
 
 def by_level(nodes: DataFrame, edges: DataFrame, semiring: Semiring, lift: Callable[[Column, Column], Column], how: str = OR) -> DataFrame:
-    """The same for any graph without cycles and of any size; raises where a cycle keeps nodes from being evaluated."""
+    """The same for any graph without cycles and of any size; raises where a cycle keeps nodes from being evaluated.
+
+    A round is one join of the edges with the nodes' state, one aggregation by parent and one checkpoint: nodes whose children are all done get their values.
+    """
     inside = cut(admitted(nodes, edges))
-    lifted = nodes.select("doc", "node", lift(F.col("value"), F.col("label")).cast(semiring.type).alias("own"))
-    waiting = cut(lifted)
-    done = None
-    while True:
-        parents = inside.join(waiting.select("doc", F.col("node").alias("r")), ["doc", "r"], "left_semi").select("doc", F.col("l").alias("node")).distinct()
-        ready = waiting.join(parents, ["doc", "node"], "left_anti")
-        if done is None:
-            new = ready.select("doc", "node", F.col("own").alias("value"))
-            done = cut(new)
+    state = cut(nodes.select("doc", "node", lift(F.col("value"), F.col("label")).cast(semiring.type).alias("own"), F.lit(None).cast(semiring.type).alias("value"), F.lit(False).alias("done")))
+    waiting = state.count()
+    while waiting:
+        child = state.select("doc", F.col("node").alias("r"), "value", "done")
+        below = inside.join(child, ["doc", "r"]).groupBy("doc", F.col("l").alias("node"))
+        if how == OR and semiring.total is not None:
+            gathered = semiring.total(F.col("value"))
         else:
-            below = inside.join(done.select("doc", F.col("node").alias("r"), "value"), ["doc", "r"]).groupBy("doc", F.col("l").alias("node"))
-            if how == OR and semiring.total is not None:
-                gathered = below.agg(semiring.total(F.col("value")).alias("below"))
-            else:
-                in_order = F.transform(F.array_sort(F.collect_list(F.struct("r", F.col("value").alias("v")))), lambda x: x.v)
-                gathered = below.agg(combine(semiring, how, in_order).alias("below"))
-            new = cut(ready.join(gathered, ["doc", "node"]).select("doc", "node", semiring.mul(F.col("own"), F.col("below")).cast(semiring.type).alias("value")))
-            if new.isEmpty():
-                if waiting.isEmpty():
-                    return done
-                raise ValueError("the relation has a cycle")
-            done = cut(done.unionByName(new))
-        waiting = cut(waiting.join(done.select("doc", "node"), ["doc", "node"], "left_anti"))
-        if waiting.isEmpty():
-            return done
+            gathered = combine(semiring, how, F.transform(F.array_sort(F.collect_list(F.struct("r", F.col("value").alias("v")))), lambda x: x.v))
+        found = below.agg(F.bool_and("done").alias("ready"), gathered.alias("below"))
+        fresh = F.when(F.col("ready").isNull(), F.col("own")).when(F.col("ready"), semiring.mul(F.col("own"), F.col("below"))).cast(semiring.type)
+        value, done = F.when(F.col("done"), F.col("value")).otherwise(fresh), F.col("done") | F.coalesce("ready", F.lit(True))
+        state = cut(state.join(found, ["doc", "node"], "left").select("doc", "node", "own", value.alias("value"), done.alias("done")))
+        left = state.where("NOT done").count()
+        if left == waiting:
+            raise ValueError("the relation has a cycle")
+        waiting = left
+    return state.select("doc", "node", "value")
 
 
 def unrolled(levels: list[tuple[DataFrame, str | None, str]], semiring: Semiring, lift: Callable[[Column], Column], how: str = OR) -> DataFrame:
