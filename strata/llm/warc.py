@@ -7,7 +7,10 @@ archive's bytes in order: it inflates member by member in steps of ``STEP`` byte
 the payload's digest.
 
 Defined results: null html is an empty payload; null url leaves out the target; control characters in a url are percent-encoded; equal rows
-(same page_id and payload) are all responses; an empty table gives no archives; extra columns are ignored. A broken record raises ``ValueError``.
+(same page_id and payload) are all responses; very long pages are written and read whole; an empty table gives no archives; extra columns are ignored.
+Of archives by other writers, records that are neither response nor revisit (``warcinfo``, ``request``, ``metadata``) are framed and passed over;
+digests are verified where a record has them; a name that isn't one of ours gives a null page_id or refers_to, and a revisit that doesn't tell
+the payload's length or digest has null there. A broken record, any kind, raises ``ValueError``.
 """
 
 from __future__ import annotations
@@ -97,13 +100,18 @@ def records(data: bytes | memoryview, step: int = STEP) -> Iterator[tuple[dict[s
             if at >= len(view):
                 raise ValueError("the archive ends inside a member")
             part = view[at : at + step]
-            out += z.decompress(part)
+            try:
+                out += z.decompress(part)
+            except zlib.error as error:
+                raise ValueError("the member isn't gzip") from error
             at += len(part) - len(z.unused_data)
         cut = out.find(b"\r\n\r\n")
         lines = bytes(out[: max(cut, 0)]).decode().split("\r\n")
         if cut < 0 or not lines[0].startswith("WARC/"):
             raise ValueError("not a record")
         header = {k.lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
+        if "content-length" not in header:
+            raise ValueError("the record has no content length")
         length = int(header["content-length"])
         block = bytes(out[cut + 4 : cut + 4 + length])
         if len(block) != length or out[cut + 4 + length :] != b"\r\n\r\n":
@@ -112,22 +120,40 @@ def records(data: bytes | memoryview, step: int = STEP) -> Iterator[tuple[dict[s
 
 
 def page_of(name: str) -> int | None:
-    found = name.strip("<>").removeprefix(PREFIX)
-    return int(found) if found else None
-
-
-def parsed(header: dict[str, str], block: bytes) -> tuple[int | None, int, str, str, int | None, bytes | None]:
-    """page_id, payload_bytes, payload_digest, record_type, refers_to, payload (None for a revisit) of a verified record."""
-    if header["warc-block-digest"] != "sha1:" + digest(block):
+    """The page that one of our names stands for."""
+    found = re.fullmatch(re.escape(PREFIX) + "(-?[0-9]+)", name.strip("<>"))
+    return int(found[1]) if found else None
+
+
+def agrees(said: str | None, data: bytes) -> bool:
+    """Whether a digest header (algorithm:base32 or algorithm:hex) is that of ``data``; a record may have none."""
+    if said is None:
+        return True
+    name, _, value = said.partition(":")
+    if name.lower() not in hashlib.algorithms_guaranteed or name.lower().startswith("shake"):
+        raise ValueError(f"unknown digest {name}")
+    raw = hashlib.new(name.lower(), data).digest()
+    return value.upper().rstrip("=") == base64.b32encode(raw).decode().rstrip("=") or value.lower() == raw.hex()
+
+
+def parsed(header: dict[str, str], block: bytes) -> tuple[int | None, int | None, str | None, str, int | None, bytes | None] | None:
+    """page_id, payload_bytes, payload_digest, record_type, refers_to, payload (None for a revisit) of a verified record; None for other kinds."""
+    kind = header.get("warc-type")
+    if kind is None or "warc-record-id" not in header:
+        raise ValueError("the record has no type or no name")
+    if not agrees(header.get("warc-block-digest"), block):
         raise ValueError("the block's digest differs")
+    if kind not in ("response", "revisit"):
+        return None
     head, _, payload = block.partition(b"\r\n\r\n")
-    length = int(re.search(rb"(?i)\r\ncontent-length: *([0-9]+)", head)[1])
-    said = header["warc-payload-digest"].removeprefix("sha1:")
-    kind = header["warc-type"]
-    if kind == "response" and (len(payload) != length or digest(payload) != said):
+    found = re.search(rb"(?i)\r\ncontent-length: *([0-9]+)", head)
+    length, said = int(found[1]) if found else None, header.get("warc-payload-digest")
+    name = page_of(header["warc-record-id"])
+    if kind == "revisit":
+        return name, length, said and said.removeprefix("sha1:"), kind, page_of(header.get("warc-refers-to", "")), None
+    if length not in (None, len(payload)) or not agrees(said, payload):
         raise ValueError("the payload's digest or length differs")
-    refers = page_of(header["warc-refers-to"]) if kind == "revisit" else None
-    return page_of(header["warc-record-id"]), length, said, kind, refers, payload if kind == "response" else None
+    return name, len(payload), digest(payload), kind, None, payload
 
 
 def read(archives: DataFrame) -> DataFrame:
@@ -138,7 +164,10 @@ def read(archives: DataFrame) -> DataFrame:
             for data in batch.column("data"):
                 out: list[list] = [[] for _ in range(7)]
                 for header, block in records(memoryview(data.as_buffer())):
-                    page_id, n, said, kind, refers, payload = parsed(header, block)
+                    found = parsed(header, block)
+                    if found is None:
+                        continue
+                    page_id, n, said, kind, refers, payload = found
                     for column, value in zip(out, (page_id, n, said, kind, refers, header.get("warc-target-uri"), payload)):
                         column.append(value)
                 kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.binary())

@@ -338,6 +338,27 @@ def test_broken_archives_raise():
     assert len(list(warc.records(warc.member(good) * 3, step=7))) == 3
 
 
+def test_warc_of_other_writers(spark, tmp_path):
+    def foreign(kind, block, *more):
+        head = ["WARC/1.0", f"WARC-Type: {kind}", "WARC-Record-ID: <urn:uuid:1b4e28ba-2fa1-11d2-883f-0016d3cca427>", *more, f"Content-Length: {len(block)}"]
+        return warc.member("\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n")
+
+    page = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\nhello"
+    parts = [foreign("warcinfo", b"software: x"), foreign("response", page), foreign("revisit", b"HTTP/1.1 200 OK\r\n\r\n"), warc.member(warc.record(5, None, b"ours", None))]
+    (tmp_path / "mixed.warc.gz").write_bytes(b"".join(parts))
+    got = sorted((r.record_type, r.page_id, r.payload_bytes, r.payload_digest) for r in warc.read_files(spark, str(tmp_path)).where("payload IS NOT NULL").collect() if r.page_id)
+    assert got == [("response", 5, 4, warc.digest(b"ours"))]
+    rows = {(r.record_type, r.page_id, r.payload_bytes, r.refers_to) for r in warc.read_files(spark, str(tmp_path)).collect()}
+    assert rows == {("response", None, 5, None), ("revisit", None, None, None), ("response", 5, 4, None)}
+    run = lambda data: [warc.parsed(*r) for r in warc.records(data)]
+    assert run(foreign("response", page, "WARC-Payload-Digest: sha256:2cf24dba5fb0a30e26e83b2ac5b9e29e1b161e5c1fa7425e73043362938b9824"))[0][1] == 5
+    nameless = warc.member(b"WARC/1.0\r\nWARC-Type: response\r\nContent-Length: 0\r\n\r\n\r\n\r\n")
+    unframed = warc.member(b"WARC/1.0\r\nWARC-Type: response\r\n\r\n\r\n\r\n")
+    for bad in (nameless, unframed, b"not gzip at all", foreign("response", page, "WARC-Payload-Digest: sha1:AAAA"), foreign("response", page, "WARC-Block-Digest: crc:1")):
+        with pytest.raises(ValueError):
+            run(bad)
+
+
 # --- 6
 
 
