@@ -1,5 +1,7 @@
 """DuckDB SQL for the queries of this subpackage that SQL can express on whole tables."""
 
+from strata.llm import url_filter
+
 _UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _BENCH_WORDS = rf"regexp_extract_all(translate(coalesce(text, ''), '{_UP}', '{_LOW}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -47,3 +49,60 @@ WITH p AS (SELECT page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS
 q AS (SELECT page_id, h, x, max(page_id) OVER (PARTITION BY x) AS last,
   array_to_string(list_transform(range(0, 32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(list_sum(list_transform(range(0, 5), lambda j: (((strpos('0123456789abcdef', substr(x, CAST((5 * k + j) // 4 + 1 AS INTEGER), 1)) - 1) >> CAST(3 - (5 * k + j) % 4 AS INTEGER)) & 1) * [16, 8, 4, 2, 1][j + 1])) AS INTEGER) + 1, 1)), '') AS digest FROM p)
 SELECT page_id, strlen(h) AS payload_bytes, digest AS payload_digest, CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> last THEN last END AS refers_to FROM q"""
+
+_EMB = "WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(256 * x::DOUBLE) AS BIGINT)) AS x, len(embedding) // 16 AS w FROM embeddings WHERE len(embedding) > 0 AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x))))"
+
+
+def _round(k: int) -> str:
+    """Assignment ``a{k}`` to the entries ``b{k}``, and the entries after it."""
+    return f""", d{k} AS (SELECT i, p, min(list_sum(list_transform(list_zip(v, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) * 64 + entry) AS best FROM q JOIN b{k} USING (p) GROUP BY i, p),
+a{k} AS (SELECT i, p, CAST(best % 64 AS BIGINT) AS entry, best // 64 AS error FROM d{k}),
+s{k} AS (SELECT p, entry, pos, CAST(floor(sum(x) / count(*)) AS BIGINT) AS c, sum(x) AS total, count(*) AS n FROM (SELECT p, entry, unnest(v) AS x, generate_subscripts(v, 1) AS pos FROM a{k} JOIN q USING (i, p)) GROUP BY ALL),
+m{k} AS (SELECT p, entry, list((total - ((total % n) + n) % n) // n ORDER BY pos) AS c FROM s{k} GROUP BY p, entry),
+b{k + 1} AS (SELECT p, entry, CASE WHEN m{k}.c IS NULL THEN b{k}.c ELSE list_transform(m{k}.c, lambda x: CAST(x AS BIGINT)) END AS c FROM b{k} LEFT JOIN m{k} USING (p, entry))"""
+
+
+#: Vectors have no id of their own here: ``i`` numbers the rows.
+VECTOR_CODES = f"""{_EMB},
+n AS (SELECT row_number() OVER (ORDER BY vec_id, x) - 1 AS i, * FROM e),
+q AS (SELECT i, p, x[p * w + 1 : p * w + w] AS v FROM n, range(16) t(p)),
+b0 AS (SELECT p, i AS entry, v AS c FROM q WHERE i < 64){_round(0)}{_round(1)}{_round(2)},
+f AS (SELECT i, string_agg(printf('%02x', entry), '' ORDER BY p) AS code, CAST(sum(error) AS BIGINT) AS error FROM a2 GROUP BY i)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+  (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, entry)) FROM b2) AS codebooks_sha256 FROM n JOIN f USING (i)"""
+
+
+def _url_parts(table: str) -> str:
+    own = "split_part(translate(substr(url, instr(url, '://') + 3), '?#', '##'), '#', 1)"
+    return f"""(SELECT *, CASE WHEN instr(url, '://') > 0 THEN translate(split_part({own}, '/', 1), '{_UP}', '{_LOW}') ELSE '' END AS host,
+  CASE WHEN instr(url, '://') > 0 AND instr({own}, '/') > 0 THEN substr({own}, instr({own}, '/')) ELSE '' END AS path FROM (SELECT * REPLACE (coalesce(url, '') AS url) FROM {table}))"""
+
+
+def _url_buckets(text: str, seed: int) -> str:
+    points = f"list_transform(string_split('^' || {text} || '$', ''), lambda c: CAST(unicode(c) AS BIGINT))"
+    return f"list_transform(range(1, greatest(length({text}), 1) + 1), lambda i: ((({points})[i] * 8191 + coalesce(({points})[i + 1], 0)) * 8191 + coalesce(({points})[i + 2], 0)) * 31 + {seed}) "
+
+
+def _url_features() -> str:
+    return " || ".join(f"list_transform({_url_buckets(c, s)}, lambda v: v % 1000003 % {url_filter.BUCKETS})" for c, s in zip(("host", "path"), url_filter.SEEDS))
+
+
+_LAB = ", ".join(f"('{u}', {y})" for u, y in url_filter.LABELLED)
+_RULE = " ".join(f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN '{v} {h}{p}'" for v, h, p in sorted(url_filter.RULES, key=lambda r: -len(r[1] + r[2])))
+
+#: The regression is fitted here too, by the same descent.
+URL_FILTER = f"""
+WITH RECURSIVE lab(url, y) AS (VALUES {_LAB}),
+l AS (SELECT row_number() OVER (ORDER BY host, path, y) AS r, y, {_url_features()} AS f FROM {_url_parts("lab")}),
+c AS (SELECT r, b, count(*) AS c FROM (SELECT r, unnest(f) AS b FROM l) GROUP BY r, b),
+n AS (SELECT r, sqrt(sum(c * c)) AS n FROM c GROUP BY r),
+g AS (SELECT x.r AS i, z.r AS j, sum(x.c * z.c) AS g FROM c AS x JOIN c AS z USING (b) GROUP BY 1, 2),
+k AS (SELECT x.r AS i, list(coalesce(g, 0) / (x.n * z.n) + 1 ORDER BY z.r) AS k FROM n AS x CROSS JOIN n AS z LEFT JOIN g ON g.i = x.r AND g.j = z.r GROUP BY 1),
+t AS (SELECT 0 AS step, (SELECT list(k ORDER BY i) FROM k) AS k, (SELECT list(y ORDER BY r) FROM l) AS y, list_transform((SELECT list(y) FROM l), lambda v: 0.0::DOUBLE) AS a
+  UNION ALL SELECT step + 1, k, y, list_transform(a, lambda v, r: v - {url_filter.RATE} * ({url_filter.PENALTY} * v + (1 / (1 + exp(-list_dot_product(k[r], a))) - y[r]) / len(a))) FROM t WHERE step < {url_filter.STEPS}),
+fit AS (SELECT unnest(a) AS a, generate_subscripts(a, 1) AS r FROM t WHERE step = {url_filter.STEPS}),
+w AS (SELECT b, round(sum(a * c / n) * {url_filter.SCALE}) AS w FROM c JOIN n USING (r) JOIN fit USING (r) GROUP BY b),
+p AS (SELECT row_number() OVER () AS i, page_id, host, path, {_url_features()} AS f FROM {_url_parts("pages")}),
+s AS (SELECT i, sum(c * coalesce(w, 0)) / {url_filter.SCALE} / sqrt(sum(c * c)) + (SELECT sum(a) FROM fit) AS s FROM (SELECT i, b, count(*) AS c FROM (SELECT i, unnest(f) AS b FROM p) GROUP BY i, b) LEFT JOIN w USING (b) GROUP BY i),
+v AS (SELECT page_id, host, path, CASE {_RULE} END AS rule, s FROM p JOIN s USING (i))
+SELECT page_id, host, path, split_part(rule, ' ', 2) AS rule, coalesce(split_part(rule, ' ', 1), CASE WHEN s >= 0 THEN 'block' ELSE 'allow' END) AS verdict FROM v"""
