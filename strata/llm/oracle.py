@@ -106,3 +106,19 @@ p AS (SELECT row_number() OVER () AS i, page_id, host, path, {_url_features()} A
 s AS (SELECT i, sum(c * coalesce(w, 0)) / {url_filter.SCALE} / sqrt(sum(c * c)) + (SELECT sum(a) FROM fit) AS s FROM (SELECT i, b, count(*) AS c FROM (SELECT i, unnest(f) AS b FROM p) GROUP BY i, b) LEFT JOIN w USING (b) GROUP BY i),
 v AS (SELECT page_id, host, path, CASE {_RULE} END AS rule, s FROM p JOIN s USING (i))
 SELECT page_id, host, path, split_part(rule, ' ', 2) AS rule, coalesce(split_part(rule, ' ', 1), CASE WHEN s >= 0 THEN 'block' ELSE 'allow' END) AS verdict FROM v"""
+
+COLLOCATIONS = rf"""
+WITH p AS (SELECT lang, unnest(string_split_regex(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), '{_UP}', '{_LOW}') AS t FROM documents)),
+w AS (SELECT lang, row_number() OVER () AS i, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+one AS (SELECT lang, i, unnest(w) AS x, generate_subscripts(w, 1) AS j FROM w),
+tri AS (SELECT lang, x, lead(x) OVER o AS y, lead(x, 2) OVER o AS z FROM one WINDOW o AS (PARTITION BY i ORDER BY j)),
+f AS (SELECT lang, phrase, k, count(*) AS f FROM (SELECT lang, x AS phrase, 1 AS k FROM tri UNION ALL SELECT lang, x || ' ' || y, 2 FROM tri UNION ALL SELECT lang, x || ' ' || y || ' ' || z, 3 FROM tri) WHERE phrase IS NOT NULL GROUP BY ALL),
+n AS (SELECT lang, count(*) AS n FROM one GROUP BY lang),
+c AS (SELECT lang, phrase, k, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1 AND f >= 10),
+cut AS (SELECT lang, phrase, a, w, j FROM (SELECT *, unnest(range(1, k)) AS j FROM c)),
+s AS (SELECT cut.lang, cut.phrase, a, j, x.f AS l, y.f AS r, CAST((CAST(1000000 AS HUGEINT) * a * a) // (CAST(x.f AS HUGEINT) * y.f) AS BIGINT) AS score FROM cut
+  JOIN f AS x ON x.lang = cut.lang AND x.phrase = array_to_string(w[1 : j], ' ') JOIN f AS y ON y.lang = cut.lang AND y.phrase = array_to_string(w[j + 1 :], ' ')),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+o AS (SELECT lang, phrase, max(a) AS o FROM (SELECT lang, a, array_to_string(w[i : i + 1], ' ') AS phrase FROM c, range(1, 3) t(i) WHERE k = 3) GROUP BY ALL)
+SELECT b.lang, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, b.phrase) AS rank, b.phrase, a, l, r, n, score
+FROM b JOIN n ON n.lang = b.lang LEFT JOIN o ON o.lang = b.lang AND o.phrase = b.phrase WHERE o IS NULL OR 100 * o < 50 * a QUALIFY rank <= 2000"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.llm import decontaminate, html_extract, oracle, packing, pii, quality_crf, quality_rules, simhash, substring_dedup, suffix_dedup, url_filter, vector_codes, warc
+from strata.llm import collocations, decontaminate, html_extract, oracle, packing, pii, quality_crf, quality_rules, simhash, substring_dedup, suffix_dedup, url_filter, vector_codes, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -69,7 +69,11 @@ def op12_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(_read(spark, sf_dir, "pages"), url_filter.train(url_filter.labelled(spark))).drop("probability")
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_quality_rules, op3_decontaminate, op4_substring_dedup, op5_warc, op6_quality_classifier, op7_packing, op8_simhash, op9_html_extraction, op10_suffix_dedup, op11_vector_codes, op12_url_filter)}
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(_read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_pii, op2_quality_rules, op3_decontaminate, op4_substring_dedup, op5_warc, op6_quality_classifier, op7_packing, op8_simhash, op9_html_extraction, op10_suffix_dedup, op11_vector_codes, op12_url_filter, op13_collocations)}
 #: The others are beyond SQL; tests hold them against plain versions.
 ORACLE: dict[str, str] = {
     "op2_quality_rules": oracle.QUALITY_RULES,
@@ -78,4 +82,5 @@ ORACLE: dict[str, str] = {
     "op5_warc": oracle.WARC,
     "op11_vector_codes": oracle.VECTOR_CODES,
     "op12_url_filter": oracle.URL_FILTER,
+    "op13_collocations": oracle.COLLOCATIONS,
 }
