@@ -30,7 +30,7 @@ from strata.llm._arrow import blocks
 from strata.llm._stage import discard, kept
 
 FLOOR, LONGEST, TOP, INSIDE = 10, 3, 2000, 50
-BLOCK, LEAST_LOG2, MOST_LOG2, LOW = 1 << 23, 16, 28, 16  # LOW: bits of a slot within its range
+BLOCK, LEAST_LOG2, MOST_LOG2, LOW = 1 << 21, 16, 28, 16  # LOW: bits of a slot within its range
 SALTS = 64
 UNKNOWN = "und"
 
@@ -223,6 +223,8 @@ def _pass(docs: DataFrame, n: int, log2: int, more: bool, parts: np.ndarray | No
                 at = np.flatnonzero(longer)
                 if len(at):
                     yield _bucket_rows(w.slots(at, n + 1, log2))
+                del longer
+            del w, fine, at, lang, phrase, count  # one block at a time in memory
 
     return docs.select("lang", "text").mapInArrow(run, SCHEMA)
 
