@@ -101,8 +101,9 @@ def exact_quotient(numerator: Column, denominator: int, digits: int = 12) -> Col
     if scale > digits:
         raise ValueError("too many digits")
     ends = numerator % rest == 0
-    units = (numerator / rest).cast("decimal(38,0)") * F.lit(10**scale // (denominator // rest)).cast("decimal(38,0)")
-    text = (units.cast("decimal(38,0)") * F.lit(1).cast("decimal(1,0)")).cast("string")
+    # integer division: a double would round what lies over 2**53
+    units = F.call_function("div", numerator.cast("bigint"), F.lit(rest).cast("bigint")).cast("decimal(38,0)") * F.lit(10**scale // (denominator // rest)).cast("decimal(38,0)")
+    text = F.abs(units.cast("decimal(38,0)")).cast("string")
     padded = F.lpad(text, F.greatest(F.length(text), F.lit(scale + 1)), F.lit("0"))
-    joined = F.concat(F.substring(padded, F.lit(1), F.length(padded) - scale), F.lit("."), F.substring(padded, F.length(padded) - scale + 1, F.lit(scale)) if scale else F.lit("0"))
+    joined = F.concat(F.when(numerator < 0, "-").otherwise(""), F.substring(padded, F.lit(1), F.length(padded) - scale), F.lit("."), F.substring(padded, F.length(padded) - scale + 1, F.lit(scale)) if scale else F.lit("0"))
     return F.when(ends, decimal(joined))

@@ -2,13 +2,12 @@
 
 Rules are tables: a rule has a left side, a weight and a source pattern of terminals (one token) and holes (a nonterminal over at least one
 token). Nullable holes and unit rules are rewritten on the driver, the rules being few. Each chart row carries whether it is recognised, the
-number of derivations and the cheapest ones, so no forest has to be unpacked.
+number of derivations and the cheapest ones, so those need no forest; ``operators.forest`` makes one where the applications themselves are asked for.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
-from itertools import combinations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,29 +35,34 @@ def is_unit(rule: Rule) -> bool:
     return len(rule.pattern) == 1 and rule.pattern[0][0] == "n"
 
 
-def expanded(rules: list[Rule]) -> list[tuple[int, Rule]]:
-    """(original rule, rule) without empty and unit rules: every subset of nullable holes left out, unit chains followed."""
+def variants(rules: list[Rule]) -> list[tuple[int, int, Rule]]:
+    """(original rule, variant, rule) without empty and unit rules: every subset of nullable holes left out, unit chains followed. A rule's variants
+    are numbered by the holes they keep, a later hole weighing more; equal patterns of a rule are one variant."""
     empty = nullable(rules)
-    out: dict[tuple[int, str, tuple], Rule] = {}
+    out: dict[tuple[int, str, tuple], tuple[int, Rule]] = {}
     for n, r in enumerate(rules):
         holes = [i for i, (k, v) in enumerate(r.pattern) if k == "n" and v in empty]
-        for size in range(len(holes) + 1):
-            for gone in combinations(holes, size):
-                pattern = tuple(x for i, x in enumerate(r.pattern) if i not in gone)
-                if pattern:
-                    out.setdefault((n, r.left, pattern), Rule(r.left, pattern, r.weight))
-    units = {(r.left, r.pattern[0][1]) for r in out.values() if is_unit(r)}
+        for kept in range(1 << len(holes)):
+            gone = {i for j, i in enumerate(holes) if not kept >> j & 1}
+            pattern = tuple(x for i, x in enumerate(r.pattern) if i not in gone)
+            if pattern:
+                out.setdefault((n, r.left, pattern), (kept, Rule(r.left, pattern, r.weight)))
+    units = {(r.left, r.pattern[0][1]) for _, r in out.values() if is_unit(r)}
     while True:
         more = {(a, d) for a, b in units for c, d in units if b == c} - units
         if not more:
             break
         units |= more
-    full = {k: r for k, r in out.items() if not is_unit(r)}
+    full = {k: x for k, x in out.items() if not is_unit(x[1])}
     for above, below in units:
-        for (n, left, pattern), r in list(full.items()):
+        for (n, left, pattern), (kept, r) in list(full.items()):
             if left == below:
-                full.setdefault((n, above, pattern), Rule(above, pattern, r.weight))
-    return [(k[0], r) for k, r in sorted(full.items())]
+                full.setdefault((n, above, pattern), (kept, Rule(above, pattern, r.weight)))
+    return [(k[0], kept, r) for k, (kept, r) in sorted(full.items())]
+
+
+def expanded(rules: list[Rule]) -> list[tuple[int, Rule]]:
+    return [(n, r) for n, _, r in variants(rules)]
 
 
 def counted(rules: list[Rule]) -> None:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strata.model import Polyadic, Relation
+from strata.operators import cycles, reach
 from strata.plans.stage import cut
 
 FORWARD, INVERSE = "forward", "inverse"
@@ -18,25 +19,15 @@ def _pairs(relation: Relation, direction: str) -> DataFrame:
     return relation.edges.select("doc", F.col(a).alias("node"), F.col(b).alias("next"))
 
 
-def walk(source: DataFrame, relation: Relation, direction: str = FORWARD, cap: int | None = None) -> tuple[DataFrame, DataFrame]:
+def walk(source: DataFrame, relation: Relation, direction: str = FORWARD, cap: int | None = None, gathered: int = reach.GATHERED) -> tuple[DataFrame, DataFrame]:
     """(reached, truncated): the nodes reachable from ``source`` (doc, node) in at most ``cap`` steps, without the source, and the documents
-    whose frontier wasn't empty at the cap. One join and one anti-join for each step, over all documents at once."""
+    whose frontier wasn't empty at the cap. The plan follows the documents' sizes, see ``reach``."""
     if cap is None and not relation.acyclic:
         raise ValueError("an unbounded walk needs a relation that is declared acyclic")
     if cap is not None and cap < 0:
         raise ValueError("the cap must not be negative")
-    pairs = _pairs(relation, direction)
-    seen = frontier = cut(source.select("doc", "node").distinct())
-    steps = 0
-    while cap is None or steps < cap:
-        step = frontier.join(pairs, ["doc", "node"]).select("doc", F.col("next").alias("node")).distinct()
-        frontier = cut(step.join(seen, ["doc", "node"], "left_anti"))
-        steps += 1
-        if frontier.isEmpty():
-            break
-        seen = cut(seen.unionByName(frontier)) if steps % 8 == 0 else seen.unionByName(frontier)
-    reached = seen.join(source, ["doc", "node"], "left_anti")
-    return reached, frontier.select("doc").distinct()
+    steps = cut(reach.distances(source, _pairs(relation, direction), cap, gathered))
+    return steps.where("steps > 0").select("doc", "node"), steps.where(F.lit(False) if cap is None else F.col("steps") == cap).select("doc").distinct()
 
 
 def adjacency(relation: Polyadic, inverse: bool = False) -> DataFrame:
@@ -95,11 +86,5 @@ def ancestors(origin: DataFrame, relation: Polyadic) -> DataFrame:
 
 
 def cyclic(edges: DataFrame) -> DataFrame:
-    """The edges (doc, l, r) that peeling leaves: sources without incoming edges go, round by round; what remains lies on or below a cycle."""
-    rest = cut(edges.select("doc", "l", "r").distinct())
-    while True:
-        targets = rest.select("doc", F.col("r").alias("l")).distinct()
-        left = cut(rest.join(targets, ["doc", "l"], "left_semi"))
-        if left.count() == rest.count():
-            return left
-        rest = left
+    """The edges (doc, l, r) that peeling leaves: sources without incoming edges go, again and again; what remains lies on or below a cycle."""
+    return cycles.on_or_below(edges.select("doc", "l", "r").distinct(), ["doc"])

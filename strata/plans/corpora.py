@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strata.model import Corpus, Polyadic, Relation, Tier, containment, node, tier_from
+from strata.operators.wellformed import REF, SIDE, Parts
+from strata.plans.stage import cut
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -106,3 +108,55 @@ def trade_levels(spark: SparkSession, sf_dir: str, leaf: Column) -> list[tuple[D
 
 def tier_of(name: str, t: int, rows: DataFrame) -> Tier:
     return Tier(t, name, rows)
+
+
+def event_graph_log(spark: SparkSession, sf_dir: str) -> Parts:
+    """Each user's events as the log of a graph: declarations at 0 to 4, item i at 10 + 10 i, its value and its link from the item before at the next two places.
+
+    A user's number modulo 12 says which rule the log breaks, at the event ``user_id`` modulo the number of events (0: none).
+    """
+    rows = timeline(spark, sf_dir).tier("event").rows.select("doc", "idx", "cents")
+    rows = cut(rows.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("doc"))).withColumn("fault", F.col("doc") % 12).withColumn("at", F.col("doc") % F.col("n")).withColumn("base", 10 + 10 * F.col("idx")))
+    once, hit = rows.where("idx = 0"), rows.where("idx = at")
+    q = lambda local: F.lit(f"{{u}}{local}")
+    later = lambda k: hit.where(F.col("fault") == k).withColumn("born", F.col("base") + 5)
+    none = F.lit(None).cast("string")
+    item = lambda i: F.struct(F.lit("item").alias("kind"), q("event").alias("tier"), i.cast("bigint").alias("i"), none.alias("id"), none.alias("side")).cast(REF)
+    before = F.struct(F.lit("boundary").alias("kind"), q("event").alias("tier"), F.lit(None).cast("bigint").alias("i"), none.alias("id"), F.lit("before").alias("side")).cast(REF)
+
+    def relation(df: DataFrame, born: Column, ord_: int, name: str, kind: str) -> DataFrame:
+        simple = kind == "simple"
+        typed = lambda c: (none if simple else q("happening")).alias(c)
+        ends = lambda c: (none if simple else F.lit("item")).alias(c)
+        own = [q(name).alias("name"), F.lit(kind).alias("kind"), (q("event") if simple else none).alias("tier"), (q("happening") if simple else none).alias("item_type"), typed("left_type"), typed("right_type"), ends("left_kind"), ends("right_kind")]
+        flags = [F.lit(not simple).alias("single_parent"), F.lit(not simple).alias("acyclic"), F.lit(False).alias("unique_sources"), F.lit(False).alias("distinct_targets")]
+        return df.select("doc", born.cast("bigint").alias("born"), F.lit(ord_).alias("ord"), *own, *flags, F.lit(None).cast(SIDE).alias("sources"), F.lit(None).cast(SIDE).alias("targets"), none.alias("subset_of"))
+
+    def instance(df: DataFrame, born: Column, name: str, left: Column, right: Column) -> DataFrame:
+        empty = F.array().cast(f"array<{REF}>")
+        return df.select("doc", born.cast("bigint").alias("born"), born.cast("bigint").alias("ord"), F.lit(False).alias("many"), q(name).alias("relation"), left.alias("left"), right.alias("right"), empty.alias("sources"), empty.alias("targets"), none.alias("id"))
+
+    def value(df: DataFrame, born: Column, name: str, lexical: Column) -> DataFrame:
+        owner = F.concat(F.lit("item {u}event "), F.col("idx").cast("string"))
+        return df.select("doc", born.cast("bigint").alias("born"), F.lit("item").alias("domain"), owner.alias("owner"), q(name).alias("name"), F.lit("integer").alias("value_type"), lexical.cast("string").alias("lexical"))
+
+    idx, b = F.col("idx"), F.col("born")
+    space = lambda df, born: df.select("doc", born.cast("bigint").alias("born"), F.lit(0).alias("ord"), F.lit("p").alias("prefix"), F.when(born == 0, "u").otherwise("v").alias("namespace"))
+    links = instance(rows.where("idx > 0"), F.col("base") + 2, "next", item(idx - 1), item(idx))
+    links = links.unionByName(instance(later(1), b, "next", item(idx), item(idx + F.col("n")))).unionByName(instance(later(7), b, "other", item(idx), item(idx)))
+    links = links.unionByName(instance(later(8), b, "next", before, item(idx))).unionByName(instance(later(9), b, "next", item(idx), item(F.lit(0))))
+    values = value(rows, F.col("base") + 1, "cents", F.when((F.col("fault") == 4) & (idx == F.col("at")), F.lit("x")).otherwise(F.col("cents").cast("string")))
+    values = values.unionByName(value(later(2), b, "cents", F.lit("7"))).unionByName(value(later(3), b, "nope", F.lit("7")))
+    named = (F.col("fault") == 10) & ((idx == F.col("at")) | (idx == F.col("at") + 1))
+    places = later(11).select("doc", "born", F.lit(0).alias("ord"), F.struct(F.lit("position").alias("kind"), q("event").alias("tier"), (F.col("n") + 5).cast("bigint").alias("i"), none.alias("id"), none.alias("side")).cast(REF).alias("ref"), F.lit(True).alias("filled"))
+    return Parts(
+        space(once, F.lit(0)).unionByName(space(later(5), b)),
+        once.select("doc", F.lit(1).cast("bigint").alias("born"), F.lit(0).alias("ord"), q("event").alias("tier")),
+        rows.select("doc", F.col("base").cast("bigint").alias("born"), q("event").alias("tier"), idx.alias("i"), F.when(named, "a").alias("id"), F.when(named, F.col("base").cast("bigint")).alias("named")),
+        relation(once, F.lit(2), 0, "is", "simple").unionByName(relation(once, F.lit(3), 1, "next", "bipartite")).unionByName(relation(later(6), b, 2, "is2", "simple")),
+        once.select("doc", F.lit(4).cast("bigint").alias("born"), F.lit(0).alias("ord"), q("cents").alias("name"), F.lit("item").alias("domain"), F.lit("integer").alias("value_type")),
+        links,
+        values,
+        places,
+        once.select("doc", F.lit(1).cast("bigint").alias("born"), q("event").alias("subject"), F.lit("event").alias("name"), F.lit("u").alias("namespace")),
+    )

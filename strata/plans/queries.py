@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from strata.functions import lexical as L
 from strata.model import Polyadic, Relation, node
-from strata.operators import actions, fold, grammar, machine, paths, profiles, select, traverse, validate
+from strata.operators import actions, cycles, fold, forest, grammar, machine, paths, profiles, reach, select, traverse, validate, wellformed
 from strata.operators import semiring as S
 from strata.plans import corpora as C
+from strata.plans.stage import cut
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -444,6 +445,35 @@ def acyclic_leftover(spark, d):
     return validate.acyclic(edges.unionByName(back)).select("doc", "subject", "detail")
 
 
+# The back edge comes among the others; what closes the cycle is it, or the last edge of the way down to its tail.
+@query(f"""WITH {SK}, b AS (SELECT doc, n - 1 - doc % 3 AS m, 4 * (doc % n) + 1 AS back FROM sz WHERE n > 2 AND doc % 4 = 0)
+SELECT doc, greatest(back, CASE WHEN m = 0 THEN back WHEN m = 1 THEN 0 ELSE 4 * m - 6 END) AS closes FROM b""")
+def cycle_closing(spark, d):
+    nodes, edges = C.skip_dag(spark, d)
+    forth = edges.select("doc", (4 * F.col("l.i") + 2 * (F.col("r.i") - F.col("l.i") - 1)).alias("at"), "l", "r")
+    size = nodes.groupBy("doc").agg(F.count(F.lit(1)).alias("n")).where("n > 2 AND doc % 4 = 0")
+    back = size.select("doc", (4 * (F.col("doc") % F.col("n")) + 1).alias("at"), node(0, F.col("n") - 1 - F.col("doc") % 3).alias("l"), node(0, F.lit(0)).alias("r"))
+    return cycles.closing(forth.unionByName(back), ["doc"]).withColumnRenamed("at", "closes")
+
+
+# One fault for each user, by the user's number; the first ten places are declarations.
+@query(f"""WITH {TL}, s AS (SELECT doc, count(*) AS n FROM tl GROUP BY doc), f AS (SELECT doc, n, doc % 12 AS k, doc % n AS j, 15 + 10 * (doc % n) AS b FROM s)
+SELECT doc, CAST(CASE k WHEN 4 THEN b - 4 WHEN 10 THEN b + 5 ELSE b END AS BIGINT) AS seq, ['', 'endpoint range', 'unique value', 'declared attribute', 'lexical form', 'unique prefix', 'one type for a tier', 'declared relation', 'endpoint kind', 'acyclic', 'unique id', 'position range'][k + 1] AS rule
+FROM f WHERE k > 0 AND NOT (k = 10 AND j = n - 1)""")
+def log_first_broken_rule(spark, d):
+    return wellformed.first_refusal(wellformed.check(C.event_graph_log(spark, d))).select("doc", F.col("born").alias("seq"), "rule")
+
+
+# A customer's lines by order, as paths of edges; customers with more than 60 get the first path that is left out.
+@query(f"""WITH {OH}, p AS (SELECT od.doc, row_number() OVER (PARTITION BY od.doc ORDER BY od.i, ln.i) - 1 AS rank, count(*) OVER (PARTITION BY od.doc) AS n, '1:' || od.i || coalesce(' 2:' || ln.i, '') AS path FROM od LEFT JOIN ln ON ln.doc = od.doc AND l_orderkey = o_orderkey)
+SELECT doc, rank, path, n > 60 AS refused FROM p WHERE n <= 60 OR rank = 60""")
+def paths_listed(spark, d):
+    edges = C.order_hypergraph(spark, d)[0].relation("contains").edges
+    named = edges.select("doc", F.col("r").alias("ord"), "l", "r", F.concat(F.col("r.t").cast("string"), F.lit(":"), F.col("r.i").cast("string")).alias("name"))
+    top = edges.where("l.t = 0").select("doc", F.col("l").alias("node"))
+    return reach.paths(named, top, 60).select("doc", "rank", F.array_join("path", " ").alias("path"), "refused")
+
+
 # --- lexical forms
 
 
@@ -518,6 +548,66 @@ def cyk_best(spark, d):
     return grammar.cheapest(_dialog(spark, d), RULES, "D", None, 1).select("doc", "cost")
 
 
+def _forest(tokens, rules, start):
+    spans = grammar.chart(tokens, rules).select("doc", "nt", "s", "e")
+    return forest.packed(forest.applications(tokens, spans, rules), tokens, start)
+
+
+def _children(c):
+    return F.array_join(F.transform(c, lambda x: F.concat(x.nt, F.lit("["), x.s.cast("string"), F.lit(","), x.e.cast("string"), F.lit(")"))), " ")
+
+
+# Where a whole dialogue derives, its spans are the openings that can be followed to the end; each has one application.
+@query(f"""WITH {DG}, pl AS (SELECT doc, s, n_tokens AS n, unnest(range(0, n_tokens)) AS i FROM dg WHERE regexp_full_match(s, '(s|ua)*ua')),
+d AS (SELECT doc, i, n, substr(s, i + 1, 1) AS c FROM pl WHERE regexp_full_match(substr(s, 1, i), '(s|ua)*') AND regexp_full_match(substr(s, i + 1), '(s|ua)*ua'))
+SELECT doc, 'D' AS nt, CAST(i AS INTEGER) AS s, CAST(n AS INTEGER) AS e, CAST(0 AS BIGINT) AS rank, CASE WHEN c = 's' THEN 2 WHEN i + 2 = n THEN 1 ELSE 0 END AS rule,
+  CASE WHEN c = 's' THEN 'D[' || (i + 1) || ',' || n || ')' WHEN i + 2 = n THEN '' ELSE 'P[' || i || ',' || (i + 2) || ') D[' || (i + 2) || ',' || n || ')' END AS children FROM d
+UNION ALL SELECT doc, 'P', CAST(i AS INTEGER), CAST(i + 2 AS INTEGER), 0, 3, '' FROM d WHERE c <> 's' AND i + 2 < n""")
+def forest_applications(spark, d):
+    return _forest(_dialog(spark, d), RULES, "D").select("doc", "nt", "s", "e", "rank", "rule", _children(F.col("children")).alias("children"))
+
+
+XS = f"""{DG}, sp AS (SELECT doc, a AS s, b AS e FROM dg, range(0, 1000) x(a), range(1, 1001) y(b) WHERE a < b AND b <= n_tokens),
+  ap AS (SELECT doc, s, e, m - s - 1 AS rank, 0 AS rule, 'S[' || s || ',' || m || ') S[' || m || ',' || e || ')' AS children FROM (SELECT doc, s, e, unnest(range(s + 1, e)) AS m FROM sp)
+    UNION ALL SELECT doc, s, e, 0, 1, '' FROM sp WHERE e = s + 1)"""
+
+
+def _ambiguous(spark, d):
+    return _forest(_dialog(spark, d).withColumn("token", F.lit("x")), BINARY, "S")
+
+
+@query(f"WITH {XS} SELECT doc, 'S' AS nt, CAST(s AS INTEGER) AS s, CAST(e AS INTEGER) AS e, CAST(rank AS BIGINT) AS rank, rule, children FROM ap")
+def forest_packed(spark, d):
+    return _ambiguous(spark, d).select("doc", "nt", "s", "e", "rank", "rule", _children(F.col("children")).alias("children"))
+
+
+@query(f"WITH {XS} SELECT doc, count(DISTINCT (s, e)) AS spans, count(*) AS applications, CAST(sum(CASE WHEN rule = 0 THEN 2 ELSE 0 END) AS BIGINT) AS arcs FROM ap GROUP BY doc")
+def forest_sizes(spark, d):
+    return forest.sizes(_ambiguous(spark, d)).select("doc", "spans", "applications", F.col("arcs").cast("bigint").alias("arcs"))
+
+
+@query(f"WITH RECURSIVE {DG}, cat(k, c) AS (SELECT 1, CAST(1 AS HUGEINT) UNION ALL SELECT k + 1, c * 2 * (2 * k - 1) // (k + 1) FROM cat WHERE k < (SELECT max(n_tokens) FROM dg)), {XS.removeprefix(DG + ', ')} SELECT doc, CAST(s AS INTEGER) AS s, CAST(e AS INTEGER) AS e, CAST(c AS VARCHAR) AS n FROM sp JOIN cat ON k = e - s")
+def forest_counts(spark, d):
+    return forest.counts(_ambiguous(spark, d)).select("doc", "s", "e", F.col("n").cast("string").alias("n"))
+
+
+# Each alternative's path, one past the last, and two that are no index.
+@query(f"""WITH {XS}, q AS (SELECT doc, s, e, CAST(rank AS VARCHAR) AS rank, rule, children, NULL AS code FROM ap
+  UNION ALL SELECT doc, s, e, CAST(greatest(e - s - 1, 1) AS VARCHAR), NULL, NULL, 'alternative_out_of_range' FROM sp
+  UNION ALL SELECT doc, s, e, '0' || rank, NULL, NULL, 'noncanonical_segment' FROM ap UNION ALL SELECT doc, sp.s, n_tokens + e, '0', NULL, NULL, 'profile_refused' FROM sp JOIN dg USING (doc))
+SELECT doc, '/chart/S/' || s || '/' || e || '/alternatives/' || rank AS path, rule, children, code FROM q""")
+def chart_paths(spark, d):
+    held = cut(_ambiguous(spark, d))
+    size = held.groupBy("doc").agg(F.max("e").alias("n"))
+    spans = held.groupBy("doc", "nt", "s", "e").agg(F.count(F.lit(1)).alias("n"))
+    path = forest.spelled(F.col("nt"), F.col("s"), F.col("e"), F.col("rank"))
+    wanted = held.select("doc", path.alias("path"))
+    wanted = wanted.unionByName(spans.select("doc", forest.spelled(F.col("nt"), F.col("s"), F.col("e"), F.col("n")).alias("path")))
+    wanted = wanted.unionByName(held.select("doc", forest.spelled(F.col("nt"), F.col("s"), F.col("e"), F.concat(F.lit("0"), F.col("rank").cast("string"))).alias("path")))
+    wanted = wanted.unionByName(spans.drop("n").join(size, "doc").select("doc", forest.spelled(F.col("nt"), F.col("s"), F.col("e") + F.col("n"), F.lit(0)).alias("path")))
+    return forest.resolve(wanted, held).select("doc", "path", "rule", _children(F.col("children")).alias("children"), "code")
+
+
 # --- profiles
 
 

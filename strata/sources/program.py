@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strata.operators import wellformed
 from strata.operators.machine import MAX_OPCODES, MAX_REPEAT
 from strata.plans.stage import cut
 from strata.sources import wire
@@ -217,9 +218,73 @@ def refusals(ops: DataFrame) -> DataFrame:
     return twice.unionByName(unknown).unionByName(missing).unionByName(again)
 
 
+def parts(ops: DataFrame) -> wellformed.Parts:
+    """What the ops build, each part born at its op: for ``wellformed.check``, which finds the first op after which the graph breaks a rule without building any prefix."""
+    ops = cut(ops)
+    born = F.col("seq").cast("bigint").alias("born")
+    json = lambda path, kind: F.from_json(F.get_json_object("j", path), kind)
+    declared = lambda op, kind: ops.where(F.col("op") == op).select("doc", born, F.col("seq").alias("ord"), json("$.declaration", kind).alias("x"))
+    tier_rows = declared("declare_tier", f"struct<name:{NAME},long_name:string>")
+    relation_rows = declared("declare_relation", wire._DECLARED.removeprefix("array<").removesuffix(">"))
+    attribute_rows = declared("declare_attribute", f"struct<domain:string,name:{NAME},value_type:string>")
+    added = ops.where("op = 'add_item'").select("doc", born, wire.name_text(_name("$.tier")).alias("tier"), json("$.item", f"struct<attributes:{wire._ATTRIBUTES},durable_id:string>").alias("x"))
+    added = added.withColumn("i", F.row_number().over(Window.partitionBy("doc", "tier").orderBy("born")).cast("bigint") - 1)
+    named = ops.where("op IN ('promote_item', 'promote_position')").select("doc", F.col("seq").alias("promoted"), "op", wire.name_text(_name("$.reference.tier")).alias("tier"), _text("$.reference.index").cast("bigint").alias("i"), _text("$.durable_id").alias("given"))
+    inner = named.where("op = 'promote_item' OR i > 0").join(added.select("doc", "tier", "i", "born"), ["doc", "tier", "i"]).where("born < promoted")
+    first = inner.groupBy("doc", "tier", "i").agg(F.min(F.struct("promoted", "given")).alias("p"))
+    items = added.join(first, ["doc", "tier", "i"], "left").withColumn("id", F.coalesce("x.durable_id", "p.given")).withColumn("named", F.when(F.col("x.durable_id").isNotNull(), F.col("born")).otherwise(F.col("p.promoted")))
+    items = cut(items)
+    made = ops.where("op = 'relate'").select("doc", born, F.col("seq").alias("ord"), json("$.relation", wire._INSTANCES.removeprefix("array<").removesuffix(">")).alias("x"))
+    instances = made.select("doc", "born", "ord", *wire.instance_columns(F.col("x")))
+    at = lambda word, *c: F.concat_ws(" ", F.lit(word), *(x.cast("string") for x in c))
+
+    values = _attached(ops).withColumn("born", F.col("seq").cast("bigint")).withColumn("v", F.from_json("value", wire._ATTRIBUTES.removeprefix("array<").removesuffix(">")))
+    field = lambda path: F.get_json_object("target", path)
+    target = F.from_json(field("$.tier"), NAME)
+    values = values.withColumn("tier", wire.name_text(F.when(F.col("domain").isin("item", "position"), target))).withColumn("i", field("$.index").cast("bigint")).withColumn("id", field("$.durable_id"))
+    who = items.where("id IS NOT NULL").select("doc", "id", at("item", F.col("tier"), F.col("i")).alias("item")).dropDuplicates(["doc", "id"])
+    which = instances.where("id IS NOT NULL").select("doc", "id", at("relation instance", F.col("ord")).alias("instance")).dropDuplicates(["doc", "id"])
+    values = values.join(who, ["doc", "id"], "left").join(which, ["doc", "id"], "left")
+    of_name = wire.name_text(F.from_json("target", NAME))
+    owner = (
+        F.when(F.col("domain") == "document", "document").when(F.col("domain") == "tier", at("tier", of_name)).when(F.col("domain") == "relation_declaration", at("relation", of_name))
+        .when(F.col("domain") == "relation_instance", F.coalesce("instance", at("relation instance", F.col("id")))).when(F.col("domain") == "position", at("position", F.col("tier"), F.col("i")))
+        .otherwise(F.coalesce("item", at("item", F.col("tier"), F.col("i"))))
+    )
+    held = [values.select("doc", "born", "domain", owner.alias("owner"), "v")]
+    held.append(items.select("doc", "born", F.lit("item").alias("domain"), at("item", F.col("tier"), F.col("i")).alias("owner"), F.explode("x.attributes").alias("v")))
+    held.append(relation_rows.select("doc", "born", F.lit("relation_declaration").alias("domain"), at("relation", wire.name_text(F.col("x.name"))).alias("owner"), F.explode("x.attributes").alias("v")))
+    held.append(made.select("doc", "born", F.lit("relation_instance").alias("domain"), at("relation instance", F.col("ord")).alias("owner"), F.explode("x.attributes").alias("v")))
+    all_values = held[0]
+    for more in held[1:]:
+        all_values = all_values.unionByName(more)
+    all_values = cut(all_values)
+    nothing = F.lit(None).cast("string")
+    boundary = F.struct(F.lit("position").alias("kind"), F.col("tier"), F.col("i"), nothing.alias("id"), nothing.alias("side"))
+    positions = values.where("domain = 'position'").groupBy("doc", "tier", "i").agg(F.min("born").alias("born"))
+    return wellformed.Parts(
+        declared("declare_namespace", "struct<prefix:string,namespace:string>").select("doc", "born", "ord", "x.prefix", "x.namespace"),
+        tier_rows.select("doc", "born", "ord", wire.name_text(F.col("x.name")).alias("tier")),
+        items.select("doc", "born", "tier", "i", "id", F.col("named").cast("bigint").alias("named")),
+        relation_rows.select("doc", "born", "ord", *wire.relation_columns(F.col("x"))),
+        attribute_rows.select("doc", "born", "ord", wire.name_text(F.col("x.name")).alias("name"), "x.domain", "x.value_type"),
+        instances,
+        all_values.select("doc", "born", "domain", "owner", wire.name_text(F.col("v.name")).alias("name"), "v.value_type", "v.lexical"),
+        positions.select("doc", "born", F.col("born").alias("ord"), boundary.alias("ref"), F.lit(True).alias("filled")),
+        wire.declared_names(tier_rows.select("doc", "born", F.col("x.name").alias("x")), relation_rows, attribute_rows.select("doc", "born", F.col("x.name").alias("x"))),
+    )
+
+
+def graph_refusals(ops: DataFrame) -> DataFrame:
+    """doc, seq, reason of the ops after which the graph breaks one of its rules."""
+    return wellformed.check(parts(ops)).select("doc", F.col("born").alias("seq"), F.concat("rule", F.lit(": "), "subject").alias("reason"))
+
+
 def first_refusal(ops: DataFrame) -> DataFrame:
-    """doc, seq, reason of the op at which each refused program stops."""
-    return refusals(ops).groupBy("doc").agg(F.min(F.struct("seq", "reason")).alias("x")).select("doc", "x.seq", "x.reason")
+    """doc, seq, reason of the op at which each refused program stops: the machine's own refusals before the graph's at one op."""
+    ops = cut(ops)
+    both = refusals(ops).select("doc", F.col("seq").cast("bigint").alias("seq"), F.lit(0).alias("level"), "reason").unionByName(graph_refusals(ops).select("doc", "seq", F.lit(1).alias("level"), "reason"))
+    return both.groupBy("doc").agg(F.min(F.struct("seq", "level", "reason")).alias("x")).select("doc", "x.seq", "x.reason")
 
 
 def fingerprint(texts: DataFrame) -> DataFrame:

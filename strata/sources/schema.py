@@ -19,10 +19,11 @@ _CONSTANTS = {"simple": "simple", "bipartite": "bipartite", "polyadic": "polyadi
 def _of(shape: str) -> dict:
     if shape.startswith("["):
         return {"type": "array", "items": _of(shape[1:])}
-    if shape.endswith("?"):
-        return {"type": [shape[:-1], "null"]}
-    if shape in ("string", "integer", "boolean"):
-        return {"type": shape}
+    plain, optional = shape.removesuffix("?"), shape.endswith("?")
+    kind = {"filled": "string", "natural": "integer"}.get(plain, plain)
+    if kind in ("string", "integer", "boolean"):
+        bound = {"filled": {"minLength": 1}, "natural": {"minimum": 0}}.get(plain, {})
+        return {"type": [kind, "null"] if optional else kind} | bound
     return {"$ref": f"#/$defs/{shape}"}
 
 
@@ -68,6 +69,10 @@ def validation_errors(value, schema: dict | None = None, path: str = "$", whole:
     checks = {"object": dict, "array": list, "string": str, "boolean": bool, "integer": int, "null": type(None)}
     if not any(isinstance(value, checks[k]) and not (k == "integer" and isinstance(value, bool)) for k in kinds):
         return [(path, f"must be {' or '.join(kinds)}")]
+    if isinstance(value, str) and len(value) < schema.get("minLength", 0):
+        return [(path, "must not be empty")]
+    if isinstance(value, int) and value < schema.get("minimum", value):
+        return [(path, f"must not be below {schema['minimum']}")]
     if isinstance(value, dict):
         out = [(path, f"missing {k}") for k in schema["required"] if k not in value] + [(path, f"unknown {k}") for k in value if k not in schema["properties"]]
         return out + [e for k, v in value.items() if k in schema["properties"] for e in validation_errors(v, schema["properties"][k], f"{path}.{k}", whole)]

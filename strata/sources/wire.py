@@ -14,46 +14,48 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strata.functions import lexical
 from strata.model import Corpus, Polyadic, Relation, Tier, node
+from strata.operators import wellformed
 from strata.plans.stage import cut
 
 FORMAT_VERSION, MACHINE_VERSION = "5", "1"
 MAX_DOCUMENT_BYTES, MAX_LINE_BYTES, MAX_JSON_DEPTH = 16 * 1024 * 1024, 1024 * 1024, 256
 
-# The fields of each part and what they hold. [x is an array of x, x? may be null.
-_FIELDS = """
-document: format_version=version graph=graph
-graph: namespaces=[namespace tiers=[tier relation_declarations=[relation_declaration relations=[relation attribute_declarations=[attribute_declaration position_values=[position attributes=[attribute
-namespace: prefix=string namespace=string
-name: namespace=string local_name=string
-tier: declaration=tier_declaration items=[item attributes=[attribute
-tier_declaration: name=name long_name=string
-item: durable_id=string? attributes=[attribute
-attribute: name=name value_type=value_type lexical=string
-attribute_declaration: name=name domain=domain value_type=value_type
-simple: kind=string name=name tier=name item_type=name attributes=[attribute
-bipartite: kind=string name=name left_type=name right_type=name left_endpoint=endpoint_kind right_endpoint=endpoint_kind single_parent=boolean acyclic=boolean attributes=[attribute
-polyadic: kind=string name=name sources=side targets=side unique_sources=boolean distinct_targets=boolean single_parent=boolean acyclic=boolean targets_subset_of=[name attributes=[attribute
-side: endpoint_kinds=[endpoint_kind tiers=[name minimum=integer maximum=integer allow_empty=boolean
-binary_instance: declaration=name left=endpoint right=endpoint durable_id=string? attributes=[attribute
-polyadic_instance: declaration=name sources=[endpoint targets=[endpoint durable_id=string? attributes=[attribute
-item_reference: tier=name index=integer
-durable_item: durable_id=string
-durable_position: anchor=anchor side=boundary_side
-item_anchor: kind=string durable_id=string
-tier_anchor: kind=string tier=name
-position: reference=endpoint attributes=[attribute
-declare_namespace: opcode=string declaration=namespace
-declare_tier: opcode=string declaration=tier_declaration
-declare_relation: opcode=string declaration=relation_declaration
-declare_attribute: opcode=string declaration=attribute_declaration
-add_item: opcode=string tier=name item=item
-promote_item: opcode=string reference=item_reference durable_id=string
-promote_position: opcode=string reference=item_reference durable_id=string
-relate: opcode=string relation=relation
-attach_value: opcode=string domain=domain target=any value=attribute
-repeat: opcode=string count=integer body=[opcode
-"""
+# The fields of each part and what they hold. [x is an array of x, x? may be null, filled is a string that must not be empty, natural an integer from 0.
+SHAPES: dict[str, dict[str, str]] = {
+    "document": {"format_version": "version", "graph": "graph"},
+    "graph": {"namespaces": "[namespace", "tiers": "[tier", "relation_declarations": "[relation_declaration", "relations": "[relation", "attribute_declarations": "[attribute_declaration", "position_values": "[position", "attributes": "[attribute"},
+    "namespace": {"prefix": "filled", "namespace": "filled"},
+    "name": {"namespace": "filled", "local_name": "filled"},
+    "tier": {"declaration": "tier_declaration", "items": "[item", "attributes": "[attribute"},
+    "tier_declaration": {"name": "name", "long_name": "string"},
+    "item": {"durable_id": "filled?", "attributes": "[attribute"},
+    "attribute": {"name": "name", "value_type": "value_type", "lexical": "string"},
+    "attribute_declaration": {"name": "name", "domain": "domain", "value_type": "value_type"},
+    "simple": {"kind": "string", "name": "name", "tier": "name", "item_type": "name", "attributes": "[attribute"},
+    "bipartite": {"kind": "string", "name": "name", "left_type": "name", "right_type": "name", "left_endpoint": "endpoint_kind", "right_endpoint": "endpoint_kind", "single_parent": "boolean", "acyclic": "boolean", "attributes": "[attribute"},
+    "polyadic": {"kind": "string", "name": "name", "sources": "side", "targets": "side", "unique_sources": "boolean", "distinct_targets": "boolean", "single_parent": "boolean", "acyclic": "boolean", "targets_subset_of": "[name", "attributes": "[attribute"},
+    "side": {"endpoint_kinds": "[endpoint_kind", "tiers": "[name", "minimum": "natural", "maximum": "integer", "allow_empty": "boolean"},
+    "binary_instance": {"declaration": "name", "left": "endpoint", "right": "endpoint", "durable_id": "filled?", "attributes": "[attribute"},
+    "polyadic_instance": {"declaration": "name", "sources": "[endpoint", "targets": "[endpoint", "durable_id": "filled?", "attributes": "[attribute"},
+    "item_reference": {"tier": "name", "index": "natural"},
+    "durable_item": {"durable_id": "filled"},
+    "durable_position": {"anchor": "anchor", "side": "boundary_side"},
+    "item_anchor": {"kind": "string", "durable_id": "filled"},
+    "tier_anchor": {"kind": "string", "tier": "name"},
+    "position": {"reference": "endpoint", "attributes": "[attribute"},
+    "declare_namespace": {"opcode": "string", "declaration": "namespace"},
+    "declare_tier": {"opcode": "string", "declaration": "tier_declaration"},
+    "declare_relation": {"opcode": "string", "declaration": "relation_declaration"},
+    "declare_attribute": {"opcode": "string", "declaration": "attribute_declaration"},
+    "add_item": {"opcode": "string", "tier": "name", "item": "item"},
+    "promote_item": {"opcode": "string", "reference": "item_reference", "durable_id": "string"},
+    "promote_position": {"opcode": "string", "reference": "item_reference", "durable_id": "string"},
+    "relate": {"opcode": "string", "relation": "relation"},
+    "attach_value": {"opcode": "string", "domain": "domain", "target": "any", "value": "attribute"},
+    "repeat": {"opcode": "string", "count": "integer", "body": "[opcode"},
+}
 # The spellings that an enumerated string may have.
 _SPELLINGS = {
     "version": (FORMAT_VERSION,),
@@ -62,7 +64,6 @@ _SPELLINGS = {
     "endpoint_kind": ("item", "boundary"),
     "boundary_side": ("before", "after"),
 }
-SHAPES: dict[str, dict[str, str]] = {name: dict(x.split("=") for x in rest.split()) for name, _, rest in (line.partition(": ") for line in _FIELDS.strip().splitlines())}
 DECLARATIONS = ("simple", "bipartite", "polyadic")
 OPCODES = tuple(name for name, fields in SHAPES.items() if "opcode" in fields)
 
@@ -134,12 +135,16 @@ def shape_errors(values: DataFrame) -> DataFrame:
         spelled = F.get_json_object(F.concat(F.lit('{"x":'), "j", F.lit("}")), "$.x")
         allowed = F.element_at(spellings, F.col("shape"))
         plain = F.regexp_replace("shape", r"\?\z", "")
+        plain = F.when(plain == "filled", "string").when(plain == "natural", "integer").otherwise(plain)
+        optional = F.col("shape").endswith("?") & (F.col("kind") == "null")
         message = (
             F.when(array, F.when(F.col("kind") != "array", "must be an array"))
             .when(F.col("shape") == "any", None)
             .when(composite, F.when(F.col("kind") != "object", "must be an object").when(F.col("is").isNull(), "has an unknown kind").when(missing.isNotNull(), F.concat(F.lit("is missing field "), missing)).when(extra.isNotNull(), F.concat(F.lit("has unknown field "), extra)))
             .when(allowed.isNotNull(), F.when(F.col("kind") != "string", "must be a string").when(~F.array_contains(allowed, spelled), F.concat(F.lit("has unsupported value "), "j")))
-            .when((F.col("kind") != plain) & ~(F.col("shape").endswith("?") & (F.col("kind") == "null")), F.concat(F.lit("must be "), F.when(plain == "integer", "an ").otherwise("a "), plain))
+            .when(F.col("shape").startswith("filled") & (F.col("j") == '""'), "must not be empty")
+            .when((F.col("shape") == "natural") & F.col("j").startswith("-"), "must not be negative")
+            .when((F.col("kind") != plain) & ~optional, F.concat(F.lit("must be "), F.when(plain == "integer", "an ").otherwise("a "), plain))
         )
         judged = cut(typed.withColumn("message", message).withColumn("fields", F.element_at(fields, F.col("is"))))
         out = out.unionByName(judged.where("message IS NOT NULL").select("doc", "path", "message"))
@@ -157,7 +162,16 @@ def shape_errors(values: DataFrame) -> DataFrame:
 
 
 def violations(documents: DataFrame) -> DataFrame:
-    """doc, path, message: what is refused of each document (doc, raw); the path is empty where the whole text is."""
+    """doc, path, message: what is refused of each document (doc, raw). The path is empty where the whole text is; a document of the right shape is held against the graph's rules, with the part that breaks one as path."""
+    shaped = cut(shape_violations(documents))
+    bad = shaped.select("doc").distinct()
+    good = parsed_graphs(documents.withColumn("doc", F.col("doc").cast("string")).join(bad, "doc", "left_anti"))
+    broken = wellformed.check(parts(good))
+    return cut(shaped.unionByName(broken.select("doc", F.col("subject").alias("path"), F.concat("rule", F.lit(": "), F.coalesce("detail", F.lit(""))).alias("message"))))
+
+
+def shape_violations(documents: DataFrame) -> DataFrame:
+    """doc, path, message of texts that can't be read and of parts of other shapes than theirs."""
     bad = cut(unreadable(documents))
     readable = documents.join(bad.select("doc"), "doc", "left_anti")
     values = readable.select("doc", F.lit("").alias("path"), F.lit("document").alias("shape"), F.to_json(F.parse_json("raw")).alias("j"))
@@ -167,8 +181,85 @@ def violations(documents: DataFrame) -> DataFrame:
 def parse(documents: DataFrame, refused: DataFrame | None = None) -> DataFrame:
     """doc and the graph's parts as nested columns, of the documents without violations."""
     refused = violations(documents) if refused is None else refused
-    good = documents.join(refused.select("doc").distinct(), "doc", "left_anti")
-    return good.select("doc", F.from_json(F.get_json_object("raw", "$.graph"), GRAPH).alias("g")).select("doc", "g.*")
+    return parsed_graphs(documents.join(refused.select("doc").distinct(), "doc", "left_anti"))
+
+
+def parsed_graphs(documents: DataFrame) -> DataFrame:
+    """doc and the graph's parts, of documents of the right shape."""
+    return documents.select("doc", F.from_json(F.get_json_object("raw", "$.graph"), GRAPH).alias("g")).select("doc", "g.*")
+
+
+def name_text(c: Column) -> Column:
+    """{namespace}local of a name."""
+    return F.when(c.isNotNull(), lexical.expanded(c["namespace"], c["local_name"]))
+
+
+def reference(c: Column, structural: str = "item") -> Column:
+    """A reference as ``wellformed.REF``; ``structural`` says whether a tier and index mean an item or a position."""
+    anchor = c["anchor"]
+    kind = F.when(anchor.isNotNull(), "boundary").otherwise(structural)
+    return F.struct(kind.alias("kind"), F.coalesce(name_text(anchor["tier"]), name_text(c["tier"])).alias("tier"), c["index"].alias("i"), F.coalesce(anchor["durable_id"], c["durable_id"]).alias("id"), c["side"].alias("side"))
+
+
+def declared_side(c: Column) -> Column:
+    return F.when(c.isNotNull(), F.struct(c["allow_empty"].alias("allow_empty"), c["endpoint_kinds"].alias("kinds"), c["maximum"].alias("maximum"), c["minimum"].alias("minimum"), F.transform(c["tiers"], name_text).alias("tiers")))
+
+
+def relation_columns(x: Column) -> list[Column]:
+    """A relation declaration as columns of ``wellformed.Parts.relations``."""
+    names = [name_text(x[c]).alias(c) for c in ("name", "tier", "item_type", "left_type", "right_type")]
+    flags = [F.coalesce(x[c], F.lit(False)).alias(c) for c in ("single_parent", "acyclic", "unique_sources", "distinct_targets")]
+    ends = [x["kind"].alias("kind"), x["left_endpoint"].alias("left_kind"), x["right_endpoint"].alias("right_kind")]
+    return [*names, *flags, *ends, declared_side(x["sources"]).alias("sources"), declared_side(x["targets"]).alias("targets"), name_text(F.get(x["targets_subset_of"], F.lit(0))).alias("subset_of")]
+
+
+def instance_columns(x: Column) -> list[Column]:
+    many = x["sources"].isNotNull()
+    side = lambda c: F.coalesce(F.transform(x[c], lambda r: reference(r)), F.array().cast(f"array<{wellformed.REF}>")).alias(c)
+    end = lambda c: F.when(~many, reference(x[c])).alias(c)
+    return [many.alias("many"), name_text(x["declaration"]).alias("relation"), end("left"), end("right"), side("sources"), side("targets"), x["durable_id"].alias("id")]
+
+
+def declared_names(tiers_: DataFrame, relations_: DataFrame, attributes_: DataFrame) -> DataFrame:
+    """doc, born, subject, name, namespace: the qualified names that declarations use, from parts with ``own`` as the JSON structure of a name."""
+    used = F.array_compact(F.flatten(F.array(F.array(F.col("x")["name"], F.col("x")["item_type"], F.col("x")["left_type"], F.col("x")["right_type"]), *(F.coalesce(c, F.array().cast(f"array<{_NAME}>")) for c in (F.col("x")["sources"]["tiers"], F.col("x")["targets"]["tiers"], F.col("x")["targets_subset_of"])))))
+    all_ = tiers_.select("doc", "born", F.col("x").alias("n")).unionByName(attributes_.select("doc", "born", F.col("x").alias("n"))).unionByName(relations_.select("doc", "born", F.explode(used).alias("n")))
+    return all_.select("doc", "born", name_text(F.col("n")).alias("subject"), F.col("n.local_name").alias("name"), F.col("n.namespace").alias("namespace")).distinct()
+
+
+def parts(parsed: DataFrame) -> wellformed.Parts:
+    """The documents' parts for ``wellformed.check``: all born at once."""
+    parsed = cut(parsed.withColumn("doc", F.col("doc").cast("string")))
+    born = F.lit(0).cast("bigint").alias("born")
+    own = lambda column, *more: parsed.select("doc", born, F.posexplode(column).alias("ord", "x"), *more)
+    t, r, a, n = own("tiers"), own("relation_declarations"), own("attribute_declarations"), own("relations")
+    members = t.select("doc", "born", name_text(F.col("x.declaration.name")).alias("tier"), F.posexplode("x.items").alias("i", "y"))
+    named = F.when(F.col("y.durable_id").isNotNull(), F.col("born")).alias("named")
+    tier_names = t.select("doc", "born", F.col("x.declaration.name").alias("x"))
+    places_ = own("position_values")
+    at = lambda word, *c: F.concat_ws(" ", F.lit(word), *(x.cast("string") for x in c))
+    held = [
+        parsed.select("doc", F.lit("document").alias("domain"), F.lit("document").alias("owner"), F.explode("attributes").alias("v")),
+        t.select("doc", F.lit("tier").alias("domain"), at("tier", name_text(F.col("x.declaration.name"))).alias("owner"), F.explode("x.attributes").alias("v")),
+        members.select("doc", F.lit("item").alias("domain"), at("item", F.col("tier"), F.col("i")).alias("owner"), F.explode("y.attributes").alias("v")),
+        r.select("doc", F.lit("relation_declaration").alias("domain"), at("relation", name_text(F.col("x.name"))).alias("owner"), F.explode("x.attributes").alias("v")),
+        n.select("doc", F.lit("relation_instance").alias("domain"), at("relation instance", F.col("ord")).alias("owner"), F.explode("x.attributes").alias("v")),
+        places_.select("doc", F.lit("position").alias("domain"), at("position", F.col("ord")).alias("owner"), F.explode("x.attributes").alias("v")),
+    ]
+    values = held[0]
+    for more in held[1:]:
+        values = values.unionByName(more)
+    return wellformed.Parts(
+        own("namespaces").select("doc", "born", "ord", "x.prefix", "x.namespace"),
+        t.select("doc", "born", "ord", name_text(F.col("x.declaration.name")).alias("tier")),
+        cut(members.select("doc", "born", "tier", F.col("i").cast("bigint").alias("i"), F.col("y.durable_id").alias("id"), named)),
+        cut(r.select("doc", "born", "ord", *relation_columns(F.col("x")))),
+        a.select("doc", "born", "ord", name_text(F.col("x.name")).alias("name"), "x.domain", "x.value_type"),
+        cut(n.select("doc", "born", "ord", *instance_columns(F.col("x")))),
+        cut(values.select("doc", born, "domain", "owner", name_text(F.col("v.name")).alias("name"), "v.value_type", "v.lexical")),
+        places_.select("doc", "born", "ord", reference(F.col("x.reference"), "position").alias("ref"), (F.size("x.attributes") > 0).alias("filled")),
+        declared_names(tier_names, r, a.select("doc", "born", F.col("x.name").alias("x"))),
+    )
 
 
 def namespaces(parsed: DataFrame) -> DataFrame:

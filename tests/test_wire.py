@@ -26,7 +26,7 @@ def ref(index, tier="t"):
 
 LINK = {"kind": "bipartite", "name": name("link"), "left_type": name("w"), "right_type": name("w"), "left_endpoint": "item", "right_endpoint": "boundary", "single_parent": False, "acyclic": True, "attributes": []}
 SIMPLE = {"kind": "simple", "name": name("is"), "tier": name("t"), "item_type": name("w"), "attributes": []}
-SIDE = {"endpoint_kinds": ["item"], "tiers": [], "minimum": 1, "maximum": -1, "allow_empty": False}
+SIDE = {"endpoint_kinds": ["item", "boundary"], "tiers": [], "minimum": 1, "maximum": -1, "allow_empty": False}
 POLY = {"kind": "polyadic", "name": name("has"), "sources": SIDE, "targets": SIDE, "unique_sources": True, "distinct_targets": False, "single_parent": False, "acyclic": False, "targets_subset_of": [], "attributes": []}
 GOOD = {
     "format_version": "5",
@@ -38,7 +38,7 @@ GOOD = {
             {"declaration": name("link"), "left": ref(0), "right": {"anchor": {"kind": "item", "durable_id": "x"}, "side": "after"}, "durable_id": None, "attributes": []},
             {"declaration": name("has"), "sources": [ref(0)], "targets": [ref(1), {"anchor": {"kind": "tier", "tier": name("t")}, "side": "before"}], "durable_id": "r", "attributes": [value("why", "é\n\"")]},
         ],
-        "attribute_declarations": [{"name": name("cost"), "domain": "item", "value_type": "integer"}],
+        "attribute_declarations": [{"name": name(n), "domain": d, "value_type": k} for n, d, k in (("cost", "item", "integer"), ("sort", "tier", "string"), ("why", "relation_instance", "string"), ("at", "position", "decimal"), ("title", "document", "string"))],
         "position_values": [{"reference": ref(2), "attributes": [value("at", "1", "decimal")]}],
         "attributes": [value("title", "T")],
     },
@@ -106,29 +106,31 @@ def op(kind, **fields):
     return {"opcode": kind, **fields}
 
 
+FLAT = LINK | {"right_endpoint": "item"}
+HELD = (("cost", "item", "integer"), ("w", "item", "string"), ("size", "tier", "string"), ("note", "relation_declaration", "string"), ("title", "document", "string"), ("at", "position", "string"), ("why", "relation_instance", "string"))
 PROGRAM = [
     op("declare_namespace", declaration={"prefix": "p", "namespace": "u"}),
     op("declare_tier", declaration={"name": name("t"), "long_name": "Tier"}),
     op("declare_relation", declaration=SIMPLE),
-    op("declare_relation", declaration=LINK),
+    op("declare_relation", declaration=FLAT),
     op("declare_relation", declaration=POLY),
-    op("declare_attribute", declaration={"name": name("cost"), "domain": "item", "value_type": "integer"}),
+    *(op("declare_attribute", declaration={"name": name(n), "domain": d, "value_type": k}) for n, d, k in HELD),
     op("repeat", count=2, body=[op("add_item", tier=name("t"), item=item()), op("repeat", count=1, body=[op("add_item", tier=name("t"), item=item(None, value("w", "a,}\"")))])]),
     op("promote_item", reference=ref(1), durable_id="one"),
     op("promote_item", reference=ref(1), durable_id="again"),
     op("attach_value", domain="item", target=ref(0), value=value("cost", "4", "integer")),
     op("attach_value", domain="item", target={"durable_id": "one"}, value=value("cost", "5", "integer")),
-    op("attach_value", domain="tier", target=name("t"), value=value("cost", "6")),
-    op("attach_value", domain="relation_declaration", target=name("link"), value=value("cost", "7")),
-    op("attach_value", domain="document", target=None, value=value("cost", "8")),
-    op("attach_value", domain="position", target=ref(2), value=value("cost", "9")),
-    op("attach_value", domain="position", target=ref(0), value=value("cost", "10")),
-    op("attach_value", domain="position", target=ref(3), value=value("cost", "11")),
+    op("attach_value", domain="tier", target=name("t"), value=value("size", "6")),
+    op("attach_value", domain="relation_declaration", target=name("link"), value=value("note", "7")),
+    op("attach_value", domain="document", target=None, value=value("title", "8")),
+    op("attach_value", domain="position", target=ref(2), value=value("at", "9")),
+    op("attach_value", domain="position", target=ref(0), value=value("at", "10")),
+    op("attach_value", domain="position", target=ref(3), value=value("at", "11")),
     op("promote_position", reference=ref(2), durable_id="two"),
     op("promote_position", reference=ref(0), durable_id="none"),
     op("relate", relation={"declaration": name("has"), "sources": [ref(0)], "targets": [ref(1)], "durable_id": "h", "attributes": []}),
     op("relate", relation={"declaration": name("link"), "left": ref(0), "right": ref(1), "durable_id": None, "attributes": []}),
-    op("attach_value", domain="relation_instance", target={"durable_id": "h"}, value=value("cost", "12")),
+    op("attach_value", domain="relation_instance", target={"durable_id": "h"}, value=value("why", "12")),
 ]
 
 
@@ -137,26 +139,26 @@ def text(ops, header='{"machine_version":"1"}'):
 
 
 def built():
-    link = LINK | {"attributes": [value("cost", "7")]}
+    link = FLAT | {"attributes": [value("note", "7")]}
     two = item(None, value("w", "a,}\""))
     items = [item(None, value("cost", "4", "integer")), item("one", value("w", "a,}\""), value("cost", "5", "integer")), item("two"), two]
     return {
         "format_version": "5",
         "graph": {
             "namespaces": [{"prefix": "p", "namespace": "u"}],
-            "tiers": [{"declaration": {"name": name("t"), "long_name": "Tier"}, "items": items, "attributes": [value("cost", "6")]}],
+            "tiers": [{"declaration": {"name": name("t"), "long_name": "Tier"}, "items": items, "attributes": [value("size", "6")]}],
             "relation_declarations": [SIMPLE, link, POLY],
             "relations": [
                 {"declaration": name("link"), "left": ref(0), "right": ref(1), "durable_id": None, "attributes": []},
-                {"declaration": name("has"), "sources": [ref(0)], "targets": [ref(1)], "durable_id": "h", "attributes": [value("cost", "12")]},
+                {"declaration": name("has"), "sources": [ref(0)], "targets": [ref(1)], "durable_id": "h", "attributes": [value("why", "12")]},
             ],
-            "attribute_declarations": [{"name": name("cost"), "domain": "item", "value_type": "integer"}],
+            "attribute_declarations": [{"name": name(n), "domain": d, "value_type": k} for n, d, k in HELD],
             "position_values": [
-                {"reference": {"anchor": {"kind": "item", "durable_id": "two"}, "side": "before"}, "attributes": [value("cost", "9")]},
-                {"reference": {"anchor": {"kind": "tier", "tier": name("t")}, "side": "before"}, "attributes": [value("cost", "10")]},
-                {"reference": ref(3), "attributes": [value("cost", "11")]},
+                {"reference": {"anchor": {"kind": "item", "durable_id": "two"}, "side": "before"}, "attributes": [value("at", "9")]},
+                {"reference": {"anchor": {"kind": "tier", "tier": name("t")}, "side": "before"}, "attributes": [value("at", "10")]},
+                {"reference": ref(3), "attributes": [value("at", "11")]},
             ],
-            "attributes": [value("cost", "8")],
+            "attributes": [value("title", "8")],
         },
     }
 
@@ -165,7 +167,7 @@ def test_programs_build_documents(spark):
     docs = spark.createDataFrame([("a", text(PROGRAM)), ("b", text(PROGRAM[:2]))], "doc string, raw string")
     assert program.violations(docs).count() == 0
     ops = program.flattened(docs)
-    assert ops.where("doc = 'a'").count() == 25 and program.refusals(ops).count() == 0
+    assert ops.where("doc = 'a'").count() == 31 and program.refusals(ops).count() == 0
     texts = {r.doc: r.text for r in program.replay(ops).collect()}
     assert json.loads(texts["a"]) == built()
     assert texts["a"] == json.dumps(built(), sort_keys=True, ensure_ascii=False, separators=(",", ":"))
@@ -195,12 +197,13 @@ def test_programs_are_refused(spark):
         ("field", "line 2.declaration", "is missing field long_name"),
         ("nested", "line 2.body[0]", "is missing field item"),
     }
-    tier = PROGRAM[1]
+    space, tier, size = PROGRAM[0], PROGRAM[1], op("declare_attribute", declaration={"name": name("size"), "domain": "tier", "value_type": "string"})
     stops = {
-        "twice": ([tier, tier], (1, "declared twice")),
-        "unknown": ([op("add_item", tier=name("t"), item=item())], (0, "not declared")),
-        "place": ([tier, op("promote_item", reference=ref(0), durable_id="x")], (1, "no such place")),
-        "value": ([tier, PROGRAM[5], op("attach_value", domain="tier", target=name("t"), value=value("cost", "1")), op("attach_value", domain="tier", target=name("t"), value=value("cost", "2"))], (3, "attached twice")),
+        "twice": ([space, tier, tier], (2, "declared twice")),
+        "unknown": ([space, op("add_item", tier=name("t"), item=item())], (1, "not declared")),
+        "place": ([space, tier, op("promote_item", reference=ref(0), durable_id="x")], (2, "no such place")),
+        "value": ([space, tier, size, *(op("attach_value", domain="tier", target=name("t"), value=value("size", x)) for x in "12")], (4, "attached twice")),
+        "space": ([tier], (0, "declared namespace: {u}t")),
     }
     ops = program.flattened(spark.createDataFrame([(k, text(p)) for k, (p, _) in stops.items()], "doc string, raw string"))
     assert {r.doc: (r.seq, r.reason) for r in program.first_refusal(ops).collect()} == {k: want for k, (_, want) in stops.items()}
