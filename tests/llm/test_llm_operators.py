@@ -595,5 +595,5 @@ def test_empty_benchmark(spark, docs):
 def test_queries_are_registered():
     import __spark_entry__ as entry
 
-    assert {f"op{i}" for i in range(1, 11)} == {n.split("_")[0] for n in QUERIES} and set(ORACLE) <= set(QUERIES)
+    assert {f"op{i}" for i in range(1, 14)} == {n.split("_")[0] for n in QUERIES} and set(ORACLE) <= set(QUERIES)
     assert set(QUERIES) | {"pipeline"} <= set(entry.queries())
