@@ -65,6 +65,12 @@ class Machine(StatefulProcessor):
             self.values.updateValue((tier, index, name), (0,))
         return index, None
 
+    def _dropped(self) -> dict[int, tuple]:
+        """The ops that waited, which will not be applied any more."""
+        held = {int(k[0]): tuple(v) for k, v in self.waiting.iterator()}
+        self.waiting.clear()
+        return held
+
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         next_, stopped, deadline = self.progress.get() if self.progress.exists() else (0, False, None)
         fresh, out, sizes, began = {}, [], {}, next_
@@ -87,6 +93,8 @@ class Machine(StatefulProcessor):
             row(next_, op, idx, "applied" if reason is None else "refused", reason)
             stopped = reason is not None
             next_ += 0 if stopped else 1
+        if stopped:
+            fresh.update(self._dropped())
         for seq, op in fresh.items():
             if stopped:
                 row(seq, op, op[2], "stopped")
@@ -107,7 +115,9 @@ class Machine(StatefulProcessor):
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         next_, stopped, _ = self.progress.get()
         self.progress.update((next_, True, None))
-        yield _frame([] if stopped else [(key[0], next_, None, None, None, "refused", "an op is missing")])
+        if not stopped:
+            left = [(key[0], seq, op[0], op[1], op[2], "stopped", None) for seq, op in self._dropped().items()]
+            yield _frame([(key[0], next_, None, None, None, "refused", "an op is missing"), *left])
 
     def close(self) -> None:
         pass
