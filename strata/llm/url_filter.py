@@ -66,10 +66,11 @@ def parts(url: Column) -> tuple[Column, Column]:
 def _buckets(text: Column, seed: int) -> Column:
     """The bucket of each 3-gram of ^text$: a polynomial of its code points."""
     points = F.transform(F.split(F.concat(F.lit("^"), text, F.lit("$")), ""), lambda c: F.ascii(c).cast("bigint"))
-    return F.transform(
-        F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1))),
-        lambda i: F.pmod(((F.get(points, i - 1) * 8191 + F.coalesce(F.get(points, i), F.lit(0))) * 8191 + F.coalesce(F.get(points, i + 1), F.lit(0))) * 31 + seed, F.lit(1_000_003)) % BUCKETS,
-    )
+    rest = lambda k: F.slice(points, k, F.length(text) + 2)
+    # three arrays side by side: what a lambda looks up by place it would make again for each element
+    longer = lambda a, b: F.zip_with(a, b, lambda x, y: x * 8191 + F.coalesce(y, F.lit(0)))
+    grams = F.slice(longer(longer(points, rest(2)), rest(3)), 1, F.greatest(F.length(text), F.lit(1)))
+    return F.transform(grams, lambda g: F.pmod(g * 31 + seed, F.lit(1_000_003)) % BUCKETS)
 
 
 def features(host: Column, path: Column) -> Column:
