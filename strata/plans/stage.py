@@ -8,8 +8,11 @@ from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the cluster's ``spark.checkpoint.dir``; a folder of our own only where none is configured."""
+    """Reliable checkpoint in the cluster's ``spark.checkpoint.dir``; a folder of our own only where none is configured and all runs on one machine."""
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="strata-checkpoint-"))
+        known = spark.conf.get("spark.checkpoint.dir", None)
+        if known is None and spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(known or tempfile.mkdtemp(prefix="strata-checkpoint-"))
     return df.checkpoint(eager=True)
