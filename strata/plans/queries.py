@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strata.functions import lexical as L
 from strata.model import Polyadic, Relation, node
-from strata.operators import actions, cycles, fold, forest, grammar, machine, paths, profiles, reach, select, traverse, validate, wellformed
+from strata.operators import actions, cycles, declared, fold, forest, grammar, machine, paths, profiles, reach, select, traverse, validate, wellformed
 from strata.operators import semiring as S
 from strata.plans import corpora as C
 from strata.plans.stage import cut
@@ -608,6 +609,83 @@ def chart_paths(spark, d):
     return forest.resolve(wanted, held).select("doc", "path", "rule", _children(F.col("children")).alias("children"), "code")
 
 
+# --- declared folds
+
+# Each customer's orders and their lines, numbered in canonical order; a line of ten pieces or more is needed, the others are offered.
+DF = f"""{OH.replace("ln AS (", "lx AS (").replace("l_orderkey FROM lineitem", "l_orderkey, CAST(l_quantity AS BIGINT) AS q, CAST(round(l_extendedprice * 100) AS BIGINT) AS lc FROM lineitem")},
+  df AS (SELECT od.doc, od.i AS o, o_orderkey, cents, lx.i AS l, q, lc FROM od LEFT JOIN lx ON l_orderkey = o_orderkey)"""
+
+
+def _orders(spark, d):
+    """(nodes, edges) for declared folds; nodes have cents, quantity and a label of the tier's letter and the index."""
+    corpus, _ = C.order_hypergraph(spark, d)
+    none, parts = F.lit(None).cast("bigint"), []
+    for letter, t in zip("col", corpus.tiers):
+        column = lambda c: F.col(c) if c in t.rows.columns else none  # noqa: B023, E731
+        label = F.lit("c") if letter == "c" else F.concat(F.lit(letter), F.col("idx").cast("string"))
+        parts.append(t.rows.select("doc", node(t.t, F.col("idx")).alias("node"), F.lit(t.name).alias("tier"), F.struct(F.coalesce(column("cents"), F.lit(0)).cast("bigint").alias("cents"), column("quantity").alias("quantity")).alias("value"), label.alias("label")))
+    nodes = reduce(DataFrame.unionByName, parts)
+    edges = corpus.relations[0].edges.select("doc", "l", "r").join(parts[2].select("doc", F.col("node").alias("r"), F.col("value.quantity").alias("q")), ["doc", "r"], "left")
+    return nodes, edges.select("doc", F.when(F.col("l.t") == 0, "holds").when(F.col("q") >= 10, "needs").otherwise("offers").alias("rel"), "l", "r")
+
+
+TIERS = ("customer", "order", "line")
+NEEDS = tuple(declared.Transition(*x) for x in (("holds", fold.OR), ("needs", fold.AND), ("offers", fold.OR)))
+
+
+@query(f"""WITH {DF} SELECT doc, CAST(o AS BIGINT) AS idx, CAST(any_value(cents) + coalesce(sum(lc) FILTER (q >= 10), 0) + coalesce(min(lc) FILTER (q < 10), 0) AS BIGINT) AS value FROM df GROUP BY doc, o""")
+def fold_and_or(spark, d):
+    nodes, edges = _orders(spark, d)
+    f = declared.Fold("cost", TIERS, NEEDS, S.TROPICAL, lambda v, _: v.cents)
+    return declared.evaluate(f, nodes, edges).where("node.t = 1").select("doc", F.col("node.i").alias("idx"), F.col("s.v").alias("value"))
+
+
+# Order of values reversed, sums as values: the order with most pieces, its largest line; ties keep all paths, two are given out.
+@query(f"""WITH {DF}, b AS (SELECT doc, o, l, q, sum(coalesce(q, 1)) OVER (PARTITION BY doc, o) AS n, max(q) OVER (PARTITION BY doc, o) AS m FROM df),
+w AS (SELECT doc, 'c/o' || o || coalesce('/l' || l, '') AS path, row_number() OVER (PARTITION BY doc ORDER BY o, l) - 1 AS rank FROM (SELECT *, max(n) OVER (PARTITION BY doc) AS t FROM b) WHERE n = t AND q IS NOT DISTINCT FROM m),
+v AS (SELECT doc, CAST(sum(coalesce(q, 1)) AS VARCHAR) AS value FROM df GROUP BY doc)
+SELECT doc, value, CAST(rank AS INTEGER) AS rank, path, count(*) OVER (PARTITION BY doc) > 2 AS truncated FROM w JOIN v USING (doc) QUALIFY rank < 2""")
+def fold_witness_order(spark, d):
+    nodes, edges = _orders(spark, d)
+    lift = lambda v, _: F.coalesce(v.quantity, F.lit(1)).cast(S.COUNT)
+    most = lambda a, b: F.when(a > b, -1).when(a < b, 1).otherwise(0)
+    lines = tuple(declared.Transition(x, fold.OR) for x in ("holds", "lines"))
+    f = declared.Fold("most", TIERS, lines, S.COUNTING, lift, order=most, ties=declared.ALL, cap=2)
+    edges = edges.withColumn("rel", F.when(F.col("rel") == "holds", "holds").otherwise("lines"))
+    out = declared.result(f, declared.evaluate(f, nodes, edges), declared.roots(f, nodes, edges))
+    return out.select("doc", F.col("value").cast("string").alias("value"), F.posexplode("paths").alias("rank", "path"), "truncated").withColumn("path", F.array_join("path", "/"))
+
+
+# The three cheapest ways through each customer: an order, all that it needs and one of its offers.
+@query(f"""WITH {DF}, n AS (SELECT doc, o, any_value(cents) AS cents, CAST(coalesce(sum(lc) FILTER (q >= 10), 0) AS BIGINT) AS c, coalesce(list('l' || l ORDER BY l) FILTER (q >= 10), []) AS p FROM df GROUP BY doc, o),
+f AS (SELECT doc, o, lc, 'l' || l AS name FROM df WHERE q < 10), w AS (SELECT n.doc, cents + c + coalesce(lc, 0) AS cost, list_concat(['c', 'o' || n.o], p, CASE WHEN name IS NULL THEN [] ELSE [name] END) AS path FROM n LEFT JOIN f USING (doc, o))
+SELECT doc, CAST(row_number() OVER (PARTITION BY doc ORDER BY cost, path) - 1 AS INTEGER) AS rank, cost, array_to_string(path, '/') AS path, CAST(count(*) OVER (PARTITION BY doc) AS VARCHAR) AS n, count(*) OVER (PARTITION BY doc) > 3 AS truncated FROM w QUALIFY rank < 3""")
+def fold_ranked(spark, d):
+    nodes, edges = _orders(spark, d)
+    f = declared.Fold("cheapest", TIERS, NEEDS, S.TROPICAL, lambda v, _: v.cents, ties=declared.ALL, cap=3, ranked=True)
+    out = declared.result(f, declared.evaluate(f, nodes, edges), declared.roots(f, nodes, edges))
+    out = out.select("doc", F.posexplode("ranked").alias("rank", "x"), "n", "truncated")
+    return out.select("doc", "rank", F.col("x.v").alias("cost"), F.array_join("x.p", "/").alias("path"), F.col("n").cast("string").alias("n"), "truncated")
+
+
+# Each customer's tenth order is declared a root; events that close a ring where their number is even have no root.
+@query(f"""WITH {OH}, {TL} SELECT doc, 'root_outside_domain' AS code, CAST(9 AS BIGINT) AS idx FROM od GROUP BY doc HAVING count(*) < 10
+UNION ALL SELECT doc, 'no_root', NULL FROM tl GROUP BY doc HAVING count(*) % 2 = 0""")
+def fold_refused_roots(spark, d):
+    nodes, edges = _orders(spark, d)
+    f = declared.Fold("orders", ("order",), NEEDS, S.COUNTING, lambda v, _: S.COUNTING.one())
+    tenth = nodes.select("doc").distinct().select("doc", node(1, F.lit(9).cast("bigint")).alias("node"))
+    outside = declared.refused_roots(f, nodes, edges, tenth)
+    rows = C.timeline(spark, d).tier("event").rows
+    events = rows.select("doc", node(0, F.col("idx")).alias("node"), F.lit("event").alias("tier"))
+    size = rows.groupBy("doc").agg(F.count(F.lit(1)).alias("n"))
+    ring = rows.join(size, "doc").select("doc", "idx", "n", F.lit("ring").alias("rel"), node(0, F.col("idx")).alias("l")).where("idx + 1 < n OR n % 2 = 0")
+    ring = ring.select("doc", "rel", "l", node(0, F.pmod(F.col("idx") + 1, F.col("n"))).alias("r"))
+    f = declared.Fold("ring", ("event",), (declared.Transition("ring", fold.OR),), S.COUNTING, lambda v, _: S.COUNTING.one())
+    none = declared.refused_roots(f, events, ring)
+    return outside.unionByName(none).select("doc", "code", F.col("node.i").alias("idx"))
+
+
 # --- profiles
 
 
