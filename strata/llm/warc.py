@@ -7,7 +7,7 @@ archive's bytes in order: it inflates member by member in steps of ``STEP`` byte
 the payload's digest.
 
 Defined results: null html is an empty payload; null url leaves out the target; control characters in a url are percent-encoded; equal rows
-(same page_id and payload) are all responses; very long pages are written and read whole; an empty table gives no archives; extra columns are ignored.
+(same page_id and payload) are all responses, and of equal payloads those without a page_id revisit the one with the largest (all are responses if none has one); very long pages are written and read whole; an empty table gives no archives; extra columns are ignored.
 Of archives by other writers, records that are neither response nor revisit (``warcinfo``, ``request``, ``metadata``) are framed and passed over;
 digests are verified where a record has them; a name that isn't one of ours gives a null page_id or refers_to, and a revisit that doesn't tell
 the payload's length or digest has null there. A broken record, any kind, raises ``ValueError``.
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.llm._stage import shared_dir
+from strata.llm._stage import bit_table, kept, salted, shared_dir
 
 ARCHIVE, STEP, LEVEL = 1 << 22, 1 << 16, 6
 PREFIX = "urn:page:"
@@ -64,12 +64,16 @@ def member(data: bytes) -> bytes:
 
 
 def write(pages: DataFrame, archive: int = ARCHIVE) -> DataFrame:
-    """(archive, data): the archives' bytes, one row each."""
+    """(archive, data): the archives' bytes, one row each.
+
+    Only pages whose payload may have copies are moved, spread over ``SALT`` tasks for each payload; the others are written where they are read.
+    """
     keyed = pages.select("page_id", "url", "html", F.sha1(F.coalesce("html", F.lit(""))).alias("sha"))
-    copies = keyed.groupBy("sha").agg(F.max("page_id").alias("last"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    joined = keyed.join(copies, "sha", "left")
+    copies = kept(keyed.groupBy("sha").agg(F.max("page_id").alias("last"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
+    shared = bit_table(copies, "sha")(F.col("sha"))
     refers = F.when(~F.col("page_id").eqNullSafe(F.col("last")), F.col("last"))
-    rows = joined.select("page_id", "url", "html", refers.alias("refers"))
+    alone = keyed.where(~shared).select("page_id", "url", "html", F.lit(None).cast("bigint").alias("refers"))
+    rows = alone.unionByName(salted(keyed.where(shared), copies, ["sha"], "left").select("page_id", "url", "html", refers.alias("refers")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[bytes] = []
