@@ -5,15 +5,17 @@ transition weights. The marginal probability of *good*, by the forward-backward
 document's score. The field is fitted here, by gradient ascent on the penalised conditional likelihood, each line of a labelled document
 taking its document's label.
 
-Training reads at most ``SAMPLE`` labelled documents: those with the smallest hashes of their doc_id, among rows whose
+Training reads at most ``SAMPLE`` labelled documents, of each at most ``LINES`` lines in a row: those with the smallest hashes of their doc_id, among rows whose
 ``crc32(doc_id as text) % 4`` isn't 2. Labels, language, source and doc_id are never inputs of a score.
 
 Defined results: null and empty texts, and texts without words, get the share of good documents in training; without labelled rows every
-score is 0.5; repeated rows are treated alike; extra columns are ignored by ``score`` and kept by ``keep_good``.
+score is 0.5; repeated rows and ties are treated alike; rows with a null doc_id are scored, not held out and never learnt from; very long texts are scored
+whole, one step a line; empty tables give empty results; extra columns are ignored by ``score`` and kept by ``keep_good``.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +26,7 @@ from pyspark.sql import functions as F
 from strata.llm._arrow import blocks, utf8
 from strata.llm.repeats import Words, mix
 
-SAMPLE, THRESHOLD, STEPS, PENALTY, BLOCK = 4000, 0.7, 200, 1e-3, 1 << 21
+SAMPLE, LINES, THRESHOLD, STEPS, PENALTY, BLOCK = 4000, 512, 0.7, 200, 1e-3, 1 << 21
 OWN, NEAR = 8, 5  # numbers of a line; the first NEAR of them are taken from its neighbours too
 SIZE = 1 + OWN + 2 * NEAR + 3
 SYMBOLS = np.zeros(256, bool)
@@ -164,8 +166,10 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string")) % 4 == 2
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Field:
-    """A field fitted on at most ``sample`` labelled documents."""
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most: int = LINES) -> Field:
+    """A field fitted on at most ``sample`` labelled documents (of rows with one doc_id, that with the least text), and of each at most ``most`` lines in a
+    row, from a place that its text decides. So the driver holds at most ``sample * most`` lines' numbers, 180 MB.
+    """
     rows = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("quality").cast("int").alias("q"))
     chosen = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
 
@@ -173,9 +177,16 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Field:
         for batch in blocks(batches, "text", BLOCK):
             doc, _, x = line_features(*utf8(batch.column("text")))
             at = np.searchsorted(doc, np.arange(batch.num_rows + 1))
-            yield pa.RecordBatch.from_arrays([batch.column("q"), pa.array([x[a:b].tobytes() for a, b in zip(at, at[1:])], pa.binary())], ["q", "x"])
-
-    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "q").mapInArrow(run, "q int, x binary").collect()  # at most ``sample`` documents' line numbers
+            held = []
+            for a, b in zip(at.tolist(), at[1:].tolist()):
+                if b - a > most:
+                    a += zlib.crc32(x[a:b].tobytes()) % (b - a - most + 1)
+                    b = a + most
+                held.append(x[a:b].tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("q"), pa.array(held, pa.binary())], ["q", "x"])
+
+    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("q").alias("q"))
+    found = found.select("text", "q").mapInArrow(run, "q int, x binary").collect()  # bounded as said above
     found = sorted(found, key=lambda r: (r.q, r.x))
     if not found:
         return Field(np.zeros(SIZE), np.zeros((2, 2)), 0.5)
