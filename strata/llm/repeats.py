@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from strata.llm._arrow import binary, blocks, utf8
 from strata.llm._stage import NO_ID, SALT, bit_table, kept
 
+TASKS = 4096  # reduce tasks that any driver can keep
 BLOCK = 1 << 19  # bytes of text that are looked at together
 PART_BYTES, PART_LOG2, DEPTH, ROW = 1 << 24, 18, 2, 90  # text of a part, cells of a block's row, rows, entries packed in a row
 HELD, GROUP = 1 << 20, 2000
@@ -363,7 +364,8 @@ def occurrences(docs: DataFrame, unit: Bytes | Words, bytes_per_run: int, ordere
                     yield found_rows(REMOVED, np.frombuffer(said, ENTRY), None)
         yield from block.end()
 
-    tasks = 1 << max(0, blocks_log2 - 2)  # about four blocks each, at any size of the input
+    # about four blocks each while the cluster has room; beyond that a task handles more of them, one after the other
+    tasks = min(1 << max(0, blocks_log2 - 2), max(TASKS, 8 * docs.sparkSession.sparkContext.defaultParallelism))
     return kept(packed.repartition(tasks, "block").sortWithinPartitions("block", "kind").mapInArrow(run, FOUND))
 
 
