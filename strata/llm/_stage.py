@@ -12,11 +12,14 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (``spark.checkpoint.dir``); one of our own only where none is configured."""
+    """The cluster's shared folder (``spark.checkpoint.dir``); one of our own only where none is configured and all runs on one machine."""
     sc = spark.sparkContext
     known = sc.getCheckpointDir()
     if known is None:
-        known = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="strata-checkpoint-")
+        known = spark.conf.get("spark.checkpoint.dir", None)
+        if known is None and sc.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        known = known or tempfile.mkdtemp(prefix="strata-checkpoint-")
         sc.setCheckpointDir(known)
     return spark.conf.get("spark.checkpoint.dir", None) or known
 

@@ -14,7 +14,8 @@ Texts are lower-cased (A-Z) and cut into words. The fingerprint of a window of `
 Rows are told apart by doc_id and a hash of the text, and frequent fingerprints and passages are spread by a salt.
 
 Defined results: null text has no words; rows with a null doc_id, and rows that share one, are judged each by its own text; equal rows (ties)
-have equal results; very long texts are read whole, in time linear in their length; empty tables give no hits; extra columns are
+have equal results; very long texts are read whole, in time linear in their length; empty tables give no hits; an item with a
+null item_id hits words like any other, but has no name to be listed or counted by; extra columns are
 ignored by ``report`` and kept by ``clean``.
 """
 

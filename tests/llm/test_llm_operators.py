@@ -636,6 +636,33 @@ def test_pages(spark):
         assert r.text == " ".join(x for x in parts if x)
 
 
+def test_mass_copies_in_archives(spark):
+    rows = [(i, "u", "copy " * 50) for i in range(300)] + [(None, "u", "copy " * 50), (900, "u", None), (901, "u", ""), (902, "u", "single"), (None, "u", "nameless"), (None, "v", "nameless")]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    got = sorted(((r.page_id, r.record_type, r.refers_to) for r in warc.round_trip(pages).collect()), key=str)
+    want = [(i, "response" if i == 299 else "revisit", None if i == 299 else 299) for i in range(300)]
+    want += [(None, "revisit", 299), (900, "revisit", 901), (901, "response", None), (902, "response", None), (None, "response", None), (None, "response", None)]
+    assert got == sorted(want, key=str)
+
+
+def test_training_is_bounded_in_lines(spark):
+    text = "\n".join(f"line {i} of words that say something" for i in range(3000))
+    rows = [(i, text if i % 2 else "BUY!!! NOW $$$ " * 4) for i in range(40) if zlib.crc32(str(i).encode()) % 4 != 2]
+    docs = spark.createDataFrame([*rows, *rows[:5], (None, text)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id bigint, quality int")
+    seen = []
+    fit = quality_crf.fit
+    try:
+        quality_crf.fit = lambda doc, x, label, share: seen.append((len(x), len(set(doc.tolist())), max(np.bincount(doc)))) or fit(doc, x, label, share, 60)
+        field = quality_crf.train(docs, labels, most=16)
+    finally:
+        quality_crf.fit = fit
+    assert seen[0][1] == len(rows) and seen[0][2] == 16 and seen[0][0] == sum(16 if i % 2 else 1 for i, _ in rows)
+    got = quality_crf.score(docs, field).collect()
+    assert len(got) == len(rows) + 6 and all((r.score >= 0.7) == (r.doc_id is None or r.doc_id % 2 == 1) for r in got)
+    assert not any(r.held_out for r in got if r.doc_id is None)
+
+
 # --- all
 
 
