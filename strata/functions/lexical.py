@@ -107,3 +107,10 @@ def exact_quotient(numerator: Column, denominator: int, digits: int = 12) -> Col
     padded = F.lpad(text, F.greatest(F.length(text), F.lit(scale + 1)), F.lit("0"))
     joined = F.concat(F.when(numerator < 0, "-").otherwise(""), F.substring(padded, F.lit(1), F.length(padded) - scale), F.lit("."), F.substring(padded, F.length(padded) - scale + 1, F.lit(scale)) if scale else F.lit("0"))
     return F.when(ends, decimal(joined))
+
+
+def compare_products(a: Column, b: Column, c: Column, d: Column) -> Column:
+    """-1, 0 or 1 as a times b is below, equal to or above c times d, exactly, for any BIGINTs: a product of two has 38 digits at most."""
+    wide = lambda x: x.cast("decimal(19,0)")
+    left, right = (wide(a) * wide(b)).cast("decimal(38,0)"), (wide(c) * wide(d)).cast("decimal(38,0)")
+    return F.when(left < right, -1).when(left > right, 1).when(left == right, 0)

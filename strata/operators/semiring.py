@@ -85,3 +85,67 @@ def best(k: int) -> Semiring:
     prune = lambda a: F.slice(F.array_sort(F.array_distinct(a)), 1, k)
     pair = lambda x, y: F.struct((x.v + y.v).alias("v"), F.concat(x.p, y.p).alias("p"))
     return Semiring(f"{k} best", kind, lambda: F.array().cast(kind), lambda: F.array(F.struct(F.lit(0).cast("bigint").alias("v"), F.array().cast("array<bigint>").alias("p"))).cast(kind), lambda a, b: prune(F.concat(a, b)), lambda a, b: prune(F.flatten(F.transform(a, lambda x: F.transform(b, lambda y: pair(x, y))))), ordered=True)
+
+
+FRACTION = "struct<n:decimal(38,0),d:decimal(38,0)>"
+
+
+def fraction(n: Column, d: Column) -> Column:
+    """n/d in lowest terms, the denominator above 0; NULL where d is 0. More than 38 digits are an error."""
+    n, d = n.cast(COUNT), d.cast(COUNT)
+    sign = F.when(d < 0, F.lit(-1)).otherwise(F.lit(1))
+    shared = F.get(F.transform(F.array(gcd(n, d)), lambda g: F.struct((sign * n).cast(COUNT).alias("n"), F.abs(d).alias("d"), g.alias("g"))), F.lit(0))
+    return F.when(d != 0, F.get(F.transform(F.array(shared), lambda x: F.struct(_over(x.n, x.g).alias("n"), _over(x.d, x.g).alias("d")).cast(FRACTION)), F.lit(0)))
+
+
+def gcd(a: Column, b: Column) -> Column:
+    """The greatest common divisor, by Euclid's steps: 190 are enough for 38 digits, and most pairs need the first 40 only."""
+
+    def steps(s: Column, k: int) -> Column:
+        shape = f"struct<a:{COUNT},b:{COUNT}>"
+        step = lambda x, _: F.when(x.b == 0, x).otherwise(F.struct(x.b.alias("a"), (x.a % x.b).cast(COUNT).alias("b"))).cast(shape)
+        return F.aggregate(F.sequence(F.lit(1), F.lit(k)), s.cast(shape), step)
+
+    first = steps(F.struct(F.abs(a.cast(COUNT)).alias("a"), F.abs(b.cast(COUNT)).alias("b")), 40)
+    return F.get(F.transform(F.array(first), lambda s: F.when(s.b == 0, s.a).otherwise(steps(s, 150).a)), F.lit(0))
+
+
+def _over(a: Column, b: Column) -> Column:
+    """The exact quotient of whole decimals, b above 0 and dividing a. Spark's quotients have 32 digits before the point; longer ones are made of two."""
+    million = F.lit(1000000).cast(COUNT)
+    wide = F.least(b, million) * million  # only used below a million, where it is b's millionfold
+    rest = (a % wide).cast(COUNT)
+    two = (((a - rest) / wide).cast(COUNT) * million + (rest / b).cast(COUNT)).cast(COUNT)
+    return F.when(b == 1, a).when(b < million, two).otherwise((a / b).cast(COUNT)).cast(COUNT)
+
+
+def _sum(x: Column, y: Column) -> Column:
+    def made(g: Column) -> Column:
+        return fraction(x.n * _over(y.d, g) + y.n * _over(x.d, g), _over(x.d, g) * y.d)
+
+    return F.get(F.transform(F.array(gcd(x.d, y.d)), made), F.lit(0))
+
+
+def _product(x: Column, y: Column) -> Column:
+    """Factors are reduced crosswise first, so that nothing is longer than it must be."""
+    pair = F.struct(fraction(x.n, y.d).alias("a"), fraction(y.n, x.d).alias("b"))
+    return F.get(F.transform(F.array(pair), lambda p: F.struct((p.a.n * p.b.n).cast(COUNT).alias("n"), (p.a.d * p.b.d).cast(COUNT).alias("d")).cast(FRACTION)), F.lit(0))
+
+
+def _whole(value: int) -> Callable[[], Column]:
+    return lambda: F.struct(F.lit(value).cast(COUNT).alias("n"), F.lit(1).cast(COUNT).alias("d")).cast(FRACTION)
+
+
+PROBABILITY = Semiring("exact probability", FRACTION, _whole(0), _whole(1), _sum, _product)
+
+
+def fraction_text(c: Column) -> Column:
+    """``n/d``, or ``n`` where d is 1."""
+    return F.when(c.d == 1, c.n.cast("string")).otherwise(F.concat(c.n.cast("string"), F.lit("/"), c.d.cast("string")))
+
+
+def fraction_of(text: Column) -> Column:
+    """The fraction that ``fraction_text`` spells; NULL for any other text, unreduced fractions included."""
+    n, d = F.split_part(text, F.lit("/"), F.lit(1)), F.when(text.contains("/"), F.split_part(text, F.lit("/"), F.lit(2))).otherwise("1")
+    read = F.when(text.rlike(r"\A(0|-?[1-9][0-9]{0,37})(/[1-9][0-9]{0,37})?\z"), fraction(n.try_cast(COUNT), d.try_cast(COUNT)))
+    return F.get(F.filter(F.array(read), lambda x: fraction_text(x) == text), F.lit(0))

@@ -668,6 +668,28 @@ def fold_ranked(spark, d):
     return out.select("doc", "rank", F.col("x.v").alias("cost"), F.array_join("x.p", "/").alias("path"), F.col("n").cast("string").alias("n"), "truncated")
 
 
+# A line of q pieces has the weight q/50: sums of products of fractions, in lowest terms.
+@query(f"""WITH {DF}, w AS (SELECT doc, o, list_reduce(list_prepend(CAST(1 AS HUGEINT), coalesce(list(CAST(q AS HUGEINT)) FILTER (q >= 10), [])), lambda a, b: a * b) AS up, count(*) FILTER (q >= 10) AS k,
+  CASE WHEN count(*) FILTER (q < 10) = 0 THEN CAST(50 AS HUGEINT) ELSE CAST(sum(q) FILTER (q < 10) AS HUGEINT) END AS s FROM df GROUP BY doc, o),
+t AS (SELECT doc, CAST(sum(up * s * list_reduce(list_prepend(CAST(1 AS HUGEINT), list_transform(range(19 - k), lambda x: CAST(50 AS HUGEINT))), lambda a, b: a * b)) AS HUGEINT) AS n, CAST('9536743164062500000000000000000000' AS HUGEINT) AS d FROM w GROUP BY doc),
+r AS (SELECT doc, n // gcd(n, d) AS n, d // gcd(n, d) AS d FROM t)
+SELECT doc, CASE WHEN d = 1 THEN CAST(n AS VARCHAR) ELSE n || '/' || d END AS value FROM r""")
+def fold_probability(spark, d):
+    nodes, edges = _orders(spark, d)
+    lift = lambda v, _: F.when(v.quantity.isNull(), S.PROBABILITY.one()).otherwise(S.fraction(v.quantity, F.lit(50)))
+    f = declared.Fold("weight", TIERS, NEEDS, S.PROBABILITY, lift)
+    out = declared.evaluate(f, nodes, edges).where("node.t = 0")
+    return out.select("doc", S.fraction_text(F.col("s.v")).alias("value"))
+
+
+@query("""SELECT l_orderkey, l_linenumber, count(*) AS n, sum(sign(CAST(l_orderkey + 9000000000000000000 AS HUGEINT) * CAST(round(l_extendedprice * 100) AS BIGINT) - CAST(l_partkey + 9000000000000000000 AS HUGEINT) * CAST(round(l_extendedprice * 100) AS BIGINT)))::BIGINT AS s
+  FROM lineitem GROUP BY 1, 2""")
+def product_compare(spark, d):
+    big, price = F.lit(9000000000000000000).cast("bigint"), C.cents("l_extendedprice")
+    found = C.table(spark, d, "lineitem").withColumn("s", L.compare_products(F.col("l_orderkey") + big, price, F.col("l_partkey") + big, price))
+    return found.groupBy("l_orderkey", "l_linenumber").agg(F.count(F.lit(1)).alias("n"), F.sum("s").alias("s"))
+
+
 # Each customer's tenth order is declared a root; events that close a ring where their number is even have no root.
 @query(f"""WITH {OH}, {TL} SELECT doc, 'root_outside_domain' AS code, CAST(9 AS BIGINT) AS idx FROM od GROUP BY doc HAVING count(*) < 10
 UNION ALL SELECT doc, 'no_root', NULL FROM tl GROUP BY doc HAVING count(*) % 2 = 0""")

@@ -169,3 +169,35 @@ def test_refusals():
         ({"attribute": "w"}, "exact_over_double"),
     ]:
         assert [c for c, _ in D.refusals(Fold(**(good | change)), graph)] == [code], code
+
+
+def test_fractions(spark):
+    from fractions import Fraction
+
+    rng = random.Random(8)
+    pairs = [(0, 1, 0, 1), (1, 3, -1, 3), (-7, 1, 1, 7), (10**37, 3, 3, 10**37), (1, 2**60, 1, 2**61)]
+    fib = [1, 1]
+    while len(fib) < 180:
+        fib.append(fib[-1] + fib[-2])
+    pairs.append((fib[178], fib[179], 1, 1))
+    pairs += [(2 * (10**37 + 1), 6, 3, 1), (7 * (10**36 + 3), 7 * 10**5, 1, 1), (10**37 + 2 * 10**6, 10**6, 1, 1), (-3 * (10**36 + 9), 3, 1, 1)]
+    pairs += [tuple(rng.choice((-1, 1)) ** (i % 2 == 0) * rng.randint(1, 10**9) for i in range(4)) for _ in range(40)]
+    cast = lambda c: F.col(c).cast("decimal(38,0)")
+    df = spark.createDataFrame([tuple(map(str, p)) for p in pairs], "a string, b string, c string, d string")
+    df = df.select(*("a b c d".split()), S.fraction(cast("a"), cast("b")).alias("x"), S.fraction(cast("c"), cast("d")).alias("y"))
+    small = (F.length("b") < 25) & (F.length("d") < 25)
+    got = df.select("a", "b", "c", "d", S.fraction_text(F.col("x")).alias("v"), F.when(small, S.fraction_text(S.PROBABILITY.add(F.col("x"), F.col("y")))).alias("s"), S.fraction_text(S.PROBABILITY.mul(F.col("x"), F.col("y"))).alias("p")).collect()
+    for r in got:
+        x, y = Fraction(int(r.a), int(r.b)), Fraction(int(r.c), int(r.d))
+        assert r.v == str(x) and r.p == str(x * y) and r.s in (None, str(x + y))
+    texts = spark.createDataFrame([("2/4",), ("1/2",), ("-3",), ("0",), ("0/5",), ("1/0",), ("x",), ("3/1",), ("-0",), ("",), (None,)], "t string")
+    assert {r.t for r in texts.where(S.fraction_of(F.col("t")).isNotNull()).collect()} == {"1/2", "-3", "0"}
+
+
+def test_products_are_compared_exactly(spark):
+    from strata.functions import lexical as L
+
+    most = (1 << 63) - 1
+    rows = [(most, most, most, most - 1), (-most - 1, -most - 1, most, most), (3, 4, 2, 6), (most, -2, -most, 2), (None, 1, 1, 1)]
+    got = [r.s for r in spark.createDataFrame(rows, "a bigint, b bigint, c bigint, d bigint").select(L.compare_products(F.col("a"), F.col("b"), F.col("c"), F.col("d")).alias("s")).collect()]
+    assert got == [None if None in (a, b, c, d) else (a * b > c * d) - (a * b < c * d) for a, b, c, d in rows]
