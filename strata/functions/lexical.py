@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once; written out, each use would repeat all that is behind it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def collapsed(c: Column) -> Column:
     """White space as for numbers and booleans: runs become one space, ends are cut."""
     return F.trim(F.regexp_replace(c, r"[ \t\r\n]+", " "))
@@ -26,31 +33,54 @@ def integer(c: Column) -> Column:
 
 def decimal(c: Column) -> Column:
     """Fixed point without exponent; always one digit at least on either side of the point."""
-    t = collapsed(c)
+    return let(collapsed(c), _decimal)
+
+
+def _decimal(t: Column) -> Column:
     body = F.regexp_replace(t, r"\A[+-]", "")
     whole = F.regexp_replace(F.split_part(body, F.lit("."), F.lit(1)), r"\A0+", "")
     part = F.regexp_replace(F.split_part(body, F.lit("."), F.lit(2)), r"0+\z", "")
-    zero = (whole == "") & (part == "")
-    text = F.concat(F.when(whole == "", "0").otherwise(whole), F.lit("."), F.when(part == "", "0").otherwise(part))
-    return F.when(t.rlike(r"\A[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)\z"), F.concat(F.when(t.startswith("-") & ~zero, "-").otherwise(""), text))
+
+    def text(x: Column) -> Column:
+        zero = (x.whole == "") & (x.part == "")
+        digits = F.concat(F.when(x.whole == "", "0").otherwise(x.whole), F.lit("."), F.when(x.part == "", "0").otherwise(x.part))
+        return F.concat(F.when(t.startswith("-") & ~zero, "-").otherwise(""), digits)
+
+    return F.when(t.rlike(r"\A[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)\z"), let(F.struct(whole.alias("whole"), part.alias("part")), text))
 
 
 def double(c: Column) -> Column:
     """NaN, INF, -INF, or the shortest ``d.dddE±n``; too large is infinite."""
-    t = collapsed(c)
+    return let(collapsed(c), _double)
+
+
+def _double(t: Column) -> Column:
     value = F.when(t.rlike(r"\A[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?\z"), t.try_cast("double"))
-    shown = F.abs(value).cast("string")  # d.d, or d.dE±n outside of the plain range
-    mantissa, exponent = F.split_part(shown, F.lit("E"), F.lit(1)), F.when(shown.contains("E"), F.split_part(shown, F.lit("E"), F.lit(2)).cast("int")).otherwise(0)
-    whole, part = F.split_part(mantissa, F.lit("."), F.lit(1)), F.split_part(mantissa, F.lit("."), F.lit(2))
-    digits = F.concat(whole, part)
-    lead = F.length(F.regexp_extract(digits, r"\A(0*)", 1))
-    kept = F.regexp_replace(F.substring(digits, lead + 1, F.length(digits)), r"0+\z", "")
-    power = exponent + F.length(whole) - 1 - lead
-    rest = F.substring(kept, F.lit(2), F.length(kept))
-    normal = F.concat(F.substring(kept, 1, 1), F.lit("."), F.when(rest == "", "0").otherwise(rest), F.lit("E"), power.cast("string"))
     sign = F.when(t.startswith("-"), "-").otherwise("")
-    finite = F.when(value == 0, F.concat(sign, F.lit("0.0E0"))).when(F.abs(value) == float("inf"), F.concat(sign, F.lit("INF"))).otherwise(F.concat(sign, normal))
-    return F.when(t == "NaN", "NaN").when(t.isin("INF", "+INF"), "INF").when(t == "-INF", "-INF").when(value.isNotNull(), finite)
+
+    def finite(v: Column) -> Column:
+        normal = let(F.abs(v).cast("string"), _normal)
+        return F.when(v == 0, F.concat(sign, F.lit("0.0E0"))).when(F.abs(v) == float("inf"), F.concat(sign, F.lit("INF"))).otherwise(F.concat(sign, normal))
+
+    return F.when(t == "NaN", "NaN").when(t.isin("INF", "+INF"), "INF").when(t == "-INF", "-INF").otherwise(let(value, lambda v: F.when(v.isNotNull(), finite(v))))
+
+
+def _normal(shown: Column) -> Column:
+    """``shown`` is d.d, or d.dE±n outside of the plain range."""
+    mantissa, exponent = F.split_part(shown, F.lit("E"), F.lit(1)), F.when(shown.contains("E"), F.split_part(shown, F.lit("E"), F.lit(2)).cast("int")).otherwise(0)
+    parts = let(mantissa, lambda m: F.struct(F.split_part(m, F.lit("."), F.lit(1)).alias("whole"), F.split_part(m, F.lit("."), F.lit(2)).alias("part")))
+
+    def by_digits(x: Column) -> Column:
+        digits = F.concat(x.whole, x.part)
+        lead = F.length(F.regexp_extract(digits, r"\A(0*)", 1))
+        kept = F.regexp_replace(F.regexp_replace(digits, r"\A0+", ""), r"0+\z", "")
+        return F.struct(kept.alias("kept"), (F.length(x.whole) - 1 - lead).alias("power"))
+
+    def spelled(x: Column) -> Column:
+        rest = F.substring(x.kept, F.lit(2), F.length(x.kept))
+        return F.concat(F.substring(x.kept, 1, 1), F.lit("."), F.when(rest == "", "0").otherwise(rest), F.lit("E"), (exponent + x.power).cast("string"))
+
+    return let(let(parts, by_digits), spelled)
 
 
 def canonical(kind: str, c: Column) -> Column:
@@ -104,9 +134,9 @@ def exact_quotient(numerator: Column, denominator: int, digits: int = 12) -> Col
     # integer division: a double would round what lies over 2**53
     units = F.call_function("div", numerator.cast("bigint"), F.lit(rest).cast("bigint")).cast("decimal(38,0)") * F.lit(10**scale // (denominator // rest)).cast("decimal(38,0)")
     text = F.abs(units.cast("decimal(38,0)")).cast("string")
-    padded = F.lpad(text, F.greatest(F.length(text), F.lit(scale + 1)), F.lit("0"))
-    joined = F.concat(F.when(numerator < 0, "-").otherwise(""), F.substring(padded, F.lit(1), F.length(padded) - scale), F.lit("."), F.substring(padded, F.length(padded) - scale + 1, F.lit(scale)) if scale else F.lit("0"))
-    return F.when(ends, decimal(joined))
+    padded = let(text, lambda t: F.lpad(t, F.greatest(F.length(t), F.lit(scale + 1)), F.lit("0")))
+    spelled = lambda p: F.concat(F.when(numerator < 0, "-").otherwise(""), F.substring(p, F.lit(1), F.length(p) - scale), F.lit("."), F.substring(p, F.length(p) - scale + 1, F.lit(scale)) if scale else F.lit("0"))
+    return F.when(ends, decimal(let(padded, spelled)))
 
 
 def compare_products(a: Column, b: Column, c: Column, d: Column) -> Column:
