@@ -59,11 +59,12 @@ def _in_tasks(edges: DataFrame, keys: list[str]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = []
-            for group in batch.column("e").to_pylist():
-                number: dict[str, int] = {}
-                l, r = ([number.setdefault(x[c], len(number)) for x in group] for c in ("l", "r"))
-                at = first_closing(l, r, len(number))
-                found.append(None if at is None else group[at]["place"])
+            for k in range(batch.num_rows):  # one group at a time: a batch of them as Python objects is twenty times its size
+                group = batch.column("e")[k].values
+                ends = pa.concat_arrays([group.field("l"), group.field("r")]).dictionary_encode()
+                number = ends.indices.to_pylist()
+                at = first_closing(number[: len(group)], number[len(group) :], len(ends.dictionary))
+                found.append(None if at is None else group.field("place")[at].as_py())
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), pa.array(found, pa.int64())], [*keys, "place"])
 
     schema = ", ".join(f"`{k}` {gathered.schema[k].dataType.simpleString()}" for k in keys)
