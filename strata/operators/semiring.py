@@ -99,15 +99,16 @@ def fraction(n: Column, d: Column) -> Column:
 
 
 def gcd(a: Column, b: Column) -> Column:
-    """The greatest common divisor, by Euclid's steps: 190 are enough for 38 digits, and most pairs need the first 40 only."""
+    """The greatest common divisor, by Euclid's steps: 190 are enough for 38 digits; most pairs need the first 6 only, and hardly any more than 40."""
 
     def steps(s: Column, k: int) -> Column:
         shape = f"struct<a:{COUNT},b:{COUNT}>"
         step = lambda x, _: F.when(x.b == 0, x).otherwise(F.struct(x.b.alias("a"), (x.a % x.b).cast(COUNT).alias("b"))).cast(shape)
         return F.aggregate(F.sequence(F.lit(1), F.lit(k)), s.cast(shape), step)
 
-    first = steps(F.struct(F.abs(a.cast(COUNT)).alias("a"), F.abs(b.cast(COUNT)).alias("b")), 40)
-    return F.get(F.transform(F.array(first), lambda s: F.when(s.b == 0, s.a).otherwise(steps(s, 150).a)), F.lit(0))
+    first = steps(F.struct(F.abs(a.cast(COUNT)).alias("a"), F.abs(b.cast(COUNT)).alias("b")), 6)
+    second = F.get(F.transform(F.array(first), lambda s: F.when(s.b == 0, s).otherwise(steps(s, 34))), F.lit(0))
+    return F.get(F.transform(F.array(second), lambda s: F.when(s.b == 0, s.a).otherwise(steps(s, 150).a)), F.lit(0))
 
 
 def _over(a: Column, b: Column) -> Column:
