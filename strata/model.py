@@ -39,6 +39,11 @@ class Tier:
     item_type: str | None = None
     long_name: str = ""
     durable: str | None = None  # the column that holds durable ids
+    spine: DataFrame | None = None  # doc, idx alone, where they are known without the rows
+
+    @property
+    def places(self) -> DataFrame:
+        return self.rows if self.spine is None else self.spine
 
 
 @dataclass(frozen=True)
@@ -89,7 +94,7 @@ class Corpus:
 
     def items(self) -> DataFrame:
         """doc, node, durable_id of all items."""
-        parts = [x.rows.select("doc", node(x.t, F.col("idx")).alias("node"), (F.col(x.durable).cast("string") if x.durable else F.lit(None).cast("string")).alias("durable_id")) for x in self.tiers]
+        parts = [(x.rows if x.durable else x.places).select("doc", node(x.t, F.col("idx")).alias("node"), (F.col(x.durable).cast("string") if x.durable else F.lit(None).cast("string")).alias("durable_id")) for x in self.tiers]
         out = parts[0]
         for p in parts[1:]:
             out = out.unionByName(p)
@@ -97,7 +102,7 @@ class Corpus:
 
     def tier_rows(self) -> DataFrame:
         """doc, t, tier, item_type, n: a row for each tier that has items in a document."""
-        parts = [x.rows.groupBy("doc").agg(F.count(F.lit(1)).alias("n")).select("doc", F.lit(x.t).alias("t"), F.lit(x.name).alias("tier"), F.lit(x.item_type).alias("item_type"), "n") for x in self.tiers]
+        parts = [x.places.groupBy("doc").agg(F.count(F.lit(1)).alias("n")).select("doc", F.lit(x.t).alias("t"), F.lit(x.name).alias("tier"), F.lit(x.item_type).alias("item_type"), "n") for x in self.tiers]
         out = parts[0]
         for p in parts[1:]:
             out = out.unionByName(p)

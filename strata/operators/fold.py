@@ -5,7 +5,7 @@ Three strategies, chosen by what is declared and by size:
 * ``unrolled``: levels known from the tiers; each level is one join and one aggregation with partial sums, in one plan, no loop;
 * ``per_document``: many documents of bounded size; a document's nodes are gathered once, in dependency order, and one higher-order
   ``aggregate`` evaluates them, each node once;
-* ``by_level``: any size; one join and one aggregation for each height, over all documents at once, lineage cut at every level.
+* ``by_level``: any size; one join and one aggregation for each height, over all documents at once, of the nodes and edges of that height only.
 """
 
 from __future__ import annotations
@@ -15,8 +15,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strata.operators import reach
 from strata.operators.semiring import COUNTING, Semiring
-from strata.plans.stage import cut
+from strata.plans.stage import cut, fresh
 
 OR, AND = "or", "and"
 GATHERED = 400  # the most nodes of a document that ``per_document`` takes; it copies its values at every node
@@ -66,27 +67,31 @@ def per_document(nodes: DataFrame, edges: DataFrame, semiring: Semiring, lift: C
 def by_level(nodes: DataFrame, edges: DataFrame, semiring: Semiring, lift: Callable[[Column, Column], Column], how: str = OR) -> DataFrame:
     """The same for any graph without cycles and of any size; raises where a cycle keeps nodes from being evaluated.
 
-    A round is one join of the edges with the nodes' state, one aggregation by parent and one checkpoint: nodes whose children are all done get their values.
+    Nodes and edges are laid out by height first, so a round reads those of its height, the values of the heights that its edges lead to, and writes its own: each edge is joined once.
     """
-    inside = cut(admitted(nodes, edges))
-    state = cut(nodes.select("doc", "node", lift(F.col("value"), F.col("label")).cast(semiring.type).alias("own"), F.lit(None).cast(semiring.type).alias("value"), F.lit(False).alias("done")))
-    waiting = state.count()
-    while waiting:
-        child = state.select("doc", F.col("node").alias("r"), "value", "done")
-        below = inside.join(child, ["doc", "r"]).groupBy("doc", F.col("l").alias("node"))
-        if how == OR and semiring.total is not None:
-            gathered = semiring.total(F.col("value"))
-        else:
-            gathered = combine(semiring, how, F.transform(F.array_sort(F.collect_list(F.struct("r", F.col("value").alias("v")))), lambda x: x.v))
-        found = below.agg(F.bool_and("done").alias("ready"), gathered.alias("below"))
-        fresh = F.when(F.col("ready").isNull(), F.col("own")).when(F.col("ready"), semiring.mul(F.col("own"), F.col("below"))).cast(semiring.type)
-        value, done = F.when(F.col("done"), F.col("value")).otherwise(fresh), F.col("done") | F.coalesce("ready", F.lit(True))
-        state = cut(state.join(found, ["doc", "node"], "left").select("doc", "node", "own", value.alias("value"), done.alias("done")))
-        left = state.where("NOT done").count()
-        if left == waiting:
-            raise ValueError("the relation has a cycle")
-        waiting = left
-    return state.select("doc", "node", "value")
+    spark = nodes.sparkSession
+    shape = nodes.select("doc", "node", F.lit(None).cast(semiring.type).alias("value")).schema
+    graded = cut(reach.graded(admitted(nodes, edges)))
+    tall = graded.select("doc", F.col("l").alias("node"), F.col("lh").alias("h")).distinct()
+    own = nodes.select("doc", "node", lift(F.col("value"), F.col("label")).cast(semiring.type).alias("own")).join(tall, ["doc", "node"], "left").withColumn("h", F.coalesce("h", F.lit(0)))
+    own, graded = cut(cut(own).repartitionByRange("h", "doc")), cut(graded.repartitionByRange("lh", "doc"))
+    below: dict[int, list[int]] = {0: []}
+    for r in graded.select("lh", "rh").distinct().collect():
+        below.setdefault(r.lh, []).append(r.rh)
+    base = fresh(spark)
+    read = lambda heights: spark.read.schema(shape).parquet(*(f"{base}/h{h}" for h in heights))
+    for h in range(max(below) + 1):
+        mine = own.where(F.col("h") == h)
+        if h:
+            child = read(below[h]).withColumnRenamed("node", "r")
+            met = graded.where(F.col("lh") == h).join(child, ["doc", "r"]).groupBy("doc", F.col("l").alias("node"))
+            if how == OR and semiring.total is not None:
+                gathered = semiring.total(F.col("value"))
+            else:
+                gathered = combine(semiring, how, F.transform(F.array_sort(F.collect_list(F.struct("r", F.col("value").alias("v")))), lambda x: x.v))
+            mine = mine.join(met.agg(gathered.alias("below")), ["doc", "node"]).withColumn("own", semiring.mul(F.col("own"), F.col("below")))
+        mine.select("doc", "node", F.col("own").cast(semiring.type).alias("value")).write.parquet(f"{base}/h{h}")
+    return read(range(max(below) + 1))
 
 
 def unrolled(levels: list[tuple[DataFrame, str | None, str]], semiring: Semiring, lift: Callable[[Column], Column], how: str = OR) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strata.model import Polyadic
+from strata.operators import reach
+from strata.plans.stage import parts
 
 # --- clock: bindings have doc, pos, tick, gap
 
@@ -40,8 +42,12 @@ def timing(spans_: DataFrame, quotient: Column, stored: DataFrame | None = None)
 
 
 def inferred_roots(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    inside = edges.join(nodes.select("doc", F.col("node").alias("l")), ["doc", "l"], "left_semi")
-    return nodes.select("doc", "node").join(inside.select("doc", F.col("r").alias("node")).distinct(), ["doc", "node"], "left_anti")
+    """The nodes that no edge from another node of ``nodes`` leads to."""
+    n = parts(nodes.sparkSession, edges.count())
+    inner = nodes.where(F.col("node.t").isin(reach.tiers(edges, "l")))
+    inside = edges.select("doc", "l", "r").repartition(n, "doc", "l").join(inner.select("doc", F.col("node").alias("l")).repartition(n, "doc", "l"), ["doc", "l"], "left_semi")
+    child = inside.select("doc", F.col("r").alias("node")).repartition(n, "doc", "node")
+    return nodes.select("doc", "node").repartition(n, "doc", "node").join(child, ["doc", "node"], "left_anti")
 
 
 def not_exhaustive(stored: DataFrame, inferred: DataFrame) -> DataFrame:
@@ -104,6 +110,15 @@ def span_view(covered: DataFrame, base: DataFrame) -> DataFrame:
     return out.select("doc", "span", "start", "end", "char_start", "char_end", (F.col("width") == F.col("end") - F.col("start")).alias("contiguous"))
 
 
+def run_view(runs: DataFrame) -> DataFrame:
+    """The view of spans that lie one behind the other and cover the base together. ``runs`` has doc, span, width, chars: how many base items and characters each piece of a
+    span has; pieces of one span are one. What stands before tells where a span begins, so a row for each span is moved and no base item."""
+    whole = runs.groupBy("doc", "span").agg(F.sum("width").alias("width"), F.sum("chars").alias("chars"))
+    w = Window.partitionBy("doc").orderBy("span").rowsBetween(Window.unboundedPreceding, 0)
+    at = whole.where("width > 0").select("doc", "span", "width", "chars", F.sum("width").over(w).alias("end"), F.sum("chars").over(w).alias("char_end"))
+    return at.select("doc", "span", (F.col("end") - F.col("width")).alias("start"), "end", (F.col("char_end") - F.col("chars")).alias("char_start"), "char_end", F.lit(True).alias("contiguous"))
+
+
 def overlapping(view: DataFrame) -> DataFrame:
     """Spans that begin before the one in front of them ends."""
     w = Window.partitionBy("doc").orderBy("start", "end", "span")

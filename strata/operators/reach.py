@@ -1,6 +1,6 @@
 """How many steps lead from a source to each node, and which paths do.
 
-The plan follows what a document's graph measures. A document whose edges fit a task (``GATHERED``) is searched in it, all such documents in one pass. A larger one is first contracted:
+The plan follows what a document's graph measures. Where all edges lead from one tier to a lower, or all to a higher, rounds of joins are as few as the tiers. Else a document whose edges fit a task (``GATHERED``) is searched in it, all such documents in one pass. A larger one is first contracted:
 nodes with one edge in and one out hang together in chains, whose places are found by pointer jumping (each round doubles what is known, so a chain of a million nodes
 takes twenty rounds), and only the arcs between chains are searched in rounds.
 """
@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strata.plans.stage import cut
+from strata.plans.stage import cut, parts
 
 GATHERED = 100_000  # edges of a document that one task may hold
 NODE = ["doc", "node"]
@@ -102,9 +102,38 @@ def _contracted(source: DataFrame, pairs: DataFrame, cap: int | None) -> DataFra
     return near(known.unionByName(inside))
 
 
+TIERS = 16  # the most tiers that a walk takes in rounds
+
+
+def tiers(rows: DataFrame, column: str) -> list[int]:
+    """The tiers that a column of nodes has; a corpus has few."""
+    return sorted(r.t for r in rows.select(F.col(f"{column}.t").alias("t")).distinct().collect())
+
+
+def _between_tiers(source: DataFrame, pairs: DataFrame, cap: int | None) -> DataFrame | None:
+    """Where all edges lead up or all lead down the tiers, no walk is longer than there are tiers: a round is one join of the tiers that its frontier has. None for other graphs."""
+    rise = F.col("next.t") - F.col("node.t")
+    low, high = pairs.agg(F.min(rise), F.max(rise)).first()
+    if low is None or low <= 0 <= high or len(tiers(pairs, "node")) > TIERS:
+        return None
+    frontier = found = source.withColumn("steps", F.lit(0).cast("bigint"))
+    inner, n = set(tiers(pairs, "node")), 0
+    while (cap is None or n < cap) and (here := [t for t in tiers(frontier, "node") if t in inner]):
+        n += 1
+        near, far = frontier.where(F.col("node.t").isin(here)), pairs.where(F.col("node.t").isin(here))
+        k = parts(pairs.sparkSession, far.count())
+        step = near.repartition(k, *NODE).join(far.repartition(k, *NODE), NODE)
+        frontier = cut(step.select("doc", F.col("next").alias("node")).distinct().withColumn("steps", F.lit(n).cast("bigint")))
+        found = found.unionByName(frontier)
+    return _nearest(found)
+
+
 def distances(source: DataFrame, pairs: DataFrame, cap: int | None = None, gathered: int = GATHERED) -> DataFrame:
     """doc, node, steps of every node within ``cap`` steps of ``source`` (doc, node), the sources with 0. ``pairs`` has doc, node, next."""
     source, pairs = cut(source.select("doc", "node").distinct()), cut(pairs.select("doc", "node", "next"))
+    layered = _between_tiers(source, pairs, cap)
+    if layered is not None:
+        return layered
     size = pairs.groupBy("doc").agg(F.count(F.lit(1)).alias("__n"))
     large = cut(size.where(F.col("__n") > gathered).select("doc"))
     if large.isEmpty():
@@ -113,6 +142,65 @@ def distances(source: DataFrame, pairs: DataFrame, cap: int | None = None, gathe
     return small.unionByName(_contracted(source.join(large, "doc", "left_semi"), pairs.join(large, "doc", "left_semi"), cap))
 
 
+# --- heights
+
+
+def _heights(l: list[int], r: list[int], nodes: int) -> list[int]:
+    """Each node's longest way down, from the last nodes up; -1 on and above cycles."""
+    left, into, high = [0] * nodes, [[] for _ in range(nodes)], [0] * nodes
+    for a, b in zip(l, r):
+        left[a] += 1
+        into[b].append(a)
+    free = [v for v in range(nodes) if not left[v]]
+    for v in free:  # grows while it is read
+        for a in into[v]:
+            left[a] -= 1
+            high[a] = max(high[a], high[v] + 1)
+            if not left[a]:
+                free.append(a)
+    return [-1 if n else h for n, h in zip(left, high)]
+
+
+def graded(edges: DataFrame, gathered: int = GATHERED) -> DataFrame:
+    """doc, l, r, lh, rh: the edges (doc, l, r) with the heights of their ends, 0 for nodes without edges out. Documents of at most ``gathered`` edges are settled in a task each,
+    larger ones in a round for each height. Raises ValueError where there is a cycle."""
+    edges = cut(edges.select("doc", "l", "r"))
+    large = cut(edges.groupBy("doc").agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > gathered).select("doc"))
+    own = edges.join(large, "doc", "left_anti").groupBy("doc").agg(F.collect_list(F.struct(F.col("l.t").alias("a"), F.col("l.i").alias("b"), F.col("r.t").alias("c"), F.col("r.i").alias("d"))).alias("e"))
+    kind = own.schema["doc"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                group, number = batch.column("e")[k].values, {}
+                a, b, c, d = (group.field(x) for x in "abcd")
+                l, r = ([number.setdefault(n, len(number)) for n in zip(t.to_pylist(), i.to_pylist())] for t, i in ((a, b), (c, d)))
+                high = np.array(_heights(l, r, len(number)), np.int32)
+                doc = batch.column("doc").take(pa.array(np.full(len(group), k, np.int64)))
+                yield pa.RecordBatch.from_arrays([doc, a, b, c, d, pa.array(high[l]), pa.array(high[r])], ["doc", "a", "b", "c", "d", "lh", "rh"])
+
+    node = lambda t, i, name: F.struct(F.col(t).alias("t"), F.col(i).alias("i")).alias(name)
+    out = cut(own.mapInArrow(run, f"doc {kind}, a int, b bigint, c int, d bigint, lh int, rh int").select("doc", node("a", "b", "l"), node("c", "d", "r"), "lh", "rh"))
+    if not out.where("lh < 0").isEmpty():
+        raise ValueError("the relation has a cycle")
+    if large.isEmpty():
+        return out
+    whole = rest = cut(edges.join(large, "doc", "left_semi"))
+    high, h, n = None, 0, rest.count()
+    while n:
+        h += 1
+        inner = rest.select("doc", F.col("l").alias("node")).distinct()
+        after = cut(rest.join(inner.withColumnRenamed("node", "r"), ["doc", "r"], "left_semi").select("doc", "l", "r"))
+        ended = cut(inner.join(after.select("doc", F.col("l").alias("node")), NODE, "left_anti").withColumn("h", F.lit(h)))
+        high = ended if high is None else high.unionByName(ended)
+        rest, left = after, after.count()
+        if left == n:
+            raise ValueError("the relation has a cycle")
+        n = left
+    far = whole.join(high.select("doc", F.col("node").alias("l"), F.col("h").alias("lh")), ["doc", "l"]).join(high.select("doc", F.col("node").alias("r"), F.col("h").alias("rh")), ["doc", "r"], "left")
+    return out.unionByName(far.select("doc", "l", "r", "lh", F.coalesce("rh", F.lit(0)).alias("rh")))
+
+
 # --- the paths themselves
 
 

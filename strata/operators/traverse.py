@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strata.model import Polyadic, Relation
 from strata.operators import cycles, reach
-from strata.plans.stage import cut
+from strata.plans.stage import cut, parts
 
 FORWARD, INVERSE = "forward", "inverse"
 
@@ -30,49 +32,80 @@ def walk(source: DataFrame, relation: Relation, direction: str = FORWARD, cap: i
     return steps.where("steps > 0").select("doc", "node"), steps.where(F.lit(False) if cap is None else F.col("steps") == cap).select("doc").distinct()
 
 
-def adjacency(relation: Polyadic, inverse: bool = False) -> DataFrame:
-    """doc, node, next, rank: for each node the opposite sides of its instances, in instance and endpoint order, repeats kept."""
+def opposite(relation: Polyadic, inverse: bool = False) -> DataFrame:
+    """doc, node, next with the places (ord, own, other) that order them: for each node the opposite sides of its instances, repeats kept."""
     a, b = ("targets", "sources") if inverse else ("sources", "targets")
     one = relation.rows.select("doc", "ord", F.posexplode(a).alias("own", "node"), b)
-    both = one.select("doc", "ord", "own", "node", F.posexplode(b).alias("other", "next"))
+    return one.select("doc", "ord", "own", "node", F.posexplode(b).alias("other", "next"))
+
+
+def _single(relation: Polyadic) -> bool:
+    """Whether a source stands in one instance only: sources are unique, and one each."""
+    return relation.unique_sources and relation.rows.where(F.size("sources") > 1).isEmpty()
+
+
+def adjacency(relation: Polyadic, inverse: bool = False) -> DataFrame:
+    """doc, node, next, rank: for each node the opposite sides of its instances, in instance and endpoint order, repeats kept. Where sources are unique and
+    one each, a node's children stand in one instance, and their places there are their ranks."""
+    both = opposite(relation, inverse)
+    if not inverse and _single(relation):
+        return both.select("doc", "node", "next", (F.col("other") + 1).cast("bigint").alias("rank"))
     rank = F.row_number().over(Window.partitionBy("doc", "node").orderBy("ord", "own", "other"))
     return both.select("doc", "node", "next", rank.cast("bigint").alias("rank"))
 
 
 def direct(origin: DataFrame, relation: Polyadic) -> DataFrame:
     """One ordered step from ``origin`` (doc, node): doc, node, seq, next."""
-    return origin.join(adjacency(relation), ["doc", "node"]).select("doc", "node", (F.col("rank") - 1).alias("seq"), "next")
+    origin = cut(origin)
+    steps = adjacency(relation).where(F.col("node.t").isin(reach.tiers(origin, "node")))
+    return origin.join(steps, ["doc", "node"]).select("doc", "node", (F.col("rank") - 1).alias("seq"), "next")
+
+
+def _below(origin: DataFrame, steps: DataFrame) -> DataFrame:
+    """doc, origin, node, path of everything below each origin, by rounds; a round joins the tiers that the level has and that have children."""
+    inner = set(reach.tiers(steps, "node"))
+    level = cut(origin.select("doc", F.col("node").alias("origin"), "node", F.array().cast("array<bigint>").alias("path")))
+    found = level.where("false")
+    while here := [t for t in reach.tiers(level, "node") if t in inner]:
+        own, below = level.where(F.col("node.t").isin(here)), steps.where(F.col("node.t").isin(here))
+        n = parts(level.sparkSession, below.count())
+        level = cut(own.repartition(n, "doc", "node").join(below.repartition(n, "doc", "node"), ["doc", "node"]).select("doc", "origin", F.col("next").alias("node"), F.concat("path", F.array("rank")).alias("path")))
+        found = found.unionByName(level)
+    return found
+
+
+def _in_order(found: DataFrame) -> DataFrame:
+    seq = F.row_number().over(Window.partitionBy("doc", "origin").orderBy("path")).cast("bigint") - 1
+    found = found.repartition(parts(found.sparkSession, found.count()), "doc", "origin")
+    return found.select("doc", "origin", seq.alias("seq"), "node")
 
 
 def transitive(origin: DataFrame, relation: Polyadic) -> DataFrame:
     """Depth-first pre-order below each origin, repeats kept: doc, origin, seq, node. Order comes from the path of ranks."""
     if not relation.acyclic:
         raise ValueError("a transitive walk needs a relation that is declared acyclic")
-    steps = cut(adjacency(relation))
-    level = origin.select("doc", F.col("node").alias("origin"), "node", F.array().cast("array<bigint>").alias("path"))
-    found = None
-    while True:
-        level = cut(level.join(steps, ["doc", "node"]).select("doc", "origin", F.col("next").alias("node"), F.concat("path", F.array("rank")).alias("path")))
-        if level.isEmpty():
-            break
-        found = level if found is None else found.unionByName(level)
-    found = level if found is None else found
-    seq = F.row_number().over(Window.partitionBy("doc", "origin").orderBy("path")).cast("bigint") - 1
-    return found.select("doc", "origin", seq.alias("seq"), "node")
+    return _in_order(_below(origin, cut(adjacency(relation))))
 
 
 def leaves(origin: DataFrame, relation: Polyadic) -> DataFrame:
     """The nodes without children below each origin, in pre-order; a leaf's own leaf is itself."""
-    inner = adjacency(relation).select("doc", "node").distinct()
-    below = transitive(origin, relation).join(inner, ["doc", "node"], "left_anti").select("doc", "origin", "seq", "node")
-    own = origin.join(inner, ["doc", "node"], "left_anti").select("doc", F.col("node").alias("origin"), F.lit(0).cast("bigint").alias("seq"), "node")
-    seq = F.row_number().over(Window.partitionBy("doc", "origin").orderBy("seq")).cast("bigint") - 1
-    return below.unionByName(own).select("doc", "origin", seq.alias("seq"), "node")
+    if not relation.acyclic:
+        raise ValueError("a transitive walk needs a relation that is declared acyclic")
+    steps = cut(adjacency(relation))
+    tiers = reach.tiers(steps, "node")
+    own = origin.select("doc", F.col("node").alias("origin"), "node", F.array().cast("array<bigint>").alias("path"))
+    found = _below(origin, steps).unionByName(own)
+    mixed = found.where(F.col("node.t").isin(tiers)).join(steps.select("doc", "node").distinct(), ["doc", "node"], "left_anti").select(*found.columns)
+    return _in_order(mixed.unionByName(found.where(~F.col("node.t").isin(tiers))))
 
 
 def fiber(origin: DataFrame, relation: Polyadic) -> DataFrame:
     """The distinct nodes that list an origin on the other side: doc, node, source."""
-    return origin.join(adjacency(relation, inverse=True), ["doc", "node"]).select("doc", "node", F.col("next").alias("source")).distinct()
+    once = relation.rows.select("doc", "ord", F.array_distinct("sources").alias("sources"), F.array_distinct("targets").alias("targets"))
+    pairs = opposite(replace(relation, rows=once), inverse=True).select("doc", "node", F.col("next").alias("source"))
+    n = parts(origin.sparkSession, pairs.count())
+    found = pairs.repartition(n, "doc", "node").join(origin.select("doc", "node").repartition(n, "doc", "node"), ["doc", "node"], "left_semi").select("doc", "node", "source")
+    return found if _single(relation) else found.distinct()
 
 
 def stored_opposite(relation: Polyadic, ord_: int) -> DataFrame:
@@ -81,7 +114,7 @@ def stored_opposite(relation: Polyadic, ord_: int) -> DataFrame:
 
 
 def ancestors(origin: DataFrame, relation: Polyadic) -> DataFrame:
-    up = adjacency(relation, inverse=True).select("doc", F.col("node").alias("l"), F.col("next").alias("r"))
+    up = opposite(relation, inverse=True).select("doc", F.col("node").alias("l"), F.col("next").alias("r"))
     return walk(origin, Relation(relation.name, up, acyclic=relation.acyclic))[0]
 
 
