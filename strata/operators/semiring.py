@@ -27,6 +27,7 @@ class Semiring:
     exact: bool = True
     idempotent: bool = False
     ordered: bool = False  # multiplication preserves the order of witnesses
+    least_first: bool = False  # the sum of two values is the smaller, by Spark's own order
 
 
 def _lit(value, kind: str) -> Callable[[], Column]:
@@ -35,9 +36,9 @@ def _lit(value, kind: str) -> Callable[[], Column]:
 
 BOOLEAN = Semiring("boolean", "boolean", _lit(False, "boolean"), _lit(True, "boolean"), lambda a, b: a | b, lambda a, b: a & b, lambda c: F.coalesce(F.bool_or(c), F.lit(False)), idempotent=True)
 COUNTING = Semiring("counting", COUNT, _lit(0, COUNT), _lit(1, COUNT), lambda a, b: (a + b).cast(COUNT), lambda a, b: (a * b).cast(COUNT), lambda c: F.coalesce(F.sum(c), F.lit(0)).cast(COUNT))
-TROPICAL = Semiring("tropical", "bigint", _lit(None, "bigint"), _lit(0, "bigint"), lambda a, b: F.least(a, b), lambda a, b: a + b, F.min, idempotent=True, ordered=True)
+TROPICAL = Semiring("tropical", "bigint", _lit(None, "bigint"), _lit(0, "bigint"), lambda a, b: F.least(a, b), lambda a, b: a + b, F.min, idempotent=True, ordered=True, least_first=True)
 ARCTIC = Semiring("arctic", "bigint", _lit(None, "bigint"), _lit(0, "bigint"), lambda a, b: F.greatest(a, b), lambda a, b: a + b, F.max, idempotent=True, ordered=True)
-DECIMAL_TROPICAL = Semiring("decimal tropical", MONEY, _lit(None, MONEY), _lit(0, MONEY), lambda a, b: F.least(a, b), lambda a, b: (a + b).cast(MONEY), F.min, idempotent=True, ordered=True)
+DECIMAL_TROPICAL = Semiring("decimal tropical", MONEY, _lit(None, MONEY), _lit(0, MONEY), lambda a, b: F.least(a, b), lambda a, b: (a + b).cast(MONEY), F.min, idempotent=True, ordered=True, least_first=True)
 DECIMAL_ARCTIC = Semiring("decimal arctic", MONEY, _lit(None, MONEY), _lit(0, MONEY), lambda a, b: F.greatest(a, b), lambda a, b: (a + b).cast(MONEY), F.max, idempotent=True, ordered=True)
 
 

@@ -59,3 +59,14 @@ def test_roots_come_with_the_states(spark, most):
     edges = spark.createDataFrame([("d", "r", (0, 0), (0, 1)), ("d", "r", (0, 0), (1, 0)), ("d", "q", (0, 1), (0, 2))], f"doc string, rel string, l {N}, r {N}")
     f = D.Fold("n", ("x",), (D.Transition("r", "or"),), S.COUNTING, lambda v, _: S.COUNTING.one())
     assert {(r.node.i, r.root) for r in D.evaluate(f, nodes, edges, most).collect()} == {(0, True), (1, False), (2, True)}
+
+
+def test_only_nodes_with_children_are_evaluated(spark):
+    nodes = spark.createDataFrame([("d", (0, 0), 1, "a"), ("d", (1, 0), 5, "b"), ("d", (1, 1), 2, "c"), ("d", (2, 0), 7, "e"), ("d", (2, 1), 8, "f"), ("x", (1, 3), 4, "g")], f"doc string, node {N}, value bigint, label string")
+    edges = spark.createDataFrame([("d", 0, (0, 0), (1, 0)), ("d", 0, (0, 0), (1, 1)), ("d", 1, (1, 1), (2, 0)), ("d", 1, (1, 1), (2, 1)), ("d", 1, (1, 1), (9, 9)), ("d", 1, (9, 9), (1, 0))], f"doc string, t int, l {N}, r {N}")
+    f = D.Fold("n", ("x",), (D.Transition("r", "or"), D.Transition("q", "and")), S.TROPICAL, lambda v, _: v, ties=D.ALL, cap=1, ranked=True)
+    made = D.gathered(f, nodes, edges)
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_sort" not in plan and "cast(concat" not in plan  # no comparison in a lambda, and no copy of all states for each node
+    got = {(r.doc, r.node.t, r.node.i): (r.s.v, ["".join(k.p) for k in r.s.k], int(r.s.n), r.root) for r in made.collect()}
+    assert got == {("d", 0, 0): (6, ["ab"], 2, True), ("d", 1, 0): (5, ["b"], 1, False), ("d", 1, 1): (17, ["cef"], 1, False), ("d", 2, 0): (7, ["e"], 1, False), ("d", 2, 1): (8, ["f"], 1, False), ("x", 1, 3): (4, ["g"], 1, True)}
