@@ -229,23 +229,127 @@ def path_counts(edges: DataFrame) -> DataFrame:
         known = known.unionByName(done)
 
 
-def paths(edges: DataFrame, origins: DataFrame, cap: int) -> DataFrame:
+def _listed(l: list[int], r: list[int], n: int) -> list[int]:
+    """How many paths lead from each of ``n`` nodes to nodes without edges out; 0 on or above a cycle."""
+    left, into, count = [0] * n, [[] for _ in range(n)], [0] * n
+    for a, b in zip(l, r):
+        left[a] += 1
+        into[b].append(a)
+    free = [v for v in range(n) if not left[v]]
+    for v in free:
+        count[v] = 1
+    for v in free:  # grows while it is read
+        for a in into[v]:
+            count[a] += count[v]
+            left[a] -= 1
+            if not left[a]:
+                free.append(a)
+    return [0 if k else c for k, c in zip(left, count)]
+
+
+def _first(out: list[list[int]], r: list[int], count: list[int], start: int, skip: int) -> Iterator[list[int]]:
+    """The paths from ``start`` as places of edges, in order, from the ``skip``th on; what lies before is passed over by its counts."""
+    path, stack = [], [iter(out[start])]
+    if not out[start] and not skip:
+        yield []
+    while stack:
+        e = next(stack[-1], None)
+        if e is None:
+            stack.pop()
+            path[-1:] = []
+        elif skip >= count[r[e]]:
+            skip -= count[r[e]]
+        elif out[r[e]]:
+            path.append(e)
+            stack.append(iter(out[r[e]]))
+        else:
+            yield [*path, e]
+
+
+def _paths_in_tasks(edges: DataFrame, origins: DataFrame, cap: int) -> DataFrame:
+    """``paths`` of documents whose edges fit a task, all in one pass."""
+    n = parts(edges.sparkSession, edges.count(), 1 << 18)
+    end = F.struct("ord", F.col("l.t").alias("a"), F.col("l.i").alias("b"), F.col("r.t").alias("c"), F.col("r.i").alias("d"), F.col("name").cast("string").alias("name"))
+    own = edges.repartition(n, "doc").groupBy("doc").agg(F.sort_array(F.collect_list(end)).alias("e"))
+    own = own.select("doc", F.transform("e", lambda x: F.struct(x.a, x.b, x.c, x.d, x["name"])).alias("e"))
+    starts = origins.repartition(n, "doc").groupBy("doc").agg(F.collect_list(F.struct(F.col("origin.t").alias("t"), F.col("origin.i").alias("i"))).alias("o"))
+    rows = starts.join(own, "doc", "full")
+    kind = rows.schema["doc"].dataType.simpleString()
+    flat = f"doc {kind}, t int, i bigint, rank bigint, path array<string>, refused boolean"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            docs, t, i, ranks, ends, places, refusals = [], [], [], [], [0], [], []
+            e = batch.column("e")
+            sides, names = [e.values.field(j).to_numpy(zero_copy_only=False) for j in range(4)], e.values.field(4)
+            begin, known = e.offsets.to_numpy(), e.is_valid().to_numpy(zero_copy_only=False)
+
+            def made() -> pa.RecordBatch:
+                own = [batch.column("doc").take(pa.array(docs, pa.int64())), pa.array(t, pa.int32()), pa.array(i, pa.int64()), pa.array(ranks, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), names.take(pa.array(places, pa.int64()))), pa.array(refusals, pa.bool_())]  # noqa: B023
+                for x in (docs, t, i, ranks, ends, places, refusals):  # noqa: B023
+                    x.clear()
+                ends.append(0)  # noqa: B023
+                return pa.RecordBatch.from_arrays(own, ["doc", "t", "i", "rank", "path", "refused"])
+
+            for k in range(batch.num_rows):
+                l, r, number, base = [], [], {}, int(begin[k])
+                if known[k]:
+                    a, b, c, d = (x[base : begin[k + 1]].tolist() for x in sides)
+                    l, r = ([number.setdefault(v, len(number)) for v in zip(*x)] for x in ((a, b), (c, d)))
+                here = [tuple(x.values()) for x in batch.column("o")[k].as_py() or []]
+                for v in here:
+                    number.setdefault(v, len(number))
+                out = [[] for _ in number]
+                for at, v in enumerate(l):
+                    out[v].append(at)
+                count = _listed(l, r, len(number))
+                if not all(count):
+                    raise ValueError("paths are counted in acyclic graphs only")
+                for v in here:
+                    more = count[number[v]] > cap
+                    for rank, path in enumerate(_first(out, r, count, number[v], cap if more else 0), cap if more else 0):
+                        docs.append(k)
+                        t.append(v[0])
+                        i.append(v[1])
+                        ranks.append(rank)
+                        places += [base + at for at in path]
+                        ends.append(len(places))
+                        refusals.append(more)
+                        if len(docs) == 4096:
+                            yield made()
+                        if more:
+                            break
+            yield made()
+
+    return rows.mapInArrow(run, flat).select("doc", F.struct("t", "i").alias("origin"), "rank", "path", "refused")
+
+
+def paths(edges: DataFrame, origins: DataFrame, cap: int, gathered: int = GATHERED) -> DataFrame:
     """doc, origin, rank, path, refused: every path from each origin (doc, node) to a node without edges out, as the names of its edges, where there are at most ``cap``; else
     one row, refused, with the first path that the cap leaves out. ``edges`` has doc, ord, l, r, name; paths are ranked by the order of their edges.
 
     Paths are counted first, so a refusal lists nothing; then each rank finds its own way down: at a node, the counts of the children before it tell which edge a rank takes.
-    Work is the length of what is returned.
+    Work is the length of what is returned. Documents of at most ``gathered`` edges are settled in a task each, larger ones in rounds of joins.
     """
     if cap < 0:
         raise ValueError("the cap must not be negative")
-    edges = cut(edges.select("doc", "ord", "l", "r", "name"))
+    edges, origins = cut(edges.select("doc", "ord", "l", "r", "name")), origins.select("doc", F.col("node").alias("origin")).distinct()
+    large = cut(edges.groupBy("doc").agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > gathered).select(F.col("doc").alias("__doc")))
+    if large.isEmpty():
+        return _paths_in_tasks(edges, origins, cap)
+    split = lambda rows, how: rows.join(large, rows["doc"] == large["__doc"], how)
+    near = _paths_in_tasks(split(edges, "left_anti"), split(origins, "left_anti"), cap)
+    return near.unionByName(_paths_in_rounds(cut(split(edges, "left_semi")), split(origins, "left_semi"), cap))
+
+
+def _paths_in_rounds(edges: DataFrame, origins: DataFrame, cap: int) -> DataFrame:
     counts = cut(path_counts(edges))
     wide = lambda c: c.cast("decimal(38,0)")
-    order = Window.partitionBy("doc", "l").orderBy("ord")
+    order = Window.partitionBy("doc", "l").orderBy("ord", "r", "name")
     steps = edges.join(counts.select("doc", F.col("node").alias("r"), "n"), ["doc", "r"])
     steps = steps.withColumn("to", wide(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0)))).withColumn("from", wide(F.col("to") - F.col("n")))
     steps = cut(steps.select("doc", F.col("l").alias("at"), F.col("r").alias("next"), "name", "from", "to"))
-    total = origins.select("doc", F.col("node").alias("origin")).distinct().join(counts.select("doc", F.col("node").alias("origin"), "n"), ["doc", "origin"], "left").withColumn("n", F.coalesce("n", F.lit(1).cast("decimal(38,0)")))
+    total = origins.join(counts.select("doc", F.col("node").alias("origin"), "n"), ["doc", "origin"], "left").withColumn("n", F.coalesce("n", F.lit(1).cast("decimal(38,0)")))
     refused = F.col("n") > cap
     ranks = F.when(refused, F.array(F.lit(cap).cast("bigint"))).otherwise(F.sequence(F.lit(0).cast("bigint"), F.col("n").cast("bigint") - 1))
     going = cut(total.select("doc", "origin", refused.alias("refused"), F.explode(ranks).alias("rank")).withColumn("at", F.col("origin")).withColumn("left", wide(F.col("rank"))).withColumn("path", F.array().cast("array<string>")))

@@ -70,3 +70,23 @@ def test_only_nodes_with_children_are_evaluated(spark):
     assert "array_sort" not in plan and "cast(concat" not in plan  # no comparison in a lambda, and no copy of all states for each node
     got = {(r.doc, r.node.t, r.node.i): (r.s.v, ["".join(k.p) for k in r.s.k], int(r.s.n), r.root) for r in made.collect()}
     assert got == {("d", 0, 0): (6, ["ab"], 2, True), ("d", 1, 0): (5, ["b"], 1, False), ("d", 1, 1): (17, ["cef"], 1, False), ("d", 2, 0): (7, ["e"], 1, False), ("d", 2, 1): (8, ["f"], 1, False), ("x", 1, 3): (4, ["g"], 1, True)}
+
+
+@pytest.mark.parametrize("gathered", [100, 4, 0])
+def test_paths_of_small_documents_take_one_pass(spark, monkeypatch, gathered):
+    rows = [("a", k, (0, a), (0, b), f"e{k}") for k, (a, b) in enumerate([(i, i + 1 + j) for i in range(12) for j in (0, 1)])] + [("b", 0, (0, 0), (0, 1), "e0"), ("b", 0, (0, 0), (0, 2), "e1"), ("n", 0, (0, 5), (0, 6), "x")]
+    df = spark.createDataFrame(rows, f"doc string, ord int, l {N}, r {N}, name string")
+    origins = spark.createDataFrame([("a", (0, 0)), ("a", (0, 9)), ("b", (0, 0)), ("c", (7, 7))], f"doc string, node {N}")
+    cuts = []
+    monkeypatch.setattr(reach, "cut", lambda x, cut=reach.cut: cuts.append(1) or cut(x))
+    got = {(r.doc, r.origin.i, r["rank"], "".join(r.path), r.refused) for r in reach.paths(df, origins, 20, gathered).collect()}
+    late = "e18e20e22 e18e20e23 e18e21 e19e22 e19e23".split()
+    every, todo = [], [(0, "")]
+    while todo:
+        v, path = todo.pop()
+        every.append(path) if v >= 12 else todo.extend((v + 1 + j, f"{path}e{2 * v + j}") for j in (1, 0))
+    assert got == {("a", 0, 20, every[20], True), *(("a", 9, k, p, False) for k, p in enumerate(late)), ("b", 0, 0, "e0", False), ("b", 0, 1, "e1", False), ("c", 7, 0, "", False)}
+    assert gathered < 100 or len(cuts) < 4
+    ring = spark.createDataFrame([("a", k, (0, k), (0, 1 - k), "e") for k in (0, 1)], df.schema)
+    with pytest.raises(Exception, match="acyclic"):
+        reach.paths(ring, origins, 3, gathered).collect()
