@@ -56,6 +56,7 @@ class Relation:
     r_kind: str = "item"
     acyclic: bool = False
     single_parent: bool = False
+    blocks: DataFrame | None = None  # doc, l, t, start, end: the same edges where they lie in runs, l leads to each place of [start, end) of tier t
 
 
 @dataclass(frozen=True)
@@ -76,6 +77,7 @@ class Corpus:
     relations: tuple[Relation, ...] = ()
     polyadic: tuple[Polyadic, ...] = ()
     attributes: dict[str, tuple[str, str]] = field(default_factory=dict)  # column -> (domain, type)
+    runs: DataFrame | None = None  # doc, t, start, end: all items, half open, where they are known without the rows
 
     def tier(self, name: str) -> Tier:
         for x in self.tiers:

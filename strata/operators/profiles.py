@@ -50,6 +50,29 @@ def inferred_roots(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.select("doc", "node").repartition(n, "doc", "node").join(child, ["doc", "node"], "left_anti")
 
 
+def run_roots(runs: DataFrame, blocks: DataFrame) -> DataFrame:
+    """``inferred_roots`` of items that lie in ``runs`` (doc, t, start, end; half open) and edges that lie in ``blocks`` (doc, l, t, start, end: l leads to each place
+    of the run). Two sweeps along a document's places: one finds the blocks whose parent lies in a run, one what of the runs no such block covers. A row for each
+    run and block is moved, and only the roots become places."""
+    n, none = parts(runs.sparkSession, blocks.count()), F.lit(0)
+    step = lambda at, d: F.struct(F.col(at).alias("at"), F.lit(d).alias("d"))
+    borders = lambda: F.inline(F.array(step("start", 1), step("end", -1)))
+    empty = F.lit(None).cast("bigint")
+    bounds = runs.where("start < end").select("doc", "t", borders()).select("doc", "t", "at", "d", none.alias("below"), empty.alias("start"), empty.alias("end"))
+    parents = blocks.where("start < end AND doc IS NOT NULL").select("doc", F.col("l.t").alias("t"), F.col("l.i").alias("at"), none.alias("d"), F.col("t").alias("below"), "start", "end")
+    # at one place runs end and begin before a block asks; all runs of a tier have ended where the next tier begins
+    asked = Window.partitionBy("doc").orderBy("t", "at", F.col("start").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    known = bounds.unionByName(parents).repartition(n, "doc").withColumn("open", F.sum("d").over(asked)).where("start IS NULL OR open > 0")
+    event = lambda t, at, item, cover: F.struct(F.col(t).alias("t"), F.col(at).alias("at"), item.alias("item"), F.lit(cover).alias("cover"))
+    own = F.array(event("t", "at", F.col("d"), 0))
+    events = known.select("doc", F.inline(F.when(F.col("start").isNull(), own).otherwise(F.array(event("below", "start", none, 1), event("below", "end", none, -1)))))
+    order = Window.partitionBy("doc").orderBy("t", "at")
+    upto = order.rowsBetween(Window.unboundedPreceding, 0)
+    swept = events.select("doc", "t", "at", F.sum("item").over(upto).alias("items"), F.sum("cover").over(upto).alias("covers"), F.lead("t").over(order).alias("next_t"), F.lead("at").over(order).alias("next"))
+    bare = swept.where("items > 0 AND covers = 0 AND next_t = t AND next > at")
+    return bare.select("doc", "t", F.explode(F.sequence("at", F.col("next") - 1)).alias("i")).select("doc", F.struct("t", "i").alias("node"))
+
+
 def not_exhaustive(stored: DataFrame, inferred: DataFrame) -> DataFrame:
     """Parentless items that the stored roots leave out."""
     return inferred.join(stored, ["doc", "node"], "left_anti")

@@ -1,5 +1,6 @@
 """Work that grows no faster than the input: what is moved, computed once, and read by a round."""
 
+import random
 from collections import Counter
 
 import pytest
@@ -35,6 +36,39 @@ def test_structure_needs_counts_of_lines_only(spark):
         assert "l_partkey" not in df._jdf.queryExecution().toString()
 
 
+def test_roots_of_runs(spark):
+    """Only roots become places: a run of 10^15 covered places is no work. Runs overlap, touch and leave out parents; blocks overlap, are empty, cover their own parent or lead to another tier."""
+    rng, runs, blocks = random.Random(5), [("far", 0, 0, 1), ("far", 1, 0, 10**15), (None, 0, 3, 5)], [("far", (0, 0), 1, 1, 10**15), (None, (0, 3), 0, 4, 5)]
+    for d in map(str, range(60)):
+        low = lambda: rng.randint(0, 9)
+        runs += [(d, rng.randint(0, 2), a, a + rng.randint(0, 4)) for a in (low() for _ in range(rng.randint(0, 6)))]
+        blocks += [(d, (rng.randint(0, 2), low()), rng.randint(0, 2), a, a + rng.randint(0, 3)) for a in (low() for _ in range(rng.randint(0, 5)))]
+    want = {("far", 0, 0), ("far", 1, 0), (None, 0, 3), (None, 0, 4)}
+    for d in map(str, range(60)):
+        items = {(t, i) for x, t, a, b in runs if x == d for i in range(a, b)}
+        want |= {(d, *i) for i in items - {(t, i) for x, l, t, a, b in blocks if x == d and l in items for i in range(a, b)}}
+    got = profiles.run_roots(spark.createDataFrame(runs, "doc string, t int, start bigint, end bigint"), spark.createDataFrame(blocks, f"doc string, l {N}, t int, start bigint, end bigint"))
+    assert sorted(map(str, ((r.doc, r.node.t, r.node.i) for r in got.collect()))) == sorted(map(str, want))
+
+
+def test_runs_and_blocks_are_the_items_and_edges(spark, tmp_path):
+    """Orders without customer, key or lines, keys of several orders and customers, lines of no order."""
+    table = lambda name, cast: spark.read.parquet(f"{SF}/{name}.parquet").limit(400).selectExpr(*cast)
+    odd = ["CASE WHEN o_orderkey % 7 = 0 THEN NULL WHEN o_orderkey % 5 = 0 THEN 11 ELSE o_orderkey END AS o_orderkey", "CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE o_custkey % 20 END AS o_custkey", "o_totalprice"]
+    table("orders", odd).write.parquet(f"{tmp_path}/orders.parquet")
+    lines = spark.read.parquet(f"{SF}/lineitem.parquet")
+    table("lineitem", ["CASE WHEN l_linenumber = 3 THEN NULL WHEN l_linenumber = 2 THEN 11 ELSE l_orderkey END AS l_orderkey", *lines.columns[1:]]).write.parquet(f"{tmp_path}/lineitem.parquet")
+    corpus, _ = C.order_hypergraph(spark, str(tmp_path))
+    edges, blocks, place = corpus.relation("contains").edges, corpus.relation("contains").blocks, F.explode(F.sequence("start", F.col("end") - 1))
+    shown = lambda df: sorted(map(str, df.collect()))
+    assert shown(corpus.runs.select("doc", "t", place.alias("i"))) == shown(corpus.items().select("doc", "node.t", "node.i"))
+    assert shown(blocks.select("doc", "l", "t", place.alias("i")).selectExpr("doc", "l", "struct(t, i) AS r")) == shown(edges.select("doc", "l", "r"))
+    roots = profiles.run_roots(corpus.runs, blocks)
+    assert shown(roots) == shown(profiles.inferred_roots(corpus.items(), edges)) and roots.where("doc IS NULL").count() > 1
+    held = corpus.tier("order").rows.groupBy("doc", F.col("orderkey").alias("k")).agg(F.min("idx").alias("parent"), F.count(F.lit(1)).alias("parents")).where("doc IS NOT NULL")
+    assert shown(corpus.tier("line").rows.where("doc IS NOT NULL").selectExpr("doc", "orderkey AS k", "parent", "parents").distinct()) == shown(held.join(corpus.tier("line").rows.selectExpr("doc", "orderkey AS k").distinct(), ["doc", "k"]).select("doc", "k", "parent", "parents"))
+
+
 @pytest.mark.parametrize("gathered", [100, 0])
 def test_heights(spark, gathered):
     edges = spark.createDataFrame([("d", (0, a), (0, b)) for a, b in ((0, 1), (1, 2), (0, 2), (3, 2), (0, 1))], f"doc string, l {N}, r {N}")
