@@ -10,6 +10,11 @@ nullable holes are left out. Ranks don't depend on weights, on the order of rows
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from decimal import Decimal
+from itertools import accumulate
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -54,6 +59,7 @@ def arcs(applied: DataFrame) -> DataFrame:
 def packed(applied: DataFrame, tokens: DataFrame, start: str) -> DataFrame:
     """The applications that some derivation of a document's whole span from ``start`` uses. A round for each level of the deepest derivation; a span is
     expanded once, however many derivations share it."""
+    applied = cut(applied)  # read for the arcs and for what is left of it
     size = tokens.groupBy("doc").agg(F.count(F.lit(1)).cast("int").alias("e"))
     below = cut(arcs(applied))
     frontier = cut(size.select("doc", F.struct(F.lit(start).alias("nt"), F.lit(0).alias("s"), "e").alias("span")))
@@ -75,8 +81,8 @@ def sizes(forest: DataFrame) -> DataFrame:
     return held
 
 
-def counts(forest: DataFrame) -> DataFrame:
-    """doc, nt, s, e, n: derivations of each span, children first: all spans of one width are one join and one aggregation."""
+def _by_width(forest: DataFrame) -> DataFrame:
+    """All spans of one width are one join and one aggregation."""
     rows = cut(forest.withColumn("a", F.monotonically_increasing_id()).withColumn("width", F.col("e") - F.col("s")))
     known = None
     for width in [r.width for r in rows.select("width").distinct().orderBy("width").collect()]:  # at most as many as tokens
@@ -94,6 +100,53 @@ def counts(forest: DataFrame) -> DataFrame:
     return forest.select(*SPAN, F.lit(0).cast("decimal(38,0)").alias("n")).where("false") if known is None else known
 
 
+GATHERED = 100_000  # applications of a document that one task may hold
+
+
+def _in_tasks(forest: DataFrame) -> DataFrame:
+    """Each document is counted by itself in exact integers."""
+    rows = forest.groupBy("doc").agg(F.collect_list(F.struct("nt", "s", "e", "children")).alias("held"))
+    kind = rows.schema["doc"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        named = lambda rows: list(zip(*(rows.field(c).to_pylist() for c in ("nt", "s", "e"))))
+        for batch in batches:
+            sizes, k = batch.column("held").value_lengths().to_pylist(), 0
+            while k < batch.num_rows:  # as many documents at once as make a bounded number of Python objects
+                start, total = k, 0
+                while k < batch.num_rows and (k == start or total + sizes[k] <= 50_000):
+                    total, k = total + sizes[k], k + 1
+                held = batch.column("held").slice(start, k - start).flatten()
+                own, below, first = named(held), named(held.field("children").flatten()), [0, *accumulate(held.field("children").value_lengths().to_pylist())]
+                at, spans, values, low = [], [], [], 0
+                for doc in range(start, k):
+                    n: dict[tuple, int] = {}
+                    for i in sorted(range(low, low + sizes[doc]), key=lambda i: own[i][2] - own[i][1]):  # children are narrower  # noqa: B023
+                        ways = 1
+                        for c in below[first[i] : first[i + 1]]:
+                            ways *= n.get(c, 0)
+                        n[own[i]] = n.get(own[i], 0) + ways
+                    low += sizes[doc]
+                    at += [doc] * len(n)
+                    spans += n
+                    values += n.values()
+                if max(values) >= 10**38:
+                    raise ValueError("a count of more than 38 digits")
+                made = [pa.array(x, kind) for x, kind in zip(zip(*spans), (pa.string(), pa.int32(), pa.int32()))]
+                yield pa.RecordBatch.from_arrays([batch.column("doc").take(pa.array(at)), *made, pa.array(map(Decimal, values), pa.decimal128(38, 0))], [*SPAN, "n"])
+
+    return rows.mapInArrow(run, f"doc {kind}, nt string, s int, e int, n decimal(38,0)")
+
+
+def counts(forest: DataFrame, gathered: int = GATHERED) -> DataFrame:
+    """doc, nt, s, e, n: derivations of each span, children first. Documents of at most ``gathered`` applications are counted in a task each, all in one pass; larger ones in a round for each width."""
+    rows = cut(forest.select(*SPAN, "children"))
+    large = cut(rows.groupBy("doc").agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > gathered).select("doc"))
+    if large.isEmpty():
+        return _in_tasks(rows)
+    return _in_tasks(rows.join(large, "doc", "left_anti")).unionByName(_by_width(rows.join(large, "doc", "left_semi")))
+
+
 # --- paths into the chart: /chart/NONTERMINAL/START/END/alternatives/INDEX
 
 

@@ -134,6 +134,29 @@ def chart(tokens: DataFrame, rules: list[Rule], most: int | None = None, k: int
     return union_all(results)
 
 
+def spans(tokens: DataFrame, rules: list[Rule], most: int | None = None) -> DataFrame:
+    """doc, nt, s, e of each recognised span: ``chart`` where neither counts nor derivations are asked for, so a round moves places only. What a width adds is one table
+    of spans (nt) and partial matches (rid, at); a span that begins a rule is such a match too and isn't written again. ``tokens`` is read in each round."""
+    flat = [(rid, left, at, kind, v, len(pattern)) for rid, (left, pattern) in enumerate(sorted({(r.left, r.pattern) for _, r in expanded(rules)})) for at, (kind, v) in enumerate(pattern)]
+    elements = F.broadcast(tokens.sparkSession.createDataFrame(flat, "rid int, left string, at int, kind string, symbol string, size int"))  # the grammar
+    units = tokens.select("doc", F.lit("t").alias("kind"), F.col("token").alias("symbol"), F.col("idx").cast("int").alias("s"), (F.col("idx") + 1).cast("int").alias("e"))
+    begun = lambda rows: rows.join(elements.where("at = 0"), ["kind", "symbol"]).select("doc", "rid", "left", "at", "size", "s", "e")
+    last, made = F.col("at") == F.col("size") - 1, []
+    for width in range(1, longest(tokens, most) + 1):
+        if width == 1:
+            grown = begun(units)
+        else:
+            known = union_all(made)
+            whole = known.where("nt IS NOT NULL").select("doc", F.lit("n").alias("kind"), F.col("nt").alias("symbol"), "s", "e")
+            partial = known.where("nt IS NULL").select("doc", "rid", "at", "s", "e").unionByName(begun(whole).select("doc", "rid", "at", "s", "e"))
+            # an element that ends at the right place completes a match of this width: the end is part of the join's key
+            nexts = partial.select("doc", "rid", (F.col("at") + 1).alias("at"), "s", F.col("e").alias("m"), (F.col("s") + width).alias("e")).join(elements, ["rid", "at"])
+            right = units.unionByName(whole).withColumnRenamed("s", "m")
+            grown = nexts.join(right, ["doc", "kind", "symbol", "m", "e"]).select("doc", "rid", "left", "at", "size", "s", "e")
+        made.append(cut(grown.select("doc", F.when(last, F.col("left")).alias("nt"), F.when(~last, F.col("rid")).alias("rid"), F.when(~last, F.col("at")).alias("at"), "s", "e").distinct()))
+    return union_all(made).where("nt IS NOT NULL").select("doc", "nt", "s", "e")
+
+
 def recognised(tokens: DataFrame, rules: list[Rule], start: str, most: int | None = None, k: int = 1) -> DataFrame:
     """doc, n_tokens, recognised, n, best of each document's whole span."""
     size = tokens.groupBy("doc").agg(F.count(F.lit(1)).cast("int").alias("n_tokens"))

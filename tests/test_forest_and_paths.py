@@ -67,6 +67,44 @@ def test_counts_and_sizes_of_a_packed_forest(spark):
     assert size == {"a": (28, 63, 112), "b": (1, 1, 0)}
 
 
+@pytest.mark.parametrize("gathered", [10**6, 60, 0])
+def test_counts_by_every_plan(spark, monkeypatch, gathered):
+    """Counts of documents in tasks and by widths; where all fit a task, longer documents take no more tables."""
+    rules = [Rule("S", (("n", "S"), ("n", "S"))), Rule("S", (("t", "x"),)), Rule("S", (("t", "x"),), 5), Rule("S", (("t", "y"), ("n", "S"), ("t", "y")))]
+    texts = ["x" * 8, "xx", "x", "yxyx", "yyxxyyx", "y", "yxyxxy"]
+    df = tokens(spark, {t: t for t in texts})
+    held = forest.packed(forest.applications(df, grammar.spans(df, rules), rules), df, "S").cache()
+    want = {}
+    for t in texts:
+        apps, n = sorted(plain_forest(t, rules, "S"), key=lambda a: a[2] - a[1]), {}
+        for nt, s, e, _, _, children in apps:
+            ways = 1
+            for c in children:
+                ways *= n[c]
+            n[(nt, s, e)] = n.get((nt, s, e), 0) + ways
+        want |= {(t, *span): ways for span, ways in n.items()}
+    cuts = []
+    monkeypatch.setattr(forest, "cut", lambda x, cut=forest.cut: cuts.append(1) or cut(x))
+    assert {(r.doc, r.nt, r.s, r.e): int(r.n) for r in forest.counts(held, gathered).collect()} == want
+    assert gathered < 10**6 or len(cuts) == 2
+
+
+def test_counts_past_38_digits_are_refused(spark):
+    one = [("d", "S", i, i + 1, r, []) for i in range(40) for r in range(10)] + [("d", "S", 0, e, 0, [("S", 0, e - 1), ("S", e - 1, e)]) for e in range(2, 41)]
+    with pytest.raises(Exception, match="38 digits"):
+        forest.counts(spark.createDataFrame(one, "doc string, nt string, s int, e int, rank bigint, children array<struct<nt:string,s:int,e:int>>")).collect()
+
+
+@pytest.mark.parametrize("rules", [DIAMOND, UNIT, GAPS])
+def test_spans_are_those_of_the_chart(spark, monkeypatch, rules):
+    """Recognition alone takes one table for each width."""
+    df = tokens(spark, {t: t for t in ("xy", "x", "yx", "xxx", "xxxx", "xxyxx")})
+    want = sorted(tuple(r) for r in grammar.chart(df, rules).select("doc", "nt", "s", "e").collect())
+    cuts = []
+    monkeypatch.setattr(grammar, "cut", lambda x, cut=grammar.cut: cuts.append(1) or cut(x))
+    assert sorted(tuple(r) for r in grammar.spans(df, rules).collect()) == want and len(cuts) == 5
+
+
 def test_ranks_do_not_follow_weights_and_rows(spark):
     df = tokens(spark, {"d": "xy"})
     ranks = []
