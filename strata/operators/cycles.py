@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, MapType, StructType
 
-from strata.plans.stage import cut
+from strata.plans.stage import cut, dealt
 
 GATHERED = 200_000  # edges of a group that one task may hold
 
@@ -101,7 +101,7 @@ def closing(edges: DataFrame, keys: list[str], gathered: int = GATHERED) -> Data
     found = _in_tasks(small, keys)
     if not large.isEmpty():
         found = found.unionByName(_in_lockstep(own.join(large, keys, "left_semi").select(*keys, "place", "l", "r"), keys))
-    return own.select(*keys, "at", "place").distinct().join(found, [*keys, "place"]).select(*keys, "at")
+    return own.select(*keys, "at", "place").join(dealt(found), [*keys, "place"]).select(*keys, "at").distinct()
 
 
 def on_or_below(edges: DataFrame, keys: list[str], gathered: int = GATHERED) -> DataFrame:

@@ -4,7 +4,8 @@ Every part of a document has ``born``: the place in the log of the edit that mad
 away, so a part holds from ``born`` on; what a boundary reference stands for can change as tiers grow, so resolved endpoints hold over ``[since, until)``.
 A rule finds for each offence the least place at which it is one: a use of something is an offence at the use unless the thing was born by then; two parts that can't both be
 are an offence at the later one. Each rule is a join or a window over all documents; no prefix of a log is replayed, and the first refusal
-of a log is the least place over all rules.
+of a log is the least place over all rules. Every table here grows with the documents, and Spark takes one that was cut for as small as its compressed files, so
+joins here are always dealt by their keys (``dealt``), never broadcast through the driver.
 
 A document's parts (``Parts``), names written ``{namespace}local``:
 
@@ -25,13 +26,14 @@ names          doc, born, subject, name, namespace: every qualified name that de
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strata.functions.lexical import canonical
 from strata.operators.cycles import closing
-from strata.plans.stage import cut
+from strata.plans.stage import cut, dealt
 
 #: kind: item, boundary or position; an item or position has tier and i, or an id; a boundary an anchor (id or tier) and a side.
 REF = "struct<kind:string,tier:string,i:bigint,id:string,side:string>"
@@ -73,7 +75,7 @@ def _again(rows: DataFrame, keys: list[str], order: list[str], rule: str, subjec
 def _without(uses: DataFrame, known: DataFrame, on: list[str], rule: str, subject: Column, detail: Column | str) -> DataFrame:
     """Uses of what isn't there by then. ``known`` has doc, ``on`` and since, the least place from which it is."""
     first = known.groupBy("doc", *on).agg(F.min("since").alias("since"))
-    return _bad(uses.join(first, ["doc", *on], "left").where("since IS NULL OR since > born"), rule, subject, detail)
+    return _bad(uses.join(dealt(first), ["doc", *on], "left").where("since IS NULL OR since > born"), rule, subject, detail)
 
 
 def _at(ord_: str = "ord", what: str = "relation instance") -> Column:
@@ -99,7 +101,7 @@ def declared(p: Parts) -> list[DataFrame]:
     tiers = p.tiers.select("doc", "tier", F.col("born").alias("since"))
     simple = p.relations.where("kind = 'simple'")
     known = p.attributes.select("doc", "name", F.col("domain").alias("own_domain"), F.col("value_type").alias("own_type"), F.col("born").alias("since"), F.row_number().over(Window.partitionBy("doc", "name").orderBy("born", "ord")).alias("n")).where("n = 1")
-    used = p.values.join(known, ["doc", "name"], "left").withColumn("there", F.coalesce(F.col("since") <= F.col("born"), F.lit(False)))
+    used = p.values.join(dealt(known), ["doc", "name"], "left").withColumn("there", F.coalesce(F.col("since") <= F.col("born"), F.lit(False)))
     owner = F.concat_ws(" ", "owner", "name")
     kinds = p.relations.select("doc", F.col("name").alias("relation"), (F.col("kind") == "polyadic").alias("many"), F.col("born").alias("since")).where(F.col("kind") != "simple")
     wanted = F.concat(F.when(F.col("many"), "no polyadic relation ").otherwise("no bipartite relation "), "relation")
@@ -159,7 +161,7 @@ def places(refs: DataFrame, p: Parts) -> DataFrame:
     first = named.withColumn("n", F.row_number().over(Window.partitionBy("doc", "__id").orderBy("named", "__t", "__i"))).where("n = 1").drop("n")
     tiers = p.tiers.groupBy("doc", F.col("tier").alias("__tier")).agg(F.min("born").alias("__there"))
     keyed = refs.withColumn("__id", F.col("ref.id")).withColumn("__tier", F.col("ref.tier"))
-    joined = keyed.join(first, ["doc", "__id"], "left").join(tiers, ["doc", "__tier"], "left")
+    joined = keyed.join(dealt(first), ["doc", "__id"], "left").join(dealt(tiers), ["doc", "__tier"], "left")
     by_id = F.col("ref.id").isNotNull()
     there = F.when(by_id, F.col("named") <= F.col("born")).otherwise(F.col("__there") <= F.col("born"))
     after = F.when(F.col("ref.side") == "after", 1).otherwise(0)
@@ -173,7 +175,7 @@ def places(refs: DataFrame, p: Parts) -> DataFrame:
     # items that are born together (a document read whole) make one size
     grown = grown.groupBy("doc", "__tier", "from").agg(F.max("size").alias("size"))
     grown = grown.withColumn("to", F.coalesce(F.lead("from").over(Window.partitionBy("doc", "__tier").orderBy("from")), F.lit(ALWAYS)))
-    ends = joined.where(moving & F.coalesce(there, F.lit(False))).join(grown, ["doc", "__tier"]).where(F.col("to") > F.col("born"))
+    ends = joined.where(moving & F.coalesce(there, F.lit(False))).join(dealt(grown), ["doc", "__tier"]).where(F.col("to") > F.col("born"))
     ends = ends.select(*refs.columns, tier.alias("tier"), F.col("size").cast("bigint").alias("i"), F.greatest("from", "born").alias("since"), F.col("to").alias("until"))
     lost = joined.where(moving & ~F.coalesce(there, F.lit(False))).select(*refs.columns, F.lit(None).cast("string").alias("tier"), F.lit(None).cast("bigint").alias("i"), F.col("born").alias("since"), F.lit(ALWAYS).alias("until"))
     return fixed.unionByName(ends).unionByName(lost)
@@ -193,7 +195,7 @@ def endpoints(p: Parts, held: DataFrame) -> list[DataFrame]:
     """O7, O8: kinds, places, types and tiers of endpoints, and how many a side has. ``held``: the endpoints with their first places."""
     rel = p.relations.withColumn("n", F.row_number().over(Window.partitionBy("doc", "name").orderBy("born", "ord"))).where("n = 1")
     rel = rel.select("doc", F.col("name").alias("relation"), "left_type", "right_type", "left_kind", "right_kind", F.col("sources").alias("__s"), F.col("targets").alias("__t"), (F.col("kind") == "polyadic").alias("many"), F.col("kind").alias("__kind")).where("__kind <> 'simple'").drop("__kind")
-    own = held.join(rel, ["doc", "relation", "many"])
+    own = held.join(dealt(rel), ["doc", "relation", "many"])
     first = F.col("side") == "sources"
     is_kind = F.when(F.col("ref.kind") == "item", "item").otherwise("boundary")
     subject = F.concat(_at(), F.when(F.col("many"), F.concat(F.lit(" "), F.rtrim(F.regexp_replace("side", "s\\z", "")), F.lit(" endpoint "), F.col("at").cast("string"))).otherwise(F.when(first, " left endpoint").otherwise(" right endpoint")))
@@ -202,7 +204,7 @@ def endpoints(p: Parts, held: DataFrame) -> list[DataFrame]:
     sized = _sizes(own.withColumn("wrong", wrong_kind).withColumn("allowed", side.tiers).withColumn("expected", F.when(first, F.col("left_type")).otherwise(F.col("right_type"))).drop("__s", "__t"), p)
     outside = F.col("tier").isNull() | ((F.col("ref.kind") == "item") & F.col("ref.id").isNull() & ((F.col("i") < 0) | (F.col("i") >= F.col("size"))))
     types = p.relations.where("kind = 'simple'").groupBy("doc", "tier").agg(F.min(F.struct("born", "ord", "item_type")).alias("x")).select("doc", "tier", F.col("x.born").alias("typed"), F.col("x.item_type").alias("item_type"))
-    typed = sized.join(types, ["doc", "tier"], "left")
+    typed = sized.join(dealt(types), ["doc", "tier"], "left")
     where_ = F.concat(F.coalesce("ref.tier", "ref.id"), F.coalesce(F.concat(F.lit(" "), F.col("ref.i").cast("string")), F.lit("")))
     single, late = ~outside & ~F.col("many"), F.coalesce(F.col("typed") > F.col("born"), F.lit(True))
     out = [
@@ -214,7 +216,7 @@ def endpoints(p: Parts, held: DataFrame) -> list[DataFrame]:
             ("endpoint tier", ~outside & F.col("many") & (F.size("allowed") > 0) & ~F.array_contains("allowed", F.col("tier")), F.col("tier")),
         ])
     ]
-    many = p.instances.where("many").withColumn("many", F.lit(True)).join(rel, ["doc", "relation", "many"])
+    many = p.instances.where("many").withColumn("many", F.lit(True)).join(dealt(rel), ["doc", "relation", "many"])
     rules = []
     for name, declared_side in (("sources", "__s"), ("targets", "__t")):
         s, n = F.col(declared_side), F.size(name)
@@ -246,7 +248,7 @@ def _meeting(rows: DataFrame, place: list[str], who: list[str]) -> DataFrame:
     later = staying.withColumn("__first", F.first(own).over(order)).where(F.col("__first") != own).withColumn("meet", F.col("since")).drop("__first")
     moving = rows.where(F.col("until") < ALWAYS)
     other = rows.select(*key, F.col("since").alias("__since"), F.col("until").alias("__until"), own.alias("__who"))
-    crossed = moving.join(other, key).where((F.col("__who") != own) & (F.col("since") < F.col("__until")) & (F.col("__since") < F.col("until"))).withColumn("meet", F.greatest("since", "__since"))
+    crossed = moving.join(dealt(other), key).where((F.col("__who") != own) & (F.col("since") < F.col("__until")) & (F.col("__since") < F.col("until"))).withColumn("meet", F.greatest("since", "__since"))
     return later.unionByName(crossed.select(*later.columns))
 
 
@@ -262,12 +264,13 @@ def promises(p: Parts, held: DataFrame) -> list[DataFrame]:
     """O11 to O13: parents, sources, targets, membership and cycles of what is declared so. ``held``: endpoints with their places."""
     rel = p.relations.groupBy("doc", F.col("name").alias("relation")).agg(F.min(F.struct("born", "ord", "single_parent", "acyclic", "unique_sources", "distinct_targets", "subset_of")).alias("d"))
     rel = rel.select("doc", "relation", "d.single_parent", "d.acyclic", "d.unique_sources", "d.distinct_targets", "d.subset_of")
-    known = held.where("tier IS NOT NULL").join(rel, ["doc", "relation"]).withColumn("node", F.concat_ws(" ", F.when(F.col("ref.kind") == "item", "item").otherwise("boundary"), "tier", F.col("i").cast("string")))
+    node = F.concat_ws(" ", F.when(F.col("ref.kind") == "item", "item").otherwise("boundary"), "tier", F.col("i").cast("string"))
+    known = cut(held.where("tier IS NOT NULL").join(dealt(rel), ["doc", "relation"]).withColumn("node", node).drop("n", "ref", "tier", "i"))
     start = known.where(F.col("since") == F.col("born"))
     sources, targets = known.where("side = 'sources'"), known.where("side = 'targets'")
     # a whole source sequence is one parent
     parent = start.where("side = 'sources'").groupBy("doc", "ord", "many").agg(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("at", "node"))), lambda x: x.node)).alias("parent"))
-    child = targets.where("single_parent").join(parent, ["doc", "ord", "many"]).select("doc", "relation", "node", "ord", "many", "since", "until", "parent", "born")
+    child = targets.where("single_parent").join(dealt(parent), ["doc", "ord", "many"]).select("doc", "relation", "node", "ord", "many", "since", "until", "parent", "born")
     second = _meeting(child, ["relation", "node"], ["parent"])
     repeated = sources.where("many AND unique_sources").select("doc", "relation", "node", "ord", "at", "since", "until", "born")
     again = _meeting(repeated, ["relation", "node"], ["ord", "at"])
@@ -275,11 +278,11 @@ def promises(p: Parts, held: DataFrame) -> list[DataFrame]:
     within = rel.where("subset_of IS NOT NULL").select("doc", "relation", "subset_of")
     bases = p.relations.where("kind = 'polyadic'").select("doc", F.col("name").alias("subset_of"), F.col("born").alias("since"))
     pair = lambda rows, *more: rows.where("side = 'sources'").select("doc", "relation", "ord", "born", F.col("node").alias("source"), *more)
-    own_sources = pair(start.where("many")).join(within, ["doc", "relation"])
-    own = own_sources.join(start.where("many AND side = 'targets'").select("doc", "ord", F.col("node").alias("target")), ["doc", "ord"])
+    own_sources = pair(start.where("many")).join(dealt(within), ["doc", "relation"])
+    own = own_sources.join(dealt(start.where("many AND side = 'targets'").select("doc", "ord", F.col("node").alias("target"))), ["doc", "ord"])
     base_sources = pair(start.where("many")).select("doc", F.col("relation").alias("subset_of"), "ord", "source", F.col("born").alias("since"))
-    base = base_sources.join(start.where("many AND side = 'targets'").select("doc", "ord", F.col("node").alias("target")), ["doc", "ord"])
-    edges = start.where("acyclic").where("side = 'sources'").select("doc", "relation", "many", "ord", "born", F.col("node").alias("l")).join(start.where("acyclic AND side = 'targets'").select("doc", "many", "ord", F.col("node").alias("r")), ["doc", "many", "ord"])
+    base = base_sources.join(dealt(start.where("many AND side = 'targets'").select("doc", "ord", F.col("node").alias("target"))), ["doc", "ord"])
+    edges = start.where("acyclic").where("side = 'sources'").select("doc", "relation", "many", "ord", "born", F.col("node").alias("l")).join(dealt(start.where("acyclic AND side = 'targets'").select("doc", "many", "ord", F.col("node").alias("r"))), ["doc", "many", "ord"])
     closed = closing(edges.select("doc", "relation", F.struct("born", "ord").alias("at"), "l", "r"), ["doc", "relation"])
     return [
         _bad(second, "single parent", _at(), F.col("node"), F.col("meet")),
@@ -299,13 +302,14 @@ def empty_names(p: Parts) -> list[DataFrame]:
 
 
 def check(p: Parts) -> DataFrame:
-    """doc, born, rule, subject, detail of every violation."""
+    """doc, born, rule, subject, detail of every violation.
+
+    Some rules at a time are run and their violations kept: Spark plans a job anew after each of its stages, so one job of all rules costs the driver memory in the square of their number.
+    """
     held = cut(places(_endpoints(p), p))
-    all_ = [*empty_names(p), *duplicates(p), *declared(p), *lexical(p), *sides(p), *endpoints(p, held.where(F.col("since") == F.col("born"))), *positions(p), *identities(p), *promises(p, held)]
-    out = all_[0]
-    for more in all_[1:]:
-        out = out.unionByName(more)
-    return out.distinct()
+    first = held.where(F.col("since") == F.col("born"))
+    some = [[*empty_names(p), *duplicates(p), *sides(p)], declared(p), lexical(p), endpoints(p, first), [*positions(p), *identities(p)], promises(p, held)]
+    return reduce(DataFrame.unionByName, [cut(reduce(DataFrame.unionByName, rules)) for rules in some]).distinct()
 
 
 def first_refusal(violations: DataFrame) -> DataFrame:
